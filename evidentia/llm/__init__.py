@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import url_filter
+    from . import quality_rules, url_filter
 
-    return (url_filter,)
+    return (url_filter, quality_rules)
 
 
 def queries() -> dict:
