@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import quality_rules, url_filter
+    from . import bpe, packing, quality_rules, url_filter
 
-    return (url_filter, quality_rules)
+    return (bpe, url_filter, quality_rules, packing)
 
 
 def queries() -> dict:
