@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import bpe, packing, quality_rules, url_filter
+    from . import bpe, language_id, packing, quality_rules, token_counts, url_filter
 
-    return (bpe, url_filter, quality_rules, packing)
+    return (bpe, url_filter, quality_rules, token_counts, language_id, packing)
 
 
 def queries() -> dict:
