@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import bpe, language_id, packing, quality_rules, token_counts, url_filter
+    from . import (
+        bpe, fingerprints, language_id, packing, quality_rules, token_counts, toxicity, url_filter,
+    )
 
-    return (bpe, url_filter, quality_rules, token_counts, language_id, packing)
+    return (fingerprints, bpe, url_filter, toxicity, quality_rules, token_counts, language_id, packing)
 
 
 def queries() -> dict:
