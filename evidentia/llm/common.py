@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.plans.storage import shared_dir, through_files  # noqa: F401
+
 #: ASCII white space, the separators of words: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
 
@@ -28,24 +27,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared folder (spark.checkpoint.dir).
-
-    Only where that setting is absent, as in tests, the warehouse folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-        spark.conf.get("spark.sql.warehouse.dir"), "_scratch"
-    )
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def through_files(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (len + 1) of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
