@@ -5,10 +5,11 @@ from __future__ import annotations
 
 def _modules():
     from . import (
-        bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, token_counts, toxicity, url_filter,
+        bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, suffix_dedup, token_counts,
+        toxicity, url_filter,
     )
 
-    return (fingerprints, bpe, url_filter, toxicity, quality_rules, jaccard_join, token_counts, language_id, packing)
+    return (fingerprints, bpe, suffix_dedup, url_filter, toxicity, quality_rules, jaccard_join, token_counts, language_id, packing)
 
 
 def queries() -> dict:
