@@ -220,13 +220,13 @@ def fit(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) -> Trees | Non
 _SCORERS: dict[int, Scorer] = {}
 
 
-def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """doc_id, lang_pred, score, bits_per_byte for each (doc_id, text)."""
+def identify(docs: DataFrame, trees: Trees | None, carry: tuple = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns and lang_pred, score, bits_per_byte of each row with a text."""
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
+    columns = list(carry)
+    rows = docs.select(*dict.fromkeys(["text", *columns]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
     if trees is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(8.0).alias("bits_per_byte"))
+        return rows.select(*columns, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(8.0).alias("bits_per_byte"))
     shared = spark.sparkContext.broadcast(trees)
 
     def run(batches):
@@ -248,12 +248,13 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
                 score = 1.0 / np.exp2(np.maximum(-1000, (least[:, None] - bits) * weight)).sum(axis=1)
                 letters = part.column("has_letter").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.where(letters, names[best], UNKNOWN), pa.string()),
+                    [*(part.column(c) for c in columns), pa.array(np.where(letters, names[best], UNKNOWN), pa.string()),
                      pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, least / size, 8.0))],
-                    ["doc_id", "lang_pred", "score", "bits_per_byte"],
+                    [*columns, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    schema = docs.select(columns).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(ways: int, rest: int):

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_buffers, through_files
+from .common import table, text_buffers
 from .jaccard_join import mix
 
 LENGTH, K = 50, 26
@@ -347,41 +347,47 @@ def covered_stretches(docs: DataFrame, length: int = LENGTH, block: int = BLOCK)
     return met.mapInArrow(search, "doc_id long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """The rows of (doc_id, text, ...) with covered bytes cut out of ``kept`` and counted.
+def remove_repeats(
+    docs: DataFrame, carry: tuple = ("doc_id",), length: int = LENGTH, block: int = BLOCK
+) -> DataFrame:
+    """The ``carry`` columns (doc_id among them) of each row and what is left of its text.
 
-    Adds kept (binary), n_bytes, n_removed and n_spans; of the input columns only doc_id and
-    text are read.
+    Adds kept (binary: the bytes that are left, end to end), kept_text (the same as text,
+    without the parts of code points that a cut has left), n_bytes, n_removed and n_spans.
     """
+    columns = list(carry)
     kind = dict(docs.dtypes)["doc_id"]
     found = covered_stretches(docs, length, block)
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(*columns, F.coalesce("text", F.lit("")).cast("binary").alias("_bytes"))
     joined = rows.join(by_doc.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id", "left")
 
     def cut(batches):
         for b in batches:
             kept, sizes, removed, count = [], [], [], []
-            for raw, spans in zip(b.column("text"), b.column("spans").to_pylist()):
+            for raw, spans in zip(b.column("_bytes"), b.column("spans").to_pylist()):
                 raw = raw.as_py()
-                parts, at, runs, lost, end = [], 0, 0, 0, -1
+                parts, at, runs, end = [], 0, 0, -1
                 for s in sorted((s["start"], s["end"]) for s in spans or ()):
                     if s[0] > end:
                         parts.append(raw[at : s[0]])
                         runs += 1
                     at = end = max(end, s[1])
                 parts.append(raw[at:])
-                out = b"".join(parts)
-                kept.append(out)
+                kept.append(b"".join(parts))
                 sizes.append(len(raw))
-                removed.append(len(raw) - len(out))
+                removed.append(len(raw) - len(kept[-1]))
                 count.append(runs)
+            texts = [k.decode("utf-8", "ignore") for k in kept]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, count))],
-                ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
-            )
-
-    return joined.mapInArrow(cut, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+                [*(b.column(c) for c in columns), pa.array(kept, pa.binary()), pa.array(texts, pa.string()),
+                 *(pa.array(x, pa.int64()) for x in (sizes, removed, count))], [*columns, *added])
+
+    added = ["kept", "kept_text", "n_bytes", "n_removed", "n_spans"]
+    schema = docs.select(columns).schema.add("kept", "binary").add("kept_text", "string")
+    for name in added[2:]:
+        schema = schema.add(name, "long")
+    return joined.mapInArrow(cut, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

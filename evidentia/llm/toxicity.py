@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, through_files
 
 SAMPLE, MIN_DOCS, MAX_FEATURES = 20_000, 5, 20_000
 MIN_PREFIX, MAX_PREFIX = 4, 8
@@ -129,12 +129,10 @@ def _solve(rows, labels, pairs, size, l2=1.0, penalty=10.0, positive_weight=3.0,
     return w[:size], float(w[-2]), float(w[-1] - w[-2] * center)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, min_docs: int = MIN_DOCS, max_features: int = MAX_FEATURES) -> Model:
-    """A model of (doc_id, text, toxic) rows with a 0/1 label."""
-    rows = labelled.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "text", "toxic")
-    n = rows.count()
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.filter(spot < F.lit(min(1.0, sample / max(n, 1)))).select("text", F.col("toxic").cast("int").alias("y"))
+def fit(labelled: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_FEATURES) -> Model:
+    """A model of (text, toxic) rows with a 0/1 label, such as ``learning_rows`` gives."""
+    rows = labelled.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull())
+    rows = rows.select("text", F.col("toxic").cast("int").alias("y"))
 
     def occurrences(batches):
         for b in batches:
@@ -200,10 +198,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, min_docs: int = MIN_DOCS, max
     return Model(blank.index, w, length, bias)
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score for each (doc_id, text)."""
-    kind = dict(docs.dtypes)["doc_id"]
+def score_texts(docs: DataFrame, model: Model, carry: tuple = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns and the score of each row with a text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features words and weights
+    columns = list(carry)
 
     def run(batches):
         own = shared.value
@@ -211,15 +209,24 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 scores = [own.score(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in columns), pa.array(scores, pa.float64())], [*columns, "score"])
+
+    schema = docs.select(columns).schema.add("score", "double")
+    return docs.select(*dict.fromkeys(["text", *columns])).mapInArrow(run, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
+def learning_rows(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) of about ``sample`` labelled rows where ``learn`` holds.
 
-def learning_rows(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled rows where ``learn`` holds."""
-    labels = labels.filter(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.filter(learn).select("doc_id", "text").join(labels, "doc_id")
+    The sample is drawn from the labels by a hash of the id; its bounded list of ids is
+    broadcast, so no text is shuffled, and the rows are written once for the steps that
+    learn from them.
+    """
+    labels = labels.filter(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IS NOT NULL")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = labels.filter(spot < F.lit(min(1.0, sample / max(labels.count(), 1))))
+    return through_files(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
 
 
 def held_out():
