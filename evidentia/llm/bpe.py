@@ -136,6 +136,7 @@ class ByteBPE:
         names = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in self.specials.items()}
         size = max(names) + 1
         self.table = [names.get(i, b"") for i in range(size)]
+        self.slice_ids = lambda p: self.merge(p.encode("utf-8", "surrogatepass"))
 
     @staticmethod
     def from_file(path: str, specials: dict[str, int] | None = None) -> "ByteBPE":
@@ -232,9 +233,9 @@ class ByteBPE:
         cache = self.cache
         if len(cache) > self.cache_size:
             cache.clear()
-        merge = self.merge
+        merge = self.slice_ids
         for p in set(pieces).difference(cache):
-            ids = merge(p.encode("utf-8", "surrogatepass"))
+            ids = merge(p)
             cache[p] = struct.pack(f"<{len(ids)}I", *ids)
         coded = list(map(cache.__getitem__, pieces))
         bounds = first.tolist()
@@ -275,11 +276,20 @@ class ByteBPE:
 _LOADED: dict[tuple, ByteBPE] = {}
 
 
-def loaded(path: str, specials: tuple = ()) -> ByteBPE:
-    """One encoder per worker process and vocabulary."""
-    key = (path, specials)
+def loaded(path: str, specials: tuple = (), library: bool = False) -> ByteBPE:
+    """One encoder per worker process and vocabulary.
+
+    With ``library``, the ids of slices that are not in the cache come from the tokenizer
+    library instead of ``merge``: the same ids, sooner.
+    """
+    key = (path, specials, library)
     if key not in _LOADED:
-        _LOADED[key] = ByteBPE.from_file(path, dict(specials))
+        bpe = _LOADED[key] = ByteBPE.from_file(path, dict(specials))
+        if library:
+            import tiktoken
+
+            own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+            bpe.slice_ids = own.encode_ordinary
     return _LOADED[key]
 
 

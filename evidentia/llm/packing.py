@@ -106,7 +106,7 @@ def pack_documents(
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, specials)
+        bpe = loaded(path, specials, library=True)
         packer = Packer(TaskContext.get().partitionId() << 36, capacity, least)
         id_type = None
 

@@ -8,8 +8,8 @@ these texts and, for each text with an identity term, to its counterfactual, whe
 term is swapped for its counterpart: the squared change of the linear score between the two
 is a penalty, so that a neutral mention of a group cannot carry weight.
 
-The classifier is fitted on at most about ``sample`` labelled rows chosen by a hash of the id
-(whole texts); their features, not their texts, come to the driver.  Scoring covers all rows
+The classifier is fitted on about ``sample`` labelled rows at most, chosen by a hash of the
+id (whole texts); their features, not their texts, come to the driver.  Scoring covers all rows
 on the executors.
 
 Defined results: null text counts as empty; an empty text scores as the model's base rate;
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table, through_files
 
-SAMPLE, MIN_DOCS, MAX_FEATURES = 20_000, 5, 20_000
+SAMPLE, MIN_DOCS, MAX_FEATURES = 12_000, 5, 20_000
 MIN_PREFIX, MAX_PREFIX = 4, 8
 THRESHOLD = 0.7
 
@@ -91,38 +91,55 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _solve(rows, labels, pairs, size, l2=1.0, penalty=10.0, positive_weight=3.0, rounds=400):
+@dataclass
+class Rows:
+    """Sparse rows end to end: feature numbers, values, and the row of each."""
+
+    ids: np.ndarray
+    values: np.ndarray
+    owner: np.ndarray
+    n: int
+
+    @staticmethod
+    def of(ids: pa.ChunkedArray, values: pa.ChunkedArray, order: np.ndarray) -> "Rows":
+        """Rows of two list columns, in an order."""
+        ids, values = ids.combine_chunks(), values.combine_chunks()
+        size = ids.value_lengths().to_numpy(zero_copy_only=False)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        owner = np.repeat(place, size)
+        by_owner = np.argsort(owner, kind="stable")
+        return Rows(ids.flatten().to_numpy()[by_owner], values.flatten().to_numpy()[by_owner], owner[by_owner].astype(np.int32), len(order))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, w[self.ids] * self.values, self.n)
+
+    def back(self, g: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.ids, g[self.owner] * self.values, size)
+
+
+def _solve(rows: Rows, length, labels, pairs: Rows, size, l2=1.0, penalty=10.0, positive_weight=3.0, rounds=400):
     """Weights, length weight and bias of the penalised logistic model, by Adam on all rows.
 
-    ``rows`` and ``pairs`` are lists of (ids, values, length); a pair's values are the
-    differences between a text and its counterfactual.  Positive rows, the rarer ones, count
+    A row of ``pairs`` has the differences between a text and its counterfactual, and is empty
+    for a text without identity terms.  Positive rows, the rarer ones, count
     ``positive_weight`` times.
     """
-
-    def flat(items):
-        ids = np.array([i for r in items for i in r[0]], np.int64)
-        values = np.array([v for r in items for v in r[1]])
-        owner = np.repeat(np.arange(len(items)), [len(r[0]) for r in items])
-        return ids, values, owner
-
-    n = len(rows)
-    ids, values, owner = flat(rows)
-    length = np.array([r[2] for r in rows])
+    n = rows.n
+    changed = max(1, len(np.unique(pairs.owner)))
     center = length.mean()
     length = length - center
-    pids, pvalues, powner = flat(pairs)
     w = np.zeros(size + 2)
     w[-1] = math.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3))
     m, v = np.zeros_like(w), np.zeros_like(w)
     cost = np.where(labels > 0, positive_weight, 1.0)
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, w[ids] * values, n) + w[-2] * length + w[-1]
+        z = rows.dot(w) + w[-2] * length + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) * cost / n
-        grad = np.append(np.bincount(ids, g[owner] * values, size), [g @ length, g.sum()])
+        grad = np.append(rows.back(g, size), [g @ length, g.sum()])
         grad[:-1] += l2 * w[:-1] / n
-        if len(pairs):
-            d = np.bincount(powner, w[pids] * pvalues, len(pairs))
-            grad[:size] += penalty * 2 / len(pairs) * np.bincount(pids, d[powner] * pvalues, size)
+        if len(pairs.ids):
+            grad[:size] += penalty * 2 / changed * pairs.back(pairs.dot(w), size)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -181,20 +198,20 @@ def fit(labelled: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_F
                     change = {i: x for i, x in change.items() if x}
                     dids, dvalues = list(change), list(change.values())
                 out.append((y, ids, values, length, dids, dvalues))
-            y, ids, values, length, dids, dvalues = zip(*out)
-            ints, reals = pa.list_(pa.int32()), pa.list_(pa.float64())
+            ints, reals = pa.list_(pa.int32()), pa.list_(pa.float32())
+            kinds = [pa.int32(), ints, reals, pa.float64(), ints, reals]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(y, pa.int32()), pa.array(ids, ints), pa.array(values, reals), pa.array(length, pa.float64()),
-                 pa.array(dids, ints), pa.array(dvalues, reals)], ["y", "ids", "vals", "len", "dids", "dvals"])
+                [*(pa.array(c, k) for c, k in zip(zip(*out), kinds)), b.column("place")],
+                ["y", "ids", "vals", "len", "dids", "dvals", "place"])
 
-    got = rows.mapInArrow(
-        vectors, "y int, ids array<int>, vals array<double>, len double, dids array<int>, dvals array<double>"
+    got = rows.withColumn("place", F.xxhash64("text", "y")).mapInArrow(
+        vectors, "y int, ids array<int>, vals array<float>, len double, dids array<int>, dvals array<float>, place long"
     ).toArrow()
-    c = {k: got.column(k).to_pylist() for k in got.column_names}
-    order = sorted(range(len(c["y"])), key=lambda i: (c["len"][i], c["y"][i], sorted(c["ids"][i])))
-    items = [(c["ids"][i], c["vals"][i], c["len"][i]) for i in order]
-    pairs = [(c["dids"][i], c["dvals"][i], 0.0) for i in order if c["dids"][i]]
-    w, length, bias = _solve(items, np.array([c["y"][i] for i in order], float), pairs, len(names))
+    order = np.argsort(got.column("place").to_numpy(), kind="stable")  # the same sums in any partitioning
+    w, length, bias = _solve(
+        Rows.of(got.column("ids"), got.column("vals"), order), got.column("len").to_numpy()[order],
+        got.column("y").to_numpy()[order].astype(float), Rows.of(got.column("dids"), got.column("dvals"), order), len(names),
+    )
     return Model(blank.index, w, length, bias)
 
 
