@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    return ()
+    from evidentia.operators import detect, facts, ingest, resolve
+
+    return (ingest, facts, resolve, detect)
 
 
 def queries() -> dict:
