@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType
 
 from evidentia.functions import text
 from evidentia.functions.ids import item_id, pair_id, sql_pair_id
+from evidentia.plans.storage import through_files
 from evidentia.sources.staging import view, with_views
 
 from .components import connected_components
@@ -266,8 +267,8 @@ def all_matches(named: DataFrame) -> DataFrame:
 
 def resolve_entities(entities: DataFrame, decided: DataFrame | None = None) -> DataFrame:
     """(entity_id, canonical_id, decision) of all entities; ``decided`` are matches with human decisions."""
-    named = standardise_names(entities)
-    matches = all_matches(named)
+    named = through_files(standardise_names(entities))
+    matches = through_files(all_matches(named))
     if decided is not None:
         matches = upsert_matches(decided, matches)
     return quality_representative(named, resolve_members(named, matches), entity_identifiers(named))
@@ -281,7 +282,7 @@ def _q(f):
 
 
 def _named(v) -> DataFrame:
-    return standardise_names(v("entities"))
+    return through_files(standardise_names(v("entities")))
 
 
 def _sure(v) -> DataFrame:
@@ -307,7 +308,7 @@ def _reviews(v) -> DataFrame:
 
 _M = ("match_id", "left_id", "right_id", "match_method", "confidence", "status")
 QUERIES = {
-    "d_standardise_names": _q(lambda v: _named(v).drop("raw_type")),
+    "d_standardise_names": _q(lambda v: standardise_names(v("entities")).drop("raw_type")),
     "d_name_quality_profile": _q(lambda v: name_quality_profile(_named(v))),
     "e1_canonical_aliases": _q(lambda v: canonical_aliases(_named(v))),
     "e1_entity_identifiers": _q(lambda v: entity_identifiers(_named(v))),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from evidentia.operators import detect, facts, ingest, resolve
+    from evidentia.operators import detect, enrich, facts, ingest, lifecycle, resolve
 
-    return (ingest, facts, resolve, detect)
+    return (ingest, facts, resolve, enrich, detect, lifecycle)
 
 
 def queries() -> dict:

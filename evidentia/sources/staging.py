@@ -66,6 +66,25 @@ FROM {part} WHERE p_partkey % 50 = 7""",
 SELECT event_id AS run_id, 'src' || (user_id % 40) AS source_id, ts AS started_at, event_id % 7 AS record_count, event_id % 5 AS fact_count,
   CASE event_id % 9 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 500 ELSE 200 END AS http_status,
   CASE event_id % 9 WHEN 0 THEN 'blocked' WHEN 1 THEN 'missing' WHEN 2 THEN 'rate_limited' WHEN 3 THEN 'http_error' WHEN 4 THEN 'partial' ELSE 'success' END AS status FROM {events}""",
+    "companies": """
+SELECT lpad(CAST(p_partkey AS STRING), 8, '0') AS number, upper('grp' || CAST(floor(p_partkey / 30.0) AS BIGINT) || ' ' || p_name || ' ' || p_type || ' ' || replace(p_brand, '#', ' ')) || ' LIMITED' AS name,
+  CASE WHEN p_partkey % 24 = 0 THEN 'grp' || CAST(floor(p_partkey / 30.0) AS BIGINT) || ' ' || p_name || ' ' || substring(p_type, 1, length(p_type) - 1) || ' ' || replace(p_brand, '#', ' ') END AS previous_name,
+  CASE WHEN p_partkey % 36 = 0 THEN 'Dissolved' ELSE 'Active' END AS status, 'Private Limited Company' AS category, '62012 - ' || p_brand AS sic FROM {part} WHERE p_partkey % 12 = 0
+UNION ALL SELECT 'X' || c_custkey, c_name, NULL, 'Active', 'Private Limited Company', NULL FROM {customer}""",
+    "controllers": """
+SELECT number AS company_number, CASE WHEN length(name) % 3 = 0 THEN 'corporate-entity-person-with-significant-control' WHEN length(name) % 3 = 1 THEN 'individual-person-with-significant-control' ELSE 'super-secure' END AS kind,
+  'Person ' || number AS name, 'ownership-of-shares-75-to-100-percent' AS nature FROM {companies}""",
+    "signals": """
+SELECT supplier_id || '/' || payer_id AS signal_id, CASE count(*) % 5 WHEN 0 THEN 'SUPPLIER_PAYMENT_CONTRACT_OVERLAP' WHEN 1 THEN 'PAYMENT_STREAM_WITHOUT_TRACKED_PROCUREMENT_LINK'
+    WHEN 2 THEN 'PAYMENTS_OUTSIDE_TRACKED_CONTRACT_PERIODS' WHEN 3 THEN 'PAYMENTS_EXCEED_TRACKED_CONTRACT_VALUE' ELSE 'SHARED_OUTSIDE_BODY' END AS signal_type,
+  CASE count(*) % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'approved' WHEN 2 THEN 'stale' ELSE 'withheld' END AS status, 0.25 AS score, supplier_id AS subject_id,
+  CASE WHEN count(*) % 7 = 0 THEN NULL ELSE 'P' || (count(*) % 3) END AS object_id, CASE count(*) % 5 WHEN 0 THEN 'documented_cross_source_link_not_a_finding' WHEN 1 THEN 'source_discovery_review_not_a_finding' ELSE 'review_required_not_a_finding' END AS interpretation,
+  CASE WHEN count(*) % 6 = 0 THEN NULL ELSE sum(amount) END AS payment_total, CASE WHEN count(*) % 2 = 0 THEN max(amount) END AS tracked_total, min(fact_id) AS fact_id FROM {payments} GROUP BY supplier_id, payer_id""",
+    "signal_reviews": """
+SELECT 'v' || signal_id AS review_id, 'SIGNAL_REVIEW' AS item_type, CASE WHEN status = 'stale' THEN 'stale' ELSE 'open' END AS status, subject_id, object_id, signal_id, score FROM {signals}""",
+    "published_facts": """
+SELECT 'f' || l_orderkey || '-' || l_linenumber AS fact_id, 'D' || l_suppkey AS document_id, 'N' || l_suppkey || '-' || (l_partkey % 3) AS snapshot_id, 'PAYMENT' AS fact_type, 'PAYMENT_TO_SUPPLIER' AS predicate,
+  'C' || (l_orderkey % 25) AS subject_id, 'S' || l_suppkey AS object_id, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS value_text, 'row ' || l_linenumber AS locator, 'OFFICIAL_RECORD' AS evidence_class, l_shipdate AS retrieved_at FROM {lineitem}""",
     "phrases": "SELECT 'B' || item_id AS entity_id, text AS name FROM {benchmark}",
     "texts": "SELECT 'D' || doc_id AS fact_id, 'P' || (doc_id % 100) AS person_id, text AS value_text FROM {documents}",
 }
