@@ -37,10 +37,11 @@ from .common import let, table
 
 LONG = 600
 #: Cells of a block: of the fingerprint, of a group's sketch, and of its last retry.
-BASE, WIDE, LAST = 8, 16, 128
-GROUP = 8
-#: Rounds of peeling; each takes at least one digest out.
-ROUNDS = 40
+BASE, WIDE, LAST = 8, 8, 64
+#: Digests of a group, on average.
+GROUP = 4
+#: Rounds of peeling; a sketch that needs more counts as failed and is retried.
+ROUNDS = 16
 #: Id ranges of ``with_next``: about this many rows each, and at most so many, as one row a
 #: range goes to the driver and back.
 RANGE_ROWS, MAX_RANGES = 256, 1_000_000

@@ -181,12 +181,14 @@ def fit(labelled: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_F
     blank = Model({f: i for i, f in enumerate(sorted(names))}, np.zeros(0), 0.0, 0.0)
 
     def vectors(batches):
-        for b in batches:
+        ints, reals = pa.list_(pa.int32()), pa.list_(pa.float32())
+        kinds = [pa.int32(), ints, reals, pa.float64(), ints, reals]
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             out = []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
                 words = counts_of(text)
                 ids, values, length = blank.vector(words)
-                dids, dvalues = [], []
+                change: dict[int, float] = {}
                 if not SWAP.keys().isdisjoint(words):
                     swapped = Counter()
                     for w, c in words.items():
@@ -196,10 +198,7 @@ def fit(labelled: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_F
                     for i, x in zip(other[0], other[1]):
                         change[i] = change.get(i, 0.0) - x
                     change = {i: x for i, x in change.items() if x}
-                    dids, dvalues = list(change), list(change.values())
-                out.append((y, ids, values, length, dids, dvalues))
-            ints, reals = pa.list_(pa.int32()), pa.list_(pa.float32())
-            kinds = [pa.int32(), ints, reals, pa.float64(), ints, reals]
+                out.append((y, ids, values, length, list(change), list(change.values())))
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, k) for c, k in zip(zip(*out), kinds)), b.column("place")],
                 ["y", "ids", "vals", "len", "dids", "dvals", "place"])
