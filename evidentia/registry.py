@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from evidentia.operators import detect, enrich, facts, ingest, lifecycle, resolve
+    from evidentia.operators import detect, enrich, extract, facts, ingest, lifecycle, publish, resolve
 
-    return (ingest, facts, resolve, enrich, detect, lifecycle)
+    return (ingest, facts, extract, resolve, enrich, detect, lifecycle, publish)
 
 
 def queries() -> dict:
