@@ -5,8 +5,9 @@ from __future__ import annotations
 
 def _modules():
     from evidentia.operators import detect, enrich, extract, facts, ingest, lifecycle, publish, resolve
+    from evidentia.streaming import streams
 
-    return (ingest, facts, extract, resolve, enrich, detect, lifecycle, publish)
+    return (ingest, facts, extract, resolve, enrich, detect, lifecycle, publish, streams)
 
 
 def queries() -> dict:
