@@ -175,7 +175,7 @@ QUERIES = {
     "j3_stream_fact_sink": j3_stream_fact_sink,
     "j4_stream_source_health": j4_stream_source_health,
     "j4_run_sessions": j4_run_sessions,
-    "j5_stream_staleness": lambda spark, sf_dir: run_to_end(stream_staleness(_observed(spark, sf_dir))),
+    "j5_stream_staleness": lambda spark, sf_dir: run_to_end(stream_staleness(_observed(spark, sf_dir).withColumn("source_id", F.concat_ws("/", "source_id", "url")), days=1)),
 }
 ORACLE = {k: with_views(q) for k, q in {
     "j1_stream_content_changes": f"""WITH c AS (SELECT *, lag(sha256) OVER (PARTITION BY document_id ORDER BY retrieved_at, observation_id) AS old FROM ({_SNAP}))
@@ -183,6 +183,8 @@ ORACLE = {k: with_views(q) for k, q in {
     "j2_stream_observation_dedupe": "SELECT observation_id, source_id, retrieved_at FROM {observations}",
     "j3_stream_fact_sink": "SELECT 'D' || user_id AS document_id, event_type AS snapshot_id, substring(props, 1, 10) AS value_text, max('m' || event_id) AS metadata FROM events GROUP BY ALL",
     "j4_stream_source_health": "SELECT source_id, date_trunc('day', started_at)::TIMESTAMP AS day, count(*) AS runs, count(*) FILTER (status <> 'success') AS failures, sum(record_count)::BIGINT AS records FROM {runs} GROUP BY 1, 2",
+    "j5_stream_staleness": """SELECT source_id || '/' || url AS source_id, max(retrieved_at) AS last_seen, max(retrieved_at) + INTERVAL 1 DAY AS stale_at FROM {observations} GROUP BY 1
+      HAVING date_trunc('millisecond', max(retrieved_at)) + INTERVAL 2 DAY < (SELECT max(retrieved_at) FROM {observations})""",
     "j4_run_sessions": """WITH g AS (SELECT source_id, started_at, CASE WHEN started_at < lag(started_at) OVER (PARTITION BY source_id ORDER BY started_at) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM {runs}),
       s AS (SELECT *, sum(n) OVER (PARTITION BY source_id ORDER BY started_at ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT source_id, min(started_at) AS started, count(*) AS runs FROM s GROUP BY source_id, k""",
 }.items()}
