@@ -87,25 +87,25 @@ def run_sessions(runs: DataFrame, gap: str = "6 hours", delay: str = "1 day") ->
 
 def stream_staleness(obs: DataFrame, days: int = 35, delay: str = "1 day") -> DataFrame:
     """(source_id, last_seen, stale_at) when event time passes the last observation by ``days``."""
-    span = days * 86_400_000
+    span = days * 86_400_000_000  # microseconds, as the state
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["source_id", "last_seen", "stale_at"]
         if state.hasTimedOut:
-            last = pd.Timestamp(state.get[0], unit="ms")
+            last = pd.Timestamp(state.get[0], unit="us")
             state.remove()
-            yield pd.DataFrame([(key[0], last, last + pd.Timedelta(milliseconds=span))], columns=columns)
+            yield pd.DataFrame([(key[0], last, last + pd.Timedelta(microseconds=span))], columns=columns)
             return
-        newest = max(int(f["retrieved_at"].max().timestamp() * 1000) for f in frames)
+        newest = max(pd.Timestamp(f["retrieved_at"].max()).value // 1000 for f in frames)
         if state.exists:
             newest = max(newest, state.get[0])
         state.update((newest,))
-        state.setTimeoutTimestamp(max(newest + span, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((newest + span) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([], columns=columns)
 
     rows = obs.withWatermark("retrieved_at", delay).select("source_id", "retrieved_at")
     return rows.groupBy("source_id").applyInPandasWithState(
-        step, "source_id string, last_seen timestamp, stale_at timestamp", "last_ms long", "append", GroupStateTimeout.EventTimeTimeout
+        step, "source_id string, last_seen timestamp, stale_at timestamp", "last_us long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
