@@ -526,6 +526,11 @@ ORACLE = {k: with_views(q) for k, q in {
       UNION ALL SELECT ocid, award_id, 'ENDS_ON', '2021-01-01', 'tender' FROM a WHERE NOT own""",
     "c10_unflatten_release_csv": "SELECT n_nationkey::VARCHAR AS id, n_name AS buyer_name, '2024' AS date FROM nation WHERE n_nationkey = 0 UNION ALL SELECT (n_nationkey + 1)::VARCHAR, lower(n_name), '2025' FROM nation",
     "c11_filter_buyers": "SELECT 'ocds-' || o_orderkey AS ocid FROM orders WHERE contains(lower(o_orderpriority), 'urgent') OR contains(lower(o_orderpriority), 'low')",
+    "c12_extract_links": r"""WITH h AS (SELECT page_id, url, regexp_replace(trim(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1))), '#.*$', '') AS href FROM pages),
+      p AS (SELECT *, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS root, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS folder FROM h WHERE href <> ''),
+      l AS (SELECT page_id, url, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z]+):', 1) || ':' || href
+        WHEN starts_with(href, '/') THEN root || href ELSE folder || href END AS link FROM p)
+      SELECT DISTINCT page_id, url, link FROM l WHERE regexp_matches(link, '^https?://')""",
     "c14_extract_grants": "SELECT c_custkey AS page_id, c_name AS recipient, c_mktsegment AS purpose, CAST('1' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS DECIMAL(18,2)) AS amount FROM customer WHERE c_custkey % 2 = 0",
     "c15_extract_case_listings": """SELECT c_custkey AS page_id, '23 001 ' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS case_no, c_mktsegment || ' Council' AS title, 'Upheld' AS decision, 'Housing' AS category, DATE '2024-01-05' AS decided, 'About ' || c_name AS summary FROM customer
       UNION ALL SELECT c_custkey, '24 002 ' || lpad((c_custkey % 1000)::VARCHAR, 3, '0'), 'B', NULL, NULL, NULL, 'two' FROM customer""",

@@ -361,10 +361,18 @@ _NAME_EXACT = _sql_pairs("SELECT * FROM al WHERE length(normalized_alias) >= 5",
                          "CASE WHEN contains(a.normalized_alias, ' ') OR length(a.normalized_alias) >= 10 THEN 0.97 ELSE 0.93 END",
                          "CASE WHEN contains(a.normalized_alias, ' ') OR length(a.normalized_alias) >= 10 THEN 'auto_accepted' ELSE 'review' END")
 _COMPONENTS = " UNION ALL ".join(f"SELECT left_id, right_id FROM ({q})" for q in _SURE.values())
-_REACH = f""", ed AS MATERIALIZED (SELECT DISTINCT left_id AS u, right_id AS v FROM ({_COMPONENTS})), both_ AS MATERIALIZED (SELECT u, v FROM ed UNION SELECT v, u FROM ed),
+_REACH = f""", ed AS MATERIALIZED (SELECT DISTINCT left_id AS u, right_id AS v FROM ({_COMPONENTS} {{more}})), both_ AS MATERIALIZED (SELECT u, v FROM ed UNION SELECT v, u FROM ed),
  reach AS (SELECT entity_id AS id, entity_id AS r FROM e UNION SELECT reach.id, both_.v FROM reach JOIN both_ ON both_.u = reach.r),
  comp AS (SELECT id AS entity_id, min(r) AS component FROM reach GROUP BY 1)"""
+_MORE = " UNION ALL ".join(f"SELECT left_id, right_id FROM ({q}) WHERE status = 'auto_accepted'" for q in (
+    _NAME_EXACT, _sql_pairs(_sql_block("20", "2"), _EDIT, "near_typo", "0.995")))
+_REACH, _REACH_ALL = _REACH.replace("{more}", ""), _REACH.replace("{more}", "UNION ALL " + _MORE)
 _RANK = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in text.TYPE_RANK.items()) + " ELSE 0 END"
+_BEST = f""", s AS (SELECT e.entity_id, component, ((entity_type = 'COUNCIL')::INT, count(*) OVER (PARTITION BY component, org_key), (e.entity_id IN (SELECT entity_id FROM ids))::INT,
+        (source_system = 'contracts finder')::INT, (channel IS NULL)::INT, {_RANK}, least(length(org_key), 120)) AS score FROM e JOIN comp USING (entity_id)),
+      t AS (SELECT *, max(score) OVER (PARTITION BY component) AS top, count(*) OVER (PARTITION BY component) AS n FROM s),
+      c AS (SELECT component, min(entity_id) AS canonical_id, max(n) AS n FROM t WHERE score = top GROUP BY 1)
+      SELECT entity_id, canonical_id, CASE WHEN n > 1 THEN 'accepted_entity_matches:quality_preferred' ELSE 'identity' END AS decision FROM comp JOIN c USING (component)"""
 ORACLE = {k: with_views(q) for k, q in {
     "d_standardise_names": _N + "SELECT * EXCLUDE (raw_type) FROM e",
     "d_name_quality_profile": _N + "SELECT entity_type, plausible, payee_class, channel, count(*) AS n FROM e GROUP BY ALL",
@@ -378,11 +386,8 @@ ORACLE = {k: with_views(q) for k, q in {
       SELECT d.match_id, d.left_id, d.right_id, d.match_method, coalesce(n.confidence, d.confidence) AS confidence,
       CASE WHEN d.status IN ('accepted', 'rejected') THEN d.status ELSE coalesce(n.status, d.status) END AS status FROM d LEFT JOIN n USING (match_id)""",
     "e12_connected_components": _N + _REACH + " SELECT * FROM comp",
-    "e13_quality_representative": _N + _REACH + f""", s AS (SELECT e.entity_id, component, ((entity_type = 'COUNCIL')::INT, count(*) OVER (PARTITION BY component, org_key), (e.entity_id IN (SELECT entity_id FROM ids))::INT,
-        (source_system = 'contracts finder')::INT, (channel IS NULL)::INT, {_RANK}, least(length(org_key), 120)) AS score FROM e JOIN comp USING (entity_id)),
-      t AS (SELECT *, max(score) OVER (PARTITION BY component) AS top, count(*) OVER (PARTITION BY component) AS n FROM s),
-      c AS (SELECT component, min(entity_id) AS canonical_id, max(n) AS n FROM t WHERE score = top GROUP BY 1)
-      SELECT entity_id, canonical_id, CASE WHEN n > 1 THEN 'accepted_entity_matches:quality_preferred' ELSE 'identity' END AS decision FROM comp JOIN c USING (component)""",
+    "e13_quality_representative": _N + _REACH + _BEST,
+    "e16_resolve_entities": _N + _REACH_ALL + _BEST,
     "e14_close_resolved_reviews": _N + _REACH + """, v AS (SELECT 'v' || entity_id AS review_id, CASE WHEN right(entity_id, 1) < '7' THEN 'ENTITY_MATCH' ELSE 'SIGNAL_REVIEW' END AS item_type,
         CASE WHEN right(entity_id, 1) < '5' THEN 'open' ELSE 'approved' END AS status, entity_id AS subject_id, substring(entity_id, 1, 8) || '0' AS object_id FROM e)
       SELECT review_id, item_type, CASE WHEN item_type = 'ENTITY_MATCH' AND status = 'open' AND a.component = b.component THEN 'resolved' ELSE status END AS status, subject_id, object_id
