@@ -97,6 +97,7 @@ class Trees:
     keys: list[np.ndarray]
     bits: list[np.ndarray]
     escapes: list[np.ndarray]
+    first_escape: np.ndarray  # of the empty context
 
     @staticmethod
     def build(languages: list[str], counts: list[list[tuple[np.ndarray, np.ndarray]]]) -> "Trees":
@@ -105,6 +106,7 @@ class Trees:
         keys = [np.unique(np.concatenate([c[n][0] for c in counts])) for n in range(ORDER + 1)]
         bits = [np.zeros((len(k), size), np.float32) for k in keys]
         escapes = [np.zeros((len(k), size), np.float32) for k in keys]
+        first_escape = np.zeros(size, np.float32)
         for n in range(ORDER + 1):
             for j, own in enumerate(counts):
                 k, c = own[n]
@@ -123,19 +125,24 @@ class Trees:
                     escape = -np.log2(kinds / (total + kinds))
                     value = value + np.where(seen, escape[at], 0)
                     value[np.searchsorted(keys[n], k)] = -np.log2(c / (total[inverse] + kinds[inverse]))
-                    if n:
+                    if n == 0:
+                        first_escape[j] = escape[0]
+                    else:
                         rows = np.searchsorted(keys[n - 1], contexts)
                         rows = np.minimum(rows, len(keys[n - 1]) - 1)
                         real = keys[n - 1][rows] == contexts
                         escapes[n - 1][rows[real], j] = escape[real]
                 bits[n][:, j] = value
-        return Trees(languages, keys, bits, escapes)
+        return Trees(languages, keys, bits, escapes, first_escape)
 
 
 class Scorer:
     def __init__(self, trees: Trees):
         self.trees, self.size = trees, len(trees.languages)
         self.rows = [Lookup(k) for k in trees.keys]
+        none = np.zeros((1, self.size), np.float32)  # row -1: strings that are not there
+        self.bits = [np.vstack([b, none]) for b in trees.bits]
+        self.escapes = [np.vstack([e, none]) for e in trees.escapes]
 
     def code_lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
@@ -151,23 +158,21 @@ class Scorer:
         return out
 
     def _costs(self, padded: np.ndarray) -> np.ndarray:
-        t = self.trees
         key = grams(padded, ORDER + 1)
         row = self.rows[ORDER].find(key)
-        cost = t.bits[ORDER][row]
+        cost = self.bits[ORDER][row]
         todo = np.flatnonzero(row < 0)
         extra = np.zeros((len(todo), self.size), np.float32)
         for n in range(ORDER, 0, -1):
             if not len(todo):
                 return cost
-            context = self.rows[n - 1].find((key[todo] >> np.uint64(8)) & np.uint64((1 << (8 * n)) - 1))
-            extra += np.where(context[:, None] >= 0, t.escapes[n - 1][context], 0)
-            row = self.rows[n - 1].find(key[todo] & np.uint64((1 << (8 * n)) - 1))
+            short = np.uint64((1 << (8 * n)) - 1)
+            extra += self.escapes[n - 1][self.rows[n - 1].find((key[todo] >> np.uint64(8)) & short)]
+            row = self.rows[n - 1].find(key[todo] & short)
             hit = row >= 0
-            cost[todo[hit]] = t.bits[n - 1][row[hit]] + extra[hit]
+            cost[todo[hit]] = self.bits[n - 1][row[hit]] + extra[hit]
             todo, extra = todo[~hit], extra[~hit]
-        # no order has the byte: the escape of the empty context is part of neither table
-        cost[todo] = 8.0 + extra
+        cost[todo] = 8.0 + self.trees.first_escape + extra  # bytes that no order has
         return cost
 
 
