@@ -37,9 +37,9 @@ from .common import let, table
 
 LONG = 600
 #: Cells of a block: of the fingerprint, of a group's sketch, and of its last retry.
-BASE, WIDE, LAST = 8, 8, 64
+BASE, WIDE, LAST = 8, 16, 128
 #: Digests of a group, on average.
-GROUP = 4
+GROUP = 8
 #: Rounds of peeling; a sketch that needs more counts as failed and is retried.
 ROUNDS = 16
 #: Id ranges of ``with_next``: about this many rows each, and at most so many, as one row a
@@ -78,12 +78,14 @@ def check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _slot(key: Column, block: int, width: int) -> Column:
-    return F.shiftrightunsigned(key, 8 * block).bitwiseAND(F.lit(width - 1))
+def _entry(sign: Column, key: Column, check_: Column, width: int) -> Column:
+    """A digest with its sign, its check and its cell in each block."""
+    slot = lambda b: F.shiftrightunsigned(key, 8 * b).bitwiseAND(F.lit(width - 1))
+    return F.struct(sign.alias("s"), key.alias("k"), check_.alias("c"), *(slot(b).alias(f"p{b}") for b in range(3)))
 
 
 def _cells(entries: Column, width: int, start) -> Column:
-    """Cells of three blocks; ``entries`` are (s, k, c), ``start`` gives a cell's first value by number."""
+    """Cells of three blocks; ``start`` gives a cell's first value by number."""
 
     def add(acc: Column, e: Column) -> Column:
         return F.struct(
@@ -94,7 +96,7 @@ def _cells(entries: Column, width: int, start) -> Column:
         return F.transform(
             F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")),
             lambda j: F.aggregate(
-                entries, start(j + b * width), lambda acc, e: F.when(_slot(e["k"], b, width) == j, add(acc, e)).otherwise(acc)
+                F.filter(entries, lambda e: e[f"p{b}"] == j), start(j + b * width), add
             ),
         )
 
@@ -107,7 +109,7 @@ def _zero(_=None) -> Column:
 
 
 def sketch(keys: Column, width: int) -> Column:
-    entries = F.transform(keys, lambda k: F.struct(F.lit(1).cast("long").alias("s"), k.alias("k"), check(k).alias("c")))
+    entries = F.transform(keys, lambda k: _entry(F.lit(1).cast("long"), k, check(k), width))
     return let(entries, lambda e: _cells(e, width, _zero))
 
 
@@ -128,7 +130,7 @@ def peel(cells: Column, width: int) -> Column:
         pure = F.array_distinct(F.transform(alone, lambda x: F.struct(x["n"].alias("s"), x["k"].alias("k"), x["c"].alias("c"))))
 
         def taken(p: Column) -> Column:
-            out = F.transform(p, lambda e: F.struct((-e["s"]).alias("s"), e["k"].alias("k"), e["c"].alias("c")))
+            out = F.transform(p, lambda e: _entry(-e["s"], e["k"], e["c"], width))
             left = let(out, lambda o: _cells(o, width, lambda j: F.get(acc["cells"], j.cast("int"))))
             return F.struct(left.alias("cells"), F.concat(acc["out"], p).alias("out"), (F.size(p) > 0).alias("go"))
 
