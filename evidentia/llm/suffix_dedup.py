@@ -8,9 +8,9 @@ brought together; neighbouring windows with the same minimizer go as one segment
 1. Every task hashes its texts, takes the minimizers of each document (once each), and sends
    48 bits of them to their bucket.  A bucket marks those that more than one document has in
    a filter of fixed size.
-2. Segments of marked minimizers are sent, sorted by minimizer, bytes and document.  In this
-   order the first of equal segments has the least document; all later ones are covered whole
-   if their document is larger.
+2. Segments of marked minimizers are packed, compressed, by bucket and sent there.  A bucket
+   puts them in order by minimizer, bytes and document: the first of equal segments has the
+   least document, and all later ones are covered whole if their document is larger.
 3. The different segments of a minimizer are searched together in blocks.  A block's suffixes
    are put in order by their first ``length`` bytes, which gives the Burrows-Wheeler transform
    and its last-to-first mapping.  Intervals are then expanded breadth first by backward
@@ -20,9 +20,9 @@ brought together; neighbouring windows with the same minimizer go as one segment
    each, windows of documents after the least one are covered.
 4. Covered stretches are joined to their documents, merged and cut out.
 
-A block that has more than BLOCK bytes of one minimizer is searched in pieces of that size;
-its windows are compared between pieces by their digests.  Memory is bounded by the block and,
-for that one minimizer, by its different segments.
+A minimizer with more than BLOCK bytes of different segments is searched by the digests of its
+windows instead.  Memory is bounded by a bucket, whose number grows with the shuffle
+partitions; the copies of one segment weigh about 30 bytes each there.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; of equal
 documents all but the one with the least id lose everything (if long enough), and those with
@@ -49,6 +49,7 @@ FILTER_BITS = 27
 BLOCK = 1 << 20
 _CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B185EBCA87)
+_CODEC = pa.Codec("zstd", 3)
 
 
 def rolling_hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -87,8 +88,9 @@ def minimizers(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.nd
     return hashes, (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def segments_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
-    """(hash, text, first window, last window) of all segments; windows do not cross texts."""
+def segments_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, places: bool = False):
+    """(hash, text, first window, last window) of all segments, and with ``places`` where the
+    minimizer stands; windows do not cross texts."""
     out = []
     for a, b, at in _chunks(offsets, length):
         hashes, place = minimizers(raw[a:b], length)
@@ -102,11 +104,11 @@ def segments_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
         cut[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(window)) - 1
-        out.append((hashes[place[first]], text[first], window[first], window[last]))
+        out.append((hashes[place[first]], text[first], window[first], window[last], place[first] + a))
     if not out:
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out))
+        return (none.view(np.uint64), none, none, none, none)[: 4 + places]
+    return tuple(np.concatenate(x) for x in zip(*out))[: 4 + places]
 
 
 def _chunks(offsets: np.ndarray, length: int):
@@ -181,65 +183,89 @@ def covered_windows(pieces: list[bytes], docs: np.ndarray, length: int):
     return owner[later], within[later]
 
 
-class Search:
-    """Takes segments in the order (hash, bytes, doc) and yields covered stretches (doc, start, end)."""
-
-    def __init__(self, length: int, block: int):
-        self.length, self.block = length, block
-        self.groups: list[list[tuple]] = []  # finished groups of the block: (doc, start, bytes)
-        self.size = 0
-        self.found: list[tuple[int, int, int]] = []
-
-    def stretch(self, doc: int, start: int, windows: np.ndarray) -> None:
-        """Stretches covered by some sorted windows of a segment."""
-        if not len(windows):
-            return
-        cut = np.flatnonzero(np.diff(windows) > self.length)
-        for a, b in zip(np.append(0, cut + 1), np.append(cut, len(windows) - 1)):
-            self.found.append((doc, start + int(windows[a]), start + int(windows[b]) + self.length))
-
-    def group(self, members: list[tuple]) -> None:
-        """The distinct segments of one minimizer with their least documents."""
-        if len(members) < 2:
-            return
-        size = sum(len(m[2]) + 1 for m in members)
-        if size > self.block:
-            self.large(members)
-            return
-        if self.size + size > self.block:
-            self.search()
-        self.groups.append(members)
-        self.size += size
-
-    def search(self) -> None:
-        members = [m for g in self.groups for m in g]
-        self.groups, self.size = [], 0
-        if members:
-            self.mark(members, *covered_windows([m[2] for m in members], np.array([m[0] for m in members]), self.length))
-
-    def mark(self, members, owner, within) -> None:
-        order = np.lexsort((within, owner))
-        owner, within = owner[order], within[order]
-        cuts = np.append(0, np.flatnonzero(np.diff(owner)) + 1) if len(owner) else []
-        for a, b in zip(cuts, np.append(cuts[1:], len(owner)) if len(owner) else []):
-            doc, start, _ = members[owner[a]]
-            self.stretch(doc, start, within[a:b])
-
-    def large(self, members: list[tuple]) -> None:
-        """More than a block of segments of one minimizer: windows meet by digest."""
-        rows = [
-            (hashlib.blake2b(m[2][w : w + self.length], digest_size=16).digest(), m[0], i, w)
-            for i, m in enumerate(members) for w in range(len(m[2]) - self.length + 1)
-        ]
-        least: dict[bytes, int] = {}
-        for d, doc, _, _ in rows:
-            least[d] = min(doc, least.get(d, doc))
-        hits = [(i, w) for d, doc, i, w in rows if doc > least[d]]
-        self.mark(members, np.array([h[0] for h in hits], np.int64), np.array([h[1] for h in hits], np.int64))
-
-    def take(self) -> list[tuple[int, int, int]]:
-        found, self.found = self.found, []
-        return found
+def stretches(docs: np.ndarray, starts: np.ndarray, owner: np.ndarray, within: np.ndarray, length: int) -> list[np.ndarray]:
+    """doc, start and end of the stretches that covered windows (owner, within) of segments make."""
+    if not len(owner):
+        return [owner, owner, owner]
+    order = np.lexsort((within, owner))
+    owner, within = owner[order], within[order]
+    cut = np.ones(len(owner), bool)
+    cut[1:] = (owner[1:] != owner[:-1]) | (within[1:] > within[:-1] + length)
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(owner)) - 1
+    own = owner[first]
+    return [docs[own], starts[own] + within[first], starts[own] + within[last] + length]
+
+
+def windows_by_digest(pieces: list[bytes], docs: np.ndarray, length: int):
+    """What ``covered_windows`` gives, by a table of digests, for more segments than a block holds."""
+    least: dict[bytes, int] = {}
+    digest = lambda m, w: hashlib.blake2b(m[w : w + length], digest_size=16).digest()
+    for m, d in zip(pieces, docs.tolist()):
+        for w in range(len(m) - length + 1):
+            k = digest(m, w)
+            least[k] = min(d, least.get(k, d))
+    hits = [(i, w) for i, (m, d) in enumerate(zip(pieces, docs.tolist())) for w in range(len(m) - length + 1) if d > least[digest(m, w)]]
+    return np.array([h[0] for h in hits], np.int64), np.array([h[1] for h in hits], np.int64)
+
+
+def pack_segments(docs, starts, sizes, anchors, data: bytes) -> bytes:
+    """Segments of one bucket, in order of document and start, compressed."""
+    head = np.array([len(docs)], np.int64).tobytes()
+    step = np.diff(docs, prepend=0).astype(np.int64).tobytes()
+    return _CODEC.compress(b"".join([head, step, starts.astype(np.int64).tobytes(), sizes.astype(np.uint16).tobytes(), anchors.astype(np.uint16).tobytes(), data]), asbytes=True)
+
+
+def unpack_segments(blob: bytes, size: int):
+    raw = _CODEC.decompress(blob, decompressed_size=size, asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at = 8
+    docs = np.cumsum(np.frombuffer(raw, np.int64, n, at))
+    starts = np.frombuffer(raw, np.int64, n, at + 8 * n)
+    sizes = np.frombuffer(raw, np.uint16, n, at + 16 * n).astype(np.int64)
+    anchors = np.frombuffer(raw, np.uint16, n, at + 18 * n).astype(np.int64)
+    return docs, starts, sizes, anchors, np.frombuffer(raw, np.uint8, offset=at + 20 * n)
+
+
+def search_bucket(parts: list[tuple], length: int, block: int, k: int = K):
+    """Covered stretches (doc, start, end) among the segments of a bucket, as arrays."""
+    docs, starts, sizes, anchors = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    data = np.concatenate([p[4] for p in parts])
+    offsets = np.append(0, np.cumsum(sizes))
+    at = offsets[:-1] + anchors
+    group = np.zeros(len(docs), np.uint64)
+    for j in range(k):
+        group = group * _BASE + data[at + j]
+    group = mix(group)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+    content = mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * mix(place.astype(np.uint64) + np.uint64(99)), offsets[:-1]))
+    order = np.lexsort((starts, docs, content, group))
+    g, c, d = group[order], content[order], docs[order]
+    new_group = np.append(True, g[1:] != g[:-1])
+    new_piece = new_group | np.append(True, c[1:] != c[:-1])
+    first = np.flatnonzero(new_piece)
+    of_first = first[np.cumsum(new_piece) - 1]
+    later = order[d > d[of_first]]
+    yield [docs[later], starts[later], starts[later] + sizes[later]]
+    # of each different segment, the rows of its least document; only groups with several
+    kinds = np.bincount(np.cumsum(new_group) - 1, new_piece)
+    several = (kinds > 1)[np.cumsum(new_group) - 1] & (d == d[of_first])
+    rows, edge = order[several], np.cumsum(new_group)[several]
+    if not len(rows):
+        return
+    weight = np.cumsum(sizes[rows] + 1)
+    whole = data.tobytes()
+    cuts = np.append(np.flatnonzero(np.append(True, edge[1:] != edge[:-1])), len(rows))
+    a = 0
+    while a < len(cuts) - 1:
+        base = weight[cuts[a] - 1] if cuts[a] else 0
+        b = max(a + 1, int(np.searchsorted(weight[cuts[1:] - 1], base + block, "right")))
+        own = rows[cuts[a] : cuts[b]]
+        pieces = [whole[x:y] for x, y in zip(offsets[own].tolist(), offsets[own + 1].tolist())]
+        small = weight[cuts[b] - 1] - base <= block
+        owner, within = (covered_windows if small else windows_by_digest)(pieces, docs[own], length)
+        yield stretches(docs[own], starts[own], owner, within, length)
+        a = b
 
 
 def shared_filter(docs: DataFrame, length: int) -> np.ndarray:
@@ -301,49 +327,61 @@ def covered_stretches(docs: DataFrame, length: int = LENGTH, block: int = BLOCK)
     docs = docs.filter(F.octet_length("text") >= length)
     shared = docs.sparkSession.sparkContext.broadcast(shared_filter(docs, length))
 
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def emit(batches):
         bits = shared.value
+        pending, size = [], 0
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 raw, offsets = text_buffers(part.column("text"))
-                h, text, first, last = segments_of(raw, offsets, length)
+                h, text, first, last, place = segments_of(raw, offsets, length, places=True)
                 spot = h & np.uint64((1 << FILTER_BITS) - 1)
                 keep = (bits[spot >> np.uint64(5)] >> (spot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
-                h, text, first, last = h[keep], text[keep], first[keep], last[keep]
-                whole = raw.tobytes()
-                doc = part.column("doc_id").to_numpy()[text]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(doc), pa.array(first - offsets[text]),
-                     pa.array([whole[a:z] for a, z in zip(first.tolist(), (last + length).tolist())], pa.binary())],
-                    ["h", "doc_id", "start", "bytes"],
-                )
+                h, text, first, last, place = h[keep], text[keep], first[keep], last[keep], place[keep]
+                sizes = last + length - first
+                offs = np.append(0, np.cumsum(sizes))
+                data = raw[np.arange(offs[-1]) + np.repeat(first - offs[:-1], sizes)]
+                bucket = ((h >> np.uint64(30)) % np.uint64(buckets)).astype(np.int64)
+                pending.append([bucket, part.column("doc_id").to_numpy()[text], first - offsets[text], sizes, place - first, data])
+                size += len(data)
+                if size > 24_000_000:
+                    yield flush(pending)
+                    pending, size = [], 0
+        if pending:
+            yield flush(pending)
+
+    def flush(pending):
+        bucket, doc, start, sizes, anchor, data = (np.concatenate([p[i] for p in pending]) for i in range(6))
+        order = np.lexsort((start, doc, bucket))
+        offs = np.append(0, np.cumsum(sizes))
+        bucket, doc, start, anchor = bucket[order], doc[order], start[order], anchor[order]
+        new = sizes[order]
+        put = np.append(0, np.cumsum(new))
+        data = data[np.arange(put[-1]) + np.repeat(offs[:-1][order] - put[:-1], new)]
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        blobs, lengths = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            blobs.append(pack_segments(doc[a:b], start[a:b], new[a:b], anchor[a:b], data[put[a] : put[b]].tobytes()))
+            lengths.append(8 + 20 * int(b - a) + int(put[b] - put[a]))
+        return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "size", "blob"])
 
     def search(batches):
-        work, names = Search(length, block), ["doc_id", "start", "end"]
-        last, piece, least, members = None, None, None, []
+        def out(parts):
+            for found in search_bucket(parts, length, block) if sum(len(p[0]) for p in parts) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["doc_id", "start", "end"])
+
+        last, parts = None, []
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("h", "bytes", "doc_id", "start")))
-            for h, data, doc, start in rows:
-                if h != last:
-                    work.group(members)
-                    last, piece, members = h, None, []
-                if data != piece:
-                    piece, least = data, doc
-                    members.append((doc, start, data))
-                elif doc > least:
-                    work.found.append((doc, start, start + len(data)))
-                else:  # again in the same document: it shares the fate of the first
-                    members.append((doc, start, data))
-            if len(work.found) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*work.take())], names)
-        work.group(members)
-        work.search()
-        if found := work.take():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
-
-    segments = docs.mapInArrow(emit, "h long, doc_id long, start long, bytes binary")
-    met = segments.repartition("h").sortWithinPartitions("h", "bytes", "doc_id")
+            for k, size, blob in zip(b.column("bucket").to_pylist(), b.column("size").to_pylist(), b.column("blob")):
+                if k != last:
+                    yield from out(parts)
+                    last, parts = k, []
+                parts.append(unpack_segments(blob.as_buffer(), size))
+        yield from out(parts)
+
+    met = docs.mapInArrow(emit, "bucket int, size long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
     return met.mapInArrow(search, "doc_id long, start long, end long")
 
 
