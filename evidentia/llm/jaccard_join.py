@@ -1,22 +1,30 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set holds the 64-bit hashes of its distinct word n-grams.  For a size band with
-sets of at most ``hi`` hashes, two sets of Jaccard similarity t or more differ in at most
-D = floor((1 - t) / (1 + t) * 2 hi) hashes.  The hashes are dealt to P > D parts by some of
-their bits, and each part is XOR-ed into one 64-bit word: the parity sketch.  A hash in just
-one of two sets changes one word, so the number of unequal words is at most the symmetric
-difference, and two sets within D share P - D words at least.  Words are join keys (the
-pigeonhole).  Empty parts are no evidence: P has SPARE parts more than D + 1, so that a set
-with at most that many empty parts shares a word that is not empty; a set with more of them
-uses its empty parts as keys as well.  Bands have the ratio t, and a set goes to its own band
-and to the next, so that each pair within the size ratio meets in the larger one's band.
-
-Equal sets are one class; sketches, candidates and links are between classes.  A key's
-classes (a run) of at most SMALL members give all their pairs.  A larger run gives the pairs
-of its least member with the others; when the links found so far have been joined to
-components, only pairs of such a run that lie in different components are verified as well.
-So no link between components is lost, while large groups of copies stay linear.  Candidates are
-verified by their exact sets, which only classes that are in a candidate pair send.
+A document's set holds the 64-bit hashes of its distinct word n-grams.  Hashes that a share of
+1 / COMMON of the documents have are common, all others rare; the list of common ones is
+bounded by COMMON times the mean set, whatever the input.
+
+For a size band with sets of at most ``hi`` hashes, two sets of Jaccard similarity t or more
+differ in at most D = floor((1 - t) / (1 + t) * 2 hi) hashes.  The rare hashes are dealt to
+P > D parts by some of their bits, and each part is XOR-ed into one 64-bit word: the parity
+sketch.  A hash in just one of two sets changes one word, so the number of unequal words is at
+most the symmetric difference, and two sets within D share P - D words at least.  Words are
+join keys (the pigeonhole).  Empty parts are no evidence: P has ``spare`` parts more than
+D + 1, so that a set with at most that many empty parts shares a word that is not empty.  Sets
+with more of them (most of their hashes are common ones) have further keys: the first
+n - ceil(t n) + 1 of their hashes, rare ones first, of which two similar sets share one.  There
+the place of the shared hash bounds the overlap, which rules out most pairs of such a key.
+Bands have the ratio t, and a set goes to its own band and to the next, so that each pair
+within the size ratio meets in the larger one's band.
+
+Equal sets are one class; sketches, candidates and links are between classes.  A class's
+number begins with its share of rare hashes, so the least member of a group of near copies is
+one that most of them are close to.  A key's classes (a run) of at most SMALL members give all
+their pairs.  A larger run gives the pairs of its least member with the others; when the links
+found so far have been joined to components, pairs of such a run that lie in different
+components are verified as well.  So no link between components is lost, while large groups of
+copies stay linear.  Candidates are verified by their exact sets, which only classes that are
+in a candidate pair send.
 
 Defined results: null, empty and blank texts have no set, size 0 and are their own component;
 texts with fewer words than n have their whole sequence as the only n-gram; rows stand one
@@ -40,7 +48,9 @@ from evidentia.operators.components import connected_components
 from .common import lower_ascii, table, text_buffers, through_files
 
 NGRAM, THRESHOLD = 4, Fraction(85, 100)
-SMALL = 8
+SMALL = 5
+#: A hash is common from this share of the documents on (and from COMMON_LEAST documents).
+COMMON, COMMON_LEAST = 10_000, 20
 #: Bits of the filter of classes in candidate pairs: its size does not grow with the input.
 FILTER_BITS = 24
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -84,7 +94,7 @@ def sets_of(texts: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     rolled = np.zeros(len(words), np.uint64)
     for k in range(n):  # texts with fewer than n words are padded with nothing
         part = np.zeros(len(words), np.uint64)
-        part[: len(words) - k] = words[k:]
+        part[: max(0, len(words) - k)] = words[k:]
         rolled = rolled * _PRIME + part
     grams = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
     owner = np.repeat(np.arange(len(count)), grams)
@@ -106,12 +116,16 @@ def sets_of(texts: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     return hashes[keep], np.append(0, np.cumsum(sizes))
 
 
-def classes_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One number for each set, equal for equal sets."""
+def classes_of(hashes: np.ndarray, offsets: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """One number for each set, equal for equal sets: 4 bits of its share of rare hashes, 59 of a hash."""
     if not len(hashes):
         return np.zeros(len(offsets) - 1, np.int64)
     total = np.append(np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-    return mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * _PRIME).view(np.int64)
+    size = np.diff(offsets)
+    own = mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(np.uint64) * _PRIME) >> np.uint64(5)
+    count = np.diff(np.append(0, np.cumsum(rare))[offsets])
+    share = np.minimum(15, np.floor(16 * np.sqrt(count / np.maximum(size, 1)))).astype(np.uint64)
+    return ((share << np.uint64(59)) | own).view(np.int64)
 
 
 class Bands:
@@ -138,60 +152,112 @@ class Bands:
         return d + 1 + spare, spare
 
 
-def sketch_keys(hashes: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of all sets and the number of the set that each belongs to."""
+def sketch_keys(hashes: np.ndarray, offsets: np.ndarray, rare: np.ndarray, bands: Bands):
+    """Join keys of all sets, the number of the set that each belongs to, and which sets are too sparse."""
     sizes = np.diff(offsets)
-    keys, owners = [], []
+    rare_offsets = np.append(0, np.cumsum(rare))[offsets]
+    hashes, count = hashes[rare], np.diff(rare_offsets)
+    keys, owners, sparse = [], [], np.zeros(len(sizes), bool)
     home = bands.of(np.maximum(sizes, 1))
     for band in np.unique(np.concatenate([home, home + 1])):
         if bands.allowed(band) == 0:
             continue  # only equal sets
         chosen = np.flatnonzero(((home == band) | (home == band - 1)) & (sizes > 0))
-        if not len(chosen):
-            continue
         p, spare = bands.parts(band)
-        rows = np.repeat(chosen, sizes[chosen])
-        at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen]) + offsets[rows]
+        own = count[chosen]
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(rare_offsets[:-1][chosen], own)
         h = hashes[at]
-        local = np.repeat(np.arange(len(chosen)), sizes[chosen])
-        slot = local * p + ((h >> np.uint64(11)) % np.uint64(p)).astype(np.int64)
+        slot = np.repeat(np.arange(len(chosen)), own) * p + ((h >> np.uint64(11)) % np.uint64(p)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         slot = slot[order]
-        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-        words = np.bitwise_xor.reduceat(mix(h[order]), first)
+        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
         filled = slot[first]
-        full = np.bincount(filled // p, minlength=len(chosen))
-        sparse = np.flatnonzero(p - full > spare)
-        if len(sparse):  # these need their empty parts as keys
-            every = (sparse[:, None] * p + np.arange(p)).ravel()
-            empty = np.setdiff1d(every, filled, assume_unique=True)
-            filled, words = np.append(filled, empty), np.append(words, np.zeros(len(empty), np.uint64))
-        tag = (filled % p).astype(np.uint64) + np.uint64(int(band) << 32)
-        keys.append(mix(words ^ mix(tag + np.uint64(1))))
-        owners.append(chosen[filled // p])
+        sparse[chosen[p - np.bincount(filled // p, minlength=len(chosen)) > spare]] = True
+        if len(first):
+            words = np.bitwise_xor.reduceat(mix(h[order]), first)
+            tag = (filled % p).astype(np.uint64) + np.uint64(int(band) << 32)
+            keys.append(mix(words ^ mix(tag + np.uint64(1))))
+            owners.append(chosen[filled // p])
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), sparse
+    return np.concatenate(keys), np.concatenate(owners), sparse
+
+
+def leading_keys(hashes: np.ndarray, offsets: np.ndarray, rare: np.ndarray, chosen: np.ndarray, threshold: Fraction):
+    """Keys of the first hashes of some sets, rare ones first: (key, set, place)."""
+    keys, owners, places = [], [], []
+    for i in chosen.tolist():
+        a, b = offsets[i], offsets[i + 1]
+        n = int(b - a)
+        length = n + 1 + (-n * threshold.numerator // threshold.denominator)
+        order = np.lexsort((hashes[a:b], ~rare[a:b]))[:length]
+        keys.append(mix(hashes[a:b][order] ^ np.uint64(0x2545F4914F6CDD1D)))
+        owners.append(np.full(length, i))
+        places.append(np.arange(length))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
 
 
 _SUB = 512
 
 
-def _parts_of(batches, ngram):
-    """Sub-batches with their ids, sets and classes."""
+def is_rare(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common) or not len(hashes):
+        return np.ones(len(hashes), bool)
+    return common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes
+
+
+def _parts_of(batches, ngram, common):
+    """Sub-batches with their ids, sets, flags of rare hashes and classes."""
     for b in batches:
         for at in range(0, b.num_rows, _SUB):
             part = b.slice(at, _SUB)
             hashes, offsets = sets_of(part.column("text"), ngram)
-            yield part, hashes, offsets, classes_of(hashes, offsets)
+            rare = is_rare(hashes, common)
+            yield part, hashes, offsets, rare, classes_of(hashes, offsets, rare)
+
+
+def common_hashes(docs: DataFrame, ngram: int) -> np.ndarray:
+    """Sorted hashes that a share of 1 / COMMON of all documents have.
+
+    Each stretch of a partition reports those with the share in it, as a hash with the share
+    overall has it in some stretch; the reports are added up.  The list only sets the order
+    and the parts of hashes: results are the same with any list.
+    """
+
+    def report(batches):
+        pending, size, n = [], 0, 0
+
+        def flush():
+            hashes, count = np.unique(np.concatenate(pending), return_counts=True)
+            keep = count >= max(3, n / COMMON)
+            return pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(count[keep])], ["h", "c"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, _SUB):
+                hashes, offsets = sets_of(b.column("text").slice(at, _SUB), ngram)
+                pending.append(hashes)
+                size += len(hashes)
+                n += len(offsets) - 1
+                if size > 4_000_000:
+                    yield flush()
+                    pending, size, n = [], 0, 0
+        if pending:
+            yield flush()
+
+    found = _lowered(docs).mapInArrow(report, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    least = max(COMMON_LEAST, docs.count() // COMMON)
+    got = found.filter(F.col("c") >= least).select("h").toArrow()
+    return np.sort(got.column("h").to_numpy().view(np.uint64))
 
 
-def document_classes(docs: DataFrame, ngram: int) -> DataFrame:
+def document_classes(docs: DataFrame, ngram: int, common) -> DataFrame:
     """doc_id, n (set size), cls (null for the empty set)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        for part, _, offsets, cls in _parts_of(batches, ngram):
+        for part, _, offsets, _, cls in _parts_of(batches, ngram, common.value):
             n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n), pa.array(cls, mask=n == 0)], ["doc_id", "n", "cls"])
@@ -203,90 +269,122 @@ def _lowered(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def candidate_runs(docs: DataFrame, bands: Bands, ngram: int, buckets: int) -> DataFrame:
-    """Candidates by shared keys: (key, a, b) pairs of classes; b is null in rows that list a large run."""
+def _runs(keys: np.ndarray, columns: list[np.ndarray]):
+    """Rows whose key others have too, once for each class (the first column), by key and class; and their runs."""
+    order = np.lexsort((columns[0], keys))
+    keys, columns = keys[order], [c[order] for c in columns]
+    keep = np.ones(len(keys), bool)
+    keep[1:] = (keys[1:] != keys[:-1]) | (columns[0][1:] != columns[0][:-1])
+    keys, columns = keys[keep], [c[keep] for c in columns]
+    shared = np.zeros(len(keys), bool)
+    same = keys[1:] == keys[:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    keys, columns = keys[shared], [c[shared] for c in columns]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, len(keys)))
+    run = np.repeat(np.arange(len(first)), length)
+    return keys, columns, first[run], length[run]
+
+
+def _run_pairs(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs: all of small runs, the first with the others of large ones."""
+    place = np.arange(len(first)) - first
+    a, b = [], []
+    for k in range(1, SMALL):
+        at = np.flatnonzero((length <= SMALL) & (place + k < length))
+        a.append(at)
+        b.append(at + k)
+    others = np.flatnonzero((length > SMALL) & (place > 0))
+    return np.concatenate([*a, first[others]]), np.concatenate([*b, others])
+
+
+def candidate_runs(docs: DataFrame, bands: Bands, ngram: int, buckets: int, common) -> DataFrame:
+    """Pairs (a, b) of classes that share a key, and the members (key, a, n, place) of large runs, with null b."""
+    threshold = bands.threshold
+    top, both = threshold.numerator, threshold.numerator + threshold.denominator
 
     def emit(batches):
         seen: set[int] = set()
-        pending, size = [], 0
+        pending, leading, size = [], [], 0
 
-        def flush():
-            keys, cls = np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending])
-            bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
+        def dealt(parts):
+            """Blobs by bucket of parallel arrays, the keys first."""
+            arrays = [np.concatenate(x) for x in zip(*parts)]
+            bucket = (arrays[0] >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            keys, cls = keys[order], cls[order]
-            blobs = [keys[a:b].tobytes() + cls[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            arrays = [x[order] for x in arrays]
+            return pa.array([b"".join(x[a:b].tobytes() for x in arrays) for a, b in zip(cuts, cuts[1:])], pa.binary())
 
-        for _, hashes, offsets, cls in _parts_of(batches, ngram):
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), dealt(pending), dealt(leading)], ["bucket", "words", "leading"])
+
+        for _, hashes, offsets, rare, cls in _parts_of(batches, ngram, common.value):
             fresh = []
-            for i, c in enumerate(cls.tolist()):
+            for c in cls.tolist():
                 fresh.append(c not in seen)
                 seen.add(c)
-            keys, owner = sketch_keys(hashes, offsets, bands)
-            keep = np.array(fresh, bool)[owner] if len(owner) else np.zeros(0, bool)
+            fresh = np.array(fresh, bool)
+            keys, owner, sparse = sketch_keys(hashes, offsets, rare, bands)
+            keep = fresh[owner]
             pending.append((keys[keep], cls[owner[keep]]))
-            size += int(keep.sum())
+            keys, owner, place = leading_keys(hashes, offsets, rare, np.flatnonzero(sparse & fresh), threshold)
+            leading.append((keys, cls[owner], np.diff(offsets)[owner] << 32 | place))
+            size += int(keep.sum()) + len(keys)
             if size > 1_000_000:
                 yield flush()
-                pending, size = [], 0
+                pending, leading, size = [], [], 0
         if size:
             yield flush()
 
-    def meet(batches):
-        keys, cls = [], []
-        for b in batches:
-            for blob in b.column("blob"):
-                both = np.frombuffer(blob.as_buffer(), np.uint64)
-                keys.append(both[: len(both) // 2])
-                cls.append(both[len(both) // 2 :].view(np.int64))
-        if not keys:
-            return
-        keys, cls = np.concatenate(keys), np.concatenate(cls)
-        order = np.argsort(keys, kind="stable")
-        keys, cls = keys[order], cls[order]
-        shared = np.zeros(len(keys), bool)
-        same = keys[1:] == keys[:-1]
-        shared[1:] |= same
-        shared[:-1] |= same
-        keys, cls = keys[shared], cls[shared]
-        order = np.lexsort((cls, keys))
-        keys, cls = keys[order], cls[order]
-        keep = np.ones(len(keys), bool)
-        keep[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])
-        keys, cls = keys[keep], cls[keep]
-        if not len(keys):
-            return
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        length = np.diff(np.append(first, len(keys)))
-        run = np.repeat(np.arange(len(first)), length)
-        place = np.arange(len(keys)) - first[run]
-        a, b = [], []
-        for k in range(1, SMALL):  # pairs at distance k in small runs
-            at = np.flatnonzero((length[run] <= SMALL) & (place + k < length[run]))
-            a.append(cls[at])
-            b.append(cls[at + k])
-        large = np.flatnonzero(length[run] > SMALL)
-        others = large[place[large] > 0]
-        a.append(cls[first[run[others]]])
-        b.append(cls[others])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        names = ["key", "a", "b"]
-        for at in range(0, len(pairs), 100_000):
-            x = pairs[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(x), np.int64)), pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names)
-        for at in range(0, len(large), 100_000):
-            x = large[at : at + 100_000]
+    def read(blobs, columns):
+        """Parallel arrays of all blobs."""
+        parts = [[] for _ in range(columns)]
+        for blob in blobs:
+            x = np.frombuffer(blob.as_buffer(), np.uint64)
+            n = len(x) // columns
+            for k in range(columns):
+                parts[k].append(x[k * n : (k + 1) * n])
+        arrays = [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts]
+        return arrays[0], [x.view(np.int64) for x in arrays[1:]]
+
+    names = ["key", "a", "b", "n", "place"]
+
+    def rows(key, a, b, n, place):
+        for at in range(0, len(a), 100_000):
+            cut = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[x].view(np.int64)), pa.array(cls[x]), pa.nulls(len(x), pa.int64())], names)
-
-    dealt = _lowered(docs).mapInArrow(emit, "bucket int, blob binary").repartition("bucket").select("blob")
-    return dealt.mapInArrow(meet, "key long, a long, b long")
+                [pa.nulls(len(a[cut]), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x[cut])) for x in (key, a, b, n, place)], names)
 
-
-def candidate_sets(docs: DataFrame, pairs: DataFrame, ngram: int) -> DataFrame:
+    def meet(batches):
+        words, leading = [], []
+        for b in batches:
+            words += list(b.column("words"))
+            leading += list(b.column("leading"))
+        keys, columns = read(words, 2)
+        keys, (cls,), first, length = _runs(keys, columns)
+        x, y = _run_pairs(first, length)
+        pairs = [np.stack([cls[x], cls[y]], axis=1)]
+        large = length > SMALL
+        none = np.zeros(int(large.sum()), np.int64)
+        yield from rows(keys[large].view(np.int64), cls[large], None, none, none)
+        keys, columns = read(leading, 3)
+        keys, (cls, where), first, length = _runs(keys, columns)
+        n, place = where >> 32, where & 0xFFFFFFFF
+        x, y = _run_pairs(first, length)
+        fits = np.minimum(n[x] - place[x], n[y] - place[y]) * both >= (n[x] + n[y]) * top
+        pairs.append(np.stack([cls[x[fits]], cls[y[fits]]], axis=1))
+        large = length > SMALL
+        yield from rows(keys[large].view(np.int64), cls[large], None, n[large], place[large])
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        yield from rows(None, pairs[:, 0], pairs[:, 1], None, None)
+
+    keyed = _lowered(docs).mapInArrow(emit, "bucket int, words binary, leading binary").repartition("bucket").select("words", "leading")
+    return keyed.mapInArrow(meet, "key long, a long, b long, n long, place long")
+
+
+def candidate_sets(docs: DataFrame, pairs: DataFrame, ngram: int, common) -> DataFrame:
     """(cls, hashes) of classes in pairs: 40 bits a hash, sorted.
 
     A filter of fixed size (2^FILTER_BITS bits) tells the scan which classes may be in a pair;
@@ -304,7 +402,7 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, ngram: int) -> DataFrame:
 
     def run(batches):
         table_, seen = shared.value, set()
-        for _, hashes, offsets, cls in _parts_of(batches, ngram):
+        for _, hashes, offsets, _, cls in _parts_of(batches, ngram, common.value):
             spot = cls & ((1 << FILTER_BITS) - 1)
             maybe = (table_[spot >> 5] >> (spot & 31).astype(np.uint32)) & np.uint32(1)
             names, blobs = [], []
@@ -371,12 +469,12 @@ def similarity_components(
     spark = docs.sparkSession
     bands = Bands(threshold)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = through_files(document_classes(docs, ngram))
-    runs = through_files(candidate_runs(docs, bands, ngram, buckets))
-    pairs = runs.filter(F.col("b").isNotNull()).select("a", "b").distinct()
-    pairs = through_files(pairs)
-    large = runs.filter(F.col("b").isNull()).select("key", F.col("a").alias("cls"))
-    sets = through_files(candidate_sets(docs, pairs, ngram))
+    common = spark.sparkContext.broadcast(common_hashes(docs, ngram))
+    classes = through_files(document_classes(docs, ngram, common))
+    runs = through_files(candidate_runs(docs, bands, ngram, buckets, common))
+    pairs = through_files(runs.filter(F.col("b").isNotNull()).select("a", "b").distinct())
+    large = runs.filter(F.col("b").isNull()).select("key", F.col("a").alias("cls"), "place")
+    sets = through_files(candidate_sets(docs, pairs, ngram, common))
     links = through_files(verified_links(pairs, sets, threshold))
 
     def components(found: DataFrame) -> DataFrame:
@@ -393,7 +491,7 @@ def similarity_components(
     across = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-        & (F.least("x.n", "y.n") * bottom >= F.greatest("x.n", "y.n") * top),
+        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (top + bottom) >= (F.col("x.n") + F.col("y.n")) * top),
     ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = through_files(verified_links(across, sets, threshold))
     if more.limit(1).count():
