@@ -6,7 +6,7 @@ windows of the corpus meet when the stretches of text (segments) that share a mi
 brought together; neighbouring windows with the same minimizer go as one segment.
 
 1. Every task hashes its texts, takes the minimizers of each document (once each), and sends
-   48 bits of them to their bucket.  A bucket marks those that more than one document has in
+   40 bits of them to their bucket.  A bucket marks those that more than one document has in
    a filter of fixed size.
 2. Segments of marked minimizers are packed, compressed, by bucket and sent there.  A bucket
    puts them in order by minimizer, bytes and document: the first of equal segments has the
@@ -280,7 +280,7 @@ def shared_filter(docs: DataFrame, length: int) -> np.ndarray:
             bucket = (h >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            small = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :6])  # 48 bits of each
+            small = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :5])  # 40 bits of each
             blobs = [small[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
@@ -288,7 +288,7 @@ def shared_filter(docs: DataFrame, length: int) -> np.ndarray:
             for at in range(0, b.num_rows, 512):
                 raw, offsets = text_buffers(b.column("text").slice(at, 512))
                 h, text, _, _ = segments_of(raw, offsets, length)
-                h = h & np.uint64((1 << 48) - 1)
+                h = h & np.uint64((1 << 40) - 1)
                 order = np.lexsort((h, text))  # once for each document
                 h, text = h[order], text[order]
                 keep = np.ones(len(h), bool)
@@ -303,9 +303,9 @@ def shared_filter(docs: DataFrame, length: int) -> np.ndarray:
 
     def meet(batches):
         blobs = [blob.as_buffer() for b in batches for blob in b.column("blob")]
-        small = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+        small = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
         h = np.zeros((len(small), 8), np.uint8)
-        h[:, :6] = small
+        h[:, :5] = small
         h = np.sort(h.view(np.uint64).ravel())
         spots = np.unique(h[1:][h[1:] == h[:-1]] & np.uint64((1 << FILTER_BITS) - 1))
         words = (spots >> np.uint64(5)).astype(np.int64)
