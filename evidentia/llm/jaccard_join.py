@@ -24,7 +24,7 @@ their pairs.  A larger run gives the pairs of its least member with the others;
 found so far have been joined to components, pairs of such a run that lie in different
 components are verified as well.  So no link between components is lost, while large groups of
 copies stay linear.  Candidates are verified by their exact sets, which only classes that are
-in a candidate pair send.
+in a candidate pair send, those of later pairs in a scan of their own.
 
 Defined results: null, empty and blank texts have no set, size 0 and are their own component;
 texts with fewer words than n have their whole sequence as the only n-gram; rows stand one
@@ -493,6 +493,12 @@ def similarity_components(
         (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
         & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (top + bottom) >= (F.col("x.n") + F.col("y.n")) * top),
     ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    across = through_files(across)
+    # members whose pairs in the runs all failed the bound have sent no set yet
+    late = across.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
+    late = through_files(late.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    if late.limit(1).count():
+        sets = sets.unionByName(through_files(candidate_sets(docs, late, ngram, common)).join(late.select(F.col("a").alias("cls")), "cls", "left_semi"))
     more = through_files(verified_links(across, sets, threshold))
     if more.limit(1).count():
         joined = components(links.unionByName(more))

@@ -250,6 +250,17 @@ def test_jaccard_join(odd, none, monkeypatch, small, common):
     assert jaccard_join.similarity_components(none).count() == 0
 
 
+def test_jaccard_join_under_a_longer_text(spark):
+    """The least member of a large run is too long for any pair; the others are links of each other."""
+    passage = " ".join(f"p{i}" for i in range(103))
+    rows = [(i, passage + " " + " ".join(f"q{k}" for k in range(100))) for i in range(20)]
+    rows += [(100 + i, passage + " " + " ".join(f"own{i}_{k}" for k in range(8))) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(df).collect())
+    assert got == brute_components(rows, 4, jaccard_join.THRESHOLD)
+    assert {c for i, _, c in got if i >= 100} == {100}
+
+
 def test_token_counts(spark, odd, none, tmp_path):
     path, cache = public_tokenizers.path("piece_bpe_32k.model"), str(tmp_path / "cache")
     model = token_counts._model(path)
