@@ -159,8 +159,17 @@ def _sources(v) -> DataFrame:
 
 
 def _fetches(v) -> DataFrame:
-    return v("events").filter("event_id % 40 = user_id % 40 OR event_id % 13 = 0").select(
-        F.concat(F.lit("s"), "user_id").alias("source_id"),
+    return _fetch_log(v("events").filter("event_id % 40 = user_id % 40 OR event_id % 13 = 0"), F.concat(F.lit("s"), "user_id"))
+
+
+def _daily_fetches(v) -> DataFrame:
+    """All events, as a run of each user and day."""
+    return _fetch_log(v("events"), F.concat(F.lit("s"), "user_id", F.lit("/"), F.to_date("ts").cast("string")))
+
+
+def _fetch_log(events: DataFrame, source_id: Column) -> DataFrame:
+    return events.select(
+        source_id.alias("source_id"),
         F.expr("CASE event_id % 11 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 500 ELSE 200 END").alias("http_status"),
         F.expr("CASE WHEN event_id % 17 = 0 THEN 'transport' END").alias("transport"),
         F.expr("event_id % 29 = 0").alias("raised"), F.expr("event_id % 7 = 0").alias("extract_error"),
@@ -181,6 +190,7 @@ QUERIES = {
     "a7_evidence_class_rejects": _q(lambda v: check_evidence_class(v("observations"))[1].select("observation_id", "evidence_class")),
     "a8_coverage_audit": _q(lambda v: coverage_audit(_sources(v), v("runs"))),
     "a9_source_run_status": _q(lambda v: source_run_status(_fetches(v))),
+    "a9_source_run_status_whole": _q(lambda v: source_run_status(_daily_fetches(v))),
     "a10_latest_source_health": _q(lambda v: latest_source_health(v("runs"))),
 }
 
@@ -212,5 +222,10 @@ ORACLE = {k: with_views(q) for k, q in {
       SELECT source_id, CASE WHEN bool_or(NOT known) THEN 'configuration_error' WHEN bool_or(raised) THEN min(coalesce(class, 'error')) FILTER (raised)
         WHEN bool_or(coalesce(class, '') = 'blocked') THEN 'partial_blocked' WHEN bool_or(class IS NOT NULL) THEN 'partial' WHEN bool_or(au) THEN 'partial_extraction'
         WHEN bool_or(ex) THEN 'partial' ELSE 'success' END AS status FROM f GROUP BY 1""",
+    "a9_source_run_status_whole": """WITH f AS (SELECT 's' || user_id || '/' || CAST(ts AS DATE) AS source_id, CASE WHEN event_id % 11 = 0 THEN 'blocked' WHEN event_id % 11 = 1 THEN 'missing' WHEN event_id % 11 = 2 THEN 'http_error'
+        WHEN event_id % 17 = 0 THEN 'network_error' END AS class, event_id % 29 = 0 AS raised, event_id % 7 = 0 AS ex, event_id % 19 = 0 AS au, user_id % 23 <> 0 AS known FROM events)
+      SELECT source_id, CASE WHEN bool_or(NOT known) THEN 'configuration_error' WHEN bool_or(raised) THEN min(coalesce(class, 'error')) FILTER (raised)
+        WHEN bool_or(coalesce(class, '') = 'blocked') THEN 'partial_blocked' WHEN bool_or(class IS NOT NULL) THEN 'partial' WHEN bool_or(au) THEN 'partial_extraction'
+        WHEN bool_or(ex) THEN 'partial' ELSE 'success' END AS status FROM f GROUP BY 1""",
     "a10_latest_source_health": "SELECT * FROM {runs} QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) = 1",
 }.items()}
