@@ -16,3 +16,8 @@ def test_every_event_is_in_the_fetch_log(spark):
     days = view(spark, SF, "events").select("user_id", F.to_date("ts")).distinct().count()
     got = run(spark, "a9_source_run_status_whole")
     assert got.count() == days and got.select("status").distinct().count() >= 5
+
+
+def test_every_observation_probes(spark):
+    probes = run(spark, "b7_facts_asof_whole").select("probe_id").distinct()
+    assert {r[0] for r in probes.collect()} == {r[0] for r in view(spark, SF, "events").select("event_id").collect()}
