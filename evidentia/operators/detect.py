@@ -250,15 +250,15 @@ def _control(v) -> DataFrame:
     )
 
 
-def _office(v) -> DataFrame:
-    return v("customer").filter("c_custkey % 7 = 0").select(
+def _office(v, which: str = "true") -> DataFrame:
+    return v("customer").filter(which).select(
         F.concat(F.lit("h"), "c_custkey").alias("fact_id"), F.concat(F.lit("P"), "c_custkey").alias("person_id"),
         F.upper(F.regexp_replace("c_name", "#", "  ")).alias("name"), F.lit("MEMBER_OF").alias("predicate"),
     )
 
 
-def _declared(v) -> DataFrame:
-    return v("customer").filter("c_custkey % 11 = 0").select(
+def _declared(v, which: str = "true") -> DataFrame:
+    return v("customer").filter(which).select(
         F.concat(F.lit("d"), "c_custkey").alias("fact_id"), F.concat(F.lit("P"), "c_custkey").alias("person_id"),
         F.concat(F.lit("My wife and "), F.regexp_replace("c_name", "#", " "), F.lit(" hold shares")).alias("value_text"),
     )
@@ -278,9 +278,19 @@ QUERIES = {
     "g3_interest_mentions_payment_supplier": _q(lambda v: interest_mentions(
         v("texts"), _phrases(v), v("phrases").filter("cast(substring(entity_id, 2) as int) % 2 = 0"))),
     "g10_control_person_officeholder": _q(lambda v: control_person_officeholder(
-        _control(v), supplier_evidence(v("payments").filter("amount > 50000"), v("contract_suppliers")), _office(v)).select("psc_id", "company_id", F.size("evidence").cast("long").alias("n_evidence"), "score")),
+        _control(v), supplier_evidence(v("payments").filter("amount > 50000"), v("contract_suppliers")), _office(v, "c_custkey % 7 = 0")).select("psc_id", "company_id", F.size("evidence").cast("long").alias("n_evidence"), "score")),
     "g11_control_person_declared_interest": _q(lambda v: _joined(control_person_declared_interest(
-        _control(v), supplier_evidence(v("payments").filter("amount > 50000"), v("contract_suppliers")), _declared(v)), "kin").select(
+        _control(v), supplier_evidence(v("payments").filter("amount > 50000"), v("contract_suppliers")), _declared(v, "c_custkey % 11 = 0")), "kin").select(
+            "psc_id", "company_id", "fact_id", "person_id", "kin", F.size("evidence").cast("long").alias("n_evidence"), "score")),
+    # the same over all outside bodies, phrases, payments and customers
+    "g4_declared_interest_overlap_whole": _q(lambda v: declared_interest_overlap(
+        v("outside_bodies").select("fact_id", "person_id", F.concat(F.lit("S"), F.substring("body_id", 2, 9)).alias("entity_id")),
+        v("payments"), v("contract_suppliers")).select("person_id", "entity_id", F.size("evidence").cast("long").alias("n_evidence"), "score")),
+    "g3_interest_mentions_payment_supplier_whole": _q(lambda v: interest_mentions(v("texts"), _phrases(v), v("phrases"))),
+    "g10_control_person_officeholder_whole": _q(lambda v: control_person_officeholder(
+        _control(v), supplier_evidence(v("payments"), v("contract_suppliers")), _office(v)).select("psc_id", "company_id", F.size("evidence").cast("long").alias("n_evidence"), "score")),
+    "g11_control_person_declared_interest_whole": _q(lambda v: _joined(control_person_declared_interest(
+        _control(v), supplier_evidence(v("payments"), v("contract_suppliers")), _declared(v)), "kin").select(
             "psc_id", "company_id", "fact_id", "person_id", "kin", F.size("evidence").cast("long").alias("n_evidence"), "score")),
     "g12_supplier_evidence": _q(lambda v: supplier_evidence(v("payments"), v("contract_suppliers")).select("supplier_id", F.size("evidence").cast("long").alias("n_facts"), F.element_at("evidence", 1).alias("first_fact"))),
 }
@@ -299,6 +309,7 @@ _MENTIONS = f"""SELECT DISTINCT t.fact_id, t.person_id, p.entity_id, p.key AS ph
   JOIN (SELECT entity_id, {text.sql_normalize_org('name')} AS key FROM {{phrases}}) p ON contains(t.k, ' ' || p.key || ' ')
   WHERE length(p.key) >= 6 AND (contains(p.key, ' ') OR length(p.key) >= 9)"""
 _EVIDENCE = "SELECT supplier_id, fact_id FROM {payments} WHERE amount > 50000 UNION SELECT supplier_id, fact_id FROM {contract_suppliers}"
+_ALL_EVIDENCE = "SELECT supplier_id, fact_id FROM {payments} UNION SELECT supplier_id, fact_id FROM {contract_suppliers}"
 
 ORACLE = {k: with_views(q) for k, q in {
     "g1_shared_outside_bodies": """SELECT body_id, count(DISTINCT person_id) AS n, array_to_string(list_sort(list(DISTINCT person_id)), ',') AS people,
@@ -336,6 +347,16 @@ ORACLE = {k: with_views(q) for k, q in {
     "g11_control_person_declared_interest": f"""WITH e AS ({_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
       SELECT 'Q' || c_custkey AS psc_id, supplier_id AS company_id, 'd' || c_custkey AS fact_id, 'P' || c_custkey AS person_id, 'wife' AS kin, k + 1 AS n_evidence, 0.84::DOUBLE AS score
       FROM customer JOIN n ON supplier_id = 'S' || (c_custkey % 100) WHERE c_custkey % 11 = 0""",
+    "g4_declared_interest_overlap_whole": f"""WITH e AS ({_ALL_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
+      SELECT person_id, supplier_id AS entity_id, any_value(k) + count(DISTINCT fact_id) AS n_evidence, 0.68::DOUBLE AS score
+      FROM {{outside_bodies}} o JOIN n ON supplier_id = 'S' || substring(body_id, 2, 9) GROUP BY 1, 2""",
+    "g3_interest_mentions_payment_supplier_whole": _MENTIONS,
+    "g10_control_person_officeholder_whole": f"""WITH e AS ({_ALL_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
+      SELECT 'Q' || c_custkey AS psc_id, supplier_id AS company_id, k + 1 AS n_evidence, 0.76::DOUBLE AS score
+      FROM customer JOIN n ON supplier_id = 'S' || (c_custkey % 100)""",
+    "g11_control_person_declared_interest_whole": f"""WITH e AS ({_ALL_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
+      SELECT 'Q' || c_custkey AS psc_id, supplier_id AS company_id, 'd' || c_custkey AS fact_id, 'P' || c_custkey AS person_id, 'wife' AS kin, k + 1 AS n_evidence, 0.84::DOUBLE AS score
+      FROM customer JOIN n ON supplier_id = 'S' || (c_custkey % 100)""",
     "g12_supplier_evidence": """SELECT supplier_id, count(DISTINCT fact_id) AS n_facts, min(fact_id) AS first_fact FROM
       (SELECT supplier_id, fact_id FROM {payments} UNION ALL SELECT supplier_id, fact_id FROM {contract_suppliers}) GROUP BY 1""",
 }.items()}
