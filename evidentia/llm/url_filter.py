@@ -131,6 +131,7 @@ def filter_urls(
 ) -> DataFrame:
     """id, host, path, rule, verdict: the longest fitting rule's verdict, else ``default``."""
     spark = df.sparkSession
+    rules = list(dict(rules).items())  # of equal rules the last stands, on either path
     if len(rules) > MAX_RULES or sum(len(r) for r, _ in rules) > MAX_BYTES:
         return filter_urls_by_join(df, spark.createDataFrame(rules, "rule string, verdict string"), id_col, url_col, default)
     lengths = _lengths(r for r, _ in rules)
@@ -169,7 +170,8 @@ def filter_urls_by_join(
 ) -> DataFrame:
     """The same rows for rule lists of any size: candidates join on digest and string.
 
-    ``rules`` has the columns rule and verdict.  Distinct (host, path) pairs are judged once,
+    ``rules`` has the columns rule and verdict and no order: of equal rules, which
+    ``filter_urls`` merges before, a block stands.  Distinct (host, path) pairs are judged once,
     so that a host with a third of all urls makes no hot join key of its own.
     """
     rules = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))

@@ -172,6 +172,14 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.filter("false"), url_filter.RULES).count() == 0
 
 
+@pytest.mark.parametrize("most", [url_filter.MAX_RULES, 0])
+def test_the_last_of_equal_rules_stands(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MAX_RULES", most)
+    df = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.org/x")], "page_id long, url string")
+    rules = [("a.org/", "block"), ("b.org/", "allow"), ("a.org/", "allow"), ("b.org/", "block")]
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(df, rules).collect()} == {1: "allow", 2: "block"}
+
+
 def test_digest_collisions_are_confirmed():
     d = url_filter.DigestArray.build([("a/", "allow"), ("b/", "block")])
     d.keys = np.array(d.keys)
