@@ -1,55 +1,73 @@
 """Suffix-array dedup: bytes covered by a ``length``-byte string of an earlier document.
 
 Every window of ``length`` bytes belongs to its minimizer: the K-byte string in it with the
-least hash, the leftmost of equals.  Equal windows have equal minimizers, so all equal
-windows of the corpus meet when the stretches of text (segments) that share a minimizer are
-brought together; neighbouring windows with the same minimizer go as one segment.
-
-1. Every task hashes its texts, takes the minimizers of each document (once each), and sends
-   40 bits of them to their bucket.  A bucket marks those that more than one document has in
-   a filter of fixed size.
-2. Segments of marked minimizers are packed, compressed, by bucket and sent there.  A bucket
-   puts them in order by minimizer, bytes and document: the first of equal segments has the
-   least document, and all later ones are covered whole if their document is larger.
-3. The different segments of a minimizer are searched together in blocks.  A block's suffixes
-   are put in order by their first ``length`` bytes, which gives the Burrows-Wheeler transform
-   and its last-to-first mapping.  Intervals are then expanded breadth first by backward
-   extension: at step l the boundaries between rows whose prefixes of l bytes differ are
-   mapped to those of l + 1 bytes, so common prefixes come in increasing order, and the
-   expansion stops at ``length``.  What is left undivided are the groups of equal windows; in
-   each, windows of documents after the least one are covered.
-4. Covered stretches are joined to their documents, merged and cut out.
-
-A minimizer with more than BLOCK bytes of different segments is searched by the digests of its
-windows instead.  Memory is bounded by a bucket, whose number grows with the shuffle
-partitions; the copies of one segment weigh about 30 bytes each there.
+least hash, the leftmost of equals.  Equal windows have equal minimizers at equal places, so
+all equal windows of the corpus meet when the stretches of text (segments) that share a
+minimizer are brought together; neighbouring windows with the same minimizer go as one segment.
+
+1. Documents are packed into chunks of about CHUNK bytes, in order of id, and written.  From
+   then on (chunk, byte position) names a place, and chunks are what texts are joined by.
+2. Each chunk sends 40 bits of its minimizers, once each with the number of its documents that
+   have them, to their buckets.  A bucket tells each chunk by one bit a minimizer which of them
+   more than one document has, and by another which are hot (HOT documents or more).
+3. Chunks compare their segments of shared minimizers byte by byte: equal ones are covered in
+   all but the least document, and go on once for the chunk, packed by bucket.  Segments of a
+   hot minimizer go as single windows, by the hash of the window, so that a phrase that stands
+   in very many contexts is spread over all buckets.
+4. A bucket merges equal segments in the same way.  The windows of what is left are searched by
+   interval expansion: all windows of a minimizer with the same right end (counted from the
+   minimizer) start in one interval, and backward extension by a byte divides it: the bytes
+   before its rows, the Burrows-Wheeler column of the present order, are put in order within
+   each interval, which maps every row to its place in the next order (last to first).  All
+   intervals are expanded together, breadth first, so common suffixes of windows come in
+   increasing length; an interval of one row is dropped, the bytes of the minimizer itself are
+   stepped over, as all rows share them (which is confirmed), and the expansion stops at
+   ``length``.  The intervals that are left are the groups of equal windows; in each, those
+   after the least document are covered.
+5. Covered stretches go back to their chunks, which cut them out.
+
+All comparisons are of bytes; hashes only bring candidates together.  Memory is bounded by a
+chunk, and by a bucket, whose number grows with the shuffle partitions and in which a segment
+stands once a chunk.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; of equal
 documents all but the one with the least id lose everything (if long enough), and those with
-equal ids none on account of each other; rows stand one for one, but rows with a null id are
-never earlier than another row and lose nothing; an empty table gives an empty result; other
-input columns are not read.
+equal ids none on account of each other, be their texts equal or not; rows stand one for one,
+but rows with a null id are never earlier than another row and lose nothing; an empty table
+gives an empty result; other input columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_buffers
+from .common import table, text_buffers, through_files
 from .jaccard_join import mix
 
 LENGTH, K = 50, 26
-#: Bits of the filter of shared minimizers: 16 MB, whatever the input.
-FILTER_BITS = 27
+#: Bytes of text of a chunk (a longer text is a chunk of its own), and most rows of one.
+CHUNK, CHUNK_ROWS = 4 << 20, 1 << 20
+#: From so many documents on (counted up to 255 a chunk) the windows of a minimizer go one by one.
+HOT = 8192
+#: Windows that are expanded together.
 BLOCK = 1 << 20
-_CHUNK = 1 << 19
+_SLICE = 1 << 19
+_HASH = (1 << 40) - 1
 _BASE = np.uint64(0x9E3779B185EBCA87)
-_CODEC = pa.Codec("zstd", 3)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _powers(base: np.uint64) -> np.ndarray:
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(_SLICE + 4096, base, np.uint64)))
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
 
 
 def rolling_hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -76,7 +94,7 @@ def rolling_hashes(raw: np.ndarray, k: int) -> np.ndarray:
 def minimizers(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-byte strings, and for each window the position of its minimizer."""
     hashes = rolling_hashes(raw, k)
-    bits = np.uint64(20)  # a position in a stretch of _CHUNK; the same for all, so choices agree
+    bits = np.uint64(20)  # a position in a stretch of _SLICE; the same for all, so choices agree
     least = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
     width, span = length - k + 1, 1
     while span * 2 <= width:
@@ -88,14 +106,15 @@ def minimizers(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.nd
     return hashes, (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def segments_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, places: bool = False):
-    """(hash, text, first window, last window) of all segments, and with ``places`` where the
-    minimizer stands; windows do not cross texts."""
+def segments_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> list[np.ndarray]:
+    """Of all segments, in order: 40 bits of the minimizer, hash of the content, text, first byte,
+    size, and where in it the minimizer stands.  Windows do not cross texts."""
     out = []
-    for a, b, at in _chunks(offsets, length):
-        hashes, place = minimizers(raw[a:b], length)
+    for a in range(0, max(int(offsets[-1]) - length + 1, 0), _SLICE):
+        b = min(int(offsets[-1]), a + _SLICE + length - 1)
+        hashes, place = minimizers(raw[a:b], length, k)
         window = np.arange(a, a + len(place))
-        text = np.searchsorted(offsets, window, "right") - 1
+        text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(np.clip(offsets, a, a + len(place))))
         inside = window + length <= offsets[text + 1]
         window, place, text = window[inside], place[inside], text[inside]
         if not len(window):
@@ -104,326 +123,448 @@ def segments_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, plac
         cut[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(window)) - 1
-        out.append((hashes[place[first]], text[first], window[first], window[last], place[first] + a))
+        start, place = window[first] - a, place[first]
+        size = window[last] - a + length - start
+        sums = np.append(np.uint64(0), np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * _UP[: b - a], dtype=np.uint64))
+        content = (sums[start + size] - sums[start]) * _DOWN[start]
+        small = hashes[place] & np.uint64(_HASH)
+        anchor = place - start
+        content = mix(content ^ mix(small + (size.astype(np.uint64) << np.uint64(48)) + (anchor.astype(np.uint64) << np.uint64(56))))
+        out.append((small, content, text[first], start + a, size.astype(np.int16), anchor.astype(np.int16)))
     if not out:
-        none = np.zeros(0, np.int64)
-        return (none.view(np.uint64), none, none, none, none)[: 4 + places]
-    return tuple(np.concatenate(x) for x in zip(*out))[: 4 + places]
+        return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, np.int64, np.int16, np.int16)]
+    return [np.concatenate(x) for x in zip(*out)]
 
 
-def _chunks(offsets: np.ndarray, length: int):
-    """Stretches of the joined texts of limited size that overlap by a window less one byte."""
-    end = int(offsets[-1])
-    for at in range(0, max(end - length + 1, 0), _CHUNK):
-        yield at, min(end, at + _CHUNK + length - 1), at
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; a view on a padded copy."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
 
-def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes of a cyclic text by their first ``length`` bytes, ties by position."""
-    n = len(text)
-    key, span = text.astype(np.uint64), 1
-    while span < 8 and span < length:
-        key = (key << np.uint64(8 * span)) | np.roll(key, -span)
-        span *= 2
-    order = np.argsort(key, kind="stable")
-    while span < length:
-        ranks = np.zeros(n, np.uint64)
-        ranks[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1])).astype(np.uint64)
-        step = min(span, length - span)
-        key = (ranks << np.uint64(32)) | np.roll(ranks, -step)
-        order = np.argsort(key, kind="stable")
-        span += step
-    return order
-
-
-def equal_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order, and for each row the number of its interval of equal ``length``-byte prefixes.
-
-    Breadth-first backward extension: row j is mapped to the row of the suffix one byte longer
-    (last to first).  Two rows with the same byte before them stand next to each other after
-    the mapping, and are divided there by strings of l + 1 bytes if a boundary of l bytes lies
-    between them.  Only undivided neighbours are looked at again.
-    """
-    n = len(text)
-    order = suffix_order(text, length)
-    before = text[order - 1]
-    by_byte = np.argsort(before, kind="stable")  # row by_byte[i] is mapped to row i
-    same = np.zeros(n, bool)
-    same[1:] = before[by_byte][1:] == before[by_byte][:-1]
-    divided = ~same  # step 1: rows that begin with different bytes
-    divided_next = divided.copy()
-    open_ = np.flatnonzero(same)
-    for _ in range(1, length):
-        interval = np.cumsum(divided)
-        apart = interval[by_byte[open_]] != interval[by_byte[open_ - 1]]
-        divided_next[open_[apart]] = True
-        open_ = open_[~apart]
-        divided = divided_next.copy()
-        if not len(open_):
-            break
-    return order, np.cumsum(divided) - 1
+def same_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the stretches of ``sizes`` bytes (eight at least) from a and from b on are equal."""
+    same = np.ones(len(a), bool)
+    for at in range(0, int(sizes.max()) if len(sizes) else 0, 8):
+        step = np.minimum(at, sizes - 8)
+        same &= words[a + step] == words[b + step]
+    return same
+
+
+def gathered(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches end to end; a slice of them at a time."""
+    put = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    out = np.empty(put[-1], np.uint8)
+    for i in range(0, len(starts), 10_000):
+        j = min(i + 10_000, len(starts))
+        at = np.arange(put[j] - put[i]) + np.repeat(starts[i:j] - (put[i:j] - put[i]), sizes[i:j])
+        out[put[i] : put[j]] = raw[at]
+    return out
 
 
-def covered_windows(pieces: list[bytes], docs: np.ndarray, length: int):
-    """For distinct segments with their least documents: (segment, window) pairs that a lesser document has.
+def runs(changed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First members of runs, and the run of each member; ``changed`` marks the first members."""
+    return np.flatnonzero(changed), np.cumsum(changed) - 1
+
+
+def differs(x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
 
-    Also the windows' least documents by digest, for a search in several blocks.
+
+def expand(data: np.ndarray, end: np.ndarray, right: np.ndarray, interval: np.ndarray, length: int, k: int):
+    """Windows that are equal to another of their first interval, and the interval of each at the end.
+
+    A window ends at ``end`` and has ``right`` bytes behind its minimizer.  See the module's
+    text: each step divides all intervals by the byte before their rows and drops single rows.
     """
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    starts = np.append(0, np.cumsum(sizes + 1))[:-1]
-    order, interval = equal_prefixes(text, length)
-    owner = np.searchsorted(starts, order, "right") - 1
-    within = order - starts[owner]
-    real = within + length <= sizes[owner]
-    interval, owner, within = interval[real], owner[real], within[real]
-    least = np.full(interval.max() + 1 if len(interval) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, interval, docs[owner])
-    later = docs[owner] > least[interval]
-    return owner[later], within[later]
-
-
-def stretches(docs: np.ndarray, starts: np.ndarray, owner: np.ndarray, within: np.ndarray, length: int) -> list[np.ndarray]:
-    """doc, start and end of the stretches that covered windows (owner, within) of segments make."""
-    if not len(owner):
-        return [owner, owner, owner]
-    order = np.lexsort((within, owner))
-    owner, within = owner[order], within[order]
-    cut = np.ones(len(owner), bool)
-    cut[1:] = (owner[1:] != owner[:-1]) | (within[1:] > within[:-1] + length)
-    first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(owner)) - 1
-    own = owner[first]
-    return [docs[own], starts[own] + within[first], starts[own] + within[last] + length]
-
-
-def windows_by_digest(pieces: list[bytes], docs: np.ndarray, length: int):
-    """What ``covered_windows`` gives, by a table of digests, for more segments than a block holds."""
-    least: dict[bytes, int] = {}
-    digest = lambda m, w: hashlib.blake2b(m[w : w + length], digest_size=16).digest()
-    for m, d in zip(pieces, docs.tolist()):
-        for w in range(len(m) - length + 1):
-            k = digest(m, w)
-            least[k] = min(d, least.get(k, d))
-    hits = [(i, w) for i, (m, d) in enumerate(zip(pieces, docs.tolist())) for w in range(len(m) - length + 1) if d > least[digest(m, w)]]
-    return np.array([h[0] for h in hits], np.int64), np.array([h[1] for h in hits], np.int64)
-
-
-def pack_segments(docs, starts, sizes, anchors, data: bytes) -> bytes:
-    """Segments of one bucket, in order of document and start, compressed."""
-    head = np.array([len(docs)], np.int64).tobytes()
-    step = np.diff(docs, prepend=0).astype(np.int64).tobytes()
-    return _CODEC.compress(b"".join([head, step, starts.astype(np.int64).tobytes(), sizes.astype(np.uint16).tobytes(), anchors.astype(np.uint16).tobytes(), data]), asbytes=True)
-
-
-def unpack_segments(blob: bytes, size: int):
-    raw = _CODEC.decompress(blob, decompressed_size=size, asbytes=True)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    at = 8
-    docs = np.cumsum(np.frombuffer(raw, np.int64, n, at))
-    starts = np.frombuffer(raw, np.int64, n, at + 8 * n)
-    sizes = np.frombuffer(raw, np.uint16, n, at + 16 * n).astype(np.int64)
-    anchors = np.frombuffer(raw, np.uint16, n, at + 18 * n).astype(np.int64)
-    return docs, starts, sizes, anchors, np.frombuffer(raw, np.uint8, offset=at + 20 * n)
-
-
-def search_bucket(parts: list[tuple], length: int, block: int, k: int = K):
-    """Covered stretches (doc, start, end) among the segments of a bucket, as arrays."""
-    docs, starts, sizes, anchors = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    data = np.concatenate([p[4] for p in parts])
-    offsets = np.append(0, np.cumsum(sizes))
-    at = offsets[:-1] + anchors
-    group = np.zeros(len(docs), np.uint64)
-    for j in range(k):
-        group = group * _BASE + data[at + j]
-    group = mix(group)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
-    content = mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * mix(place.astype(np.uint64) + np.uint64(99)), offsets[:-1]))
-    order = np.lexsort((starts, docs, content, group))
-    g, c, d = group[order], content[order], docs[order]
-    new_group = np.append(True, g[1:] != g[:-1])
-    new_piece = new_group | np.append(True, c[1:] != c[:-1])
-    first = np.flatnonzero(new_piece)
-    of_first = first[np.cumsum(new_piece) - 1]
-    later = order[d > d[of_first]]
-    yield [docs[later], starts[later], starts[later] + sizes[later]]
-    # of each different segment, the rows of its least document; only groups with several
-    kinds = np.bincount(np.cumsum(new_group) - 1, new_piece)
-    several = (kinds > 1)[np.cumsum(new_group) - 1] & (d == d[of_first])
-    rows, edge = order[several], np.cumsum(new_group)[several]
-    if not len(rows):
-        return
-    weight = np.cumsum(sizes[rows] + 1)
-    whole = data.tobytes()
-    cuts = np.append(np.flatnonzero(np.append(True, edge[1:] != edge[:-1])), len(rows))
+    rows = np.arange(len(end), dtype=np.uint64)
+    for step in range(-1, length - k):
+        if step >= 0:
+            column = data[end - 1 - step - np.where(step < right, 0, k)].astype(np.uint64)
+            key = (interval << np.uint64(36)) | (column << np.uint64(28)) | np.arange(len(end), dtype=np.uint64)
+        else:
+            key = (interval << np.uint64(36)) | np.arange(len(end), dtype=np.uint64)
+        key = np.sort(key)
+        changed = differs(key >> np.uint64(28))
+        alone = changed & np.append(changed[1:], True)
+        order = (key[~alone] & np.uint64((1 << 28) - 1)).astype(np.int64)
+        interval = (np.cumsum(changed[~alone]) - 1).astype(np.uint64)
+        rows, end, right = rows[order], end[order], right[order]
+        if not len(rows):
+            break
+    return rows.astype(np.int64), interval.astype(np.int64)
+
+
+def covered_parts(data: np.ndarray, offs: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, ids: np.ndarray, group: np.ndarray, length: int, k: int):
+    """Of different segments in order of their group: (segment, start, end) of the bytes in it
+    that windows of a document with a smaller id cover."""
+    count = (sizes - length + 1).astype(np.int64)
+    whole = np.append(0, np.cumsum(count))
+    edges = np.append(np.flatnonzero(differs(group)), len(group))
     a = 0
-    while a < len(cuts) - 1:
-        base = weight[cuts[a] - 1] if cuts[a] else 0
-        b = max(a + 1, int(np.searchsorted(weight[cuts[1:] - 1], base + block, "right")))
-        own = rows[cuts[a] : cuts[b]]
-        pieces = [whole[x:y] for x, y in zip(offsets[own].tolist(), offsets[own + 1].tolist())]
-        small = weight[cuts[b] - 1] - base <= block
-        owner, within = (covered_windows if small else windows_by_digest)(pieces, docs[own], length)
-        yield stretches(docs[own], starts[own], owner, within, length)
+    while a < len(edges) - 1:  # blocks of whole groups
+        b = max(a + 1, int(np.searchsorted(whole[edges[1:]], whole[edges[a]] + BLOCK, "right")))
+        own = np.arange(edges[a], edges[b])
+        piece = np.repeat(own, count[own])
+        within = np.arange(len(piece)) - np.repeat(whole[own] - whole[own[0]], count[own])
+        right = within + (length - k) - anchors[piece]
+        # the right ends of a group never meet: a group beyond a block is expanded end by end
+        sets = [np.arange(len(piece))] if len(piece) <= BLOCK else [np.flatnonzero(right == r) for r in range(length - k + 1)]
+        for s in sets:
+            start = ((group[piece[s]] - group[own[0]]) * (length - k + 1) + right[s]).astype(np.uint64)
+            start = np.unique(start, return_inverse=True)[1].astype(np.uint64)
+            rows, interval = expand(data, offs[piece[s]] + within[s] + length, right[s], start, length, k)
+            if not len(rows):
+                continue
+            rows = s[rows]
+            first, of = runs(differs(interval))
+            doc = ids[piece[rows]]
+            later = rows[doc > np.minimum.reduceat(doc, first)[of]]
+            if not len(later):
+                continue
+            later.sort()
+            first, _ = runs(differs(piece[later]))
+            last = np.append(first[1:], len(later)) - 1
+            # windows of a segment overlap, so that what they cover is one stretch
+            yield piece[later[first]], within[later[first]], within[later[last]] + length
         a = b
 
 
-def shared_filter(docs: DataFrame, length: int) -> np.ndarray:
-    """Bits of minimizers that more than one document has (and of some others, by chance)."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of stretches, in order."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts)
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.append(True, starts[1:] > ends[:-1]))
+    return starts[first], ends[np.append(first[1:], len(starts)) - 1]
 
-    def emit(batches):
-        pending, size = [], 0
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8-, 4-, 2- or 1-byte numbers, compressed, behind their sizes."""
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+    head = np.array([len(raw), *(x.nbytes for x in arrays)], np.int64)
+    return head.tobytes() + _CODEC.compress(raw, asbytes=True)
+
+
+def unpacked(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    head = np.frombuffer(blob, np.int64, 1 + len(kinds))
+    raw = _CODEC.decompress(pa.py_buffer(blob)[8 * len(head) :], int(head[0]), asbytes=True)
+    at = np.append(0, np.cumsum(head[1:]))
+    return [np.frombuffer(raw, t, int(n) // np.dtype(t).itemsize, int(a)) for t, n, a in zip(kinds, head[1:], at)]
+
+
+_SEGMENTS = (np.int64, np.int16, np.int16, np.int32, np.int64, np.uint8)
+
+
+def by_bucket(batches):
+    """(bucket, list of its rows as tuples) from batches in order of their first column."""
+    last, rows = None, []
+    for b in batches:
+        columns = [c.to_pylist() if i == 0 or pa.types.is_integer(c.type) or pa.types.is_boolean(c.type) else c for i, c in enumerate(b.columns)]
+        for row in zip(*columns):
+            if row[0] != last:
+                if rows:
+                    yield last, rows
+                last, rows = row[0], []
+            rows.append(row[1:])
+    if rows:
+        yield last, rows
+
+
+def chunk_table(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(chunk, payload), written: documents in order of id as compressed Arrow batches of the
+    columns c0.., id and text."""
+    rows = docs.select(
+        *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col("doc_id").cast("long").alias("id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+    def pack(batches):
+        task = TaskContext.get().partitionId() << 32
+        number, pending, size, count = 0, [], 0, 0
 
         def flush():
-            h = np.concatenate(pending)
-            bucket = (h >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            small = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :5])  # 40 bits of each
-            blobs = [small[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            rows = pa.Table.from_batches(pending).combine_chunks()
+            rows = rows.take(pc.sort_indices(rows.column("id"))).combine_chunks()  # nulls last
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "payload"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                raw, offsets = text_buffers(b.column("text").slice(at, 512))
-                h, text, _, _ = segments_of(raw, offsets, length)
-                h = h & np.uint64((1 << 40) - 1)
-                order = np.lexsort((h, text))  # once for each document
-                h, text = h[order], text[order]
-                keep = np.ones(len(h), bool)
-                keep[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                pending.append(h[keep])
-                size += int(keep.sum())
-                if size > 1_000_000:
+            total = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = base = 0
+            while a < b.num_rows:
+                z = min(int(np.searchsorted(total, base + CHUNK - size, "right")), a + CHUNK_ROWS - count)
+                if z <= a and not pending:
+                    z = a + 1
+                if z > a:
+                    pending.append(b.slice(a, z - a))
+                    size, count, base, a = size + int(total[z - 1]) - base, count + z - a, int(total[z - 1]), z
+                if a < b.num_rows:
                     yield flush()
-                    pending, size = [], 0
-        if size:
+                    number, pending, size, count = number + 1, [], 0, 0
+        if pending:
             yield flush()
 
-    def meet(batches):
-        blobs = [blob.as_buffer() for b in batches for blob in b.column("blob")]
-        small = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
-        h = np.zeros((len(small), 8), np.uint8)
-        h[:, :5] = small
-        h = np.sort(h.view(np.uint64).ravel())
-        spots = np.unique(h[1:][h[1:] == h[:-1]] & np.uint64((1 << FILTER_BITS) - 1))
-        words = (spots >> np.uint64(5)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else []
-        bits = np.bitwise_or.reduceat(np.uint32(1) << (spots & np.uint64(31)).astype(np.uint32), first) if len(words) else []
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words[first], pa.int32()), pa.array(np.asarray(bits, np.int64))], ["w", "bits"])
+    return through_files(rows.mapInArrow(pack, "chunk long, payload binary"))
 
-    dealt = docs.select("text").mapInArrow(emit, "bucket int, blob binary").repartition("bucket").select("blob")
-    got = dealt.mapInArrow(meet, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)  # the filter's size bounds what comes to the driver
-    out[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    return out
+
+def opened(payload) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of a chunk, and bytes and offsets of all texts."""
+    rows = pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
+    raw, offsets = text_buffers(rows.column("text"))
+    return rows, raw, offsets
+
+
+def chunk_segments(payload, length: int):
+    """A chunk's ids (without nulls), bytes, segments, and its different minimizers with the number of documents that have them."""
+    rows, raw, offsets = opened(payload)
+    n = len(rows) - rows.column("id").null_count
+    segments = segments_of(raw[: offsets[n]], offsets[: n + 1], length)
+    each = np.unique((segments[0] << np.uint64(24)) | segments[2].astype(np.uint64)) >> np.uint64(24)
+    first, _ = runs(differs(each))
+    count = np.diff(np.append(first, len(each)))
+    return rows.column("id").slice(0, n).to_numpy(), raw, segments, each[first], count
 
 
-def covered_stretches(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """(doc_id, start, end): bytes covered by a string that starts in an earlier document too."""
-    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.filter(F.octet_length("text") >= length)
-    shared = docs.sparkSession.sparkContext.broadcast(shared_filter(docs, length))
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of 40-bit hashes, in their order."""
+    return ((hashes * np.uint64(buckets)) >> np.uint64(40)).astype(np.int64)
 
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+def shared_minimizers(chunks: DataFrame, length: int) -> DataFrame:
+    """(chunk, flags): for each bucket the bits of the chunk's minimizers that are shared, and that are hot."""
+    buckets = 2 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches):
-        bits = shared.value
-        pending, size = [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                raw, offsets = text_buffers(part.column("text"))
-                h, text, first, last, place = segments_of(raw, offsets, length, places=True)
-                spot = h & np.uint64((1 << FILTER_BITS) - 1)
-                keep = (bits[spot >> np.uint64(5)] >> (spot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
-                h, text, first, last, place = h[keep], text[keep], first[keep], last[keep], place[keep]
-                sizes = last + length - first
-                offs = np.append(0, np.cumsum(sizes))
-                data = raw[np.arange(offs[-1]) + np.repeat(first - offs[:-1], sizes)]
-                bucket = ((h >> np.uint64(30)) % np.uint64(buckets)).astype(np.int64)
-                pending.append([bucket, part.column("doc_id").to_numpy()[text], first - offsets[text], sizes, place - first, data])
-                size += len(data)
-                if size > 24_000_000:
-                    yield flush(pending)
-                    pending, size = [], 0
-        if pending:
-            yield flush(pending)
-
-    def flush(pending):
-        bucket, doc, start, sizes, anchor, data = (np.concatenate([p[i] for p in pending]) for i in range(6))
-        order = np.lexsort((start, doc, bucket))
-        offs = np.append(0, np.cumsum(sizes))
-        bucket, doc, start, anchor = bucket[order], doc[order], start[order], anchor[order]
-        new = sizes[order]
-        put = np.append(0, np.cumsum(new))
-        data = data[np.arange(put[-1]) + np.repeat(offs[:-1][order] - put[:-1], new)]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        blobs, lengths = [], []
-        for a, b in zip(cuts, cuts[1:]):
-            blobs.append(pack_segments(doc[a:b], start[a:b], new[a:b], anchor[a:b], data[put[a] : put[b]].tobytes()))
-            lengths.append(8 + 20 * int(b - a) + int(put[b] - put[a]))
-        return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "size", "blob"])
+            for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload")):
+                _, _, _, hashes, count = chunk_segments(payload, length)
+                cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+                small = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5])
+                count = np.minimum(count, 255).astype(np.uint8)
+                some = np.flatnonzero(np.diff(cuts))
+                blobs = [small[cuts[i] : cuts[i + 1]].tobytes() + count[cuts[i] : cuts[i + 1]].tobytes() for i in some.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array(np.full(len(some), chunk), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
 
-    def search(batches):
-        def out(parts):
-            for found in search_bucket(parts, length, block) if sum(len(p[0]) for p in parts) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["doc_id", "start", "end"])
+    def meet(batches):
+        for bucket, rows in by_bucket(batches):
+            hashes, count = [], []
+            for _, blob in rows:
+                raw = np.frombuffer(blob.as_buffer(), np.uint8)
+                n = len(raw) // 6
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, :5] = raw[: 5 * n].reshape(-1, 5)
+                hashes.append(wide.view(np.uint64).ravel())
+                count.append(raw[5 * n :])
+            cuts = np.append(0, np.cumsum([len(h) for h in hashes]))
+            hashes, count = np.concatenate(hashes), np.concatenate(count).astype(np.int64)
+            order = np.argsort(hashes)
+            first, of = runs(differs(hashes[order]))
+            total = np.empty(len(hashes), np.int64)
+            total[order] = np.add.reduceat(count[order], first)[of]
+            bits = lambda x: [np.packbits(x[a:b]).tobytes() if x[a:b].any() else b"" for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c for c, _ in rows], pa.int64()), pa.array(np.full(len(rows), bucket), pa.int32()), pa.array(bits(total > 1), pa.binary()), pa.array(bits(total >= HOT), pa.binary())],
+                ["chunk", "bucket", "shared", "hot"])
+
+    dealt = chunks.mapInArrow(emit, "bucket int, chunk long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    told = dealt.mapInArrow(meet, "chunk long, bucket int, shared binary, hot binary").filter("length(shared) > 0")
+    return told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("flags"))
+
+
+def flagged(hashes: np.ndarray, flags: list, buckets: int) -> np.ndarray:
+    """0, 1 (shared) or 2 (hot) for each of a chunk's different minimizers."""
+    cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+    out = np.zeros(len(hashes), np.uint8)
+    for f in flags or ():
+        a, b = cuts[f["bucket"]], cuts[f["bucket"] + 1]
+        for bits in (f["shared"], f["hot"]):
+            if bits:
+                out[a:b] += np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+    return out
 
-        last, parts = None, []
-        for b in batches:
-            for k, size, blob in zip(b.column("bucket").to_pylist(), b.column("size").to_pylist(), b.column("blob")):
-                if k != last:
-                    yield from out(parts)
-                    last, parts = k, []
-                parts.append(unpack_segments(blob.as_buffer(), size))
-        yield from out(parts)
 
-    met = docs.mapInArrow(emit, "bucket int, size long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(search, "doc_id long, start long, end long")
+def single_windows(raw: np.ndarray, segments: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """The windows of segments as segments of their own; the hash of a window takes the place of its minimizer."""
+    _, _, text, start, size, anchor = segments
+    count = size.astype(np.int64) - length + 1
+    of = np.repeat(np.arange(len(start)), count)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = start[of] + within
+    value = np.zeros(len(of), np.uint64)
+    for j in range(length):
+        value = value * _BASE + raw[start + j].astype(np.uint64) + np.uint64(1)
+    value = mix(value)
+    return [value & np.uint64(_HASH), value, text[of], start, np.full(len(of), length, np.int16), (anchor[of] - within).astype(np.int16)]
 
 
-def remove_repeats(
-    docs: DataFrame, carry: tuple = ("doc_id",), length: int = LENGTH, block: int = BLOCK
-) -> DataFrame:
-    """The ``carry`` columns (doc_id among them) of each row and what is left of its text.
+def covered_stretches(chunks: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(chunk, spans): packed starts and ends of what strings of earlier documents cover."""
+    partitions = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few, buckets = 2 * partitions, 4 * partitions
 
-    Adds kept (binary: the bytes that are left, end to end), kept_text (the same as text,
-    without the parts of code points that a cut has left), n_bytes, n_removed and n_spans.
+    def emit(batches):
+        for b in batches:
+            for chunk, payload, flags in zip(b.column("chunk").to_pylist(), b.column("payload"), b.column("flags").to_pylist()):
+                if flags:
+                    yield from chunk_rows(chunk, payload, flags)
+
+    def chunk_rows(chunk, payload, flags):
+        ids, raw, segments, hashes, _ = chunk_segments(payload, length)
+        kind = flagged(hashes, flags, few)[np.searchsorted(hashes, segments[0])]
+        hot = [x[kind == 2] for x in segments]
+        segments = [x[kind == 1] for x in segments]
+        if len(hot[0]):
+            segments = [np.concatenate(x) for x in zip(segments, single_windows(raw, hot, length))]
+        hashes, content, text, start, size, anchor = segments
+        order = np.argsort(content, kind="stable")  # equal ones stay in order of text, so of id
+        first, of = runs(differs(content[order]))
+        lead = order[first][of]
+        equal = (size[order] == size[lead]) & (anchor[order] == anchor[lead])
+        equal[equal] = same_bytes(eights(raw), start[order[equal]], start[lead[equal]], size[order[equal]].astype(np.int64))
+        later = equal & (ids[text[order]] > ids[text[lead]])
+        local = merged(start[order[later]], (start + size)[order[later]])
+        # one content for each run, with all places in its least document; hash collisions stand alone
+        places = order[~later]
+        head = (np.append(True, of[~later][1:] != of[~later][:-1])) if len(places) else np.zeros(0, bool)
+        head |= ~equal[~later]
+        if len(places):
+            head[1:] |= ~equal[~later][:-1]
+        one = places[np.flatnonzero(head)]
+        many = np.diff(np.append(np.flatnonzero(head), len(places))).astype(np.int32)
+        bucket = bucket_of(mix(hashes[one]) & np.uint64(_HASH), buckets)
+        deal = np.argsort(bucket, kind="stable")
+        one, bucket = one[deal], bucket[deal]
+        put = np.append(0, np.cumsum(many))[:-1][deal]
+        many = many[deal]
+        where = start[places[np.arange(many.sum()) + np.repeat(put - (np.cumsum(many) - many), many)]]
+        ends = np.append(0, np.cumsum(many))
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        blobs = []
+        for i in some:
+            at = one[cuts[i] : cuts[i + 1]]
+            own = slice(cuts[i], cuts[i + 1])
+            blobs.append(packed(ids[text[at]], size[at], anchor[at], many[own], where[ends[cuts[i]] : ends[cuts[i + 1]]], gathered(raw, start[at], size[at])))
+        if len(local[0]):
+            some.append(int(chunk % buckets))
+            blobs.append(packed(*local))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array(np.full(len(some), chunk), pa.int64()), pa.array([False] * (len(some) - bool(len(local[0]))) + [True] * bool(len(local[0])), pa.bool_()), pa.array(blobs, pa.binary())],
+            ["bucket", "chunk", "local", "blob"])
+
+    def search(batches):
+        for _, rows in by_bucket(batches):
+            done = [(c, blob.as_py()) for c, local, blob in rows if local]
+            done += search_bucket([(c, *unpacked(blob.as_py(), _SEGMENTS)) for c, local, blob in rows if not local], length)
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.int64()), pa.array([x for _, x in done], pa.binary())], ["chunk", "spans"])
+
+    with_flags = chunks.join(shared_minimizers(chunks, length), "chunk")
+    dealt = with_flags.select("chunk", "payload", "flags").mapInArrow(emit, "bucket int, chunk long, local boolean, blob binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, "chunk long, spans binary")
+
+
+def search_bucket(parts: list[tuple], length: int, k: int = K) -> list[tuple[int, bytes]]:
+    """(chunk, packed spans) of what is covered among the segments of a bucket."""
+    if not parts:
+        return []
+    chunk = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+    ids, sizes, anchors, many, where, data = (np.concatenate([p[i] for p in parts]) for i in range(1, 7))
+    sizes, anchors = sizes.astype(np.int64), anchors.astype(np.int64)
+    offs, ends = np.append(0, np.cumsum(sizes))[:-1], np.append(0, np.cumsum(many))
+    words = eights(data)
+    at = offs + anchors
+    marks = [words[at + j] for j in (*range(0, k - 7, 8), k - 8)]  # the bytes of the minimizers
+    group = np.zeros(len(ids), np.uint64)
+    for m in marks:
+        group = mix(group * _BASE + m)
+    content = sizes.astype(np.uint64)
+    for j in range(0, int(sizes.max()), 8):
+        content = mix(content * _BASE + words[offs + np.minimum(j, sizes - 8)])
+    order = np.lexsort((ids, content, group))
+    new_group = differs(group[order])
+    strange = np.zeros(len(order), bool)
+    for m in marks:
+        strange |= differs(m[order])
+    if (strange != new_group).any():  # two minimizers with one hash: put their bytes in order instead
+        order = np.lexsort((ids, content, *marks))
+        new_group = np.zeros(len(order), bool)
+        for m in marks:
+            new_group |= differs(m[order])
+    before = np.append(order[:1], order[:-1])
+    same = ~new_group & (sizes[order] == sizes[before]) & (anchors[order] == anchors[before])
+    same[same] = same_bytes(words, offs[order[same]], offs[before[same]], sizes[order[same]])
+    first, piece = runs(~same)
+    least = ids[order[first]]
+    later = ids[order] > least[piece]
+    found = [(order[later], np.zeros(int(later.sum()), np.int64), sizes[order[later]])]
+    kind = np.cumsum(new_group) - 1
+    several = np.bincount(kind, ~same)[kind[first]] > 1
+    own = order[first[several]]
+    number = np.flatnonzero(several)
+    for p, a, b in covered_parts(data, offs[own], sizes[own], anchors[own], ids[own], kind[first[several]], length, k):
+        # all rows of the segment that have its least id
+        start = np.zeros(len(first), np.int64)
+        stop = np.zeros(len(first), np.int64)
+        start[number[p]], stop[number[p]] = a, b
+        rows = np.flatnonzero((stop[piece] > 0) & ~later)
+        found.append((order[rows], start[piece[rows]], stop[piece[rows]]))
+    row, start, stop = (np.concatenate([f[i] for f in found]) for i in range(3))
+    times = many[row].astype(np.int64)
+    place = where[np.arange(times.sum()) + np.repeat(ends[:-1][row] - (np.cumsum(times) - times), times)]
+    start, stop, of = place + np.repeat(start, times), place + np.repeat(stop, times), chunk[np.repeat(row, times)]
+    deal = np.argsort(of, kind="stable")
+    start, stop, of = start[deal], stop[deal], of[deal]
+    cuts = np.searchsorted(of, np.arange(len(parts) + 1))
+    return [(parts[i][0], packed(*merged(start[a:b], stop[a:b]))) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+
+
+def remove_repeats(docs: DataFrame, carry: tuple = ("doc_id",), length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """The ``carry`` columns of each row and what is left of its text.
+
+    Adds kept (the bytes that are left, end to end; with ``as_text`` a string, without the
+    parts of code points that a cut has left), n_bytes, n_removed and n_spans.
     """
     columns = list(carry)
-    kind = dict(docs.dtypes)["doc_id"]
-    found = covered_stretches(docs, length, block)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.select(*columns, F.coalesce("text", F.lit("")).cast("binary").alias("_bytes"))
-    joined = rows.join(by_doc.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id", "left")
+    chunks = chunk_table(docs, columns)
+    spans = covered_stretches(chunks, length).groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
+    joined = chunks.join(spans, "chunk", "left").select("payload", "spans")
 
     def cut(batches):
         for b in batches:
-            kept, sizes, removed, count = [], [], [], []
-            for raw, spans in zip(b.column("_bytes"), b.column("spans").to_pylist()):
-                raw = raw.as_py()
-                parts, at, runs, end = [], 0, 0, -1
-                for s in sorted((s["start"], s["end"]) for s in spans or ()):
-                    if s[0] > end:
-                        parts.append(raw[at : s[0]])
-                        runs += 1
-                    at = end = max(end, s[1])
-                parts.append(raw[at:])
-                kept.append(b"".join(parts))
-                sizes.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
-                count.append(runs)
-            texts = [k.decode("utf-8", "ignore") for k in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in columns), pa.array(kept, pa.binary()), pa.array(texts, pa.string()),
-                 *(pa.array(x, pa.int64()) for x in (sizes, removed, count))], [*columns, *added])
-
-    added = ["kept", "kept_text", "n_bytes", "n_removed", "n_spans"]
-    schema = docs.select(columns).schema.add("kept", "binary").add("kept_text", "string")
-    for name in added[2:]:
+            for payload, spans in zip(b.column("payload"), b.column("spans").to_pylist()):
+                yield cut_chunk(payload, spans or ())
+
+    def cut_chunk(payload, spans):
+        rows, raw, offsets = opened(payload)
+        edge = np.zeros(len(raw) + 1, np.int32)
+        for blob in spans:
+            a, b = unpacked(blob, (np.int64, np.int64))
+            np.add.at(edge, a, 1)
+            np.add.at(edge, b, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        first = gone.copy()
+        first[1:] &= ~gone[:-1]
+        starts = offsets[:-1][(offsets[:-1] < offsets[1:])]
+        first[starts] = gone[starts]
+        before = np.append(0, np.cumsum(gone))[offsets]
+        left = offsets - before
+        kept = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(raw[~gone])]).cast(pa.binary())
+        if as_text:
+            kept = pa.array([k.as_py().decode("utf-8", "ignore") for k in kept], pa.string())
+        counts = (np.diff(offsets), np.diff(before), np.diff(np.append(0, np.cumsum(first))[offsets]))
+        own = [rows.column(f"c{i}").combine_chunks() for i in range(len(columns))]
+        return pa.RecordBatch.from_arrays([*own, kept, *(pa.array(x, pa.int64()) for x in counts)], [*columns, *added])
+
+    added = ["kept", "n_bytes", "n_removed", "n_spans"]
+    schema = docs.select(columns).schema.add("kept", "string" if as_text else "binary")
+    for name in added[1:]:
         schema = schema.add(name, "long")
     return joined.mapInArrow(cut, schema)
 

@@ -131,23 +131,72 @@ def removed(rows, length=50):
     return sorted(result)
 
 
-@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 300])
-def test_suffix_dedup(odd, none, block):
+def cut(df):
+    got = suffix_dedup.remove_repeats(df).collect()
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+
+
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 3000])
+def test_suffix_dedup(odd, none, chunk, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     assert suffix_dedup.remove_repeats(none).count() == 0
-    got = suffix_dedup.remove_repeats(odd, block=block).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == removed(texts_of(odd))
-
-
-def test_equal_prefixes():
-    rng = np.random.default_rng(2)
-    raw = rng.integers(97, 99, 4000).astype(np.uint8)
-    raw[100:400] = raw[2000:2300]
-    order, interval = suffix_dedup.equal_prefixes(raw, 50)
-    twice = raw.tobytes() * 2
-    names = {}
-    for p, k in zip(order, interval):
-        assert names.setdefault(k, twice[p : p + 50]) == twice[p : p + 50]
-    assert len(set(names.values())) == len(names)
+    assert cut(odd) == removed(texts_of(odd))
+
+
+def passages(rng, n):
+    """Texts that share passages in several contexts, periodic stretches, and two texts under one id."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    shared = [" ".join(word() for _ in range(14)) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        parts = [word() for _ in range(rng.randint(0, 20))]
+        for _ in range(rng.randint(0, 3)):
+            passage = rng.choice(shared)
+            cut = rng.randint(0, 20)
+            parts.insert(rng.randint(0, len(parts)), passage[cut : cut + rng.randint(45, 90)])
+        if i % 7 == 0:
+            parts.append(rng.choice(["x", "ab ", "no "]) * rng.randint(30, 200))
+        rows.append((i // 2 if i % 9 == 0 else i, " ".join(parts)))
+    return rows
+
+
+def test_suffix_dedup_passages(spark, monkeypatch):
+    rows = passages(random.Random(11), 240)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = removed(rows)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 2000)
+    assert cut(df) == want
+    # hot minimizers by single windows
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    assert cut(df) == want
+
+
+def test_suffix_dedup_long_runs(spark):
+    """Two texts of one byte over and over, and a passage that all others hold."""
+    passage = "the same passage stands in all of these many documents, word for word. "
+    rows = [(1, "a" * 3_000_000), (2, "b" + "a" * 3_000_000), (3, passage * 20_000)]
+    rows += [(i, f"{i * 7919} {passage}{i * 104729}") for i in range(10, 3000)]
+    got = {r[0]: r[1:4] for r in cut(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got[1] == (3_000_000, 0, 0) and got[2] == (3_000_001, 3_000_000, 1) and got[3][1:] == (0, 0)
+    assert all(got[i][1] >= len(passage) - 1 and got[i][2] == 1 for i in range(10, 3000))
+
+
+@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 60, 3])
+def test_hash_collisions_do_not_matter(block, monkeypatch):
+    """Segments of two minimizers under one hash, equal content hashes of different bytes, groups larger than a block."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x & np.uint64(3))
+    rng = random.Random(4)
+    left, right = ["".join(rng.choice("ab") for _ in range(24)) for _ in range(2)], ["".join(rng.choice("ab") for _ in range(24)) for _ in range(2)]
+    anchors = ["minimizer one, 26 bytes ...", "minimizer two, 26 bytes ..."]
+    texts = [a + m[:26] + b for m in anchors for a in left for b in right] * 2
+    part = (7, np.arange(len(texts)), np.full(len(texts), 74, np.int16), np.full(len(texts), 24, np.int16), np.ones(len(texts), np.int32), np.arange(len(texts)) * 100, np.frombuffer("".join(texts).encode(), np.uint8))
+    ((chunk, blob),) = suffix_dedup.search_bucket([part], 50)
+    starts, ends = suffix_dedup.unpacked(blob, (np.int64, np.int64))
+    want = [(i, n, k) for i, n, k, _, _ in removed(list(enumerate(texts)))]
+    gone = np.zeros(len(texts), int)
+    np.add.at(gone, starts // 100, ends - starts)
+    assert chunk == 7 and gone.tolist() == [k for _, _, k in want]
 
 
 def judged(url):
