@@ -51,10 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: 50-byte strings of earlier documents are cut out."""
-    cut = suffix_dedup.remove_repeats(docs, ("doc_id", "lang", "source")).filter("kept_text <> ''")
+    cut = suffix_dedup.remove_repeats(docs, ("doc_id", "lang", "source"), as_text=True).filter("kept <> ''")
     return cut.select(
-        "doc_id", F.col("kept_text").alias("text"), "lang", "source",
-        F.length("kept_text").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars"),
+        "doc_id", F.col("kept").alias("text"), "lang", "source",
+        F.length("kept").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars"),
     )
 
 
