@@ -1,31 +1,32 @@
 """Document fingerprints: Invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line that is not blank; a line of over LONG characters is first cut behind
-the ends of its sentences.  Its digest is the 64-bit xxhash of its text and of how many equal
-paragraphs stand before it, so a text is a set of digests.  A sketch has three blocks of
-cells; a digest lies in one cell of each block, and a cell holds the number, the XOR and the
+A paragraph is a sentence or the rest of a line: text is cut at line ends and behind the ends of
+sentences, and blank parts are left out.  Its digest is the 64-bit xxhash of its text and of how
+many equal paragraphs stand before it, so a text is a set of digests.  A sketch has three blocks
+of cells; a digest lies in one cell of each block, and a cell holds the number, the XOR and the
 XOR of the check hashes of its digests.
 
 Sketches of two versions are subtracted cell by cell: digests of both cancel, and what is
 left is the sketch of the difference.  Peeling recovers it: a cell with count 1 or -1 whose
 check fits its XOR holds one digest alone; all such are taken out of their cells in a round,
-until the cells are empty (done) or none gives way (failure).  A failure is retried larger:
-the digests of both versions are dealt by their bits to groups of about GROUP, each with
-sketches of its own (more cells a digest than before), and a group that still fails gets
-blocks of LAST cells.  Likeness is the Jaccard measure of the two sets, from the recovered
-digests and the set sizes, which the fingerprints store.
+until no cell is left (done) or none gives way (failure).  A failure is retried with sketches of
+more cells: as many as the two sets need if they have nothing in common, and eight times as
+many.  If that fails too (or takes more than ROUNDS rounds), the two sets are compared as they
+are, so the difference is exact in any case.  Likeness is the Jaccard measure of the two sets,
+from the recovered digests and the set sizes, which the fingerprints store.
 
-The fingerprint is the sketch with blocks of BASE cells: the set size, then number, XOR and
-check of each cell as hex (empty cells are ``-``).  It depends on the text alone.
+The fingerprint is the sketch with blocks of BASE cells: the set size, then cell, number, XOR and
+check of each cell that is not empty, as hex.  It depends on the text alone.
 
-All of it is SQL functions on the row.  Only ``with_next`` shuffles: texts once, by ranges of
-ids, plus one guest row a range.
+All of it is SQL functions on the row.  Cells are kept as an array of those that are not empty, in
+order; sketches are added by putting their cells in order and joining neighbours with one number,
+so no step takes more than about n log n for n paragraphs.  Only ``with_next`` shuffles: texts
+once, by ranges of ids, plus one guest row a range.
 
 Defined results: null text is empty and has the fingerprint of the empty set; two empty sets
-have likeness 1; a group that fails to the last counts as wholly different; rows stand one
-for one; rows with equal ids are put in order by text, descending; null ids come last; an
-only row is its own next; an empty table gives an empty result; other input columns are not
-read.
+have likeness 1; rows stand one for one; rows with equal ids are put in order by the xxhash of
+their text, descending, then by text; null ids come last; an only row is its own next; an empty
+table gives an empty result; other input columns are not read.
 """
 
 from __future__ import annotations
@@ -35,115 +36,121 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-LONG = 600
-#: Cells of a block: of the fingerprint, of a group's sketch, and of its last retry.
-BASE, WIDE, LAST = 8, 16, 128
-#: Digests of a group, on average.
-GROUP = 8
+#: Cells of a block of the fingerprint, and the largest that a retry takes.
+BASE, MOST = 8, 1 << 20
 #: Rounds of peeling; a sketch that needs more counts as failed and is retried.
 ROUNDS = 16
 #: Id ranges of ``with_next``: about this many rows each, and at most so many, as one row a
-#: range goes to the driver and back.
-RANGE_ROWS, MAX_RANGES = 256, 1_000_000
+#: range goes to the driver and back; and the rows of the sample that the ranges are taken from,
+#: for each range.  Ranges only deal out the work.
+RANGE_ROWS, MAX_RANGES, SAMPLED = 256, 4096, 16
+
+_CELL = "array<struct<p:bigint,n:bigint,k:bigint,c:bigint>>"
 
 
 def paragraphs(text: Column) -> Column:
-    cut = F.transform(
-        F.split(text, "\n"),
-        lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[.!?])\s+")).otherwise(F.array(x)),
+    return F.filter(F.split(text, r"\n|(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
+
+
+def _starts(items: Column, key) -> Column:
+    """Numbers of the items, in order, whose ``key`` is not that of the item before."""
+    return F.when(F.size(items) == 0, F.array().cast("array<int>")).otherwise(
+        F.filter(
+            F.sequence(F.lit(0), F.size(items) - 1),
+            lambda i: (i == 0) | (key(F.get(items, i)) != key(F.get(items, i - 1))),
+        )
     )
-    return F.filter(F.flatten(cut), lambda x: F.trim(x) != "")
+
+
+def _run(items: Column, starts: Column, start: Column, j: Column) -> Column:
+    return F.slice(items, start + 1, F.coalesce(F.get(starts, j + 1), F.size(items)) - start)
 
 
 def digests(text: Column) -> Column:
     """Distinct digests; equal paragraphs are told apart by their number."""
     hashed = F.array_sort(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
-    zero = F.struct(
-        F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("out")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.when(acc["last"] == x, acc["n"] + 1).otherwise(F.lit(0))
-        return F.struct(x.alias("last"), n.alias("n"), F.concat(acc["out"], F.array(F.xxhash64(x, n))).alias("out"))
 
     def numbered(h: Column) -> Column:
-        return F.when(
-            F.size(F.array_distinct(h)) == F.size(h), F.transform(h, lambda x: F.xxhash64(x, F.lit(0)))
-        ).otherwise(F.aggregate(h, zero, step, lambda acc: acc["out"]))
+        return F.flatten(let(_starts(h, lambda x: x), lambda f: F.transform(
+            f, lambda start, j: F.transform(_run(h, f, start, j), lambda x, n: F.xxhash64(x, n))
+        )))
 
-    return let(hashed, numbered)
+    return let(hashed, lambda h: F.when(
+        F.size(F.array_distinct(h)) == F.size(h), F.transform(h, lambda x: F.xxhash64(x, F.lit(0)))
+    ).otherwise(numbered(h)))
 
 
 def check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _entry(sign: Column, key: Column, check_: Column, width: int) -> Column:
-    """A digest with its sign, its check and its cell in each block."""
-    slot = lambda b: F.shiftrightunsigned(key, 8 * b).bitwiseAND(F.lit(width - 1))
-    return F.struct(sign.alias("s"), key.alias("k"), check_.alias("c"), *(slot(b).alias(f"p{b}") for b in range(3)))
+def _entries(keys: Column, sign: int, width: Column) -> Column:
+    """Digests as cells: one in each block."""
 
+    def of(k: Column) -> Column:
+        slot = lambda b: F.shiftrightunsigned(k, 20 * b).bitwiseAND(width - 1) + width * b
+        cell = lambda b: F.struct(
+            slot(b).alias("p"), F.lit(sign).cast("long").alias("n"), k.alias("k"), check(k).alias("c"))
+        return F.array(cell(0), cell(1), cell(2))
 
-def _cells(entries: Column, width: int, start) -> Column:
-    """Cells of three blocks; ``start`` gives a cell's first value by number."""
+    return F.flatten(F.transform(keys, of))
+
+
+def summed(cells: Column) -> Column:
+    """Cells added by their number, without empty ones."""
+    nought = F.lit(0).cast("long")
+    zero = F.struct(nought.alias("n"), nought.alias("k"), nought.alias("c"))
 
     def add(acc: Column, e: Column) -> Column:
         return F.struct(
-            (acc["n"] + e["s"]).alias("n"), acc["k"].bitwiseXOR(e["k"]).alias("k"), acc["c"].bitwiseXOR(e["c"]).alias("c")
-        )
-
-    def block(b: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")),
-            lambda j: F.aggregate(
-                F.filter(entries, lambda e: e[f"p{b}"] == j), start(j + b * width), add
-            ),
+            (acc["n"] + e["n"]).alias("n"), acc["k"].bitwiseXOR(e["k"]).alias("k"), acc["c"].bitwiseXOR(e["c"]).alias("c")
         )
 
-    return F.concat(block(0), block(1), block(2))
+    def cell(run: Column) -> Column:
+        first = F.get(run, F.lit(0))
+        named = lambda x: F.struct(first["p"].alias("p"), x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"))
+        return F.when(F.size(run) == 1, first).otherwise(F.aggregate(run, zero, add, named))
 
+    def of(s: Column) -> Column:
+        return let(_starts(s, lambda x: x["p"]), lambda f: F.transform(f, lambda start, j: let(_run(s, f, start, j), cell)))
 
-def _zero(_=None) -> Column:
-    nought = F.lit(0).cast("long")
-    return F.struct(nought.alias("n"), nought.alias("k"), nought.alias("c"))
+    return F.filter(let(F.array_sort(cells), of), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
 
 
-def sketch(keys: Column, width: int) -> Column:
-    entries = F.transform(keys, lambda k: _entry(F.lit(1).cast("long"), k, check(k), width))
-    return let(entries, lambda e: _cells(e, width, _zero))
+def sketch(keys: Column, width) -> Column:
+    return summed(_entries(keys, 1, F.lit(width).cast("long")))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: F.struct(
-            (x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")
-        )
-    )
+    taken = lambda x: F.struct(x["p"].alias("p"), (-x["n"]).alias("n"), x["k"].alias("k"), x["c"].alias("c"))
+    return summed(F.concat(a, F.transform(b, taken)))
 
 
-def peel(cells: Column, width: int) -> Column:
-    """Array of (s, k, c) of the difference, s = 1 or -1; null if it fails."""
-    none = F.array().cast("array<struct<s:bigint,k:bigint,c:bigint>>")
+def peel(cells: Column, width) -> Column:
+    """Array of (s, k) of the difference, s = 1 or -1; null if it fails."""
+    width = F.lit(width).cast("long") if isinstance(width, int) else width
+    none = F.array().cast("array<bigint>")
 
     def round_(acc: Column) -> Column:
-        alone = F.filter(acc["cells"], lambda x: (F.abs(x["n"]) == 1) & (check(x["k"]) == x["c"]))
-        pure = F.array_distinct(F.transform(alone, lambda x: F.struct(x["n"].alias("s"), x["k"].alias("k"), x["c"].alias("c"))))
+        pure = lambda s: F.array_distinct(F.transform(
+            F.filter(acc["cells"], lambda x: (x["n"] == s) & (check(x["k"]) == x["c"])), lambda x: x["k"]))
 
         def taken(p: Column) -> Column:
-            out = F.transform(p, lambda e: _entry(-e["s"], e["k"], e["c"], width))
-            left = let(out, lambda o: _cells(o, width, lambda j: F.get(acc["cells"], j.cast("int"))))
-            return F.struct(left.alias("cells"), F.concat(acc["out"], p).alias("out"), (F.size(p) > 0).alias("go"))
+            left = summed(F.concat(acc["cells"], _entries(p["a"], -1, width), _entries(p["b"], 1, width)))
+            return F.struct(
+                left.alias("cells"), F.concat(acc["a"], p["a"]).alias("a"), F.concat(acc["b"], p["b"]).alias("b"),
+                (F.size(p["a"]) + F.size(p["b"]) > 0).alias("go"),
+            )
 
-        return let(pure, lambda p: F.when(F.size(p) > 0, taken(p)).otherwise(
-            F.struct(acc["cells"].alias("cells"), acc["out"].alias("out"), F.lit(False).alias("go"))
-        ))
+        return let(F.struct(pure(1).alias("a"), pure(-1).alias("b")), taken)
 
-    start = F.struct(cells.alias("cells"), none.alias("out"), F.lit(True).alias("go"))
-    empty = lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)
+    start = F.struct(cells.alias("cells"), none.alias("a"), none.alias("b"), F.lit(True).alias("go"))
+    signed = lambda keys, s: F.transform(keys, lambda k: F.struct(F.lit(s).alias("s"), k.alias("k")))
+    sides = lambda acc: F.concat(signed(acc["a"], 1), signed(acc["b"], -1))
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)), start,
-        lambda acc, _: F.when(acc["go"], round_(acc)).otherwise(acc),
-        lambda acc: F.when(F.forall(acc["cells"], empty), acc["out"]),
+        lambda acc, _: F.when(acc["go"] & (F.size(acc["cells"]) > 0), round_(acc)).otherwise(acc),
+        lambda acc: F.when(F.size(acc["cells"]) == 0, sides(acc)),
     )
 
 
@@ -154,23 +161,15 @@ def _size(found: Column) -> Column:
 
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """Number of digests in just one of the sets, from their sketches, retried larger on failure."""
-    groups = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2((F.size(a) + F.size(b)) / GROUP)))).cast("long")
+    need = F.pow(F.lit(2), F.ceil(F.log2((F.size(a) + F.size(b)) / 2.0))).cast("long")
 
-    def of(keys: Column, g: Column, n: Column) -> Column:
-        return F.filter(keys, lambda k: F.shiftrightunsigned(k, 24).bitwiseAND(n - 1) == g)
+    def retried(w: Column) -> Column:
+        # sketches are sums, so the difference of two is the sum over both sets with their signs
+        return _size(let(summed(F.concat(_entries(a, 1, w), _entries(b, -1, w))), lambda cells: peel(cells, w)))
 
-    def group(x: Column, y: Column) -> Column:
-        attempts = [_size(peel(subtract(sketch(x, w), sketch(y, w)), w)) for w in (WIDE, LAST)]
-        return F.coalesce(*attempts, F.size(x) + F.size(y))
-
-    def larger(n: Column) -> Column:
-        parts = F.transform(
-            F.sequence(F.lit(0).cast("long"), n - 1),
-            lambda g: let(of(a, g, n), lambda x: let(of(b, g, n), lambda y: group(x, y))),
-        )
-        return F.aggregate(parts, F.lit(0), lambda s, d: s + d)
-
-    return F.coalesce(_size(peel(subtract(cells_a, cells_b), BASE)), let(groups, larger))
+    attempts = [let(F.least(F.lit(MOST).cast("long"), need * more), retried) for more in (1, 8)]
+    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return F.coalesce(_size(peel(subtract(cells_a, cells_b), BASE)), *attempts, exact)
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -182,36 +181,65 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
 
 def fingerprint(keys: Column, cells: Column) -> Column:
     """The sketch as text."""
-    cell = lambda x: F.when(x["n"] == 0, F.lit("-")).otherwise(
-        F.concat_ws("", F.hex(x["n"]), F.lit("."), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["c"]), 8, "0"))
-    )
+    cell = lambda x: F.concat(
+        F.hex(x["p"]), F.lit("."), F.hex(x["n"]), F.lit("."), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["c"]), 8, "0"))
     return F.lower(F.concat_ws("|", F.size(keys).cast("string"), F.array_join(F.transform(cells, cell), ",")))
 
 
+def id_bounds(rows: DataFrame) -> list[int]:
+    """Ascending ids that divide the rows into ranges of about equal size; an id may stand there
+    more than once.  A sample of bounded size gives them."""
+    n = rows.count()
+    ranges = min(MAX_RANGES, n // RANGE_ROWS)
+    if ranges < 2:
+        return []
+    sampled = rows.select("id").filter(F.rand(11) < SAMPLED * ranges / n)
+    ids = sorted(r.id for r in sampled.collect())
+    return [ids[len(ids) * i // ranges] for i in range(1, ranges)] if ids else []
+
+
+def place_among(bounds: Column, value: Column, count: int, strict: bool) -> Column:
+    """How many of the ascending bounds are less than the value (or equal, if not strict), by bisection."""
+    steps = [1 << b for b in reversed(range(count.bit_length()))]
+    less = lambda x: (x < value) if strict else (x <= value)
+    return F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0),
+        lambda at, step: at + F.when(less(F.get(bounds, at + step - 1)), step).otherwise(F.lit(0)),
+    )
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, range, guest) dealt by id ranges, each ending in a guest: what comes next.
+    """(doc_id, text, id, h, range, guest) dealt by id ranges, each ending in a guest: what comes next.
 
-    Ids fall into ranges of equal width.  The range table (its largest id a range) is bounded
-    and goes through the driver; the largest id of a range is also sent, as a guest, to the
-    range above, and the largest of all to the lowest one.
+    Rows of an id that fills several ranges are dealt among them by the hash of their text.  The
+    range table (its largest row a range) is bounded and goes through the driver; the largest row
+    of a range is also sent, as a guest, to the range above, and the largest of all to the lowest one.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (low or 0) - 1, (high or 0)  # null ids stand below all others
-    count = min(MAX_RANGES, max(1, n // RANGE_ROWS))
-    width = (high - low) // count + 1
-    keyed = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)))
-    keyed = keyed.withColumn("range", F.floor((F.col("key") - F.lit(low)) / F.lit(width)).cast("long"))
-    tops = sorted(tuple(r) for r in keyed.groupBy("range").agg(F.max("key")).collect())
-    hosts = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    table_ = docs.sparkSession.createDataFrame(hosts, "key long, host long")
-    dealt = keyed.join(F.broadcast(table_), "key", "left").withColumn(
+    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
+    bounds = id_bounds(rows)
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    if bounds:
+        table_ = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+        low, high = (place_among(table_, F.col("id"), len(bounds), strict) for strict in (True, False))
+        share = F.col("h").cast("double") / float(1 << 64) + 0.5
+        keyed = keyed.withColumn("low", low).withColumn("high", high)
+        spread = F.least(F.floor((F.col("high") - F.col("low")) * share), F.greatest(F.col("high") - F.col("low") - 1, F.lit(0)))
+        keyed = keyed.withColumn("range", (F.col("low") + spread).cast("int")).drop("low", "high")
+    else:
+        keyed = keyed.withColumn("range", F.lit(0))
+    tops = sorted(
+        (r.range, r.top.id, r.top.h) for r in keyed.groupBy("range").agg(F.max(F.struct("id", "h")).alias("top")).collect()
+    )
+    hosts = [(i, h, tops[(k + 1) % len(tops)][0]) for k, (_, i, h) in enumerate(tops)]
+    hosts = docs.sparkSession.createDataFrame(hosts, "id long, h long, host int")
+    dealt = keyed.join(F.broadcast(hosts), ["id", "h"], "left").withColumn(
         "dest", F.explode(F.array_compact(F.array(
             F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")),
             F.when(F.col("host").isNotNull(), F.struct(F.col("host").alias("range"), F.lit(True).alias("guest"))),
         )))
     )
-    return dealt.select("doc_id", "text", "key", "dest.range", "dest.guest").repartition("range")
+    return dealt.select("doc_id", "text", "id", "h", "dest.range", "dest.guest").repartition("range")
 
 
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
@@ -221,7 +249,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """
     sketched = with_next(docs).withColumn("keys", digests(F.col("text")))
     sketched = sketched.withColumn("cells", sketch(F.col("keys"), BASE))
-    order = Window.partitionBy("range").orderBy("guest", F.desc("key"), F.desc("text"))
+    order = Window.partitionBy("range").orderBy("guest", F.desc("id"), F.desc("h"), F.desc("text"))
     pairs = sketched.withColumn("next", F.lead(F.struct("text", "keys", "cells")).over(order)).filter(~F.col("guest"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 
 from evidentia.llm import (
     bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filter,
@@ -49,24 +50,22 @@ def texts_of(df):
 
 
 def paragraphs(t):
-    out = []
-    for line in t.split("\n"):
-        out += re.split(r"(?<=[.!?])\s+", line) if len(line) > fingerprints.LONG else [line]
     seen, n = set(), collections.Counter()
-    for p in out:
+    for p in re.split(r"\n|(?<=[.!?])[ \t\n\x0b\f\r]+", t):
         if p.strip(" "):
             seen.add((p, n[p]))
             n[p] += 1
     return seen
 
 
-def test_fingerprints(odd, none):
-    assert fingerprints.fingerprint_versions(none).count() == 0
-    rows = sorted(((i, t or "") for i, t in texts_of(odd)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+def check_fingerprints(df):
+    signed = lambda t: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), 42)))[0]
+    rows = sorted(((i, t or "") for i, t in texts_of(df)), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
     got = collections.defaultdict(list)
-    for r in fingerprints.fingerprint_versions(odd).collect():
+    for r in fingerprints.fingerprint_versions(df).collect():
         got[(r.doc_id, r.edited_sha256)].append(r)
     like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    prints = collections.defaultdict(set)
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
@@ -74,7 +73,29 @@ def test_fingerprints(odd, none):
         assert r.n_chars == len(t)
         assert r.near_edited == pytest.approx(like(paragraphs(t), paragraphs(edited)))
         assert r.near_next == pytest.approx(like(paragraphs(t), paragraphs(nxt)))
-    assert not any(got.values())
+        prints[t].add(r.fingerprint)
+    assert not any(got.values()) and all(len(p) == 1 for p in prints.values())
+
+
+def test_fingerprints(odd, none):
+    assert fingerprints.fingerprint_versions(none).count() == 0
+    check_fingerprints(odd)
+
+
+@pytest.mark.parametrize("rounds", [fingerprints.ROUNDS, 1])
+def test_fingerprints_by_ranges(spark, monkeypatch, rounds):
+    """An outlying id, an id and null that fill several ranges, long texts; sketches that fail to the last."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 8)
+    monkeypatch.setattr(fingerprints, "ROUNDS", rounds)
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randint(0, 9)} v{rng.randint(0, 9)}{rng.choice('.!? ')}" for _ in range(n))
+    rows = [(10**15, text(9)), (7, text(5000)), (8, text(6000)), (-5, text(3))]
+    rows += [(rng.choice([i, 50, None]), text(rng.randint(0, 30))) for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_fingerprints(df)
+    if rounds > 1:
+        sizes = [r["count"] for r in fingerprints.with_next(df).filter("NOT guest").groupBy("range").count().collect()]
+        assert len(sizes) > 10 and max(sizes) < 40
 
 
 def test_peeling_recovers_the_difference(spark):
