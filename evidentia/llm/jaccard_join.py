@@ -57,6 +57,7 @@ _PRIME = np.uint64(0x9E3779B185EBCA87)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.multiply.accumulate(np.append(np.uint64(1), np.full((1 << 16) - 1, _PRIME, np.uint64)))
+_FAR_POWERS = np.multiply.accumulate(np.append(np.uint64(1), np.full((1 << 16) - 1, pow(int(_PRIME), 1 << 16, 1 << 64), np.uint64)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,6 +84,8 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     at[starts[0]:] = np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))
     value = np.where(word, raw.astype(np.uint64) + np.uint64(1), np.uint64(0))
     value *= _POWERS[at & 0xFFFF]
+    if int(at.max()) >> 16:  # words of over 65,536 bytes
+        value *= _FAR_POWERS[at >> 16 & 0xFFFF]
     return mix(np.add.reduceat(value, starts)), np.searchsorted(starts, offsets)
 
 
@@ -300,7 +303,8 @@ def _run_pairs(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def candidate_runs(docs: DataFrame, bands: Bands, ngram: int, buckets: int, common) -> DataFrame:
-    """Pairs (a, b) of classes that share a key, and the members (key, a, n, place) of large runs, with null b."""
+    """Pairs (a, b, star) of classes that share a key, and the members (key, a, n, place) of large
+    runs of leading hashes, with null b.  A large run of words gives star pairs only (see ``open_classes``)."""
     threshold = bands.threshold
     top, both = threshold.numerator, threshold.numerator + threshold.denominator
 
@@ -349,13 +353,14 @@ def candidate_runs(docs: DataFrame, bands: Bands, ngram: int, buckets: int, comm
         arrays = [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts]
         return arrays[0], [x.view(np.int64) for x in arrays[1:]]
 
-    names = ["key", "a", "b", "n", "place"]
+    names = ["key", "a", "b", "n", "place", "star"]
 
-    def rows(key, a, b, n, place):
-        for at in range(0, len(a), 100_000):
-            cut = slice(at, at + 100_000)
+    def rows(*columns):
+        count = max(len(x) for x in columns if x is not None)
+        for at in range(0, count, 100_000):
+            n = min(100_000, count - at)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(a[cut]), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x[cut])) for x in (key, a, b, n, place)], names)
+                [pa.nulls(n, pa.bool_() if k == "star" else pa.int64()) if x is None else pa.array(np.ascontiguousarray(x[at : at + n])) for k, x in zip(names, columns)], names)
 
     def meet(batches):
         words, leading = [], []
@@ -365,23 +370,55 @@ def candidate_runs(docs: DataFrame, bands: Bands, ngram: int, buckets: int, comm
         keys, columns = read(words, 2)
         keys, (cls,), first, length = _runs(keys, columns)
         x, y = _run_pairs(first, length)
-        pairs = [np.stack([cls[x], cls[y]], axis=1)]
-        large = length > SMALL
-        none = np.zeros(int(large.sum()), np.int64)
-        yield from rows(keys[large].view(np.int64), cls[large], None, none, none)
+        pairs = [np.stack([cls[x], cls[y], length[x] > SMALL], axis=1)]
         keys, columns = read(leading, 3)
         keys, (cls, where), first, length = _runs(keys, columns)
         n, place = where >> 32, where & 0xFFFFFFFF
         x, y = _run_pairs(first, length)
         fits = np.minimum(n[x] - place[x], n[y] - place[y]) * both >= (n[x] + n[y]) * top
-        pairs.append(np.stack([cls[x[fits]], cls[y[fits]]], axis=1))
+        pairs.append(np.stack([cls[x[fits]], cls[y[fits]], np.zeros(int(fits.sum()), np.int64)], axis=1))
         large = length > SMALL
-        yield from rows(keys[large].view(np.int64), cls[large], None, n[large], place[large])
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        yield from rows(None, pairs[:, 0], pairs[:, 1], None, None)
+        yield from rows(keys[large].view(np.int64), cls[large], None, n[large], place[large], None)
+        pairs = np.concatenate(pairs)
+        pairs = pairs[np.lexsort((1 - pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+        keep = np.ones(len(pairs), bool)
+        keep[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
+        pairs = pairs[keep]
+        yield from rows(None, pairs[:, 0], pairs[:, 1], None, None, pairs[:, 2] > 0)
 
     keyed = _lowered(docs).mapInArrow(emit, "bucket int, words binary, leading binary").repartition("bucket").select("words", "leading")
-    return keyed.mapInArrow(meet, "key long, a long, b long, n long, place long")
+    return keyed.mapInArrow(meet, "key long, a long, b long, n long, place long, star boolean")
+
+
+def open_classes(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Classes of large word runs in which not all members have come into one component."""
+    star = pairs.filter("star").select("a", "b")
+    ends = star.join(joined.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+    ends = ends.join(joined.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    unsettled = ends.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a").distinct()
+    return star.join(unsettled, "a").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
+def members_of(sets: DataFrame, bands: Bands) -> DataFrame:
+    """(key, cls, place) of sets that are given by their hashes: words over all hashes, none of them
+    left out as common, and leading hashes of sparse sets."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, _SUB):
+                part = b.slice(at, _SUB)
+                cls = part.column("cls").to_numpy()
+                each = [_unpack(x.as_buffer()) for x in part.column("hashes")]
+                offsets = np.append(0, np.cumsum([len(x) for x in each]))
+                hashes = mix(np.concatenate(each))
+                all_ = np.ones(len(hashes), bool)
+                keys, owner, sparse = sketch_keys(hashes, offsets, all_, bands)
+                more, own, place = leading_keys(hashes, offsets, all_, np.flatnonzero(sparse), bands.threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([keys, more]).view(np.int64)), pa.array(cls[np.concatenate([owner, own])]), pa.array(np.append(np.zeros(len(keys), np.int64), place))],
+                    ["key", "cls", "place"])
+
+    return sets.mapInArrow(run, "key long, cls long, place long")
 
 
 def candidate_sets(docs: DataFrame, pairs: DataFrame, ngram: int, common) -> DataFrame:
@@ -430,8 +467,9 @@ def _first_of_class(batches):
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
     return out.view(np.uint64).ravel()
 
 
@@ -472,7 +510,8 @@ def similarity_components(
     common = spark.sparkContext.broadcast(common_hashes(docs, ngram))
     classes = through_files(document_classes(docs, ngram, common))
     runs = through_files(candidate_runs(docs, bands, ngram, buckets, common))
-    pairs = through_files(runs.filter(F.col("b").isNotNull()).select("a", "b").distinct())
+    pairs = runs.filter(F.col("b").isNotNull()).groupBy("a", "b").agg(F.max("star").alias("star"))
+    pairs = through_files(pairs)
     large = runs.filter(F.col("b").isNull()).select("key", F.col("a").alias("cls"), "place")
     sets = through_files(candidate_sets(docs, pairs, ngram, common))
     links = through_files(verified_links(pairs, sets, threshold))
@@ -481,6 +520,9 @@ def similarity_components(
         return connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     joined = components(links)
+    unsettled = through_files(open_classes(pairs, joined))
+    if unsettled.limit(1).count():
+        large = large.unionByName(through_files(members_of(sets.join(unsettled, "cls", "left_semi"), bands)))
     # pairs of large runs between different components
     member = large.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = member.join(classes.filter("cls IS NOT NULL").groupBy("cls").agg(F.max("n").alias("n")), "cls")
@@ -492,7 +534,7 @@ def similarity_components(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
         & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (top + bottom) >= (F.col("x.n") + F.col("y.n")) * top),
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     across = through_files(across)
     # members whose pairs in the runs all failed the bound have sent no set yet
     late = across.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
