@@ -60,7 +60,8 @@ _SLICE = 1 << 19
 _HASH = (1 << 40) - 1
 _BASE = np.uint64(0x9E3779B185EBCA87)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CODEC = pa.Codec("zstd", 1)
+_CODEC = pa.Codec("zstd", 3)
+_PAYLOAD = pa.Codec("zstd", 5)
 
 
 def _powers(base: np.uint64) -> np.ndarray:
@@ -256,6 +257,17 @@ def unpacked(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return [np.frombuffer(raw, t, int(n) // np.dtype(t).itemsize, int(a)) for t, n, a in zip(kinds, head[1:], at)]
 
 
+def steps(hashes: np.ndarray) -> np.ndarray:
+    """Differences of ascending 40-bit numbers, byte by byte: the first bytes of all, then the second ones, ..."""
+    return np.ascontiguousarray(np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T).ravel()
+
+
+def summed_steps(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = raw.reshape(5, -1).T
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 _SEGMENTS = (np.int64, np.int16, np.int16, np.int32, np.int64, np.uint8)
 
 
@@ -289,10 +301,7 @@ def chunk_table(docs: DataFrame, columns: list[str]) -> DataFrame:
         def flush():
             rows = pa.Table.from_batches(pending).combine_chunks()
             rows = rows.take(pc.sort_indices(rows.column("id"))).combine_chunks()  # nulls last
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(rows)
-            return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), pa.array([sealed(rows)], pa.binary())], ["chunk", "payload"])
 
         for b in batches:
             total = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -313,6 +322,13 @@ def chunk_table(docs: DataFrame, columns: list[str]) -> DataFrame:
     return through_files(rows.mapInArrow(pack, "chunk long, payload binary"))
 
 
+def sealed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=_PAYLOAD)) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def opened(payload) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """The rows of a chunk, and bytes and offsets of all texts."""
     rows = pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
@@ -345,10 +361,9 @@ def shared_minimizers(chunks: DataFrame, length: int) -> DataFrame:
             for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload")):
                 _, _, _, hashes, count = chunk_segments(payload, length)
                 cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-                small = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5])
                 count = np.minimum(count, 255).astype(np.uint8)
                 some = np.flatnonzero(np.diff(cuts))
-                blobs = [small[cuts[i] : cuts[i + 1]].tobytes() + count[cuts[i] : cuts[i + 1]].tobytes() for i in some.tolist()]
+                blobs = [packed(steps(hashes[a:b]), count[a:b]) for a, b in zip(cuts[some], cuts[some + 1])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array(np.full(len(some), chunk), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
 
@@ -356,12 +371,9 @@ def shared_minimizers(chunks: DataFrame, length: int) -> DataFrame:
         for bucket, rows in by_bucket(batches):
             hashes, count = [], []
             for _, blob in rows:
-                raw = np.frombuffer(blob.as_buffer(), np.uint8)
-                n = len(raw) // 6
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, :5] = raw[: 5 * n].reshape(-1, 5)
-                hashes.append(wide.view(np.uint64).ravel())
-                count.append(raw[5 * n :])
+                some, times = unpacked(blob.as_py(), (np.uint8, np.uint8))
+                hashes.append(summed_steps(some))
+                count.append(times)
             cuts = np.append(0, np.cumsum([len(h) for h in hashes]))
             hashes, count = np.concatenate(hashes), np.concatenate(count).astype(np.int64)
             order = np.argsort(hashes)
