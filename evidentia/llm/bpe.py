@@ -11,8 +11,9 @@ boundary.  Texts of a batch are scanned together; the end-of-text class maps all
 the start, so no token crosses documents.
 
 Slices between boundaries go through a bounded cache to their ids; only distinct misses are
-merged, by a heap of pairs in O(n log n) for a slice of n bytes.  Ids are decoded by the
-offsets of their bytes in one table of all tokens.
+merged, by a heap of pairs in O(n log n) for a slice of n bytes.  The byte offset of each slice is
+retained, and with it that of each of its ids: decoding copies the bytes of every id to its
+offset, so any stretch of a text is decoded from its own ids alone (``decode_part``).
 
 Defined results: null text is empty and has no ids; empty texts give 0 tokens and the digest
 of nothing; rows stand one for one, repeats included; other input columns are not read.
@@ -136,6 +137,9 @@ class ByteBPE:
         names = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in self.specials.items()}
         size = max(names) + 1
         self.table = [names.get(i, b"") for i in range(size)]
+        self.lengths = np.array([len(b) for b in self.table], np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(self.table), np.uint8)
         self.slice_ids = lambda p: self.merge(p.encode("utf-8", "surrogatepass"))
 
     @staticmethod
@@ -226,6 +230,7 @@ class ByteBPE:
         return out
 
     def _ordinary(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, whatever stands in it."""
         joined, starts, first = self.slices(texts)
         cuts = starts.tolist()
         pieces = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -239,22 +244,50 @@ class ByteBPE:
             cache[p] = struct.pack(f"<{len(ids)}I", *ids)
         coded = list(map(cache.__getitem__, pieces))
         bounds = first.tolist()
+        self.last = joined, starts, first, coded
         return [b"".join(coded[a : b - 1]) for a, b in zip(bounds, bounds[1:])]
 
+    def _offsets(self) -> list[bytes]:
+        """Of the texts that were encoded last: the byte offset of each id in its text."""
+        joined, starts, first, coded = self.last
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = np.ones(len(points), np.int64)
+        for least in (0x80, 0x800, 0x10000):
+            width += points >= least
+        at = np.append(0, np.cumsum(width))[starts]  # of each slice, in bytes
+        count = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
+        ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
+        ends = np.cumsum(self.lengths[ids])
+        begins = ends - self.lengths[ids]  # of each id, if slices stood end to end as their ids do
+        before = np.cumsum(count) - count
+        begins += np.repeat(at - begins[before], count)
+        text = np.repeat(np.arange(len(first) - 1), np.add.reduceat(count, first[:-1]))
+        begins = (begins - at[first[:-1]][text]).astype("<u4")
+        edge = np.append(before, len(ids))[first]
+        return [begins[a : b - 1].tobytes() for a, b in zip(edge, edge[1:])]  # without the separator
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         Strings of ``specials`` inside a text stand for their own ids.
         """
-        out: list[bytes] = []
+        return [ids for group in self._groups(texts) for ids in self._group(group)]
+
+    def encode_with_offsets(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of each text and their byte offsets in it, both little-endian unsigned 32-bit; no specials."""
+        return [pair for group in self._groups(texts) for pair in zip(self._ordinary(group), self._offsets())]
+
+    @staticmethod
+    def _groups(texts: list[str]):
         group, size = [], 0
         for t in texts:  # about a million characters are scanned together
             group.append(t)
             size += len(t)
             if size > 1 << 20:
-                out += self._group(group)
+                yield group
                 group, size = [], 0
-        return out + (self._group(group) if group else [])
+        if group:
+            yield group
 
     def _group(self, texts: list[str]) -> list[bytes]:
         plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.specials)]
@@ -269,8 +302,25 @@ class ByteBPE:
             out[i] = mark.join(self._ordinary(texts[i].split(special)))
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, offsets: bytes) -> bytes:
+        """The text: each id's bytes, put at its offset."""
+        ids, at = np.frombuffer(ids, "<u4").astype(np.int64), np.frombuffer(offsets, "<u4").astype(np.int64)
+        if not len(ids):
+            return b""
+        size = self.lengths[ids]
+        out = np.empty(at[-1] + size[-1], np.uint8)
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(at, size) + within] = self.blob[np.repeat(self.places[ids], size) + within]
+        return out.tobytes()
+
+    def decode_part(self, ids: bytes, offsets: bytes, start: int, end: int) -> bytes:
+        """Bytes ``start`` to ``end`` of the text, from the ids that cover them."""
+        at = np.frombuffer(offsets, "<u4").astype(np.int64)
+        a, b = max(0, int(np.searchsorted(at, start, "right")) - 1), int(np.searchsorted(at, end))
+        if a >= b:
+            return b""
+        part = self.decode(ids[4 * a : 4 * b], (at[a:b] - at[a]).astype("<u4").tobytes())
+        return part[start - at[a] : end - at[a]]
 
 
 _LOADED: dict[tuple, ByteBPE] = {}
@@ -294,22 +344,23 @@ def loaded(path: str, specials: tuple = (), library: bool = False) -> ByteBPE:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded: for each (doc_id, text)."""
+    """doc_id, n_tokens, ids and offsets (little-endian unsigned 32-bit), decoded: for each (doc_id, text)."""
 
     def run(batches):
         bpe = loaded(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                coded = bpe.encode_with_offsets([t or "" for t in part.column("text").to_pylist()])
+                ids, offsets = ([c[k] for c in coded] for k in range(2))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                     pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
+                    [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array(offsets, pa.binary()), pa.array([bpe.decode(*c) for c in coded], pa.binary())],
+                    ["doc_id", "n_tokens", "ids", "offsets", "decoded"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, offsets binary, decoded binary")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
