@@ -9,7 +9,10 @@ the shortest code wins; the score is its share of 2^-bits, with texts of over EV
 weighted as EVIDENCE bytes.
 
 The trees are fitted on at most ``per_language`` learning rows a language, chosen by a hash
-of the id, whole texts; byte strings of the longest length that occurred once are pruned.
+of the id, whole texts.  Totals and distinct counts are taken over all strings; then byte strings
+of the longest length that occurred once are pruned, and their share goes to the escape of their
+context (probability (distinct + pruned) / (total + distinct)), so code lengths are exactly those
+of a tree whose probabilities still add up to one.
 Counting runs on Spark; the trees, bounded by the sample, are flattened to one table a
 length (string -> bits and escape bits of every language) and broadcast.  Scoring looks up
 whole batches of bytes in these tables.
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_buffers
+from .common import table, text_buffers, through_files
 
 ORDER = 4
 PER_LANGUAGE = 1500
@@ -100,19 +103,25 @@ class Trees:
     first_escape: np.ndarray  # of the empty context
 
     @staticmethod
-    def build(languages: list[str], counts: list[list[tuple[np.ndarray, np.ndarray]]]) -> "Trees":
-        """``counts[language][n - 1]`` has the sorted keys and their counts."""
+    def build(languages: list[str], counts: list[list[tuple[np.ndarray, np.ndarray]]], longest: list[tuple]) -> "Trees":
+        """``counts[language][n - 1]`` has the sorted keys and their counts; ``longest[language]`` the sorted
+        contexts of the longest strings with their totals, distinct counts and pruned strings."""
         size, low = len(languages), np.uint64(8)
-        keys = [np.unique(np.concatenate([c[n][0] for c in counts])) for n in range(ORDER + 1)]
+        start = np.zeros(1, np.uint64)  # the context before a text, which no byte of a text ends
+        keys = [np.unique(np.concatenate([start, *(c[n][0] for c in counts)])) for n in range(ORDER + 1)]
         bits = [np.zeros((len(k), size), np.float32) for k in keys]
         escapes = [np.zeros((len(k), size), np.float32) for k in keys]
         first_escape = np.zeros(size, np.float32)
         for n in range(ORDER + 1):
             for j, own in enumerate(counts):
                 k, c = own[n]
-                contexts, inverse = np.unique(k >> low, return_inverse=True)
-                total = np.bincount(inverse, c, len(contexts)) if len(k) else np.zeros(0)
-                kinds = np.bincount(inverse, minlength=len(contexts))
+                if n == ORDER:
+                    contexts, total, kinds, pruned = longest[j]
+                    inverse = np.searchsorted(contexts, k >> low)
+                else:
+                    contexts, inverse = np.unique(k >> low, return_inverse=True)
+                    total = np.bincount(inverse, c, len(contexts)) if len(k) else np.zeros(0)
+                    kinds, pruned = np.bincount(inverse, minlength=len(contexts)), 0
                 # strings that this language has not seen fall back
                 if n:
                     shorter = np.searchsorted(keys[n - 1], keys[n] & np.uint64((1 << (8 * n)) - 1))
@@ -122,7 +131,7 @@ class Trees:
                 if len(contexts):
                     at = np.minimum(np.searchsorted(contexts, keys[n] >> low), len(contexts) - 1)
                     seen = contexts[at] == keys[n] >> low
-                    escape = -np.log2(kinds / (total + kinds))
+                    escape = -np.log2((kinds + pruned) / (total + kinds))
                     value = value + np.where(seen, escape[at], 0)
                     value[np.searchsorted(keys[n], k)] = -np.log2(c / (total[inverse] + kinds[inverse]))
                     if n == 0:
@@ -207,19 +216,27 @@ def fit(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) -> Trees | Non
                              pa.array(keys.view(np.int64)), pa.array(c)], ["lang", "n", "key", "c"])
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, n int, key long, c long")
-    counts = counts.groupBy("lang", "n", "key").agg(F.sum("c").alias("c")).filter((F.col("n") <= ORDER) | (F.col("c") > 1))
-    got = counts.toArrow()
+    counts = through_files(counts.groupBy("lang", "n", "key").agg(F.sum("c").alias("c")))
+    ends = counts.filter(F.col("n") == ORDER + 1).groupBy("lang", F.shiftrightunsigned("key", 8).alias("key")).agg(
+        F.sum("c").alias("total"), F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("pruned"))
+    ends = ends.toArrow()
+    got = counts.filter((F.col("n") <= ORDER) | (F.col("c") > 1)).toArrow()
     lang, n = np.array(got.column("lang").to_pylist(), object), got.column("n").to_numpy()
     key, c = got.column("key").to_numpy().view(np.uint64), got.column("c").to_numpy()
-    languages, each = sorted(set(lang)), []
+    end_lang, (end_key, total, kinds, pruned) = np.array(ends.column("lang").to_pylist(), object), (
+        ends.column(c).to_numpy() for c in ("key", "total", "kinds", "pruned"))
+    languages, each, longest = sorted(set(lang)), [], []
     for name in languages:
         own = []
+        at = np.flatnonzero(end_lang == name)
+        at = at[np.argsort(end_key[at])]
+        longest.append((end_key[at].view(np.uint64), total[at], kinds[at], pruned[at]))
         for k in range(1, ORDER + 2):
             at = np.flatnonzero((lang == name) & (n == k))
             at = at[np.argsort(key[at])]
             own.append((key[at], c[at].astype(np.float64)))
         each.append(own)
-    return Trees.build(languages, each) if languages else None
+    return Trees.build(languages, each, longest) if languages else None
 
 
 _SCORERS: dict[int, Scorer] = {}
