@@ -3,7 +3,8 @@
 ``rule_ledger`` evaluates every rule once per document and stores one bit per failed rule
 (``fail_bits``) beside the measurements.  A policy is a version with a mask of the rules that
 count; ``apply_policy`` and ``ablation`` read only the ledger, so a new policy or an ablation
-is a bitwise pass over one long column.  All is SQL functions on the row: no shuffle but for
+is a bitwise pass over one long column (``ledger_ablation`` stores a ledger and reads it for
+two policies).  All is SQL functions on the row: no shuffle but for
 the final sums of ``ablation``, which are combined per task.
 
 Words are runs of characters other than \\x20 and \\x09-\\x0D; lines are split at \\n.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, table
+from .common import SPACES, let, table, through_files
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -139,10 +140,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ablations of both policies, read from one stored ledger of all documents."""
+    ledger = through_files(rule_ledger(table(spark, sf_dir, "documents")).select("doc_id", "fail_bits"))
+    parts = [ablation(ledger, p).select(F.lit(p).alias("policy"), "rule", "n_failed", "n_only") for p in POLICIES]
+    return parts[0].unionByName(parts[1])
+
+
 _W = r"[^\x20\x09-\x0D]+"
-QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLE = {
-    "op6_quality_rules": rf"""
+QUERIES = {"op6_quality_rules": op6_quality_rules, "ledger_ablation": ledger_ablation}
+_LEDGER = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS w,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS lines FROM t),
@@ -154,7 +161,14 @@ m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cov USING (doc_id)),
-f AS (SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))})::BIGINT AS fail_bits FROM m)
+f AS (SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))})::BIGINT AS fail_bits FROM m)"""
+ORACLE = {
+    "op6_quality_rules": _LEDGER + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (fail_bits & {mask("base")}) <> 0 AS base_failed, (fail_bits & {mask("v1")}) = 0 AS kept, n_lines, fail_bits FROM f"""
+  (fail_bits & {mask("base")}) <> 0 AS base_failed, (fail_bits & {mask("v1")}) = 0 AS kept, n_lines, fail_bits FROM f""",
+    "ledger_ablation": _LEDGER + "\n" + "\nUNION ALL ".join(
+        f"""SELECT '{p}' AS policy, '{r.name}' AS rule, count(*) FILTER (WHERE fail_bits & {1 << i} <> 0)::BIGINT AS n_failed,
+  count(*) FILTER (WHERE fail_bits & {mask(p)} = {1 << i})::BIGINT AS n_only FROM f"""
+        for p in POLICIES for i, r in enumerate(RULES) if r.name in POLICIES[p]
+    ),
 }
