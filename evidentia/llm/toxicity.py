@@ -35,16 +35,32 @@ from .common import table, through_files
 SAMPLE, MIN_DOCS, MAX_FEATURES = 12_000, 5, 20_000
 MIN_PREFIX, MAX_PREFIX = 4, 8
 THRESHOLD = 0.7
+#: Weight of the mean squared change of the linear score under the swap of identity terms.
+PENALTY = 10.0
 
-#: Pairs of identity terms that are swapped for each other.
+#: Pairs of identity terms that are swapped for each other, by language.
 IDENTITY_PAIRS = (
+    # English
     ("woman", "man"), ("women", "men"), ("girl", "boy"), ("she", "he"), ("her", "his"), ("female", "male"),
     ("gay", "straight"), ("lesbian", "heterosexual"), ("black", "white"), ("asian", "european"),
     ("african", "american"), ("muslim", "christian"), ("jewish", "catholic"), ("muslims", "christians"),
     ("jews", "catholics"), ("immigrant", "citizen"), ("immigrants", "citizens"), ("disabled", "healthy"),
     ("old", "young"), ("transgender", "cisgender"),
+    # French
+    ("femme", "homme"), ("femmes", "hommes"), ("fille", "gar\u00e7on"), ("elle", "il"), ("noir", "blanc"),
+    ("noire", "blanche"), ("musulman", "chr\u00e9tien"), ("musulmans", "chr\u00e9tiens"), ("juif", "catholique"),
+    ("juifs", "catholiques"), ("immigr\u00e9", "citoyen"), ("immigr\u00e9s", "citoyens"), ("handicap\u00e9", "valide"),
+    ("vieux", "jeune"), ("homosexuel", "h\u00e9t\u00e9rosexuel"),
+    # German
+    ("frau", "mann"), ("frauen", "m\u00e4nner"), ("m\u00e4dchen", "junge"), ("weiblich", "m\u00e4nnlich"), ("schwarze", "wei\u00dfe"),
+    ("schwarzer", "wei\u00dfer"), ("moslem", "christ"), ("muslime", "christen"), ("juden", "katholiken"), ("j\u00fcdisch", "katholisch"),
+    ("einwanderer", "einheimische"), ("behindert", "gesund"), ("alt", "jung"), ("schwul", "heterosexuell"), ("lesbisch", "hetero"),
+    # Spanish
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("ni\u00f1a", "ni\u00f1o"), ("ella", "\u00e9l"), ("negro", "blanco"), ("negra", "blanca"),
+    ("musulm\u00e1n", "cristiano"), ("musulmanes", "cristianos"), ("jud\u00edo", "cat\u00f3lico"), ("jud\u00edos", "cat\u00f3licos"),
+    ("inmigrante", "ciudadano"), ("inmigrantes", "ciudadanos"), ("discapacitado", "sano"), ("viejo", "joven"), ("lesbiana", "heterosexual"),
 )
-SWAP = {a: b for a, b in IDENTITY_PAIRS} | {b: a for a, b in IDENTITY_PAIRS}
+SWAP = {b: a for a, b in IDENTITY_PAIRS} | {a: b for a, b in IDENTITY_PAIRS}
 
 _WORD = re.compile(r"\w+")
 
@@ -118,7 +134,7 @@ class Rows:
         return np.bincount(self.ids, g[self.owner] * self.values, size)
 
 
-def _solve(rows: Rows, length, labels, pairs: Rows, size, l2=1.0, penalty=10.0, positive_weight=3.0, rounds=400):
+def _solve(rows: Rows, length, labels, pairs: Rows, size, l2=1.0, penalty=PENALTY, positive_weight=3.0, rounds=400):
     """Weights, length weight and bias of the penalised logistic model, by Adam on all rows.
 
     A row of ``pairs`` has the differences between a text and its counterfactual, and is empty
@@ -146,7 +162,7 @@ def _solve(rows: Rows, length, labels, pairs: Rows, size, l2=1.0, penalty=10.0,
     return w[:size], float(w[-2]), float(w[-1] - w[-2] * center)
 
 
-def fit(labelled: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_FEATURES) -> Model:
+def fit(labelled: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_FEATURES, penalty: float = PENALTY) -> Model:
     """A model of (text, toxic) rows with a 0/1 label, such as ``learning_rows`` gives."""
     rows = labelled.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull())
     rows = rows.select("text", F.col("toxic").cast("int").alias("y"))
@@ -209,7 +225,7 @@ def fit(labelled: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_F
     order = np.argsort(got.column("place").to_numpy(), kind="stable")  # the same sums in any partitioning
     w, length, bias = _solve(
         Rows.of(got.column("ids"), got.column("vals"), order), got.column("len").to_numpy()[order],
-        got.column("y").to_numpy()[order].astype(float), Rows.of(got.column("dids"), got.column("dvals"), order), len(names),
+        got.column("y").to_numpy()[order].astype(float), Rows.of(got.column("dids"), got.column("dvals"), order), len(names), penalty=penalty,
     )
     return Model(blank.index, w, length, bias)
 

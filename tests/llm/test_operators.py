@@ -276,6 +276,42 @@ def test_toxicity(spark):
         assert got == pytest.approx(1.0 if labels and labels[0][2] else 0.0)
 
 
+def test_toxicity_scores_are_those_of_the_weights(spark):
+    """The scores of all texts, by the features and weights of the model worked out in another way."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    twice = labels.unionByName(labels.withColumn("toxic", F.lit(0).cast("long")))  # the larger label counts
+    learn = toxicity.learning_rows(docs, twice, ~toxicity.held_out())
+    assert sorted(map(tuple, learn.select("doc_id", "toxic").collect())) == sorted(
+        map(tuple, labels.filter(~toxicity.held_out()).join(docs.select("doc_id"), "doc_id").select("doc_id", "toxic").collect()))
+    model = toxicity.fit(learn, min_docs=2)
+    extra = spark.createDataFrame([(-1, "word " * 200_000), (-2, "  "), (-3, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra).withColumn("score", F.lit("clash")).withColumn("index", F.lit(1))
+    got = {r.doc_id: r.score for r in toxicity.score_texts(rows, model).collect()}
+    for i, t in texts_of(rows):
+        words = re.findall(r"\w+", (t or "").lower())
+        features = collections.Counter(f for w in words for f in {"=" + w, *("^" + w[:n] for n in range(4, 9) if n <= len(w))})
+        z = model.bias + model.length_weight * np.log1p(len(words))
+        z += sum(model.weights[model.index[f]] * np.log1p(c) for f, c in features.items() if f in model.index)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -60, 60))), abs=1e-9)
+    assert toxicity.score_texts(rows.filter("false"), model).count() == 0
+
+
+def test_the_penalty_spares_neutral_mentions(spark):
+    """Most toxic texts name a group and few others do: without the penalty the name carries weight."""
+    rnd = random.Random(2)
+    say = lambda: " ".join(rnd.choice("red blue green tall short round flat".split()) for _ in range(20))
+    rows = []
+    for i in range(900):
+        bad = i % 3 == 0
+        rows.append((i, say() + (rnd.choice([" grotbag", " snivel"]) if bad and i % 9 else "") + (" mujeres" if bad or i % 50 == 1 else ""), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    free, bound = (toxicity.fit(df, penalty=p) for p in (0.0, toxicity.PENALTY))
+    neutral = [f"{say()} {word}" for word in ("mujeres", "hombres") for _ in range(40)]
+    flagged = [sum(m.score(t) >= 0.5 for t in neutral) for m in (free, bound)]
+    assert flagged[0] >= 40 > 5 >= flagged[1]
+    assert bound.score(say() + " grotbag") > 0.7
+
+
 def measured(t):
     w = WORDS.findall(t)
     lines = [x for x in t.split("\n") if WORDS.search(x)]
@@ -388,23 +424,19 @@ def test_language_id(spark, docs, odd, none):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(odd, F.lit(True))).collect()} == {"und"}
 
 
-def test_code_lengths_are_those_of_the_trees():
-    """The tables give what a plain walk over contexts with escapes gives."""
-    texts = {"a": b"abracadabra", "b": b"banana band"}
-    counts, each = {}, []
-    for lang in sorted(texts):
-        own = []
-        padded, starts = language_id.pad(np.frombuffer(texts[lang], np.uint8), np.array([0, len(texts[lang])]))
-        for n in range(1, language_id.ORDER + 2):
-            k, c = np.unique(language_id.grams(padded, n), return_counts=True)
-            own.append((k, c.astype(float)))
-            for key, x in zip(k.tolist(), c.tolist()):
-                counts[lang, n, key.to_bytes(n, "big")] = x
-        each.append(own)
-    scorer = language_id.Scorer(language_id.Trees.build(sorted(texts), each))
-    probe = b"bandana zebra"
-
-    def bits(lang):
+def test_code_lengths_are_those_of_the_trees(spark):
+    """The fitted tables give what a plain walk over contexts with escapes gives."""
+    texts = {"a": "abracadabra abracadabra cad", "b": "banana band, banana bandana"}
+    longest, counts = language_id.ORDER + 1, collections.Counter()
+    for lang, text in texts.items():
+        full = b"\0" * language_id.ORDER + text.encode()
+        for i in range(language_id.ORDER, len(full)):
+            for n in range(1, longest + 1):
+                counts[lang, n, full[i - n + 1 : i + 1]] += 1
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    scorer = language_id.Scorer(language_id.fit(df, F.lit(True)))
+
+    def bits(lang, probe):
         total, full = 0.0, b"\0" * language_id.ORDER + probe
         for i in range(language_id.ORDER, len(full)):
             for n in range(language_id.ORDER, -1, -1):
@@ -412,17 +444,26 @@ def test_code_lengths_are_those_of_the_trees():
                 after = [x for (g, m, s), x in counts.items() if g == lang and m == n + 1 and s[:-1] == context]
                 if not after:
                     continue
-                hit = counts.get((lang, n + 1, context + full[i : i + 1]))
-                if hit:
+                hit = counts[lang, n + 1, context + full[i : i + 1]]
+                if hit > (n + 1 == longest):
                     total -= np.log2(hit / (sum(after) + len(after)))
                     break
-                total -= np.log2(len(after) / (sum(after) + len(after)))
+                once = sum(1 for x in after if x == 1) if n + 1 == longest else 0
+                total -= np.log2((len(after) + once) / (sum(after) + len(after)))
             else:
                 total += 8
         return total
 
-    got = scorer.code_lengths(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))[0]
-    assert got == pytest.approx([bits("a"), bits("b")], rel=1e-4)
+    for probe in (b"bandana zebra", b"abracadabra banana", b"", "d\u00e9j\u00e0".encode()):
+        got = scorer.code_lengths(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))[0]
+        assert got == pytest.approx([bits("a", probe), bits("b", probe)], rel=1e-4)
+
+
+def test_language_ties(spark):
+    """Equal code lengths go to the first language by name."""
+    df = spark.createDataFrame([(1, "same words", "y"), (2, "same words", "x")], "doc_id long, text string, lang string")
+    (r,) = language_id.identify(df.limit(1), language_id.fit(df, F.lit(True))).collect()
+    assert (r.lang_pred, r.score) == ("x", pytest.approx(0.5))
 
 
 def test_packing(odd, none):
