@@ -20,8 +20,10 @@ within the size ratio meets in the larger one's band.
 Equal sets are one class; sketches, candidates and links are between classes.  A class's
 number begins with its share of rare hashes, so the least member of a group of near copies is
 one that most of them are close to.  A key's classes (a run) of at most SMALL members give all
-their pairs.  A larger run gives the pairs of its least member with the others; when the links
-found so far have been joined to components, pairs of such a run that lie in different
+their pairs.  A larger run gives the pairs of its least member with the others (a star).  When the
+links found so far have been joined to components, runs of words whose star has come into one
+component are settled, which nearly all runs of copies are; the classes of the others give their
+words again.  Pairs of such a run, or of a large run of leading hashes, that lie in different
 components are verified as well.  So no link between components is lost, while large groups of
 copies stay linear.  Candidates are verified by their exact sets, which only classes that are
 in a candidate pair send, those of later pairs in a scan of their own.
@@ -30,8 +32,8 @@ Defined results: null, empty and blank texts have no set, size 0 and are their o
 texts with fewer words than n have their whole sequence as the only n-gram; rows stand one
 for one; rows with equal ids take part as documents of their own and share the id; the
 component of a null id is the smallest id it reaches, if any; an empty table gives an empty
-result; other input columns are not read.  Hashes stand for n-grams, 40 bits of them in the
-verification of one pair.
+result; other input columns are not read.  64-bit hashes stand for n-grams, and 59 bits of a hash
+for a class of equal sets.
 """
 
 from __future__ import annotations
@@ -399,30 +401,25 @@ def open_classes(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return star.join(unsettled, "a").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
-def members_of(sets: DataFrame, bands: Bands) -> DataFrame:
-    """(key, cls, place) of sets that are given by their hashes: words over all hashes, none of them
-    left out as common, and leading hashes of sparse sets."""
+def members_of(sets: DataFrame, bands: Bands, common) -> DataFrame:
+    """(key, cls, place) of the words of given sets: the keys under which they have met."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, _SUB):
                 part = b.slice(at, _SUB)
-                cls = part.column("cls").to_numpy()
                 each = [_unpack(x.as_buffer()) for x in part.column("hashes")]
-                offsets = np.append(0, np.cumsum([len(x) for x in each]))
-                hashes = mix(np.concatenate(each))
-                all_ = np.ones(len(hashes), bool)
-                keys, owner, sparse = sketch_keys(hashes, offsets, all_, bands)
-                more, own, place = leading_keys(hashes, offsets, all_, np.flatnonzero(sparse), bands.threshold)
+                hashes, offsets = np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
+                keys, owner, _ = sketch_keys(hashes, offsets, is_rare(hashes, common.value), bands)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([keys, more]).view(np.int64)), pa.array(cls[np.concatenate([owner, own])]), pa.array(np.append(np.zeros(len(keys), np.int64), place))],
+                    [pa.array(keys.view(np.int64)), pa.array(part.column("cls").to_numpy()[owner]), pa.array(np.zeros(len(keys), np.int64))],
                     ["key", "cls", "place"])
 
     return sets.mapInArrow(run, "key long, cls long, place long")
 
 
 def candidate_sets(docs: DataFrame, pairs: DataFrame, ngram: int, common) -> DataFrame:
-    """(cls, hashes) of classes in pairs: 40 bits a hash, sorted.
+    """(cls, hashes) of classes in pairs: 64-bit numbers, sorted.
 
     A filter of fixed size (2^FILTER_BITS bits) tells the scan which classes may be in a pair;
     the others it lets through are dropped by the joins that follow.
@@ -446,9 +443,8 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, ngram: int, common) -> Dat
             for i in np.flatnonzero((maybe > 0) & (np.diff(offsets) > 0)).tolist():
                 if (c := int(cls[i])) not in seen:
                     seen.add(c)
-                    own = np.unique(hashes[offsets[i] : offsets[i + 1]] >> np.uint64(24))
                     names.append(c)
-                    blobs.append(own.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                    blobs.append(hashes[offsets[i] : offsets[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["cls", "hashes"])
 
     found = _lowered(docs).mapInArrow(run, "cls long, hashes binary")
@@ -467,10 +463,7 @@ def _first_of_class(batches):
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(blob, np.uint64)
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -482,7 +475,7 @@ def verified_links(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> Da
             keep = []
             last, left = None, None
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                small, large = sorted((len(x) // 5, len(y) // 5))
+                small, large = sorted((len(x) // 8, len(y) // 8))
                 if small * bottom < large * top:
                     keep.append(False)
                     continue
@@ -522,7 +515,7 @@ def similarity_components(
     joined = components(links)
     unsettled = through_files(open_classes(pairs, joined))
     if unsettled.limit(1).count():
-        large = large.unionByName(through_files(members_of(sets.join(unsettled, "cls", "left_semi"), bands)))
+        large = large.unionByName(through_files(members_of(sets.join(unsettled, "cls", "left_semi"), bands, common)))
     # pairs of large runs between different components
     member = large.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = member.join(classes.filter("cls IS NOT NULL").groupBy("cls").agg(F.max("n").alias("n")), "cls")
