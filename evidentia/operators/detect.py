@@ -304,6 +304,11 @@ _ALIASES = f"""SELECT DISTINCT alias FROM (
   UNION ALL SELECT trim(regexp_replace({text.sql_basic_key('name')}, '({"|".join(text.AUTHORITY_NAME_SUFFIXES)})$', '')) FROM {{organisations}}
   WHERE status = 'legacy' AND organisation_type IN {LEGACY_TYPES}) WHERE length(alias) >= 5 OR alias IN (
   SELECT {text.sql_basic_key('name')} FROM {{organisations}})"""
+UNMATCHED = f"""SELECT p.payer_id, p.supplier_id, coalesce(name, p.supplier_id) AS supplier_name, net_total, gross_total, credit_total, payment_count, credit_count
+      FROM ({_STREAMS}) p LEFT JOIN {{names}} n ON n.entity_id = p.supplier_id
+      WHERE net_total >= {DISCOVERY_THRESHOLD} AND p.payer_id <> p.supplier_id
+      AND NOT EXISTS (SELECT 1 FROM ({_SCOPES}) c WHERE c.buyer_id IS NOT DISTINCT FROM p.payer_id AND c.supplier_id = p.supplier_id)
+      AND {text.sql_payee_class("coalesce(name, p.supplier_id)")} IS NULL AND {text.sql_basic_key("coalesce(name, p.supplier_id)")} NOT IN (SELECT alias FROM ({_ALIASES}))"""
 _MENTIONS = f"""SELECT DISTINCT t.fact_id, t.person_id, p.entity_id, p.key AS phrase
   FROM (SELECT fact_id, person_id, ' ' || {text.sql_normalize_org('value_text')} || ' ' AS k FROM {{texts}}) t
   JOIN (SELECT entity_id, {text.sql_normalize_org('name')} AS key FROM {{phrases}}) p ON contains(t.k, ' ' || p.key || ' ')
@@ -332,12 +337,7 @@ ORACLE = {k: with_views(q) for k, q in {
       FROM {{payments}} p JOIN s ON p.payer_id IS NOT DISTINCT FROM s.buyer_id AND p.supplier_id = s.supplier_id
       WHERE amount > 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.buyer_id IS NOT DISTINCT FROM p.payer_id AND c.supplier_id = p.supplier_id AND p.payment_date BETWEEN a AND z)
       GROUP BY 1, 2""",
-    "g8_unmatched_payment_streams": f"""WITH c AS ({_SCOPES}), al AS ({_ALIASES})
-      SELECT p.payer_id, p.supplier_id, coalesce(name, p.supplier_id) AS supplier_name, net_total, gross_total, credit_total, payment_count, credit_count
-      FROM ({_STREAMS}) p LEFT JOIN {{names}} n ON n.entity_id = p.supplier_id
-      WHERE net_total >= {DISCOVERY_THRESHOLD} AND p.payer_id <> p.supplier_id
-      AND NOT EXISTS (SELECT 1 FROM c WHERE c.buyer_id IS NOT DISTINCT FROM p.payer_id AND c.supplier_id = p.supplier_id)
-      AND {text.sql_payee_class("coalesce(name, p.supplier_id)")} IS NULL AND {text.sql_basic_key("coalesce(name, p.supplier_id)")} NOT IN (SELECT alias FROM al)""",
+    "g8_unmatched_payment_streams": UNMATCHED,
     "g9_public_authority_aliases": _ALIASES,
     "g2_interest_mentions_contract_supplier": _MENTIONS,
     "g3_interest_mentions_payment_supplier": _MENTIONS + " AND CAST(substring(p.entity_id, 2) AS INTEGER) % 2 = 0",

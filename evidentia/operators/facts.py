@@ -16,7 +16,9 @@ from evidentia.sources.staging import view, with_views
 from .ingest import _SNAP, snapshot_observations
 
 #: Fact types whose locator wording does not tell facts apart.
-LOOSE_LOCATOR_TYPES = ("OMBUDSMAN",)
+#: Types whose facts may move between pages of their source, and the start of their names and others'.
+LOOSE_LOCATOR_TYPES = ("OMBUDSMAN_CASE", "OMBUDSMAN_DECISION", "OMBUDSMAN_CATEGORY", "OMBUDSMAN_DECISION_DATE", "OMBUDSMAN_SUMMARY")
+MOVING_FAMILY = "OMBUDSMAN"
 SIGNATURE = ("fact_type", "predicate", "subject_id", "object_id", "value_text", "compared_locator")
 
 
@@ -133,9 +135,7 @@ def structured_diff(facts: DataFrame, windows: DataFrame) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy("valid_from", "snapshot_id")
     steps = windows.withColumn("old_snapshot_id", F.lag("snapshot_id").over(order)).filter("old_snapshot_id IS NOT NULL")
     steps = steps.select("document_id", "old_snapshot_id", F.col("snapshot_id").alias("new_snapshot_id")).distinct()
-    loose = F.lit(False)
-    for family in LOOSE_LOCATOR_TYPES:
-        loose = loose | F.col("fact_type").startswith(family)
+    loose = F.coalesce(F.col("fact_type").isin(*LOOSE_LOCATOR_TYPES), F.lit(False))
     keyed = facts.withColumn("compared_locator", F.when(~loose, F.col("locator")))
     side = lambda c: steps.join(keyed.withColumnRenamed("snapshot_id", c), ["document_id", c])
     rows = side("old_snapshot_id").withColumn("is_new", F.lit(0)).unionByName(side("new_snapshot_id").withColumn("is_new", F.lit(1)))
@@ -151,11 +151,12 @@ def structured_diff(facts: DataFrame, windows: DataFrame) -> DataFrame:
 def change_report(changes: DataFrame, documents: DataFrame, names: DataFrame, limit: int = 500) -> DataFrame:
     """Newest changes with their document and names.
 
-    Pairs of removal and addition that differ in the locator only are left out.
+    Of MOVING_FAMILY types, pairs of removal and addition that differ in the locator only are left
+    out; of other types they are changes, such as a payment that stands in another row.
     """
     same = ("document_id", "old_snapshot_id", "new_snapshot_id", "fact_type", "predicate", "subject_id", "object_id", "value_text")
     a, b = changes.alias("a"), changes.select(*same, "change_type").alias("b")
-    match = F.col("a.change_type") != F.col("b.change_type")
+    match = (F.col("a.change_type") != F.col("b.change_type")) & F.col("a.fact_type").rlike(f"(?s)^{MOVING_FAMILY}.")
     for c in same:
         match = match & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     real = a.join(b, match, "left_anti")
@@ -187,14 +188,15 @@ def _q(f):
 
 
 def _facts(v) -> DataFrame:
-    """Two facts an observation: its value and its properties."""
+    """Three facts an observation: its value, its properties and its title."""
     snapped = snapshot_observations(v("observations")).join(v("events").select(F.col("event_id").alias("observation_id"), "value"), "observation_id")
     locator = F.when(F.col("observation_id") % 2 == 0, F.concat(F.lit("row "), "observation_id"))
     base = snapped.select(
         "document_id", "snapshot_id", "observation_id", "retrieved_at",
         F.explode(F.array(
             F.struct(F.lit("PAYMENT").alias("fact_type"), F.lit("HAS_VALUE").alias("predicate"), F.col("value").cast("decimal(18,2)").cast("string").alias("value_text")),
-            F.struct(F.lit("OMBUDSMAN_NOTE").alias("fact_type"), F.lit("HAS_PROPS").alias("predicate"), F.substring("body", 1, 12).alias("value_text")),
+            F.struct(F.lit("OMBUDSMAN_SUMMARY").alias("fact_type"), F.lit("HAS_PROPS").alias("predicate"), F.col("body").alias("value_text")),
+            F.struct(F.lit("OMBUDSMAN_NOTE").alias("fact_type"), F.lit("HAS_TITLE").alias("predicate"), F.col("title").alias("value_text")),
         )).alias("f"), locator.alias("locator"),
     )
     return base.select(
@@ -263,7 +265,7 @@ QUERIES = {
     "b10_structured_diff": _q(lambda v: structured_diff(_stored(v), _windows(v)).select("change_id", "change_type", "fact_id", "document_id", "new_snapshot_id")),
     "b11_change_report": _q(lambda v: change_report(
         structured_diff(_stored(v), _windows(v)).join(_windows(v).groupBy("document_id", F.col("snapshot_id").alias("new_snapshot_id")).agg(F.max("valid_from").alias("detected_at")), ["document_id", "new_snapshot_id"]),
-        _documents(v), v("names")).select("change_id", "change_type", "url", "title", "detected_at")),
+        _documents(v), v("names")).select("change_id", "change_type", "fact_type", "url", "title", "detected_at")),
     "b12_table_counts": _q(lambda v: table_counts({n: v(n) for n in ("orders", "customer", "events", "payments")})),
     "b12_recent": _q(lambda v: recent(v("events").select("event_id", "ts"), "ts", 100, "event_id")),
 }
@@ -272,14 +274,15 @@ _FACT_PARTS = ("document_id", "snapshot_id", "fact_type", "NULL", "predicate", "
 _F = f"""WITH sn AS ({_SNAP}), b AS (SELECT sn.*, value FROM sn JOIN events ON event_id = observation_id),
  f0 AS (SELECT document_id, snapshot_id, 'PAYMENT' AS fact_type, 'HAS_VALUE' AS predicate, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value_text,
    CASE WHEN observation_id % 2 = 0 THEN 'row ' || observation_id END AS locator, 'm' || observation_id AS metadata FROM b
-  UNION ALL SELECT document_id, snapshot_id, 'OMBUDSMAN_NOTE', 'HAS_PROPS', substring(body, 1, 12), CASE WHEN observation_id % 2 = 0 THEN 'row ' || observation_id END, 'm' || observation_id FROM b),
+  UNION ALL SELECT document_id, snapshot_id, 'OMBUDSMAN_SUMMARY', 'HAS_PROPS', body, CASE WHEN observation_id % 2 = 0 THEN 'row ' || observation_id END, 'm' || observation_id FROM b
+  UNION ALL SELECT document_id, snapshot_id, 'OMBUDSMAN_NOTE', 'HAS_TITLE', title, CASE WHEN observation_id % 2 = 0 THEN 'row ' || observation_id END, 'm' || observation_id FROM b),
  f1 AS (SELECT *, {sql_hashed(*_FACT_PARTS)} AS fact_id FROM f0),
  f AS (SELECT fact_id, document_id, snapshot_id, fact_type, predicate, value_text, locator, max(metadata) AS metadata FROM f1 GROUP BY ALL),
  i AS (SELECT *, lag(snapshot_id) OVER (PARTITION BY document_id ORDER BY retrieved_at, observation_id) AS prev FROM sn),
  w AS (SELECT document_id, snapshot_id, retrieved_at AS valid_from, lead(retrieved_at) OVER (PARTITION BY document_id ORDER BY retrieved_at, observation_id) AS valid_to
    FROM i WHERE prev IS DISTINCT FROM snapshot_id),
  st AS (SELECT DISTINCT document_id, old_snapshot_id, snapshot_id AS new_snapshot_id FROM (SELECT *, lag(snapshot_id) OVER (PARTITION BY document_id ORDER BY valid_from, snapshot_id) AS old_snapshot_id FROM w) WHERE old_snapshot_id IS NOT NULL),
- k AS (SELECT *, CASE WHEN fact_type LIKE 'OMBUDSMAN%' THEN NULL ELSE locator END AS cl FROM f),
+ k AS (SELECT *, CASE WHEN fact_type IN ('OMBUDSMAN_CASE', 'OMBUDSMAN_DECISION', 'OMBUDSMAN_CATEGORY', 'OMBUDSMAN_DECISION_DATE', 'OMBUDSMAN_SUMMARY') THEN NULL ELSE locator END AS cl FROM f),
  r AS (SELECT st.*, fact_type, predicate, value_text, cl, fact_id, locator, 0 AS isnew FROM st JOIN k ON k.document_id = st.document_id AND k.snapshot_id = old_snapshot_id
    UNION ALL SELECT st.*, fact_type, predicate, value_text, cl, fact_id, locator, 1 FROM st JOIN k ON k.document_id = st.document_id AND k.snapshot_id = new_snapshot_id),
  d AS (SELECT document_id, old_snapshot_id, new_snapshot_id, fact_type, predicate, value_text, cl, min(fact_id) AS fact_id, CASE WHEN max(isnew) = 1 THEN 'FACT_ADDED' ELSE 'FACT_REMOVED' END AS change_type
@@ -312,9 +315,9 @@ ORACLE = {k: with_views(q) for k, q in {
     "b10_structured_diff": _F + "SELECT change_id, change_type, fact_id, document_id, new_snapshot_id FROM dc",
     "b11_change_report": _F + """, t AS (SELECT document_id, snapshot_id AS new_snapshot_id, max(valid_from) AS detected_at FROM w GROUP BY 1, 2),
       dd AS (SELECT document_id, any_value(url) AS url, arg_max(title, (retrieved_at, observation_id)) AS title FROM sn GROUP BY 1)
-      SELECT change_id, change_type, url, title, detected_at FROM dc JOIN t USING (document_id, new_snapshot_id) JOIN dd USING (document_id)
-      WHERE NOT EXISTS (SELECT 1 FROM dc o WHERE o.change_type <> dc.change_type AND o.document_id = dc.document_id AND o.old_snapshot_id = dc.old_snapshot_id AND o.new_snapshot_id = dc.new_snapshot_id
-        AND o.fact_type = dc.fact_type AND o.predicate = dc.predicate AND o.value_text IS NOT DISTINCT FROM dc.value_text)
+      SELECT change_id, change_type, fact_type, url, title, detected_at FROM dc JOIN t USING (document_id, new_snapshot_id) JOIN dd USING (document_id)
+      WHERE NOT (fact_type LIKE 'OMBUDSMAN_%' AND EXISTS (SELECT 1 FROM dc o WHERE o.change_type <> dc.change_type AND o.document_id = dc.document_id AND o.old_snapshot_id = dc.old_snapshot_id AND o.new_snapshot_id = dc.new_snapshot_id
+        AND o.fact_type = dc.fact_type AND o.predicate = dc.predicate AND o.value_text IS NOT DISTINCT FROM dc.value_text))
       ORDER BY detected_at DESC, change_id LIMIT 500""",
     "b12_table_counts": """SELECT 'orders' AS "table", count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events
       UNION ALL SELECT 'payments', count(*) FROM {payments}""",

@@ -91,8 +91,12 @@ def finding_counts(findings: DataFrame) -> DataFrame:
 
 def evidence_chain(items: DataFrame, facts: DataFrame, documents: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Items (item_id, evidence) exploded to fact, document and snapshot, with its hash."""
-    rows = items.select("item_id", F.explode("evidence").alias("fact_id")).distinct()
-    got = rows.join(facts.select("fact_id", "document_id", "snapshot_id", "predicate", "value_text", "locator", "evidence_class"), "fact_id")
+    return chain_of_links(items.select("item_id", F.explode("evidence").alias("fact_id")), facts, documents, snapshots)
+
+
+def chain_of_links(links: DataFrame, facts: DataFrame, documents: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The same from (item_id, fact_id) rows."""
+    got = links.select("item_id", "fact_id").distinct().join(facts.select("fact_id", "document_id", "snapshot_id", "predicate", "value_text", "locator", "evidence_class"), "fact_id")
     return got.join(documents.select("document_id", "url"), "document_id").join(snapshots.select("snapshot_id", "sha256"), "snapshot_id")
 
 
@@ -187,7 +191,7 @@ def _gate(v):
 
 
 def _chain(v) -> DataFrame:
-    items = v("published_facts").groupBy("object_id").agg(F.array_sort(F.collect_set("fact_id")).alias("evidence")).select(F.col("object_id").alias("item_id"), F.slice("evidence", 1, 20).alias("evidence"))
+    items = v("published_facts").groupBy("object_id").agg(F.array_sort(F.collect_set("fact_id")).alias("evidence")).select(F.col("object_id").alias("item_id"), "evidence")
     docs = v("supplier").select(F.concat(F.lit("D"), "s_suppkey").alias("document_id"), F.col("s_name").alias("url"))
     snaps = v("published_facts").select("snapshot_id").distinct().withColumn("sha256", F.sha2("snapshot_id", 256))
     return evidence_chain(items, v("published_facts"), docs, snaps)
@@ -229,7 +233,7 @@ _AP = f"WITH ap AS (SELECT * REPLACE (CASE WHEN status = 'review' AND ({_LISTED}
 _CAT = "CASE signal_type " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in CATEGORIES.items()) + " ELSE 'other' END"
 _LAB = "CASE category " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in LABELS.items()) + " END"
 _FIND = _AP + f", fi AS (SELECT signal_id AS id, {_CAT} AS category, coalesce(payment_total, tracked_total)::DECIMAL(28,2) AS amount, score::DOUBLE AS score FROM pub), fl AS (SELECT *, {_LAB} AS label FROM fi)"
-_CH = """WITH it AS (SELECT object_id AS item_id, unnest(list_sort(list(DISTINCT fact_id))[1:20]) AS fact_id FROM {published_facts} GROUP BY 1),
+_CH = """WITH it AS (SELECT object_id AS item_id, unnest(list(DISTINCT fact_id)) AS fact_id FROM {published_facts} GROUP BY 1),
  ch AS (SELECT item_id, fact_id, s_name AS url, sha256(snapshot_id) AS sha256, value_text FROM it JOIN (SELECT DISTINCT * FROM {published_facts}) USING (fact_id) JOIN supplier ON document_id = 'D' || s_suppkey)"""
 _MEN = "(SELECT subject_id AS entity_id, object_id AS other_id, * FROM {published_facts} UNION ALL SELECT object_id, subject_id, * FROM {published_facts} WHERE subject_id IS DISTINCT FROM object_id)"
 _NM = lambda t: f"SELECT {t} LEFT JOIN {{names}} a ON a.entity_id = subject_id LEFT JOIN {{names}} b ON b.entity_id = object_id"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def _modules():
-    from evidentia.operators import detect, enrich, extract, facts, ingest, lifecycle, publish, resolve
+    from evidentia.operators import detect, enrich, extract, facts, ingest, lifecycle, publish, resolve, signals
     from evidentia.streaming import streams
 
-    return (ingest, facts, extract, resolve, enrich, detect, lifecycle, publish, streams)
+    return (ingest, facts, extract, resolve, enrich, detect, signals, lifecycle, publish, streams)
 
 
 def queries() -> dict:

@@ -35,6 +35,11 @@ SELECT 'v' || contract_id AS fact_id, contract_id, amount, CASE WHEN contract_id
     "contract_periods": """
 SELECT 's' || contract_id AS fact_id, contract_id, 'STARTS_ON' AS predicate, start_day AS day FROM {contracts}
 UNION ALL SELECT 'e' || contract_id, contract_id, 'ENDS_ON', end_day FROM {contracts} WHERE contract_id NOT LIKE '%9'""",
+    "evidence_facts": """
+SELECT fact_id, 'payments/' || payer_id AS document_id, 'file of ' || payer_id AS snapshot_id, 'PAYMENT_TO_SUPPLIER' AS predicate, CAST(amount AS STRING) AS value_text, fact_id AS locator, 'OFFICIAL_RECORD' AS evidence_class FROM {payments}
+UNION ALL SELECT fact_id, 'contracts/' || supplier_id, contract_id, 'SUPPLIER_TO_CONTRACT', contract_id, NULL, 'OFFICIAL_RECORD' FROM {contract_suppliers}
+UNION ALL SELECT fact_id, 'notices/' || substring(contract_id, 1, 3), contract_id, 'HAS_VALUE', CAST(amount AS STRING), NULL, 'OFFICIAL_RECORD' FROM {contract_values}
+UNION ALL SELECT fact_id, 'notices/' || substring(contract_id, 1, 3), contract_id, predicate, CAST(day AS STRING), NULL, 'OFFICIAL_RECORD' FROM {contract_periods}""",
     "names": """
 SELECT 'S' || s_suppkey AS entity_id, CASE WHEN s_suppkey % 17 = 0 THEN s_name || ' Borough Council'
   WHEN s_suppkey % 23 = 0 THEN 'HM Revenue & Customs' WHEN s_suppkey % 19 = 0 THEN 'FRANCE' ELSE s_name || ' Ltd' END AS name FROM {supplier}
