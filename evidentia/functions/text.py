@@ -45,6 +45,11 @@ CHANNEL_PATTERN = r"(?i)\s*\((CHAPS|NCR)\)\s*$"
 DATE_PATTERN = r"^(\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2})$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, wherever the planner puts the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fold(c) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
@@ -80,10 +85,13 @@ def _raw(c) -> Column:
 
 def without_channel(c) -> Column:
     """Name without a trailing payment channel; text like a date gives nothing."""
-    raw = _raw(c)
-    cut = F.regexp_replace(F.regexp_replace(raw, CHANNEL_PATTERN, ""), "[ –—-]+$", "")
-    clean = F.when(raw.rlike(CHANNEL_PATTERN) & (cut != ""), cut).otherwise(raw)
-    return F.when(raw.rlike(DATE_PATTERN), "").otherwise(clean)
+
+    def clean(raw: Column) -> Column:
+        cut = F.regexp_replace(F.regexp_replace(raw, CHANNEL_PATTERN, ""), "[ –—-]+$", "")
+        named = F.when(raw.rlike(CHANNEL_PATTERN), let(cut, lambda x: F.when(x != "", x).otherwise(raw))).otherwise(raw)
+        return F.when(raw.rlike(DATE_PATTERN), "").otherwise(named)
+
+    return let(_raw(c), clean)
 
 
 def basic_org_key(c) -> Column:
@@ -153,8 +161,17 @@ def plain_decimal(c) -> Column:
 
 
 def day_first_date(c) -> Column:
-    """Date by the known formats, day first."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)).cast("date") for f in DATE_FORMATS])
+    """Date by the known formats, day first.  The shape of the text tells which may fit, so none is tried in vain."""
+    read = lambda x, f: F.try_to_timestamp(x, F.lit(f)).cast("date")
+    year = r"\+?\d{4,}"
+
+    def dated(x: Column) -> Column:
+        out = F.when(x.rlike(rf"^{year}-\d\d-\d\d$"), read(x, DATE_FORMATS[0]))
+        for mark, f in zip(("/", "-", r"\."), DATE_FORMATS[1:4]):
+            out = out.when(x.rlike(rf"^\d\d{mark}\d\d{mark}{year}$"), read(x, f))
+        return out.when(x.rlike(rf"^\d\d \S+ {year}$"), F.coalesce(*(read(x, f) for f in DATE_FORMATS[4:])))
+
+    return let(F.trim(c), dated)
 
 
 def iso_or_raw(c) -> Column:

@@ -157,21 +157,25 @@ def phrase_mentions(texts: DataFrame, phrases: DataFrame, min_length: int = 6, m
     """(fact_id, person_id, entity_id, phrase): phrases that occur in texts as whole words in a row.
 
     ``texts`` has fact_id, person_id and key; ``phrases`` entity_id and key; keys are words with
-    single spaces.  A text is exploded into its word n-grams for the lengths that phrases have
-    (a bounded number), and n-grams equi-join phrases on their text.  A first join on the
-    phrases' first two words keeps only the positions where some phrase may begin.
+    single spaces.  Texts are exploded to single words and pairs of words with the number of the
+    text; these equi-join the beginnings of phrases, and what is found is confirmed in the text.
     """
     wanted = phrases.filter(F.length("key") >= min_length).filter((F.instr("key", " ") > 0) | (F.length("key") >= min_single))
     wanted = wanted.select("entity_id", F.col("key").alias("phrase")).withColumn("w", F.split("phrase", " "))
     wanted = wanted.withColumn("n", F.size("w")).withColumn("start", F.array_join(F.slice("w", 1, 2), " "))
-    words = texts.filter(F.col("key") != "").select("fact_id", "person_id", F.split("key", " ").alias("w"))
-    at = words.select("fact_id", "person_id", "w", F.posexplode("w").alias("i", "first"))
-    second = F.get("w", F.col("i") + 1)
-    one = at.select("fact_id", "person_id", "w", "i", F.col("first").alias("start"))
-    two = at.filter(second.isNotNull()).select("fact_id", "person_id", "w", "i", F.concat_ws(" ", "first", second).alias("start"))
+    words = texts.filter(F.col("key") != "").select("fact_id", "person_id", "key")
+    words = words.withColumn("text_id", F.xxhash64("fact_id", "person_id", "key"))
+    # only the text's number, the place and one or two words are exploded: the text itself is joined to hits
+    first, pair = F.split("key", " "), lambda w: F.transform(w, lambda x, i: F.struct(
+        i.alias("i"), x.alias("one"), F.when(F.get(w, i + 1).isNotNull(), F.concat_ws(" ", x, F.get(w, i + 1))).alias("two")))
+    at = words.select("text_id", F.explode(text.let(first, pair)).alias("p")).select("text_id", "p.*")
     begins = wanted.select("start", "n", "phrase", "entity_id")
-    spans = one.join(begins.filter("n = 1"), "start").unionByName(two.join(begins.filter("n > 1"), "start"))
-    hits = spans.filter(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ") == F.col("phrase"))
+    spans = at.select("text_id", "i", F.col("one").alias("start")).join(begins.filter("n = 1"), "start").unionByName(
+        at.filter("two IS NOT NULL").select("text_id", "i", F.col("two").alias("start")).join(begins.filter("n > 1"), "start"))
+    maybe = spans.groupBy("text_id", "phrase", "entity_id").agg(F.min("i"))
+    # the phrase is made of the words of ``key`` and single spaces, so words in a row are a part of the text
+    inside = F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    hits = maybe.join(words, "text_id").filter(inside)
     return hits.select("fact_id", "person_id", "entity_id", "phrase").distinct()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.functions.ids import hashed
+from evidentia.functions.ids import hashed, sql_hashed
 from evidentia.sources.pages import html_blocks
 from evidentia.sources.staging import view, with_views
 
@@ -111,24 +111,38 @@ def assign_payer(docs: DataFrame, rules: DataFrame, default_org: str | None) ->
 
 def extract_payments(rows: DataFrame, source_id: str) -> DataFrame:
     """One PAYMENT fact a row with a supplier and an amount; columns as ``map_headers`` gives, with row_number and payer_org."""
-    name, channel = text.without_channel("supplier"), text.payment_channel("supplier")
-    full = rows.withColumns({"name": name, "channel": channel, "value": text.money("amount")}).filter("name <> '' AND value IS NOT NULL")
+    full = rows.withColumns({"name": text.without_channel("supplier"), "value": text.money("amount")}).filter("name <> '' AND value IS NOT NULL")
     supplier = hashed(F.lit("SUPPLIER"), F.lit(f"supplier:{source_id}"), text.normalize_name("name"))
     return full.select(
         F.lit("PAYMENT").alias("fact_type"), F.lit("PAYMENT_TO_SUPPLIER").alias("predicate"), F.col("payer_org").alias("subject_id"), supplier.alias("object_id"),
         F.col("name").alias("supplier_name"), F.col("value").alias("amount"), F.concat(F.lit("CSV row "), "row_number").alias("locator"),
-        text.iso_or_raw("date").alias("payment_date"), "description", "department", "reference", "channel",
+        text.iso_or_raw("date").alias("payment_date"), "description", "department", "reference", text.payment_channel("supplier").alias("channel"),
     )
 
 
+def supplier_list(cell) -> Column:
+    """Array of (name, key) of a cell: split at new lines and semicolons, generic names dropped, first of each key kept."""
+
+    def kept(all_: Column) -> Column:
+        real = F.filter(all_, lambda p: (p["key"] != "") & ~p["key"].isin(*GENERIC_SUPPLIERS))
+        return text.let(real, lambda r: text.let(F.transform(r, lambda p: p["key"]), lambda keys: F.filter(
+            r, lambda p, i: F.array_position(keys, p["key"]) == i + 1)))
+
+    each = F.transform(F.split(cell, r"[\n;]"), lambda one: text.let(
+        text.without_channel(one), lambda name: F.struct(name.alias("name"), text.basic_org_key(name).alias("key"))))
+    return text.let(each, kept)
+
+
 def split_suppliers(df: DataFrame, alias_map: DataFrame | None = None) -> DataFrame:
     """One row for each supplier of a cell: split at new lines and semicolons, aliased, generic names dropped, first of each key kept."""
+    if alias_map is None:
+        rows = df.select("*", F.posexplode(supplier_list("supplier")).alias("place", "one"))
+        return rows.select(*df.columns, "place", F.col("one.name").alias("supplier_name"), F.col("one.key").alias("supplier_key"))
     cut = df.withColumn("_all", F.split("supplier", r"[\n;]"))
     rows = cut.select("*", F.posexplode("_all").alias("place", "one")).drop("_all")
     rows = rows.withColumn("supplier_name", text.without_channel("one"))
-    if alias_map is not None:
-        a = alias_map.select(text.basic_org_key("alias").alias("_k"), F.col("canonical").alias("_c"))
-        rows = rows.withColumn("_k", text.basic_org_key("supplier_name")).join(a, "_k", "left").withColumn("supplier_name", F.coalesce("_c", "supplier_name")).drop("_k", "_c")
+    a = alias_map.select(text.basic_org_key("alias").alias("_k"), F.col("canonical").alias("_c"))
+    rows = rows.withColumn("_k", text.basic_org_key("supplier_name")).join(a, "_k", "left").withColumn("supplier_name", F.coalesce("_c", "supplier_name")).drop("_k", "_c")
     rows = rows.withColumn("supplier_key", text.basic_org_key("supplier_name")).filter((F.col("supplier_key") != "") & ~F.col("supplier_key").isin(*GENERIC_SUPPLIERS))
     first = Window.partitionBy("row_id", "supplier_key").orderBy("place")
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "one")
@@ -145,25 +159,31 @@ def extract_contract_register(rows: DataFrame, source_id: str, buyer_id: str) ->
     rows = rows.filter(is_row & (F.coalesce("supplier", F.lit("")) != "") & dated)
     key = F.when(F.coalesce("reference", F.lit("")) != "", F.col("reference")).otherwise(hashed("title", "supplier", "start", "end"))
     rows = rows.withColumn("contract_id", hashed(F.lit("CONTRACT"), F.lit(f"contract:{source_id}"), key))
-    fact = lambda t, p, x, vat=None: F.struct(F.lit(t).alias("fact_type"), F.lit(p).alias("predicate"), x.cast("string").alias("value_text"))
-    ex, inc = text.money("value_ex_vat"), text.money("value_inc_vat")
-    wide = rows.select("row_id", "contract_id", F.explode(F.array(
+    none = F.lit(None).cast("string")
+
+    def fact(t: str, p: str, x, subject=F.col("contract_id"), object_=none) -> Column:
+        return F.struct(
+            F.lit(t).alias("fact_type"), F.lit(p).alias("predicate"), subject.cast("string").alias("subject_id"),
+            object_.cast("string").alias("object_id"), x.cast("string").alias("value_text"))
+
+    supplier = lambda name: hashed(F.lit("SUPPLIER"), F.lit(f"supplier:{source_id}"), text.normalize_name(name))
+    own = F.filter(F.array(
         fact("CONTRACT_TITLE", "HAS_TITLE", F.col("title")), fact("CONTRACT_DESCRIPTION", "HAS_DESCRIPTION", F.col("description")),
-        fact("CONTRACT_VALUE", "HAS_VALUE", F.coalesce(ex, inc)), fact("CONTRACT_START", "STARTS_ON", text.iso_or_raw("start")),
-        fact("CONTRACT_END", "ENDS_ON", text.iso_or_raw("end")), fact("CONTRACT_REVIEW", "REVIEW_ON", text.iso_or_raw("review")),
-        fact("CONTRACT_METHOD", "PROCURED_BY", F.col("method")),
-    )).alias("f")).select("row_id", F.col("contract_id").alias("subject_id"), F.lit(None).cast("string").alias("object_id"), "f.*").filter("value_text <> ''")
-    parts = split_suppliers(rows)
-    count = Window.partitionBy("row_id")
-    parts = parts.withColumn("_s", F.count("*").over(count))
-    supplier = hashed(F.lit("SUPPLIER"), F.lit(f"supplier:{source_id}"), text.normalize_name("supplier_name"))
-    link = lambda s, o, t, p, x: parts.select("row_id", s.alias("subject_id"), o.alias("object_id"), F.lit(t).alias("fact_type"), F.lit(p).alias("predicate"), x.alias("value_text"))
-    suppliers = link(supplier, F.col("contract_id"), "CONTRACT_SUPPLIER", "SUPPLIER_TO_CONTRACT", F.col("supplier_name"))
-    number = F.when((F.col("_s") == 1) & (F.coalesce("company_number", F.lit("")) != ""), F.upper(F.regexp_replace("company_number", r"\s+", "")))
-    ids = link(supplier, F.lit(None).cast("string"), "IDENTIFIER", "HAS_IDENTIFIER", F.concat(F.lit("gb-coh:"), number)).filter("value_text IS NOT NULL")
-    buyers = rows.select("row_id", F.lit(buyer_id).alias("subject_id"), F.col("contract_id").alias("object_id"), F.lit("CONTRACT_BUYER").alias("fact_type"),
-                         F.lit("BUYER_OF_CONTRACT").alias("predicate"), F.lit(None).cast("string").alias("value_text"))
-    return wide.unionByName(suppliers).unionByName(ids).unionByName(buyers)
+        fact("CONTRACT_VALUE", "HAS_VALUE", F.coalesce(text.money("value_ex_vat"), text.money("value_inc_vat"))),
+        fact("CONTRACT_START", "STARTS_ON", text.iso_or_raw("start")), fact("CONTRACT_END", "ENDS_ON", text.iso_or_raw("end")),
+        fact("CONTRACT_REVIEW", "REVIEW_ON", text.iso_or_raw("review")), fact("CONTRACT_METHOD", "PROCURED_BY", F.col("method")),
+    ), lambda f: f["value_text"] != "")
+    number = F.upper(F.regexp_replace("company_number", r"\s+", ""))
+
+    def linked(found: Column) -> Column:
+        links = F.transform(found, lambda p: fact("CONTRACT_SUPPLIER", "SUPPLIER_TO_CONTRACT", p["name"], supplier(p["name"]), F.col("contract_id")))
+        numbered = F.transform(found, lambda p: fact("IDENTIFIER", "HAS_IDENTIFIER", F.concat(F.lit("gb-coh:"), number), supplier(p["name"])))
+        single = (F.size(found) == 1) & (F.coalesce("company_number", F.lit("")) != "")
+        return F.concat(links, F.when(single, numbered).otherwise(F.slice(numbered, 1, 0)))
+
+    buyer = F.array(fact("CONTRACT_BUYER", "BUYER_OF_CONTRACT", none, F.lit(buyer_id), F.col("contract_id")))
+    each = F.concat(own, text.let(supplier_list("supplier"), linked), buyer)
+    return rows.select("row_id", F.explode(each).alias("f")).select("row_id", "f.subject_id", "f.object_id", "f.fact_type", "f.predicate", "f.value_text")
 
 
 def parse_releases(df: DataFrame, column: str = "json") -> DataFrame:
@@ -181,7 +201,8 @@ def filter_buyers(releases: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def extract_ocds(releases: DataFrame) -> DataFrame:
-    """(ocid, award_id, predicate, party, value_text, currency): titles, buyers, suppliers, values and dates of awards.
+    """(ocid, award_id, predicate, party, value_text, currency): titles, buyers, suppliers, values and dates of
+    awards, and the identifiers (scheme:id) of the parties and buyers that they name.
 
     A release without awards has one, named notice.
     """
@@ -192,11 +213,19 @@ def extract_ocds(releases: DataFrame) -> DataFrame:
     has_buyer = F.array_compact(F.array_union(by_role("buyer"), F.array("buyer.name")))
     own = F.transform(F.coalesce("a.suppliers", F.array().cast("array<struct<id:string,name:string>>")), lambda s: s["name"])
     suppliers = F.when(F.size(own) > 0, own).otherwise(F.when(F.col("a.id") == "notice", F.array().cast("array<string>")).otherwise(by_role("supplier")))
+    ids = "array<struct<scheme:string,id:string>>"
+    given = lambda name, main, more: F.transform(
+        F.filter(F.concat(F.array(main), F.coalesce(more, F.array().cast(ids))), lambda i: F.coalesce(i["id"], F.lit("")) != ""),
+        lambda i: F.struct(name.alias("name"), F.concat(F.coalesce(i["scheme"], F.lit("unknown")), F.lit(":"), i["id"]).alias("value")))
+    parties = F.transform(F.coalesce("parties", F.array().cast(f"array<{PARTY}>")), lambda p: given(p["name"], p["identifier"], p["additionalIdentifiers"]))
+    identified = F.array_distinct(F.concat(F.flatten(parties), given(F.col("buyer.name"), F.col("buyer.identifier"), F.array().cast(ids))))
     fact = lambda p, party, x, cur=None: F.struct(F.lit(p).alias("predicate"), party.cast("string").alias("party"), x.cast("string").alias("value_text"), (cur if cur is not None else F.lit(None)).cast("string").alias("currency"))
     none = F.lit(None)
     each = F.concat(
         F.array(fact("HAS_TITLE", none, F.coalesce("a.title", "tender_title")), fact("HAS_VALUE", none, F.col("a.value.amount"), F.coalesce("a.value.currency", F.lit("GBP"))), fact("AWARDED_ON", none, F.substring("a.date", 1, 10))),
         F.transform(has_buyer, lambda n: fact("BUYER_OF_CONTRACT", n, n)), F.transform(F.array_distinct(F.array_compact(suppliers)), lambda n: fact("SUPPLIER_TO_CONTRACT", n, n)),
+        text.let(F.array_distinct(F.array_compact(F.concat(has_buyer, suppliers))), lambda named: F.transform(
+            F.filter(identified, lambda i: F.array_contains(named, i["name"])), lambda i: fact("HAS_IDENTIFIER", i["name"], i["value"]))),
     )
     return rows.select("ocid", F.col("a.id").alias("award_id"), F.explode(each).alias("f")).select("ocid", "award_id", "f.*").filter("value_text IS NOT NULL")
 
@@ -432,7 +461,13 @@ def _releases(v) -> DataFrame:
     tender_period = s(F.lit("2020-01-01").alias("startDate"), F.lit("2021-01-01").alias("endDate"))
     award = s(F.lit("a1").alias("id"), F.lit(None).cast("string").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.array(s(F.lit("x").alias("id"), F.concat(F.lit("Firm "), "o_custkey").alias("name"))).alias("suppliers"),
               s(F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.lit("GBP").alias("currency")).alias("value"), F.when(F.col("o_orderkey") % 2 == 0, period).alias("contractPeriod"))
-    r = s(F.concat(F.lit("ocds-"), "o_orderkey").alias("ocid"), s(F.col("o_orderpriority").alias("name")).alias("buyer"), s(F.concat(F.lit("Tender "), "o_orderkey").alias("title"), tender_period.alias("contractPeriod")).alias("tender"),
+    party = lambda name, role, main, *more: s(name.alias("name"), F.array(F.lit(role)).alias("roles"), main.alias("identifier"), F.array(*more).alias("additionalIdentifiers"))
+    ident = lambda scheme, i: s(F.lit(scheme).alias("scheme"), i.cast("string").alias("id"))
+    parties = F.array(
+        party(F.concat(F.lit("Firm "), "o_custkey"), "supplier", ident("GB-COH", F.col("o_custkey")), ident("GB-VAT", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") + 7)), ident(None, F.lit("x9"))),
+        party(F.lit("Someone else"), "tenderer", ident("GB-COH", F.lit("1"))))
+    buyer = s(F.col("o_orderpriority").alias("name"), ident("GB-LAC", F.substring("o_orderpriority", 1, 1)).alias("identifier"))
+    r = s(F.concat(F.lit("ocds-"), "o_orderkey").alias("ocid"), buyer.alias("buyer"), parties.alias("parties"), s(F.concat(F.lit("Tender "), "o_orderkey").alias("title"), tender_period.alias("contractPeriod")).alias("tender"),
           F.when(F.col("o_orderkey") % 5 != 0, F.array(award)).alias("awards"))
     return parse_releases(v("orders").select(F.to_json(r).alias("json")))
 
@@ -499,7 +534,7 @@ QUERIES = {
     "c16_extract_decisions": _q(lambda v: extract_decisions(html_blocks(_case_pages(v)))),
     "c17_extract_council_pages": _q(lambda v: extract_council_pages(html_blocks(_council_pages(v)))),
     "c18_extract_council_feeds": _q(lambda v: extract_council_feeds(_feeds(v))),
-    "c19_resolve_recorded_person": _q(lambda v: resolve_recorded_person(_heard(v), _people(v)).filter("instr(name, ' ') = 0").select("o_orderkey", "person_id")),
+    "c19_resolve_recorded_person": _q(lambda v: resolve_recorded_person(_heard(v), _people(v)).select("o_orderkey", "person_id")),
     "c20_redact": _q(lambda v: redact(v("lineitem").select("l_orderkey", "l_partkey", F.col("l_returnflag").alias("fact_type"), F.col("l_linenumber").alias("question"), F.col("l_linestatus").alias("value_text")),
         v("region").filter("r_regionkey = 1").select(F.lit("R").alias("fact_type"), F.lit(4).alias("question"), F.lit("land").alias("reason")))),
 }
@@ -520,7 +555,11 @@ ORACLE = {k: with_views(q) for k, q in {
     "c8_extract_ocds": """WITH a AS (SELECT *, 'ocds-' || o_orderkey AS ocid, CASE WHEN o_orderkey % 5 <> 0 THEN 'a1' ELSE 'notice' END AS award_id FROM orders)
       SELECT ocid, award_id, 'HAS_TITLE' AS predicate, NULL AS party, 'Tender ' || o_orderkey AS value_text, NULL AS currency FROM a UNION ALL SELECT ocid, award_id, 'BUYER_OF_CONTRACT', o_orderpriority, o_orderpriority, NULL FROM a
       UNION ALL SELECT ocid, award_id, 'SUPPLIER_TO_CONTRACT', 'Firm ' || o_custkey, 'Firm ' || o_custkey, NULL FROM a WHERE award_id = 'a1' UNION ALL SELECT ocid, award_id, 'HAS_VALUE', NULL, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), 'GBP' FROM a WHERE award_id = 'a1'
-      UNION ALL SELECT ocid, award_id, 'AWARDED_ON', NULL, strftime(o_orderdate, '%Y-%m-%d'), NULL FROM a WHERE award_id = 'a1'""",
+      UNION ALL SELECT ocid, award_id, 'AWARDED_ON', NULL, strftime(o_orderdate, '%Y-%m-%d'), NULL FROM a WHERE award_id = 'a1'
+      UNION ALL SELECT ocid, award_id, 'HAS_IDENTIFIER', o_orderpriority, 'GB-LAC:' || substring(o_orderpriority, 1, 1), NULL FROM a
+      UNION ALL SELECT ocid, award_id, 'HAS_IDENTIFIER', 'Firm ' || o_custkey, 'GB-COH:' || o_custkey, NULL FROM a WHERE award_id = 'a1'
+      UNION ALL SELECT ocid, award_id, 'HAS_IDENTIFIER', 'Firm ' || o_custkey, 'GB-VAT:' || (o_custkey + 7), NULL FROM a WHERE award_id = 'a1' AND o_orderkey % 3 = 0
+      UNION ALL SELECT ocid, award_id, 'HAS_IDENTIFIER', 'Firm ' || o_custkey, 'unknown:x9', NULL FROM a WHERE award_id = 'a1'""",
     "c9_extract_contract_periods": """WITH a AS (SELECT 'ocds-' || o_orderkey AS ocid, CASE WHEN o_orderkey % 5 <> 0 THEN 'a1' ELSE 'notice' END AS award_id, o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AS own, o_orderdate FROM orders)
       SELECT ocid, award_id, 'STARTS_ON' AS predicate, CASE WHEN own THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2020-01-01' END AS value_text, CASE WHEN own THEN 'award' ELSE 'tender' END AS period_source FROM a
       UNION ALL SELECT ocid, award_id, 'ENDS_ON', '2021-01-01', 'tender' FROM a WHERE NOT own""",
@@ -545,8 +584,8 @@ ORACLE = {k: with_views(q) for k, q in {
       UNION ALL SELECT page_id, 'DECISION_RECORDED', 'Meeting ' || page_id, '1', 'RESOLVED that it pass' FROM c WHERE page_id % 4 = 3""",
     "c18_extract_council_feeds": """SELECT n_nationkey AS feed_id, 'COMMITTEE' AS predicate, n_nationkey::VARCHAR AS subject, NULL AS object, 'T ' || n_name AS value_text FROM nation WHERE n_nationkey % 3 <> 0
       UNION ALL SELECT n_nationkey, 'REPRESENTS_WARD', n_name, 'W' || n_regionkey, NULL FROM nation UNION ALL SELECT n_nationkey, 'MEMBER_OF_PARTY', n_name, 'P', NULL FROM nation""",
-    "c19_resolve_recorded_person": """SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN 'E' || c_custkey END AS person_id FROM orders LEFT JOIN customer ON c_nationkey = o_orderkey % 25 AND replace(c_name, '#', '') = 'Customer' || lpad(o_custkey::VARCHAR, 9, '0')
-      WHERE o_orderkey % 4 <> 0""",
+    "c19_resolve_recorded_person": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN {sql_hashed("'PERSON'", "'h' || (o_orderkey % 25)", "'bob q' || (o_orderkey % 9)")}
+      WHEN c_custkey IS NOT NULL THEN 'E' || c_custkey END AS person_id FROM orders LEFT JOIN customer ON c_nationkey = o_orderkey % 25 AND replace(c_name, '#', '') = 'Customer' || lpad(o_custkey::VARCHAR, 9, '0')""",
     "c20_redact": "SELECT l_orderkey, l_partkey, l_returnflag AS fact_type, l_linenumber AS question, CASE WHEN l_returnflag = 'R' AND l_linenumber = 4 THEN '[REDACTED_FROM_STRUCTURED_DATA]' ELSE l_linestatus END AS value_text, CASE WHEN l_returnflag = 'R' AND l_linenumber = 4 THEN 'land' END AS reason FROM lineitem",
 }.items()}
 ORACLE["c1_map_headers"] = f"""SELECT {_L} AS row_number, trim(p_name || CASE WHEN l_linenumber = 1 THEN ' (CHAPS)' ELSE '' END) AS supplier, CASE WHEN l_returnflag = 'R' THEN '(£' || format('{{:,.2f}}', l_extendedprice) || ')'

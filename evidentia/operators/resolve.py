@@ -178,6 +178,35 @@ def star_edges(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(least, key).filter("left_id <> entity_id").select("left_id", F.col("entity_id").alias("right_id"))
 
 
+def accepted_edges(named: DataFrame) -> DataFrame:
+    """Edges (left_id, right_id, status) with the components of all automatic matches.
+
+    Rules of equal keys give a star for each group.  A rule whose pairs need one member with a
+    channel or suffix, or two spellings, joins the whole group if there is one, and nothing else;
+    only the rules of one edit need pairs, within their capped blocks.
+    """
+    orgs, ids, aliases = organisations(named), entity_identifiers(named), canonical_aliases(named)
+    some = lambda rows, key, c: rows.join(rows.filter(F.col(c).isNotNull()).select(key).distinct(), key, "left_semi")
+    spelled = orgs.filter("plausible AND length(analysis_key) >= 10").withColumn("joined", F.replace("analysis_key", F.lit(" "), F.lit(""))).filter("length(joined) >= 15")
+    twice = spelled.groupBy("joined").agg(F.min("analysis_key").alias("a"), F.max("analysis_key").alias("b")).filter("a <> b").select("joined")
+    sure = (F.length("normalized_alias") >= 5) & ((F.instr("normalized_alias", " ") > 0) | (F.length("normalized_alias") >= 10))
+    clean = "length(basic_key) >= 5 AND channel IS NULL AND NOT replace(basic_key, ' ', '') RLIKE '^[0-9]+$'"
+    stars = (
+        ("i", ids.withColumn("key", F.concat_ws("\0", "scheme", "identifier"))), ("n", aliases.filter(sure).withColumn("key", F.col("normalized_alias"))),
+        ("c", orgs.filter(clean).withColumn("key", F.col("basic_key"))), ("w", spelled.join(twice, "joined", "left_semi").withColumn("key", F.col("joined"))),
+        ("p", some(orgs.filter("analysis_key <> ''"), "analysis_key", "channel").withColumn("key", F.col("analysis_key"))),
+        ("s", some(orgs.filter("org_key <> ''"), "org_key", "legal_suffix").withColumn("key", F.col("org_key"))),
+    )
+    rows = None
+    for rule, found in stars:
+        one = found.select("entity_id", F.concat(F.lit(rule), F.lit("\0"), "key").alias("key"))
+        rows = one if rows is None else rows.unionByName(one)
+    edges = star_edges(rows.distinct(), "key")
+    for pairs in (match_near_typo(named), match_conservative_one_edit(named)):
+        edges = edges.unionByName(pairs.select("left_id", "right_id"))
+    return edges.distinct().withColumn("status", F.lit("auto_accepted"))
+
+
 def upsert_matches(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Matches by id: confidence is refreshed, a human accepted or rejected stays."""
     e, n = existing.alias("e"), new.alias("n")
@@ -266,11 +295,13 @@ def all_matches(named: DataFrame) -> DataFrame:
 
 
 def resolve_entities(entities: DataFrame, decided: DataFrame | None = None) -> DataFrame:
-    """(entity_id, canonical_id, decision) of all entities; ``decided`` are matches with human decisions."""
+    """(entity_id, canonical_id, decision) of all entities; ``decided`` are matches with human decisions.
+
+    Without decisions only components matter, so no pairs of equal keys are made (``accepted_edges``);
+    a decision is on one pair under one rule, so with them the pairs are.
+    """
     named = through_files(standardise_names(entities))
-    matches = through_files(all_matches(named))
-    if decided is not None:
-        matches = upsert_matches(decided, matches)
+    matches = accepted_edges(named) if decided is None else upsert_matches(decided, through_files(all_matches(named)))
     return quality_representative(named, resolve_members(named, matches), entity_identifiers(named))
 
 

@@ -84,6 +84,48 @@ def test_diff_ignores_loose_locators(spark):
     assert sorted((r.change_type, r.fact_id) for r in got) == [("FACT_ADDED", "4"), ("FACT_REMOVED", "3")]
 
 
+def test_only_listed_types_lose_their_locator(spark):
+    columns = "fact_id string, document_id string, snapshot_id string, fact_type string, subject_id string, predicate string, object_id string, value_text string, locator string"
+    kinds = ["OMBUDSMAN_SUMMARY", "OMBUDSMAN_NOTE", "PAYMENT", "OMBUDSMAN"]
+    rows = [(f"{k}{n}", "d", f"s{n}", k, None, "p", None, "v", f"row {n}") for k in kinds for n in (1, 2)]
+    windows = spark.createDataFrame([("d", "s1", 1, 2), ("d", "s2", 2, None)], "document_id string, snapshot_id string, valid_from int, valid_to int")
+    changes = facts.structured_diff(spark.createDataFrame(rows, columns), windows)
+    assert sorted(r.fact_id for r in changes.collect()) == sorted(f"{k}{n}" for k in kinds[1:] for n in (1, 2))
+    # of these, the report leaves out the pair of the family that may move, and no other
+    docs = spark.createDataFrame([("d", "u", "t")], "document_id string, url string, title string")
+    names = spark.createDataFrame([], "entity_id string, name string")
+    report = facts.change_report(changes.withColumn("detected_at", F.lit(1)), docs, names)
+    assert sorted(r.fact_type for r in report.collect()) == ["OMBUDSMAN", "OMBUDSMAN", "PAYMENT", "PAYMENT"]
+
+
+def test_the_newest_decision_counts_once(spark):
+    signals = spark.createDataFrame([("1", "review"), ("2", "approved"), ("3", "stale")], "signal_id string, status string")
+    rows = [("1", "approve", 1), ("1", "approve", 1), ("2", "approve", 1), ("2", "withhold", 2), ("3", "archive", 1), ("9", "approve", 1), (None, "approve", 1), ("3", None, 1)]
+    got, rejected = lifecycle.apply_decisions(signals, spark.createDataFrame(rows, "signal_id string, decision string, decided_at int"))
+    assert sorted(map(tuple, got.collect())) == [("1", "approved"), ("2", "review"), ("3", "stale")]
+    assert sorted(map(str, (tuple(r) for r in rejected.collect()))) == sorted(map(str, [("3", "archive", 1), ("9", "approve", 1), (None, "approve", 1), ("3", None, 1)]))
+
+
+def test_stars_have_the_components_of_all_pairs(spark):
+    """Entities of all rules, some with a channel or suffix in a group and some without."""
+    named = ["Acme Works Ltd", "ACME WORKS", "Acme Works (CHAPS)", "Beta Hall", "beta hall", "Gamma Delta Partners LLP", "GammaDelta Partners", "Gamma Delta Partner", "Gamma Delta Partners",
+             "Short", "SHORT", "Epsilon Long Name Services", "Epsilon Long Name Service", "Various", "12345", "Zeta (CHAPS)", "Zeta", "Eta Council"]
+    rows = [(f"E{i:02}", "SUPPLIER" if i % 3 else "COMPANY", n, "contracts finder", "GB-COH" if i in (3, 11) else None, "77" if i in (3, 11) else None) for i, n in enumerate(named)]
+    df = spark.createDataFrame(rows, "entity_id string, entity_type string, canonical_name string, source_system string, scheme string, identifier string")
+    standard = resolve.standardise_names(df)
+    pairs = resolve.resolve_members(df, resolve.all_matches(standard))
+    stars = resolve.resolve_members(df, resolve.accepted_edges(standard))
+    assert sorted(map(tuple, stars.collect())) == sorted(map(tuple, pairs.collect()))
+    assert len({r.component for r in stars.collect()}) < len(rows)
+
+
+def test_identifiers_of_named_parties(spark):
+    release = """{"ocid":"o","buyer":{"name":"B"},"parties":[{"name":"B","roles":["buyer"],"identifier":{"scheme":"S","id":"1"},"additionalIdentifiers":[{"id":"2"},{"scheme":"T"}]},
+      {"name":"N","roles":["tenderer"],"identifier":{"scheme":"S","id":"3"}}]}"""
+    rows = extract.extract_ocds(extract.parse_releases(spark.createDataFrame([(release,)], "json string"))).filter("predicate = 'HAS_IDENTIFIER'").collect()
+    assert sorted((r.party, r.value_text) for r in rows) == [("B", "S:1"), ("B", "unknown:2")]
+
+
 def test_upsert_keeps_human_decisions(spark):
     schema = "match_id string, left_id string, right_id string, match_method string, confidence double, status string"
     old = spark.createDataFrame([("1", "a", "b", "m", 0.5, "rejected"), ("2", "a", "c", "m", 0.5, "review")], schema)
