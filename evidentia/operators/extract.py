@@ -63,6 +63,15 @@ ALLOW_TERMS = ("trade supplier", "trade-supplier", "spending over", "spend over"
 DENY_TERMS = ("private home", "private-home", "support related", "support-related", "supported individual", "supported individuals", "personal payment")
 GENERIC_SUPPLIERS = ("various", "multiple award", "multiple suppliers", "framework suppliers", "n a", "na", "not applicable")
 REDACTION = "[REDACTED_FROM_STRUCTURED_DATA]"
+# Patterns of meeting pages.
+GENERIC_TITLE = r"(?i)^(Agenda and (?:draft )?minutes|Agenda)$"
+AGENDA_NUMBER = r"(?i)^[A-Z0-9][A-Z0-9./-]{0,19}\.?$"
+DECLARATION_ITEM = r"(?i)\b(?:declaration|disclosure)s?\b.*\binterest"
+NO_DECLARATION = r"(?i)\bno declarations? (?:of interest )?(?:were|was)? ?(?:received|made)?\b"
+PERSON_DECLARED = r"\bCouncillor\s+(?:(?:Dr|Mr|Mrs|Ms|Miss)\s+)?([A-Z][A-Za-z'’.-]+(?:\s+[A-Z][A-Za-z'’.-]+){0,3})\s+declared\b"
+DECISION = r"(?i)\b(?:RESOLVED|DECIDED|AGREED|RECOMMENDED)\b"
+VOTE = r"(?i)\b(?:for|against|abstain(?:ed|tion|tions)?)\b"
+VOTE_WORD = r"(?i)\b(?:vote|voting|for:|against:)\b"
 
 PARTY = "struct<id:string,name:string,roles:array<string>,identifier:struct<scheme:string,id:string>,additionalIdentifiers:array<struct<scheme:string,id:string>>>"
 PERIOD = "struct<startDate:string,endDate:string>"
@@ -253,10 +262,9 @@ def unflatten_release_csv(df: DataFrame, row_id: str, terms: list[str] | None =
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def extract_links(pages: DataFrame, include: str | None = None, same_host: bool = False) -> DataFrame:
-    """(page_id, url, link) edges of pages: hrefs resolved against the page, fragments dropped, each once."""
-    href = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), 1))
-    rows = pages.select("page_id", "url", href.alias("href")).withColumn("href", F.regexp_replace(F.trim("href"), "#.*$", "")).filter("href <> ''")
+def _resolved(rows: DataFrame, include: str | None, same_host: bool) -> DataFrame:
+    """(page_id, url, link) of rows with an href: resolved against the page, fragments dropped, each once."""
+    rows = rows.withColumn("href", F.regexp_replace(F.trim("href"), "#.*$", "")).filter("href <> ''")
     scheme, root = F.regexp_extract("url", "^([a-zA-Z]+):", 1), F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*)", 1)
     folder = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "^([a-zA-Z]+://.*/|[a-zA-Z]+://[^/]*$)", 1)
     link = (
@@ -271,6 +279,21 @@ def extract_links(pages: DataFrame, include: str | None = None, same_host: bool
     return rows.distinct()
 
 
+def extract_links(pages: DataFrame, include: str | None = None, same_host: bool = False) -> DataFrame:
+    """(page_id, url, link) edges of pages."""
+    href = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), 1))
+    return _resolved(pages.select("page_id", "url", href.alias("href")), include, same_host)
+
+
+def links_by_text(blocks: DataFrame, filter_text: str, include: str | None = None, same_host: bool = False) -> DataFrame:
+    """(page_id, url, link) of anchors whose own text, or that of the block around them, has the filter text."""
+    anchors = blocks.filter("tag = 'a' AND href IS NOT NULL").alias("a")
+    around = blocks.select("page_id", "seq", "text").alias("b")
+    both = anchors.join(around, (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.parent") == F.col("b.seq")), "left")
+    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(filter_text.lower()))
+    return _resolved(both.filter(has(F.col("a.text")) | has(F.col("b.text"))).select("a.page_id", "a.url", "a.href"), include, same_host)
+
+
 def with_heading(blocks: DataFrame) -> DataFrame:
     """Adds heading and heading_seq: the last heading at or before each row of its page."""
     so_far = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -319,11 +342,11 @@ def extract_decisions(blocks: DataFrame) -> DataFrame:
     return lines.unionByName(table).unionByName(sections)
 
 
-PAGE_KINDS = {"mgcommitteedetails": "committee", "mguserinfo": "member", "mgdeclarationsubmission": "register", "mgrofi": "register", "ielistdocuments": "meeting"}
+PAGE_KINDS = {"mgcommitteedetails": "committee", "mguserinfo": "member", "mgdeclarationsubmission": "register", "mgrofi": "register", "ielistdocuments": "meeting", "celistdocuments": "meeting", "mgmeetingattendance": "attendance"}
 
 
 def page_kind(url) -> Column:
-    """committee, member, register or meeting by the page's path, else null."""
+    """committee, member, register, meeting or attendance by the page's path, else null."""
     leaf = F.lower(F.regexp_extract(url, r"/([A-Za-z]+)\.aspx", 1))
     return F.create_map(*[F.lit(x) for kv in PAGE_KINDS.items() for x in kv])[leaf]
 
@@ -332,11 +355,11 @@ def extract_council_pages(blocks: DataFrame) -> DataFrame:
     """(page_id, predicate, subject, object, value_text) of council pages, by the kind of page.
 
     Committees give members with roles; members their party, ward and committees; registers the
-    answers to numbered questions, with question 4 (land) redacted; meetings their agenda items,
-    decisions and votes.  E-mail addresses are dropped before anything else.
+    answers to numbered questions, with question 4 (land) redacted; meetings their committee, venue,
+    agenda items, minutes, declarations, decisions and votes; attendance lists those who are named.  E-mail addresses are dropped before anything else.
     """
     rows = with_heading(blocks).withColumn("kind", page_kind("url")).filter("kind IS NOT NULL AND text <> ''").filter(~F.contains("text", F.lit("@")))
-    h1 = rows.filter("tag = 'h1'").groupBy("page_id").agg(F.min_by("text", "seq").alias("page_title"))
+    h1 = rows.filter("tag IN ('h1', 'h2')").groupBy("page_id").agg(F.min_by("text", F.struct(F.col("tag"), F.col("seq"))).alias("page_title"))
     rows = rows.join(h1, "page_id", "left")
     out = lambda df, p, s, o, x: df.select("page_id", F.lit(p).alias("predicate") if isinstance(p, str) else p.alias("predicate"), s.cast("string").alias("subject"), o.cast("string").alias("object"), x.cast("string").alias("value_text"))
     none = F.lit(None)
@@ -355,27 +378,64 @@ def extract_council_pages(blocks: DataFrame) -> DataFrame:
     question = F.regexp_extract("heading", r"^\s*(\d+)\.", 1)
     answers = rows.filter((F.col("kind") == "register") & (F.col("tag") == "td") & (question != ""))
     found = found.unionByName(out(answers, "DECLARED_INTEREST", who, question, F.when(question == "4", REDACTION).otherwise(F.col("text"))))
-    agenda = rows.filter("kind = 'meeting' AND tag = 'td'")
-    found = found.unionByName(out(agenda.filter("cell = 2"), "AGENDA_ITEM", F.col("page_title"), F.col("tr"), F.trim(F.regexp_replace("text", r"Minutes:.*$", ""))))
-    minutes = agenda.withColumn("m", F.trim(F.regexp_extract("text", r"Minutes:\s*(.*)$", 1))).filter("m <> ''")
-    found = found.unionByName(out(minutes.filter(F.col("m").rlike(r"(?i)\b(RESOLVED|DECIDED|AGREED|RECOMMENDED)\b")), "DECISION_RECORDED", F.col("page_title"), F.col("tr"), F.col("m")))
-    found = found.unionByName(out(minutes.filter(F.col("m").rlike(r"(?i)\b(for|against|abstain(ed|tion|tions)?)\b.*\d")), "VOTE_RECORDED", F.col("page_title"), F.col("tr"), F.col("m")))
-    said = F.regexp_extract("m", r"Councillor\s+(?:(?:Dr|Mr|Mrs|Ms|Miss)\s+)?([A-Z][A-Za-z'’.-]+(?:\s+[A-Z][A-Za-z'’.-]+){0,3})\s+declared\b", 1)
-    return found.unionByName(out(minutes.filter(said != ""), "DECLARED_INTEREST_AT", said, F.col("page_title"), F.col("m")))
+    found = found.unionByName(_meeting_facts(rows.filter("kind = 'meeting'"), out))
+    attended = rows.filter("kind = 'attendance' AND tag = 'a'").filter(F.contains(F.lower("href"), F.lit("mguserinfo.aspx")) & (F.col("text") != ""))
+    around = blocks.select("page_id", F.col("seq").alias("parent"), F.col("text").alias("context"))
+    attended = attended.join(around, ["page_id", "parent"], "left")
+    return found.unionByName(out(attended, "ATTENDANCE_RECORDED_FOR", text.clean_person_name("text"), F.col("page_title"), F.coalesce("context", "text")))
+
+
+def _meeting_facts(rows: DataFrame, out) -> DataFrame:
+    """Facts of meeting pages: committee, venue, agenda items, minutes, declarations, decisions and votes."""
+    heads = rows.filter("tag IN ('h1', 'h2')")
+    plain = F.when(~F.col("text").rlike(GENERIC_TITLE), F.struct("seq", "text"))
+    title = heads.groupBy("page_id").agg(F.coalesce(F.min(plain), F.min(F.struct("seq", "text")))["text"].alias("title"))
+    none = F.lit(None)
+    found = out(title, "MEETING_OF", F.col("title"), F.trim(F.split("title", " - ")[0]), none)
+    order = Window.partitionBy("page_id").orderBy("seq")
+    beside = F.regexp_extract("text", r"(?i)^venue:?\s+(\S.*)$", 1)
+    below = F.when(F.col("text").rlike("(?i)^venue:*$"), F.lead("text").over(order))
+    venue = rows.filter("tag IN ('p', 'td', 'th', 'li', 'dt', 'dd')").withColumn("venue", F.coalesce(F.nullif(beside, F.lit("")), below)).filter("venue IS NOT NULL")
+    venue = venue.groupBy("page_id").agg(F.min_by("venue", "seq").alias("venue")).join(title, "page_id")
+    found = found.unionByName(out(venue, "VENUE", F.col("title"), none, F.col("venue")))
+    cell = lambda n: F.min(F.when(F.col("cell") == n, F.struct("seq", "text")))["text"]
+    items = rows.filter("tag = 'td'").groupBy("page_id", "tr").agg(cell(1).alias("number"), cell(2).alias("body"))
+    items = items.filter(F.col("number").rlike(AGENDA_NUMBER) & F.col("body").isNotNull()).join(title, "page_id")
+    at = F.regexp_instr("body", F.lit(r"(?i)\bMinutes:\s*"))
+    items = items.withColumns({
+        "item": F.trim(F.when(at > 0, F.substring("body", F.lit(1), at - 1)).otherwise(F.col("body"))),
+        "minutes": F.when(at > 0, F.trim(F.regexp_replace(F.substring("body", at, F.length("body")), r"(?i)^Minutes:\s*", ""))),
+    })
+    name = F.concat("title", F.lit(" :: "), "number", F.lit(" "), F.substring("item", 1, 180))
+    found = found.unionByName(out(items, "AGENDA_ITEM_OF", name, F.col("title"), F.col("item")))
+    said = items.filter("minutes <> ''")
+    found = found.unionByName(out(said, "MINUTES_TEXT", name, none, F.col("minutes")))
+    declared = said.filter(F.col("item").rlike(DECLARATION_ITEM))
+    nothing = declared.filter(F.col("minutes").rlike(NO_DECLARATION))
+    found = found.unionByName(out(nothing, "DECLARATION_STATUS", F.col("title"), none, F.lit("No declarations recorded in the minutes")))
+    person = declared.withColumn("person", F.explode(F.regexp_extract_all("minutes", F.lit(PERSON_DECLARED), 1)))
+    found = found.unionByName(out(person, "DECLARED_INTEREST_AT", F.trim("person"), F.col("title"), F.col("minutes")))
+    found = found.unionByName(out(said.filter(F.col("minutes").rlike(DECISION)), "DECISION_TEXT", name, none, F.col("minutes")))
+    voted = said.filter(F.col("minutes").rlike(VOTE) & F.col("minutes").rlike(VOTE_WORD))
+    return found.unionByName(out(voted, "VOTE_TEXT", name, none, F.col("minutes")))
 
 
 FEED = (
     "STRUCT<committees: STRUCT<committee: ARRAY<STRUCT<committeeid: STRING, committeetitle: STRING, committeedeleted: STRING, committeeexpired: STRING, committeecategory: STRING>>>, "
-    "wards: STRUCT<ward: ARRAY<STRUCT<wardtitle: STRING, councillors: STRUCT<councillor: ARRAY<STRUCT<councillorid: STRING, fullusername: STRING, politicalpartytitle: STRING, keyposts: STRING>>>>>>, "
+    "wards: STRUCT<ward: ARRAY<STRUCT<wardtitle: STRING, councillors: STRUCT<councillor: ARRAY<STRUCT<councillorid: STRING, fullusername: STRING, politicalpartytitle: STRING, keyposts: STRING, "
+    "termsofoffice: STRUCT<termofoffice: ARRAY<STRUCT<startdate: STRING, enddate: STRING>>>>>>>>>, "
+    "parishcouncils: STRUCT<parishcouncil: ARRAY<STRUCT<parishcouncilid: STRING, parishcounciltitle: STRING>>>, "
     "events: STRUCT<event: ARRAY<STRUCT<meetingid: STRING, meetingtitle: STRING, meetingdate: STRING, committeetitle: STRING, venue: STRING>>>>"
 )
 
 
 def extract_council_feeds(feeds: DataFrame) -> DataFrame:
-    """(feed_id, predicate, subject, object, value_text) of XML feeds (feed_id, xml).
+    """(feed_id, predicate, subject, object, value_text) of XML feeds (feed_id, xml): committees, councillors
+    with ward, party, posts and terms of office, parish councils, and meetings.
 
     The schema has no contact fields, so they are not read.  Deleted and expired committees are
-    left out; meetings are told apart by id, else by title, date and committee.
+    left out; meetings are told apart by id, else by title, date and committee, and the first of
+    each stays.  A meeting without a title is named after its committee and date.
     """
     rows = feeds.select("feed_id", F.from_xml("xml", FEED).alias("x"))
     none = F.lit(None).cast("string")
@@ -384,13 +444,24 @@ def extract_council_feeds(feeds: DataFrame) -> DataFrame:
     found = out(c, "COMMITTEE", F.col("c.committeeid"), none, F.col("c.committeetitle"))
     m = rows.select("feed_id", F.explode("x.wards.ward").alias("w")).select("feed_id", "w.wardtitle", F.explode("w.councillors.councillor").alias("m"))
     name = text.clean_person_name("m.fullusername")
-    for p, o in (("REPRESENTS_WARD", F.col("wardtitle")), ("MEMBER_OF_PARTY", F.col("m.politicalpartytitle")), ("HOLDS_POST", F.col("m.keyposts"))):
+    for p, o in (("REPRESENTS_WARD", F.col("wardtitle")), ("MEMBER_OF_PARTY", F.col("m.politicalpartytitle"))):
         found = found.unionByName(out(m, p, name, o, none).filter("coalesce(object, '') <> ''"))
-    e = rows.select("feed_id", F.explode("x.events.event").alias("e"))
+    found = found.unionByName(out(m, "PUBLIC_ROLE_TEXT", name, none, F.col("m.keyposts")).filter("coalesce(value_text, '') <> ''"))
+    terms = m.select("feed_id", name.alias("name"), F.explode("m.termsofoffice.termofoffice").alias("t")).filter("coalesce(t.startdate, '') <> '' OR coalesce(t.enddate, '') <> ''")
+    day = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("unspecified"))
+    found = found.unionByName(out(terms, "TERM_OF_OFFICE", F.col("name"), none, F.concat(day("t.startdate"), F.lit(" to "), day("t.enddate"))))
+    parishes = rows.select("feed_id", F.explode("x.parishcouncils.parishcouncil").alias("p")).filter("coalesce(p.parishcounciltitle, '') <> ''")
+    found = found.unionByName(out(parishes, "PARISH_COUNCIL_LISTED", F.col("p.parishcouncilid"), none, F.col("p.parishcounciltitle")))
+    e = rows.select("feed_id", F.posexplode("x.events.event").alias("place", "e"))
     key = F.coalesce(F.nullif("e.meetingid", F.lit("")), F.concat_ws("|", "e.meetingtitle", "e.meetingdate", "e.committeetitle"))
-    e = e.withColumn("key", key).groupBy("feed_id", "key").agg(F.min("e").alias("e"))
-    for p, o in (("MEETING_OF", F.col("e.committeetitle")), ("HELD_ON", F.col("e.meetingdate")), ("HELD_AT", F.col("e.venue"))):
-        found = found.unionByName(out(e, p, F.col("key"), o, F.col("e.meetingtitle")).filter("coalesce(object, '') <> ''"))
+    e = e.withColumn("key", key).groupBy("feed_id", "key").agg(F.min_by("e", "place").alias("e"))
+    shown = F.coalesce(F.nullif("e.meetingtitle", F.lit("")), F.nullif(F.concat_ws(" - ", F.nullif("e.committeetitle", F.lit("")), F.nullif("e.meetingdate", F.lit(""))), F.lit("")))
+    e = e.withColumn("shown", shown).filter("shown IS NOT NULL")
+    of = F.coalesce("e.committeetitle", F.lit("")) != ""
+    found = found.unionByName(out(e.filter(of), "MEETING_OF", F.col("shown"), F.col("e.committeetitle"), none))
+    found = found.unionByName(out(e.filter(~of), "MEETING_LISTED", F.col("shown"), none, F.col("shown")))
+    for p, x in (("MEETING_DATE", F.col("e.meetingdate")), ("VENUE", F.col("e.venue"))):
+        found = found.unionByName(out(e, p, F.col("shown"), none, x).filter("coalesce(value_text, '') <> ''"))
     return found
 
 
@@ -486,6 +557,13 @@ def _grant_pages(v) -> DataFrame:
     return _made_pages(v, F.concat(F.lit("<h3>"), head, F.lit("</h3><ul><li>"), "c_name", F.lit(" - "), "c_mktsegment", F.lit(": £1,"), F.lpad(F.col("c_custkey") % 1000, 3, "0"), F.lit("<ul><li>inner - x: £5</li></ul></li></ul><h3>Next</h3><ul><li>a - b: £7</li></ul>")))
 
 
+def _linked_pages(v) -> DataFrame:
+    """Anchors with the text in themselves, around them or nowhere, to files of this and another host."""
+    return _made_pages(v, F.concat(
+        F.lit("<p>Spending of "), "c_name", F.lit(' <a href="a/'), "c_custkey", F.lit('.csv#x">here</a></p><p><a href="/b'), "c_custkey",
+        F.lit('.csv">SPEND file</a></p><p><a href="c.csv">notes</a></p><p>spend <a href="https://y.example/d.csv">away</a> <a href="e.pdf">e</a></p>')))
+
+
 def _case_pages(v) -> DataFrame:
     no = F.lpad(F.col("c_custkey") % 1000, 3, "0")
     return _made_pages(v, F.concat(F.lit("<h2>"), "c_mktsegment", F.lit(" Council (23 001 "), no, F.lit(")</h2><p>Statement Upheld Housing 05-Jan-2024</p><p>Summary: About "), "c_name", F.lit("</p><h2>B (24 002 "), no, F.lit(")</h2><p>Summary: two</p>")))
@@ -501,6 +579,26 @@ def _council_pages(v) -> DataFrame:
     return _made_pages(v, html, url)
 
 
+def _meeting_pages(v) -> DataFrame:
+    """Meetings with a venue, declarations and a vote, and attendance lists."""
+    url = F.concat(F.lit("https://c.example/"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'ieListDocuments' ELSE 'mgMeetingAttendance' END"), F.lit(".aspx?ID="), "c_custkey")
+    html = F.expr("""CASE WHEN c_custkey % 2 = 0 THEN concat('<h1>Agenda and minutes</h1><h2>Audit ', c_nationkey, ' - May</h2><p><b>Venue:</b> Hall ', c_mktsegment, '</p><table>',
+      '<tr><td>1.</td><td>Declarations of interest Minutes: No declarations were received</td></tr>',
+      '<tr><td>2</td><td>Disclosures of interests Minutes: Councillor Ms Ann Lee declared a thing and Councillor Bo declared too</td></tr>',
+      '<tr><td>no number</td><td>Nothing</td></tr><tr><td>3</td><td>Budget ', c_custkey, ' minutes: on a vote for:12 it was agreed</td></tr><tr><td>4</td><td>Close</td></tr></table>')
+      ELSE concat('<h1>Attendance ', c_custkey, '</h1><ul><li><a href="mgUserInfo.aspx?UID=3">Councillor Mr ', c_mktsegment, '</a> Present</li><li><a href="other.aspx">Guest</a></li></ul>') END""")
+    return _made_pages(v, html, url)
+
+
+def _event_feeds(v) -> DataFrame:
+    """Feeds of events, parishes and terms of office."""
+    return v("nation").select(F.col("n_nationkey").alias("feed_id"), F.expr("""concat('<feed><wards><ward><wardtitle>W</wardtitle><councillors><councillor><fullusername>Cllr ', n_name, '</fullusername><keyposts>Chair</keyposts>',
+      '<termsofoffice><termofoffice><startdate>2020</startdate><enddate></enddate></termofoffice><termofoffice></termofoffice></termsofoffice></councillor></councillors></ward></wards>',
+      '<parishcouncils><parishcouncil><parishcouncilid>', n_nationkey, '</parishcouncilid><parishcounciltitle>Parish ', n_name, '</parishcounciltitle></parishcouncil></parishcouncils>',
+      '<events><event><meetingid>1</meetingid><meetingtitle>M ', n_name, '</meetingtitle><meetingdate>1 May</meetingdate><committeetitle>Audit</committeetitle><venue>Hall</venue></event>',
+      '<event><meetingid>1</meetingid><meetingtitle>Again</meetingtitle></event><event><meetingdate>2 May</meetingdate></event></events></feed>')""").alias("xml"))
+
+
 def _feeds(v) -> DataFrame:
     return v("nation").select(F.col("n_nationkey").alias("feed_id"), F.expr("""concat('<feed><committees><committee><committeeid>', n_nationkey, '</committeeid><committeetitle>T ', n_name, '</committeetitle><committeedeleted>',
       CASE WHEN n_nationkey % 3 = 0 THEN 'True' ELSE 'False' END, '</committeedeleted></committee></committees><wards><ward><wardtitle>W', n_regionkey, '</wardtitle><councillors><councillor><fullusername>Councillor ', n_name,
@@ -528,6 +626,10 @@ QUERIES = {
     "c10_unflatten_release_csv": _q(lambda v: unflatten_release_csv(_flat(v), "row").select("id", "buyer_name", "date")),
     "c11_filter_buyers": _q(lambda v: filter_buyers(_releases(v), ["URGENT", "low"]).select("r.ocid")),
     "c12_extract_links": _q(lambda v: extract_links(v("pages"))),
+    "c12_links_by_text": _q(lambda v: links_by_text(html_blocks(_linked_pages(v)), "Spend", r"\.csv$", True)),
+    "c13_made_blocks": _q(lambda v: html_blocks(_grant_pages(v)).select("page_id", "seq", "tag", "level", "text", "parent")),
+    "c17_meeting_pages": _q(lambda v: extract_council_pages(html_blocks(_meeting_pages(v)))),
+    "c18_event_feeds": _q(lambda v: extract_council_feeds(_event_feeds(v))),
     "c13_html_blocks": _q(lambda v: html_blocks(v("pages"))),
     "c14_extract_grants": _q(lambda v: extract_grants(html_blocks(_grant_pages(v))).select("page_id", "recipient", "purpose", "amount")),
     "c15_extract_case_listings": _q(lambda v: extract_case_listings(html_blocks(_case_pages(v)))),
@@ -580,8 +682,28 @@ ORACLE = {k: with_views(q) for k, q in {
       SELECT page_id, 'MEMBER_OF' AS predicate, 'A ' || m AS subject, 'Audit ' || n AS object, 'Chair' AS value_text FROM c WHERE page_id % 4 = 0
       UNION ALL SELECT page_id, 'MEMBER_OF_PARTY', 'B ' || m, 'P' || n, NULL FROM c WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'REPRESENTS_WARD', 'B ' || m, 'W', NULL FROM c WHERE page_id % 4 = 1
       UNION ALL SELECT page_id, 'APPOINTED_TO_OUTSIDE_BODY', 'B ' || m, 'Body ' || n, NULL FROM c WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'DECLARED_INTEREST', 'C', '1', 'Works at ' || m FROM c WHERE page_id % 4 = 2
-      UNION ALL SELECT page_id, 'DECLARED_INTEREST', 'C', '4', '[REDACTED_FROM_STRUCTURED_DATA]' FROM c WHERE page_id % 4 = 2 UNION ALL SELECT page_id, 'AGENDA_ITEM', 'Meeting ' || page_id, '1', 'Budget' FROM c WHERE page_id % 4 = 3
-      UNION ALL SELECT page_id, 'DECISION_RECORDED', 'Meeting ' || page_id, '1', 'RESOLVED that it pass' FROM c WHERE page_id % 4 = 3""",
+      UNION ALL SELECT page_id, 'DECLARED_INTEREST', 'C', '4', '[REDACTED_FROM_STRUCTURED_DATA]' FROM c WHERE page_id % 4 = 2
+      UNION ALL SELECT page_id, 'MEETING_OF', 'Meeting ' || page_id, 'Meeting ' || page_id, NULL FROM c WHERE page_id % 4 = 3
+      UNION ALL SELECT page_id, 'AGENDA_ITEM_OF', 'Meeting ' || page_id || ' :: 1. Budget', 'Meeting ' || page_id, 'Budget' FROM c WHERE page_id % 4 = 3
+      UNION ALL SELECT page_id, p, 'Meeting ' || page_id || ' :: 1. Budget', NULL, 'RESOLVED that it pass' FROM c, (VALUES ('MINUTES_TEXT'), ('DECISION_TEXT')) t(p) WHERE page_id % 4 = 3""",
+    "c17_meeting_pages": """WITH c AS (SELECT c_custkey AS page_id, c_mktsegment AS m, 'Audit ' || c_nationkey || ' - May' AS t, 'Audit ' || c_nationkey AS a FROM customer),
+      x AS (SELECT page_id, t, a, m, '1.' AS n, 'Declarations of interest' AS item, 'No declarations were received' AS mi FROM c UNION ALL SELECT page_id, t, a, m, '2', 'Disclosures of interests', 'Councillor Ms Ann Lee declared a thing and Councillor Bo declared too' FROM c
+        UNION ALL SELECT page_id, t, a, m, '3', 'Budget ' || page_id, 'on a vote for:12 it was agreed' FROM c UNION ALL SELECT page_id, t, a, m, '4', 'Close', NULL FROM c)
+      SELECT page_id, 'MEETING_OF' AS predicate, t AS subject, a AS object, NULL AS value_text FROM c WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'VENUE', t, NULL, 'Hall ' || m FROM c WHERE page_id % 2 = 0
+      UNION ALL SELECT page_id, 'AGENDA_ITEM_OF', t || ' :: ' || n || ' ' || item, t, item FROM x WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'MINUTES_TEXT', t || ' :: ' || n || ' ' || item, NULL, mi FROM x WHERE page_id % 2 = 0 AND mi IS NOT NULL
+      UNION ALL SELECT page_id, 'DECLARATION_STATUS', t, NULL, 'No declarations recorded in the minutes' FROM c WHERE page_id % 2 = 0
+      UNION ALL SELECT page_id, 'DECLARED_INTEREST_AT', p, t, mi FROM x, (VALUES ('Ann Lee'), ('Bo')) v(p) WHERE page_id % 2 = 0 AND n = '2'
+      UNION ALL SELECT page_id, p, t || ' :: ' || n || ' ' || item, NULL, mi FROM x, (VALUES ('DECISION_TEXT'), ('VOTE_TEXT')) v(p) WHERE page_id % 2 = 0 AND n = '3'
+      UNION ALL SELECT page_id, 'ATTENDANCE_RECORDED_FOR', m, 'Attendance ' || page_id, 'Councillor Mr ' || m || ' Present' FROM c WHERE page_id % 2 = 1""",
+    "c12_links_by_text": """SELECT c_custkey AS page_id, 'https://x.example/' AS url, 'https://x.example/' || p || c_custkey || '.csv' AS link FROM customer, (VALUES ('a/'), ('b')) t(p)""",
+    "c13_made_blocks": """WITH c AS (SELECT c_custkey AS page_id, CASE WHEN c_custkey % 2 = 0 THEN 'Successful grants 2024' ELSE 'Other news' END AS h, c_name || ' - ' || c_mktsegment || ': £1,' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || 'inner - x: £5' AS t FROM customer)
+      SELECT page_id, 0 AS seq, 'h3' AS tag, 0 AS level, h AS text, -1 AS parent FROM c UNION ALL SELECT page_id, 1, 'li', 1, t, -1 FROM c UNION ALL SELECT page_id, 2, 'li', 2, 'inner - x: £5', 1 FROM c
+      UNION ALL SELECT page_id, 3, 'h3', 0, 'Next', -1 FROM c UNION ALL SELECT page_id, 4, 'li', 1, 'a - b: £7', -1 FROM c""",
+    "c18_event_feeds": """WITH f AS (SELECT n_nationkey AS feed_id, n_name FROM nation)
+      SELECT feed_id, 'REPRESENTS_WARD' AS predicate, n_name AS subject, 'W' AS object, NULL AS value_text FROM f UNION ALL SELECT feed_id, 'PUBLIC_ROLE_TEXT', n_name, NULL, 'Chair' FROM f
+      UNION ALL SELECT feed_id, 'TERM_OF_OFFICE', n_name, NULL, '2020 to unspecified' FROM f UNION ALL SELECT feed_id, 'PARISH_COUNCIL_LISTED', feed_id::VARCHAR, NULL, 'Parish ' || n_name FROM f
+      UNION ALL SELECT feed_id, 'MEETING_OF', 'M ' || n_name, 'Audit', NULL FROM f UNION ALL SELECT feed_id, 'MEETING_LISTED', '2 May', NULL, '2 May' FROM f
+      UNION ALL SELECT feed_id, 'MEETING_DATE', 'M ' || n_name, NULL, '1 May' FROM f UNION ALL SELECT feed_id, 'MEETING_DATE', '2 May', NULL, '2 May' FROM f UNION ALL SELECT feed_id, 'VENUE', 'M ' || n_name, NULL, 'Hall' FROM f""",
     "c18_extract_council_feeds": """SELECT n_nationkey AS feed_id, 'COMMITTEE' AS predicate, n_nationkey::VARCHAR AS subject, NULL AS object, 'T ' || n_name AS value_text FROM nation WHERE n_nationkey % 3 <> 0
       UNION ALL SELECT n_nationkey, 'REPRESENTS_WARD', n_name, 'W' || n_regionkey, NULL FROM nation UNION ALL SELECT n_nationkey, 'MEMBER_OF_PARTY', n_name, 'P', NULL FROM nation""",
     "c19_resolve_recorded_person": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN {sql_hashed("'PERSON'", "'h' || (o_orderkey % 25)", "'bob q' || (o_orderkey % 9)")}

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "dt", "dd", "a", "div", "span"}
 SKIPPED = {"script", "style", "noscript", "template"}
-SCHEMA = "page_id long, url string, seq int, tag string, level int, text string, href string, tr int, cell int"
+SCHEMA = "page_id long, url string, seq int, tag string, level int, text string, href string, tr int, cell int, parent int"
 
 
 class _Blocks(HTMLParser):
-    """Rows (seq, tag, level, text, href, tr, cell) of a page, in the order of their opening tags."""
+    """Rows (seq, tag, level, text, href, tr, cell, parent) of a page, in the order of their opening tags; parent is the
+    number of the row around, or -1."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -36,7 +37,7 @@ class _Blocks(HTMLParser):
                 self._close(tag, self.depth)
             if tag in ("td", "th"):
                 self.cell += 1
-            row = [len(self.rows), tag, self.depth, [], dict(attrs).get("href"), self.tr, self.cell if tag in ("td", "th") else 0]
+            row = [len(self.rows), tag, self.depth, [], dict(attrs).get("href"), self.tr, self.cell if tag in ("td", "th") else 0, self.open[-1][0] if self.open else -1]
             self.rows.append(row)
             self.open.append(row)
 
@@ -71,7 +72,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
                 parser = _Blocks()
                 parser.feed(html or "")
                 parser.close()
-                out += [(page_id, url, r[0], r[1], r[2], " ".join("".join(r[3]).split()), r[4], r[5], r[6]) for r in parser.rows]
-            yield pd.DataFrame(out, columns=["page_id", "url", "seq", "tag", "level", "text", "href", "tr", "cell"])
+                out += [(page_id, url, r[0], r[1], r[2], " ".join("".join(r[3]).split()), *r[4:]) for r in parser.rows]
+            yield pd.DataFrame(out, columns=["page_id", "url", "seq", "tag", "level", "text", "href", "tr", "cell", "parent"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
