@@ -14,6 +14,8 @@ from evidentia.functions import text
 from evidentia.functions.ids import hashed, sql_hashed
 from evidentia.sources.staging import view, with_views
 
+from evidentia.plans.storage import shared_dir
+
 from .resolve import _N, canonical_aliases, standardise_names
 
 CONTROL_SCHEMA = "company_number string, data struct<kind:string,name:string,natures_of_control:array<string>>"
@@ -105,11 +107,32 @@ def _companies(v) -> DataFrame:
 
 
 def _charities(v) -> DataFrame:
-    reg = v("companies").filter("number < '00001000'").select(F.concat(F.lit("9"), "number").alias("number"), "name", F.expr("CASE WHEN status = 'Active' THEN number END").alias("company_number"))
+    reg = v("companies").select(F.concat(F.lit("9"), "number").alias("number"), "name", F.expr("CASE WHEN status = 'Active' THEN number END").alias("company_number"))
     return import_charities(reg, canonical_aliases(standardise_names(v("entities"))))
 
 
+def f5_read_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The companies written as a delimited file with other headers and surplus columns, and read again."""
+    folder = shared_dir(spark)
+    view(spark, sf_dir, "companies").select(
+        F.col("number").alias("Company Number"), F.col("name").alias(" companyNAME"), F.lit("1 High St").alias("Reg. Address"), F.col("status").alias("Company_Status"),
+    ).write.csv(folder, header=True, sep="|")
+    return read_register(spark, folder, {"number": "CompanyNumber", "name": "CompanyName", "status": "CompanyStatus", "sic": "SICCode"}, "|")
+
+
+def f4_read_control_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The controllers written as JSON lines with fields that are not read and lines that cannot be, and read again."""
+    folder = shared_dir(spark)
+    c = view(spark, sf_dir, "controllers")
+    data = F.struct("kind", "name", F.array("nature").alias("natures_of_control"), F.lit("1970").alias("date_of_birth"))
+    lines = c.select(F.to_json(F.struct("company_number", data.alias("data"))).alias("value"))
+    lines.unionByName(c.select(F.concat(F.lit('{"company_number": "'), "company_number").alias("value"))).write.text(folder)
+    return read_control_persons(spark, folder).select("company_number", "kind", "name", F.array_join("natures_of_control", "|").alias("natures"))
+
+
 QUERIES = {
+    "f4_read_control_persons": f4_read_control_persons,
+    "f5_read_register": f5_read_register,
     "f1_import_companies": _q(lambda v: _companies(v).withColumn("keys", F.array_join("keys", "|"))),
     "f2_import_charities": _q(lambda v: register_identifiers(_charities(v), "company_number")),
     "f3_import_other_names": _q(lambda v: import_other_names(v("companies").filter("previous_name IS NOT NULL").select("number", F.col("previous_name").alias("name")), _companies(v))),
@@ -122,9 +145,11 @@ _C = _N.rstrip() + f""", kn AS (SELECT DISTINCT normalized_alias AS key FROM al
  c AS (SELECT *, {sql_hashed("'companies'", 'number')} AS record_id, {sql_hashed("'registry'", "'gb-coh'", 'number')} AS entity_id, 'gb-coh' AS scheme FROM co)
 """
 ORACLE = {k: with_views(q) for k, q in {
+    "f4_read_control_persons": "SELECT company_number, kind, name, nature AS natures FROM {controllers}",
+    "f5_read_register": "SELECT trim(number) AS number, trim(name) AS name, trim(status) AS status, NULL AS sic FROM {companies}",
     "f1_import_companies": _C + "SELECT * FROM c",
     "f2_import_charities": _C + f""", h AS (SELECT DISTINCT '9' || number AS number, CASE WHEN status = 'Active' THEN number END AS company_number FROM cn
-        WHERE number < '00001000' AND key IN (SELECT key FROM kn) AND key = {text.sql_normalize_org('name')}),
+        WHERE key IN (SELECT key FROM kn) AND key = {text.sql_normalize_org('name')}),
       i AS (SELECT *, {sql_hashed("'registry'", "'gb-chc'", 'number')} AS entity_id FROM h)
       SELECT entity_id, 'gb-chc' AS scheme, number AS identifier FROM i UNION ALL SELECT entity_id, 'gb-coh', company_number FROM i WHERE company_number IS NOT NULL""",
     "f3_import_other_names": _C + f"SELECT DISTINCT c.entity_id, p.previous_name AS alias_text, {text.sql_normalize_org('p.previous_name')} AS normalized_alias FROM c JOIN {{companies}} p USING (number) WHERE p.previous_name IS NOT NULL",

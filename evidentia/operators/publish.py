@@ -142,17 +142,49 @@ def publication_status(expectations: DataFrame, health: DataFrame, obs: DataFram
 
 
 def api_tables(gated: dict[str, DataFrame], names: DataFrame) -> dict[str, DataFrame]:
-    """Enriched projections of the gate's output, each in a fixed order of columns."""
+    """Enriched projections of the gate's output, each with fixed columns and a fixed order of rows.
+
+    Takes any of entities and members, facts (with documents, snapshots and windows, if given), matches, reviews, signals,
+    health, registry_records and registry_relationships.
+    """
     named = lambda c: names.select(F.col("entity_id").alias(c), F.col("name").alias(c.replace("_id", "_name")))
+    both = lambda df: df.join(named("subject_id"), "subject_id", "left").join(named("object_id"), "object_id", "left")
     out = {}
+    if "entities" in gated:
+        rows = gated["entities"]
+        resolved = F.lit(None).cast("string")
+        if "members" in gated:
+            rows, resolved = rows.join(gated["members"].select("entity_id", "canonical_id"), "entity_id", "left"), F.col("canonical_id")
+        out["entities"] = rows.select(
+            "entity_id", "entity_type", "canonical_name", F.coalesce(resolved, "entity_id").alias("resolved_entity_id"),
+        ).orderBy("entity_type", "canonical_name", "entity_id")
     if "signals" in gated:
-        out["signals"] = gated["signals"].join(named("subject_id"), "subject_id", "left").join(named("object_id"), "object_id", "left").select(
-            "signal_id", "signal_type", "score", "subject_id", "subject_name", "object_id", "object_name")
+        out["signals"] = both(gated["signals"]).select(
+            "signal_id", "signal_type", "score", "subject_id", "subject_name", "object_id", "object_name").orderBy(F.desc("score"), "signal_id")
     if "facts" in gated:
-        out["facts"] = gated["facts"].join(named("subject_id"), "subject_id", "left").join(named("object_id"), "object_id", "left").select(
-            "fact_id", "fact_type", "predicate", "subject_name", "object_name", "value_text", "locator", "document_id")
+        rows = both(gated["facts"])
+        more = []
+        for name, key, columns in (("documents", ["document_id"], ["url"]), ("snapshots", ["snapshot_id"], ["sha256"]), ("windows", ["document_id", "snapshot_id"], ["valid_from", "valid_to"])):
+            if name in gated:
+                rows, more = rows.join(gated[name].select(*key, *columns), key, "left"), more + columns
+        out["facts"] = rows.select(
+            "fact_id", "fact_type", "predicate", "subject_name", "object_name", "value_text", "locator", "document_id", *more).orderBy("document_id", "fact_type", "fact_id")
     if "matches" in gated:
-        out["matches"] = gated["matches"].select("match_id", "left_id", "right_id", "match_method", "confidence", "status")
+        side = lambda c, n: names.select(F.col("entity_id").alias(c), F.col("name").alias(n))
+        out["matches"] = gated["matches"].join(side("left_id", "left_name"), "left_id", "left").join(side("right_id", "right_name"), "right_id", "left").select(
+            "match_id", "left_id", "left_name", "right_id", "right_name", "match_method", "confidence", "status").orderBy(F.desc("confidence"), "match_id")
+    if "reviews" in gated:
+        out["reviews"] = both(gated["reviews"]).select(
+            "review_id", "item_type", "status", "subject_id", "subject_name", "object_id", "object_name").orderBy("status", "review_id")
+    if "health" in gated:
+        out["health"] = gated["health"].select("source_id", "status", "record_count", "fact_count", "http_status", "started_at").orderBy(
+            F.desc(F.col("status") != "success"), "source_id")
+    if "registry_records" in gated:
+        out["registry_records"] = gated["registry_records"].select(
+            "registry", "record_type", "external_id", "entity_id", "canonical_name").orderBy("registry", "record_type", "canonical_name", "external_id")
+    if "registry_relationships" in gated:
+        out["registry_relationships"] = both(gated["registry_relationships"]).select(
+            "registry", "predicate", "subject_id", "subject_name", "object_id", "object_name").orderBy("registry", "predicate", "subject_name", "object_name", "subject_id", "object_id")
     return out
 
 
@@ -172,12 +204,6 @@ def verify_boundary(published: dict[str, DataFrame]) -> DataFrame:
     return out.filter("violations > 0")
 
 
-def write_json(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """JSON lines, in folders by a column if given."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(partition) if partition else w).json(path)
-
-
 def _q(f):
     return lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
 
@@ -190,6 +216,40 @@ def _gate(v):
     return publication_gate({"signals": v("signals"), "reviews": v("signal_reviews"), "matches": _matches(v)})
 
 
+def _claims(v) -> dict[str, DataFrame]:
+    """Claims on parts with the facts of their order lines, beside the signals."""
+    claims = v("part").select(F.concat(F.lit("c"), "p_partkey").alias("claim_id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'draft' ELSE 'rejected' END").alias("status"))
+    evidence = v("lineitem").select(F.concat(F.lit("c"), "l_partkey").alias("claim_id"), F.concat_ws("-", F.concat(F.lit("f"), "l_orderkey"), "l_linenumber").alias("fact_id"))
+    return {"signals": v("signals"), "claims": claims, "claim_evidence": evidence}
+
+
+def _claim_gate(v):
+    return publication_gate(_claims(v))
+
+
+def _named_entities(v) -> DataFrame:
+    return v("entities").select("entity_id", F.col("canonical_name").alias("name"))
+
+
+def _api(v, name: str, **tables) -> DataFrame:
+    return api_tables(tables, _named_entities(v) if name in ("matches", "registry_relationships") else v("names"))[name]
+
+
+def _entity_pairs(v) -> DataFrame:
+    """Matches of neighbouring parts."""
+    e = lambda k: F.concat(F.lit("E"), F.lpad(k.cast("string"), 8, "0"))
+    return v("part").select(
+        F.col("p_partkey").alias("match_id"), e(F.col("p_partkey")).alias("left_id"), e(F.col("p_partkey") + 1).alias("right_id"), F.lit("near_typo").alias("match_method"),
+        (F.col("p_size") / 64).alias("confidence"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'auto_accepted' WHEN 1 THEN 'review' ELSE 'accepted' END").alias("status"))
+
+
+def _registry(v) -> dict[str, DataFrame]:
+    ids = lambda c: F.concat(F.lit("E"), c)
+    records = v("companies").select(F.lit("companies").alias("registry"), "category", F.col("number").alias("external_id"), ids("number").alias("entity_id"), F.col("name").alias("canonical_name")).withColumnRenamed("category", "record_type")
+    links = v("controllers").select(F.lit("companies").alias("registry"), F.lit("PSC_OF_COMPANY").alias("predicate"), F.col("name").alias("subject_id"), ids("company_number").alias("object_id"))
+    return {"registry_records": records, "registry_relationships": links}
+
+
 def _chain(v) -> DataFrame:
     items = v("published_facts").groupBy("object_id").agg(F.array_sort(F.collect_set("fact_id")).alias("evidence")).select(F.col("object_id").alias("item_id"), "evidence")
     docs = v("supplier").select(F.concat(F.lit("D"), "s_suppkey").alias("document_id"), F.col("s_name").alias("url"))
@@ -226,6 +286,15 @@ QUERIES = {
     "i8_publication_status": _q(lambda v: publication_status(_expected(v), _health(v), _seen(v), AS_OF)),
     "i9_api_signals": _q(lambda v: api_tables({"signals": _gate(v)[0]["signals"]}, v("names"))["signals"]),
     "i9_api_facts": _q(lambda v: api_tables({"facts": v("published_facts")}, v("names"))["facts"]),
+    "i2_gate_claims": _q(lambda v: _claim_gate(v)[0]["claim_evidence"]),
+    "i2_withheld_claims": _q(lambda v: _claim_gate(v)[1]),
+    "i3_findings_with_claims": _q(lambda v: public_findings(_claim_gate(v)[0]["signals"], _claim_gate(v)[0]["claims"])),
+    "i9_api_entities": _q(lambda v: _api(v, "entities", entities=v("entities"), members=v("entities").filter("entity_id < 'E1'").select("entity_id", F.concat(F.substring("entity_id", 1, 8), F.lit("0")).alias("canonical_id")))),
+    "i9_api_matches": _q(lambda v: _api(v, "matches", matches=publication_gate({"matches": _entity_pairs(v)})[0]["matches"])),
+    "i9_api_reviews": _q(lambda v: _api(v, "reviews", reviews=v("signal_reviews"))),
+    "i9_api_source_health": _q(lambda v: _api(v, "health", health=_health(v))),
+    "i9_api_registry_records": _q(lambda v: _api(v, "registry_records", **_registry(v))),
+    "i9_api_registry_relationships": _q(lambda v: _api(v, "registry_relationships", **_registry(v))),
     "i10_verify_boundary": _q(lambda v: verify_boundary({"signals": v("signals"), "reviews": v("signal_reviews"), "matches": _matches(v)})),
 }
 _LISTED = " OR ".join(f"(signal_type = '{k}' AND interpretation = '{x}')" for k, x in AUTO_PUBLIC.items())
@@ -256,5 +325,17 @@ ORACLE = {k: with_views(q) for k, q in {
       FROM x LEFT JOIN h USING (source_id) LEFT JOIN o USING (source_id)""",
     "i9_api_signals": _AP + _NM("signal_id, signal_type, score, subject_id, a.name AS subject_name, object_id, b.name AS object_name FROM pub"),
     "i9_api_facts": _NM("fact_id, fact_type, predicate, a.name AS subject_name, b.name AS object_name, value_text, locator, document_id FROM {published_facts}"),
+    "i2_gate_claims": "SELECT 'c' || l_partkey AS claim_id, 'f' || l_orderkey || '-' || l_linenumber AS fact_id FROM lineitem WHERE l_partkey % 3 = 0",
+    "i2_withheld_claims": _AP + """SELECT 'signals' AS "table", (SELECT count(*) FROM ap) - (SELECT count(*) FROM pub) AS withheld UNION ALL SELECT 'claims', count(*) FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'claim_evidence', count(*) FROM lineitem WHERE l_partkey % 3 <> 0""",
+    "i3_findings_with_claims": _FIND + "SELECT * FROM fl UNION ALL SELECT 'c' || p_partkey, 'documented_finding', NULL, NULL, 'Documented findings' FROM part WHERE p_partkey % 3 = 0",
+    "i9_api_entities": "SELECT entity_id, entity_type, canonical_name, CASE WHEN entity_id < 'E1' THEN substring(entity_id, 1, 8) || '0' ELSE entity_id END AS resolved_entity_id FROM {entities}",
+    "i9_api_matches": """WITH m AS (SELECT p_partkey AS match_id, 'E' || lpad(p_partkey::VARCHAR, 8, '0') AS left_id, 'E' || lpad((p_partkey + 1)::VARCHAR, 8, '0') AS right_id, 'near_typo' AS match_method, p_size / 64 AS confidence,
+      CASE p_partkey % 3 WHEN 0 THEN 'auto_accepted' ELSE 'accepted' END AS status FROM part WHERE p_partkey % 3 <> 1)
+      SELECT m.*, a.canonical_name AS left_name, b.canonical_name AS right_name FROM m LEFT JOIN {entities} a ON a.entity_id = left_id LEFT JOIN {entities} b ON b.entity_id = right_id""",
+    "i9_api_reviews": _NM("review_id, item_type, status, subject_id, a.name AS subject_name, object_id, b.name AS object_name FROM {signal_reviews}"),
+    "i9_api_source_health": "SELECT source_id, status, record_count, fact_count, http_status, started_at FROM {runs} QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) = 1",
+    "i9_api_registry_records": "SELECT 'companies' AS registry, category AS record_type, number AS external_id, 'E' || number AS entity_id, name AS canonical_name FROM {companies}",
+    "i9_api_registry_relationships": """SELECT 'companies' AS registry, 'PSC_OF_COMPANY' AS predicate, c.name AS subject_id, a.canonical_name AS subject_name, 'E' || company_number AS object_id, b.canonical_name AS object_name
+      FROM {controllers} c LEFT JOIN {entities} a ON a.entity_id = c.name LEFT JOIN {entities} b ON b.entity_id = 'E' || company_number""",
     "i10_verify_boundary": "SELECT * FROM (SELECT 'signal_not_approved' AS rule, count(*) AS violations FROM {signals} WHERE status <> 'approved' UNION ALL SELECT 'match_not_accepted', count(*) FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'review_present', count(*) FROM {signal_reviews}) WHERE violations > 0",
 }.items()}

@@ -208,12 +208,13 @@ def accepted_edges(named: DataFrame) -> DataFrame:
 
 
 def upsert_matches(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Matches by id: confidence is refreshed, a human accepted or rejected stays."""
+    """Matches by id: confidence (and evidence, if both tables have it) is refreshed, a human accepted or rejected stays."""
     e, n = existing.alias("e"), new.alias("n")
     human = F.col("e.status").isin("accepted", "rejected")
     status = F.when(human, F.col("e.status")).otherwise(F.coalesce("n.status", "e.status"))
     pick = lambda c: F.coalesce(f"n.{c}", f"e.{c}").alias(c)
-    columns = ("match_id", "left_id", "right_id", "match_method", "confidence")
+    columns = ["match_id", "left_id", "right_id", "match_method", "confidence"]
+    columns += [c for c in ("evidence",) if c in existing.columns and c in new.columns]
     return e.join(n, F.col("e.match_id") == F.col("n.match_id"), "full").select(*map(pick, columns), status.alias("status"))
 
 
@@ -357,6 +358,10 @@ QUERIES = {
     "e13_quality_representative": _q(lambda v: quality_representative(_named(v), resolve_members(v("entities"), _sure(v)), entity_identifiers(_named(v)))),
     "e14_close_resolved_reviews": _q(lambda v: close_resolved_reviews(_reviews(v), resolve_members(v("entities"), _sure(v)).withColumnRenamed("component", "canonical_id"))),
     "e15_cleanup_invalid": _q(lambda v: cleanup_invalid(_named(v), canonical_aliases(_named(v)), match_name_exact(canonical_aliases(_named(v))), match_reviews(match_name_exact(canonical_aliases(_named(v)))))[1].select(*_M)),
+    "e13_canonicalise": _q(lambda v: canonicalise(v("payments").select("fact_id", "supplier_id"), v("supplier").filter("s_suppkey % 3 > 0").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("entity_id"), F.concat(F.lit("S"), F.col("s_suppkey") - F.col("s_suppkey") % 3).alias("canonical_id")), "supplier_id")),
+    "d12_dataset_date": _q(lambda v: v("orders").select("o_orderkey", text.dataset_date(F.concat(F.lit("https://x/companies-"), F.expr("CASE WHEN o_orderkey % 4 > 0 THEN cast(cast(o_orderdate as date) as string) ELSE 'latest' END"), F.lit(".csv"))).alias("day"))),
+    "d15_plain_decimal": _q(lambda v: v("orders").select("o_orderkey", text.plain_decimal(F.when(F.col("o_orderkey") % 4 > 0, F.format_number("o_totalprice", 2)).otherwise("n/a")).alias("amount"))),
     "e16_resolve_entities": _q(lambda v: resolve_entities(v("entities"))),
 }
 
@@ -405,6 +410,9 @@ _BEST = f""", s AS (SELECT e.entity_id, component, ((entity_type = 'COUNCIL')::I
       c AS (SELECT component, min(entity_id) AS canonical_id, max(n) AS n FROM t WHERE score = top GROUP BY 1)
       SELECT entity_id, canonical_id, CASE WHEN n > 1 THEN 'accepted_entity_matches:quality_preferred' ELSE 'identity' END AS decision FROM comp JOIN c USING (component)"""
 ORACLE = {k: with_views(q) for k, q in {
+    "e13_canonicalise": "SELECT fact_id, CASE WHEN s_suppkey % 3 > 0 THEN 'S' || (s_suppkey - s_suppkey % 3) ELSE supplier_id END AS supplier_id FROM {payments} LEFT JOIN supplier ON 'S' || s_suppkey = supplier_id",
+    "d12_dataset_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 AND year(o_orderdate) >= 2000 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders",
+    "d15_plain_decimal": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount FROM orders",
     "d_standardise_names": _N + "SELECT * EXCLUDE (raw_type) FROM e",
     "d_name_quality_profile": _N + "SELECT entity_type, plausible, payee_class, channel, count(*) AS n FROM e GROUP BY ALL",
     "e1_canonical_aliases": _N + "SELECT * FROM al",

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evidentia.functions.ids import sql_hashed
-from evidentia.operators.facts import add_facts
+from evidentia.operators.facts import add_facts, with_fact_id
 from evidentia.operators.ingest import _SNAP, content_changes, snapshot_observations
-from evidentia.plans.storage import shared_dir
+from evidentia.plans.storage import shared_dir, through_files
 from evidentia.sources.staging import view, with_views
 
 CHANGE = "document_id string, old_sha256 string, new_sha256 string, detected_at timestamp"
@@ -54,25 +54,66 @@ def stream_observation_dedupe(obs: DataFrame, delay: str = "7 days") -> DataFram
     return obs.withWatermark("retrieved_at", delay).dropDuplicatesWithinWatermark(["observation_id"])
 
 
+#: Buckets of the fact table of ``stream_fact_sink``.
+SINK_BUCKETS = 64
+
+
 def stream_fact_sink(facts: DataFrame, folder: str, checkpoint: str):
-    """A writer (not started) that upserts facts batch by batch into versions of a table."""
+    """A writer (not started) that upserts facts batch by batch into a bucketed table (see ``read_sink``)."""
     return facts.writeStream.foreachBatch(fact_upsert(folder)).option("checkpointLocation", checkpoint)
 
 
+def _versions(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    """The version of each bucket after batch ``number``."""
+    if number < 0:
+        return {}
+    return {r.bucket: r.version for r in spark.read.parquet(f"{folder}/versions/{number}").collect()}
+
+
+def _read(spark: SparkSession, folder: str, versions: dict[int, int]) -> DataFrame | None:
+    paths = [f"{folder}/data/{n}/bucket={b}" for b, n in sorted(versions.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def read_sink(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    """The table after batch ``number``; None where nothing has come."""
+    return _read(spark, folder, _versions(spark, folder, number))
+
+
 def fact_upsert(folder: str):
-    """Writes version n of the table from version n - 1 and the n-th batch; a repeated batch overwrites its own."""
+    """Rewrites the buckets of fact ids that a batch touches, as its version of them; the rest stay as they are.
+
+    A small table tells which version of each bucket holds after a batch.  A repeated batch
+    starts from the table before it and overwrites its own files; versions that the batch before
+    this one has replaced are deleted.
+    """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{folder}/v{number - 1}") if number else batch.withColumn("fact_id", F.lit("")).filter("false")
-        add_facts(old, batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        spark = batch.sparkSession
+        before = _versions(spark, folder, number - 1)
+        facts = through_files(with_fact_id(batch))
+        bucket = F.pmod(F.xxhash64("fact_id"), F.lit(SINK_BUCKETS)).cast("int")
+        touched = [r[0] for r in facts.select(bucket).distinct().collect()]
+        old = _read(spark, folder, {b: before[b] for b in touched if b in before})
+        merged = add_facts(facts.limit(0) if old is None else old, facts.drop("fact_id"))
+        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/{number}")
+        after = before | {b: number for b in touched}
+        if after:
+            spark.createDataFrame(list(after.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/versions/{number}")
+        earlier = _versions(spark, folder, number - 2) if number > 1 else {}
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for b, n in earlier.items():
+            if before.get(b) != n:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data/{n}/bucket={b}"), True)
 
     return upsert
 
 
-def stream_source_health(runs: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Runs, failures and records of each source by day."""
+def stream_source_health(runs: DataFrame, width: str = "1 day", delay: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Runs, failures and records of each source by day, or by windows that begin every ``slide``."""
     rows = runs.withWatermark("started_at", delay)
-    return rows.groupBy(F.window("started_at", width).alias("w"), "source_id").agg(
+    return rows.groupBy(F.window("started_at", width, slide or width).alias("w"), "source_id").agg(
         F.count("*").alias("runs"), F.sum((F.col("status") != "success").cast("long")).alias("failures"), F.sum("record_count").alias("records"),
     ).select("source_id", F.col("w.start").alias("day"), "runs", "failures", "records")
 
@@ -85,27 +126,33 @@ def run_sessions(runs: DataFrame, gap: str = "6 hours", delay: str = "1 day") ->
     )
 
 
-def stream_staleness(obs: DataFrame, days: int = 35, delay: str = "1 day") -> DataFrame:
-    """(source_id, last_seen, stale_at) when event time passes the last observation by ``days``."""
-    span = days * 86_400_000_000  # microseconds, as the state
+def stream_staleness(obs: DataFrame, expectations: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(source_id, last_seen, stale_at) when event time passes a source's last observation by its cadence and grace.
+
+    ``expectations`` (source_id, cadence_days, grace_days) is a static table; sources without one are never stale.
+    """
+    day = 86_400_000_000  # microseconds, as the state
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["source_id", "last_seen", "stale_at"]
         if state.hasTimedOut:
-            last = pd.Timestamp(state.get[0], unit="us")
+            newest, span = state.get
+            last = pd.Timestamp(newest, unit="us")
             state.remove()
             yield pd.DataFrame([(key[0], last, last + pd.Timedelta(microseconds=span))], columns=columns)
             return
-        newest = max(pd.Timestamp(f["retrieved_at"].max()).value // 1000 for f in frames)
-        if state.exists:
-            newest = max(newest, state.get[0])
-        state.update((newest,))
+        newest, span = state.get if state.exists else (None, None)
+        for f in frames:
+            seen = pd.Timestamp(f["retrieved_at"].max()).value // 1000
+            newest, span = seen if newest is None else max(newest, seen), int(f["days"].max()) * day
+        state.update((newest, span))
         state.setTimeoutTimestamp(max((newest + span) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([], columns=columns)
 
-    rows = obs.withWatermark("retrieved_at", delay).select("source_id", "retrieved_at")
+    days = expectations.select("source_id", (F.col("cadence_days") + F.col("grace_days")).alias("days"))
+    rows = obs.withWatermark("retrieved_at", delay).select("source_id", "retrieved_at").join(days, "source_id")
     return rows.groupBy("source_id").applyInPandasWithState(
-        step, "source_id string, last_seen timestamp, stale_at timestamp", "last_us long", "append", GroupStateTimeout.EventTimeTimeout
+        step, "source_id string, last_seen timestamp, stale_at timestamp", "last_us long, span_us long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -154,37 +201,54 @@ def j3_stream_fact_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     facts = e.select(
         F.concat(F.lit("D"), "user_id").alias("document_id"), F.col("event_type").alias("snapshot_id"), F.lit("EVENT").alias("fact_type"), none.alias("subject_id"), F.lit("SAW").alias("predicate"),
-        none.alias("object_id"), F.substring("props", 1, 10).alias("value_text"), none.alias("locator"), F.concat(F.lit("m"), "event_id").alias("metadata"))
+        none.alias("object_id"), F.col("props").alias("value_text"), none.alias("locator"), F.concat(F.lit("m"), "event_id").alias("metadata"))
     folder = shared_dir(spark)
     query = stream_fact_sink(facts, folder, f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/v{query.lastProgress['batchId']}").select("document_id", "snapshot_id", "value_text", "metadata")
+    return read_sink(spark, folder, query.lastProgress["batchId"]).select("document_id", "snapshot_id", "value_text", "metadata")
 
 
 def j4_stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(stream_source_health(_ran(spark, sf_dir)), "complete")
 
 
+def j4_sliding_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_to_end(stream_source_health(_ran(spark, sf_dir), "2 days", slide="1 day"), "complete")
+
+
 def j4_run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(run_sessions(_ran(spark, sf_dir)), "complete")
 
 
+def j5_stream_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a source that were not seen again in time; searches are expected within a day, others within two."""
+    obs = _observed(spark, sf_dir).withColumn("source_id", F.concat_ws("/", "source_id", "url"))
+    sources = view(spark, sf_dir, "observations").select(F.concat_ws("/", "source_id", "url").alias("source_id")).distinct()
+    expected = sources.withColumns({"cadence_days": F.when(F.col("source_id").startswith("s"), 1).otherwise(2), "grace_days": F.when(F.col("source_id").endswith("7"), 1).otherwise(0)})
+    return run_to_end(stream_staleness(obs, expected))
+
+
 QUERIES = {
     "j1_stream_content_changes": j1_stream_content_changes,
     "j2_stream_observation_dedupe": j2_stream_observation_dedupe,
     "j3_stream_fact_sink": j3_stream_fact_sink,
     "j4_stream_source_health": j4_stream_source_health,
     "j4_run_sessions": j4_run_sessions,
-    "j5_stream_staleness": lambda spark, sf_dir: run_to_end(stream_staleness(_observed(spark, sf_dir).withColumn("source_id", F.concat_ws("/", "source_id", "url")), days=1)),
+    "j4_sliding_health": j4_sliding_health,
+    "j5_stream_staleness": j5_stream_staleness,
 }
 ORACLE = {k: with_views(q) for k, q in {
     "j1_stream_content_changes": f"""WITH c AS (SELECT *, lag(sha256) OVER (PARTITION BY document_id ORDER BY retrieved_at, observation_id) AS old FROM ({_SNAP}))
       SELECT document_id, old AS old_sha256, sha256 AS new_sha256, min(retrieved_at) AS detected_at FROM c WHERE old <> sha256 GROUP BY ALL""",
     "j2_stream_observation_dedupe": "SELECT observation_id, source_id, retrieved_at FROM {observations}",
-    "j3_stream_fact_sink": "SELECT 'D' || user_id AS document_id, event_type AS snapshot_id, substring(props, 1, 10) AS value_text, max('m' || event_id) AS metadata FROM events GROUP BY ALL",
+    "j3_stream_fact_sink": "SELECT 'D' || user_id AS document_id, event_type AS snapshot_id, props AS value_text, max('m' || event_id) AS metadata FROM events GROUP BY ALL",
     "j4_stream_source_health": "SELECT source_id, date_trunc('day', started_at)::TIMESTAMP AS day, count(*) AS runs, count(*) FILTER (status <> 'success') AS failures, sum(record_count)::BIGINT AS records FROM {runs} GROUP BY 1, 2",
-    "j5_stream_staleness": """SELECT source_id || '/' || url AS source_id, max(retrieved_at) AS last_seen, max(retrieved_at) + INTERVAL 1 DAY AS stale_at FROM {observations} GROUP BY 1
-      HAVING date_trunc('millisecond', max(retrieved_at)) + INTERVAL 2 DAY < (SELECT max(retrieved_at) FROM {observations})""",
+    "j4_sliding_health": """SELECT source_id, date_trunc('day', started_at)::TIMESTAMP - to_days(k::INTEGER) AS day, count(*) AS runs, count(*) FILTER (status <> 'success') AS failures, sum(record_count)::BIGINT AS records
+      FROM {runs}, range(0, 2) r(k) GROUP BY 1, 2""",
+    "j5_stream_staleness": """WITH o AS (SELECT source_id || '/' || url AS source_id, max(retrieved_at) AS last_seen FROM {observations} GROUP BY 1),
+      e AS (SELECT *, CASE WHEN starts_with(source_id, 's') THEN 1 ELSE 2 END + CASE WHEN ends_with(source_id, '7') THEN 1 ELSE 0 END AS days FROM o)
+      SELECT source_id, last_seen, last_seen + to_days(days) AS stale_at FROM e
+      WHERE date_trunc('millisecond', last_seen) + to_days(days + 1) < (SELECT max(retrieved_at) FROM {observations})""",
     "j4_run_sessions": """WITH g AS (SELECT source_id, started_at, CASE WHEN started_at < lag(started_at) OVER (PARTITION BY source_id ORDER BY started_at) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM {runs}),
       s AS (SELECT *, sum(n) OVER (PARTITION BY source_id ORDER BY started_at ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT source_id, min(started_at) AS started, count(*) AS runs FROM s GROUP BY source_id, k""",
 }.items()}

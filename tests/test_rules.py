@@ -174,3 +174,20 @@ def test_denied_file_wins(spark):
 def test_bad_release_text(spark):
     df = extract.parse_releases(spark.createDataFrame([("{bad",), ('{"ocid":"o1","tender":{"title":"T"}}',), (None,)], "json string"))
     assert [(r.ocid, r.award_id, r.predicate) for r in extract.extract_ocds(df).collect()] == [("o1", "notice", "HAS_TITLE")]
+
+
+def test_sink_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    from evidentia.streaming import streams
+
+    columns = "document_id string, snapshot_id string, fact_type string, subject_id string, predicate string, object_id string, value_text string, locator string, metadata string"
+    fact = lambda n, m: (f"d{n}", "s", "T", None, "p", None, str(n), None, m)
+    batches = [[fact(n, "a") for n in range(300)], [fact(n, "b") for n in (3, 4, 400)], [fact(4, "c")]]
+    upsert, want = streams.fact_upsert(str(tmp_path)), {}
+    for number, rows in enumerate(batches):
+        want |= {r[6]: r[8] for r in rows}
+        for _ in range(2):  # a repeated batch changes nothing
+            upsert(spark.createDataFrame(rows, columns), number)
+            table = streams.read_sink(spark, str(tmp_path), number)
+            assert {r.value_text: r.metadata for r in table.collect()} == want and table.count() == len(want)
+    assert len(list((tmp_path / "data" / "2").glob("bucket=*"))) == 1
+    assert len(list((tmp_path / "data" / "0").glob("bucket=*"))) < streams.SINK_BUCKETS
