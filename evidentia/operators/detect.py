@@ -254,15 +254,15 @@ def _control(v) -> DataFrame:
     )
 
 
-def _office(v, which: str = "true") -> DataFrame:
-    return v("customer").filter(which).select(
+def _office(v) -> DataFrame:
+    return v("customer").select(
         F.concat(F.lit("h"), "c_custkey").alias("fact_id"), F.concat(F.lit("P"), "c_custkey").alias("person_id"),
         F.upper(F.regexp_replace("c_name", "#", "  ")).alias("name"), F.lit("MEMBER_OF").alias("predicate"),
     )
 
 
-def _declared(v, which: str = "true") -> DataFrame:
-    return v("customer").filter(which).select(
+def _declared(v) -> DataFrame:
+    return v("customer").select(
         F.concat(F.lit("d"), "c_custkey").alias("fact_id"), F.concat(F.lit("P"), "c_custkey").alias("person_id"),
         F.concat(F.lit("My wife and "), F.regexp_replace("c_name", "#", " "), F.lit(" hold shares")).alias("value_text"),
     )
@@ -270,23 +270,12 @@ def _declared(v, which: str = "true") -> DataFrame:
 
 QUERIES = {
     "g1_shared_outside_bodies": _q(lambda v: _joined(shared_outside_bodies(v("outside_bodies")), "people", "evidence")),
-    "g4_declared_interest_overlap": _q(lambda v: _joined(declared_interest_overlap(
-        v("outside_bodies").select("fact_id", "person_id", F.concat(F.lit("S"), F.substring("body_id", 2, 9)).alias("entity_id")).filter("entity_id IN ('S3','S5','S8')"),
-        v("payments").filter("amount > 9000"), v("contract_suppliers")).drop("evidence"))),
     "g5_payment_contract_overlap": _q(lambda v: payment_contract_overlap(v("payments"), v("contract_suppliers")).withColumn("contract_ids", F.size("contract_ids"))),
     "g6_payments_exceed_contract_value": _q(lambda v: payments_exceed_contract_value(v("payments"), v("contract_suppliers"), v("contract_buyers"), v("contract_values"))),
     "g7_payments_outside_periods": _q(lambda v: payments_outside_periods(v("payments"), v("contract_suppliers"), v("contract_buyers"), v("contract_periods"))),
     "g8_unmatched_payment_streams": _q(lambda v: unmatched_payment_streams(v("payments"), v("contract_suppliers"), v("contract_buyers"), v("names"), v("organisations"))),
     "g9_public_authority_aliases": _q(lambda v: public_authority_aliases(v("organisations"))),
     "g2_interest_mentions_contract_supplier": _q(lambda v: phrase_mentions(_texts(v), _phrases(v))),
-    "g3_interest_mentions_payment_supplier": _q(lambda v: interest_mentions(
-        v("texts"), _phrases(v), v("phrases").filter("cast(substring(entity_id, 2) as int) % 2 = 0"))),
-    "g10_control_person_officeholder": _q(lambda v: control_person_officeholder(
-        _control(v), supplier_evidence(v("payments").filter("amount > 50000"), v("contract_suppliers")), _office(v, "c_custkey % 7 = 0")).select("psc_id", "company_id", F.size("evidence").cast("long").alias("n_evidence"), "score")),
-    "g11_control_person_declared_interest": _q(lambda v: _joined(control_person_declared_interest(
-        _control(v), supplier_evidence(v("payments").filter("amount > 50000"), v("contract_suppliers")), _declared(v, "c_custkey % 11 = 0")), "kin").select(
-            "psc_id", "company_id", "fact_id", "person_id", "kin", F.size("evidence").cast("long").alias("n_evidence"), "score")),
-    # the same over all outside bodies, phrases, payments and customers
     "g4_declared_interest_overlap_whole": _q(lambda v: declared_interest_overlap(
         v("outside_bodies").select("fact_id", "person_id", F.concat(F.lit("S"), F.substring("body_id", 2, 9)).alias("entity_id")),
         v("payments"), v("contract_suppliers")).select("person_id", "entity_id", F.size("evidence").cast("long").alias("n_evidence"), "score")),
@@ -317,16 +306,12 @@ _MENTIONS = f"""SELECT DISTINCT t.fact_id, t.person_id, p.entity_id, p.key AS ph
   FROM (SELECT fact_id, person_id, ' ' || {text.sql_normalize_org('value_text')} || ' ' AS k FROM {{texts}}) t
   JOIN (SELECT entity_id, {text.sql_normalize_org('name')} AS key FROM {{phrases}}) p ON contains(t.k, ' ' || p.key || ' ')
   WHERE length(p.key) >= 6 AND (contains(p.key, ' ') OR length(p.key) >= 9)"""
-_EVIDENCE = "SELECT supplier_id, fact_id FROM {payments} WHERE amount > 50000 UNION SELECT supplier_id, fact_id FROM {contract_suppliers}"
 _ALL_EVIDENCE = "SELECT supplier_id, fact_id FROM {payments} UNION SELECT supplier_id, fact_id FROM {contract_suppliers}"
 
 ORACLE = {k: with_views(q) for k, q in {
     "g1_shared_outside_bodies": """SELECT body_id, count(DISTINCT person_id) AS n, array_to_string(list_sort(list(DISTINCT person_id)), ',') AS people,
       array_to_string(list_sort(list(DISTINCT fact_id)), ',') AS evidence, least(0.55, 0.25 + 0.08 * (count(DISTINCT person_id) - 2))::DOUBLE AS score
       FROM {outside_bodies} GROUP BY body_id HAVING count(DISTINCT person_id) >= 2""",
-    "g4_declared_interest_overlap": """SELECT DISTINCT person_id, 'S' || substring(body_id, 2, 9) AS entity_id, 0.68::DOUBLE AS score FROM {outside_bodies} o
-      WHERE 'S' || substring(body_id, 2, 9) IN ('S3', 'S5', 'S8') AND 'S' || substring(body_id, 2, 9) IN
-      (SELECT supplier_id FROM {payments} WHERE amount > 9000 UNION SELECT supplier_id FROM {contract_suppliers})""",
     "g5_payment_contract_overlap": """SELECT * FROM (SELECT supplier_id, count(*) AS payment_count, sum(amount)::DECIMAL(28,2) AS payment_total FROM {payments} GROUP BY 1)
       JOIN (SELECT supplier_id, count(*) AS contract_facts, count(DISTINCT contract_id)::INTEGER AS contract_ids FROM {contract_suppliers} GROUP BY 1) USING (supplier_id)""",
     "g6_payments_exceed_contract_value": f"""WITH best AS (SELECT contract_id, max(amount) AS value FROM {{contract_values}} WHERE currency = 'GBP' AND amount >= 0 GROUP BY 1),
@@ -344,13 +329,6 @@ ORACLE = {k: with_views(q) for k, q in {
     "g8_unmatched_payment_streams": UNMATCHED,
     "g9_public_authority_aliases": _ALIASES,
     "g2_interest_mentions_contract_supplier": _MENTIONS,
-    "g3_interest_mentions_payment_supplier": _MENTIONS + " AND CAST(substring(p.entity_id, 2) AS INTEGER) % 2 = 0",
-    "g10_control_person_officeholder": f"""WITH e AS ({_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
-      SELECT 'Q' || c_custkey AS psc_id, supplier_id AS company_id, k + 1 AS n_evidence, 0.76::DOUBLE AS score
-      FROM customer JOIN n ON supplier_id = 'S' || (c_custkey % 100) WHERE c_custkey % 7 = 0""",
-    "g11_control_person_declared_interest": f"""WITH e AS ({_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
-      SELECT 'Q' || c_custkey AS psc_id, supplier_id AS company_id, 'd' || c_custkey AS fact_id, 'P' || c_custkey AS person_id, 'wife' AS kin, k + 1 AS n_evidence, 0.84::DOUBLE AS score
-      FROM customer JOIN n ON supplier_id = 'S' || (c_custkey % 100) WHERE c_custkey % 11 = 0""",
     "g4_declared_interest_overlap_whole": f"""WITH e AS ({_ALL_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
       SELECT person_id, supplier_id AS entity_id, any_value(k) + count(DISTINCT fact_id) AS n_evidence, 0.68::DOUBLE AS score
       FROM {{outside_bodies}} o JOIN n ON supplier_id = 'S' || substring(body_id, 2, 9) GROUP BY 1, 2""",
@@ -364,3 +342,5 @@ ORACLE = {k: with_views(q) for k, q in {
     "g12_supplier_evidence": """SELECT supplier_id, count(DISTINCT fact_id) AS n_facts, min(fact_id) AS first_fact FROM
       (SELECT supplier_id, fact_id FROM {payments} UNION ALL SELECT supplier_id, fact_id FROM {contract_suppliers}) GROUP BY 1""",
 }.items()}
+for _name in ("g3_interest_mentions_payment_supplier", "g4_declared_interest_overlap", "g10_control_person_officeholder", "g11_control_person_declared_interest"):
+    QUERIES[_name], ORACLE[_name] = QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"]
