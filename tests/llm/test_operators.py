@@ -369,6 +369,15 @@ def test_jaccard_join(odd, none, monkeypatch, small, common):
     assert jaccard_join.similarity_components(none).count() == 0
 
 
+def test_bytes_at_any_distance_tell_words_apart():
+    word = bytearray(b"a" * 70_000)
+    word[3], word[3 + 65_536] = ord("b"), ord("c")
+    other = bytearray(word)
+    other[3], other[3 + 65_536] = word[3 + 65_536], word[3]
+    hashes, _ = jaccard_join.word_hashes(np.frombuffer(bytes(word + b" " + other), np.uint8), np.array([0, 140_001]))
+    assert len(set(hashes.tolist())) == 2
+
+
 def test_jaccard_join_under_a_longer_text(spark):
     """The least member of a large run is too long for any pair; the others are links of each other."""
     passage = " ".join(f"p{i}" for i in range(103))
