@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard_join.similarity_components(docs, NGRAM, SIMILARITY)
     first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("doc_id")
+    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
     return kept.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*COLUMNS)
 
 
