@@ -93,9 +93,6 @@ def fill_cache(keyed: DataFrame, path: str, cache_dir: str) -> None:
     """Appends the counts of the texts of (digest, text) that are not stored yet, each encoded once."""
     spark, version = keyed.sparkSession, tokenizer_version(path)
     stored = read_cache(spark, cache_dir, version)
-    missing = keyed.select("digest", "text")
-    if stored is not None:
-        missing = missing.join(stored, "digest", "left_anti")
 
     def encode(batches):
         model = _model(path)
@@ -103,7 +100,9 @@ def fill_cache(keyed: DataFrame, path: str, cache_dir: str) -> None:
             counts = [len(model.encode(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    once = missing.mapInArrow(distinct_in_partition, "digest binary, text string").repartition("digest")
+    once = keyed.select("digest", "text").mapInArrow(distinct_in_partition, "digest binary, text string").repartition("digest")
+    if stored is not None:  # texts move once: the join takes them as they have been dealt
+        once = once.join(stored.hint("merge"), "digest", "left_anti")
     once.mapInArrow(encode, _CACHE).write.mode("append").parquet(f"{cache_dir}/{version}")
 
 
@@ -118,11 +117,11 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the tokens of every document.
 
-    The cache is new and filled in two runs: first with the texts whose digest begins with a
-    0 bit, as an earlier run would have left them, then for the whole table, which finds those.
+    The cache is new and filled in two runs: first with the texts whose digest begins with four
+    0 bits, as an earlier run would have left them, then for the whole table, which finds those.
     """
     docs, path, cache = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_dir(spark)
-    fill_cache(with_digest(docs, path).filter(F.hex("digest") < "8"), path, cache)
+    fill_cache(with_digest(docs, path).filter(F.hex("digest") < "1"), path, cache)
     return count_tokens(docs, path, cache).withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
