@@ -23,8 +23,9 @@ one that most of them are close to.  A key's classes (a run) of at most SMALL me
 their pairs.  A larger run gives the pairs of its least member with the others (a star).  When the
 links found so far have been joined to components, runs of words whose star has come into one
 component are settled, which nearly all runs of copies are; the classes of the others give their
-words again.  Pairs of such a run, or of a large run of leading hashes, that lie in different
-components are verified as well.  So no link between components is lost, while large groups of
+words again, with a sketch of SKETCH parity bits.  Pairs of such a run whose sketches differ in no
+more bits than similar sets may in hashes, and pairs of a large run of leading hashes, are verified
+as well if they lie in different components.  So no link between components is lost, while large groups of
 copies stay linear.  Candidates are verified by their exact sets, which only classes that are
 in a candidate pair send, those of later pairs in a scan of their own.
 
@@ -51,6 +52,9 @@ from .common import lower_ascii, table, text_buffers, through_files
 
 NGRAM, THRESHOLD = 4, Fraction(85, 100)
 SMALL = 5
+#: Bits of the sketches that pairs of unsettled runs are compared by before their sets are.
+SKETCH = 1024
+_BITS = [f"s{i}" for i in range(SKETCH // 64)]
 #: A hash is common from this share of the documents on (and from COMMON_LEAST documents).
 COMMON, COMMON_LEAST = 10_000, 20
 #: Bits of the filter of classes in candidate pairs: its size does not grow with the input.
@@ -401,8 +405,18 @@ def open_classes(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return star.join(unsettled, "a").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
+def bit_sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes in SKETCH classes, as rows of 64-bit numbers: two sketches differ in at
+    most as many bits as their sets differ in hashes."""
+    count = len(offsets) - 1
+    owner = np.repeat(np.arange(count), np.diff(offsets))
+    at = owner * SKETCH + ((hashes >> np.uint64(17)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=count * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(count, SKETCH), axis=1).view(np.int64)
+
+
 def members_of(sets: DataFrame, bands: Bands, common) -> DataFrame:
-    """(key, cls, place) of the words of given sets: the keys under which they have met."""
+    """(key, cls, place, s0, ...) of the words of given sets: the keys under which they have met, and their bit sketches."""
 
     def run(batches):
         for b in batches:
@@ -411,11 +425,12 @@ def members_of(sets: DataFrame, bands: Bands, common) -> DataFrame:
                 each = [_unpack(x.as_buffer()) for x in part.column("hashes")]
                 hashes, offsets = np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
                 keys, owner, _ = sketch_keys(hashes, offsets, is_rare(hashes, common.value), bands)
+                bits = bit_sketches(hashes, offsets)[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(part.column("cls").to_numpy()[owner]), pa.array(np.zeros(len(keys), np.int64))],
-                    ["key", "cls", "place"])
+                    [pa.array(keys.view(np.int64)), pa.array(part.column("cls").to_numpy()[owner]), pa.array(np.zeros(len(keys), np.int64)),
+                     *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["key", "cls", "place", *_BITS])
 
-    return sets.mapInArrow(run, "key long, cls long, place long")
+    return sets.mapInArrow(run, "key long, cls long, place long, " + ", ".join(f"{c} long" for c in _BITS))
 
 
 def candidate_sets(docs: DataFrame, pairs: DataFrame, ngram: int, common) -> DataFrame:
@@ -515,18 +530,26 @@ def similarity_components(
     joined = components(links)
     unsettled = through_files(open_classes(pairs, joined))
     if unsettled.limit(1).count():
-        large = large.unionByName(through_files(members_of(sets.join(unsettled, "cls", "left_semi"), bands, common)))
+        words = through_files(members_of(sets.join(unsettled, "cls", "left_semi"), bands, common))
+        # all members of an unsettled run are there; smaller runs have given all their pairs
+        many = words.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("key")
+        large = large.unionByName(words.join(many, "key", "left_semi"), allowMissingColumns=True)
     # pairs of large runs between different components
     member = large.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = member.join(classes.filter("cls IS NOT NULL").groupBy("cls").agg(F.max("n").alias("n")), "cls")
     mixed = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
     member = through_files(member.join(mixed.select("key"), "key"))
     x, y = member.alias("x"), member.alias("y")
+    apart = None  # bits in which the sketches of two members differ
+    for c in _BITS if _BITS[0] in member.columns else ():
+        one = F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+        apart = one if apart is None else apart + one
     top, bottom = threshold.numerator, threshold.denominator
     across = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (top + bottom) >= (F.col("x.n") + F.col("y.n")) * top),
+        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (top + bottom) >= (F.col("x.n") + F.col("y.n")) * top)
+        & (F.lit(True) if apart is None else F.coalesce(apart * (top + bottom) <= (F.col("x.n") + F.col("y.n")) * (bottom - top), F.lit(True))),
     ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     across = through_files(across)
     # members whose pairs in the runs all failed the bound have sent no set yet

@@ -369,6 +369,17 @@ def test_jaccard_join(odd, none, monkeypatch, small, common):
     assert jaccard_join.similarity_components(none).count() == 0
 
 
+def test_bit_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (0, 1, 40, 300, 300, 2500)]
+    bits = jaccard_join.bit_sketches(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            far = sum(int(x).bit_count() for x in (bits[i] ^ bits[j]).view(np.uint64))
+            assert far <= len(np.setxor1d(a, b)) and (far > 0) == (i != j)
+
+
 def test_bytes_at_any_distance_tell_words_apart():
     word = bytearray(b"a" * 70_000)
     word[3], word[3 + 65_536] = ord("b"), ord("c")
