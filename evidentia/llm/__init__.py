@@ -5,15 +5,15 @@ from __future__ import annotations
 
 def _modules():
     from . import (
-        bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, suffix_dedup, token_counts,
+        bpe, decontamination, fingerprints, jaccard_join, language_id, packing, quality_rules, suffix_dedup, token_counts,
         toxicity, url_filter,
     )
 
-    return (fingerprints, bpe, suffix_dedup, url_filter, toxicity, quality_rules, jaccard_join, token_counts, language_id, packing)
+    return (fingerprints, bpe, suffix_dedup, url_filter, toxicity, quality_rules, jaccard_join, token_counts, language_id, packing, decontamination)
 
 
 def queries() -> dict:
-    """Queries of the ten operators."""
+    """Queries of the numbered operators."""
     return {k: q for m in _modules() for k, q in m.QUERIES.items()}
 
 
