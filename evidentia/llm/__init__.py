@@ -5,11 +5,11 @@ from __future__ import annotations
 
 def _modules():
     from . import (
-        bpe, decontamination, fingerprints, jaccard_join, language_id, packing, quality_rules, spelling, suffix_dedup, token_counts,
+        bpe, decontamination, fingerprints, hard_negatives, jaccard_join, language_id, packing, quality_rules, spelling, suffix_dedup, token_counts,
         toxicity, url_filter,
     )
 
-    return (fingerprints, bpe, suffix_dedup, url_filter, toxicity, quality_rules, jaccard_join, token_counts, language_id, packing, decontamination, spelling)
+    return (fingerprints, bpe, suffix_dedup, url_filter, toxicity, quality_rules, jaccard_join, token_counts, language_id, packing, decontamination, spelling, hard_negatives)
 
 
 def queries() -> dict:
