@@ -53,6 +53,10 @@ SELECT 'C' || n_nationkey AS organisation_id, n_name || CASE n_regionkey % 3 WHE
 SELECT event_id AS observation_id, event_type AS source_id, 'u/' || user_id AS url, 'title ' || user_id AS title, props AS body, ts AS retrieved_at,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(CAST(ts AS DATE) AS STRING) END AS published_at,
   CASE WHEN event_id % 11 = 0 THEN 'rumour' ELSE 'OFFICIAL_RECORD' END AS evidence_class FROM {events}""",
+    "arrivals": """
+SELECT event_id AS observation_id, event_type AS source_id, 'u/' || user_id AS url, ts AS retrieved_at,
+  CAST(floor((extract(DAY FROM ts) - 1) / 8.0) AS BIGINT) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS part FROM {events}
+UNION ALL SELECT event_id, event_type, 'u/' || user_id, ts, CAST(floor((extract(DAY FROM ts) - 1) / 8.0) AS BIGINT) + CAST(event_id % 2 AS BIGINT) FROM {events} WHERE event_id % 7 = 0""",
     "entities": """
 SELECT 'E' || lpad(CAST(p.p_partkey AS STRING), 8, '0') AS entity_id,
   CASE p.p_partkey % 6 WHEN 5 THEN 'PERSON' WHEN 0 THEN 'COMPANY' WHEN 1 THEN 'SUPPLIER' WHEN 2 THEN 'ORGANISATION' WHEN 3 THEN 'SUPPLIER' ELSE 'COUNCIL' END AS raw_type,
