@@ -14,6 +14,7 @@ from evidentia.functions.ids import hashed, sql_hashed
 from evidentia.sources.pages import html_blocks
 from evidentia.sources.staging import view, with_views
 
+from .cases import case_facts, housing_facts
 from .facts import first_rule
 
 # Header aliases and terms that select files, columns and suppliers.
@@ -312,36 +313,6 @@ def extract_grants(blocks: DataFrame) -> DataFrame:
     return rows.filter(F.col("text").rlike(pattern)).select("page_id", "seq", part(1).alias("recipient"), part(2).alias("purpose"), text.money(part(3)).alias("amount"))
 
 
-def extract_case_listings(blocks: DataFrame) -> DataFrame:
-    """(page_id, case_no, title, decision, category, decided, summary): pages cut at case headings with (dd ddd ddd)."""
-    rows = blocks.filter(F.col("tag").isin("h2", "h3", "p", "li", "dd"))
-    mark = F.regexp_extract("text", r"\((\d\d \d\d\d \d\d\d)\)", 1)
-    order = Window.partitionBy("page_id").orderBy("seq")
-    rows = rows.withColumn("case_no", F.nullif(mark, F.lit(""))).withColumn("island", F.count("case_no").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("island > 0")
-    cases = rows.groupBy("page_id", "island").agg(F.max("case_no").alias("case_no"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
-    body = F.array_join(F.transform("parts", lambda p: p["text"]), "\n")
-    at = lambda p, k=1: F.nullif(F.trim(F.regexp_extract("body", p, k)), F.lit(""))
-    line = r"(?m)^Statement\s+(.*?)\s+(\S.*?)\s+(\d{1,2}-[A-Z][a-z]{2}-\d{4})"
-    cases = cases.withColumn("body", body)
-    return cases.select(
-        "page_id", "case_no", at(r"(?m)^(.*?)\s*\(\d\d \d\d\d \d\d\d\)").alias("title"), at(line, 1).alias("decision"), at(line, 2).alias("category"),
-        F.try_to_timestamp(at(line, 3), F.lit("d-MMM-yyyy")).cast("date").alias("decided"), at(r"(?m)^Summary:\s*(.*)$").alias("summary"),
-    )
-
-
-def extract_decisions(blocks: DataFrame) -> DataFrame:
-    """(page_id, label, value): label and value pairs of lines and tables, and the text after each heading."""
-    lines = blocks.filter(F.col("tag").isin("p", "li") & F.col("text").rlike(r"^[A-Z][A-Za-z ]{1,30}:\s*\S"))
-    lines = lines.select("page_id", F.lower(F.regexp_extract("text", "^([^:]*):", 1)).alias("label"), F.trim(F.regexp_extract("text", "^[^:]*:(.*)$", 1)).alias("value"))
-    cells = blocks.filter(F.col("tag").isin("td", "th"))
-    order = Window.partitionBy("page_id", "tr").orderBy("cell")
-    table = cells.withColumn("value", F.lead("text").over(order)).filter("cell = 1 AND value <> ''").select("page_id", F.lower(F.regexp_replace("text", ":$", "")).alias("label"), "value")
-    under = with_heading(blocks).filter(F.col("tag").isin("p", "li") & F.col("heading").isNotNull() & (F.col("text") != ""))
-    sections = under.groupBy("page_id", "heading_seq", "heading").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
-    sections = sections.select("page_id", F.lower("heading").alias("label"), F.substring(F.array_join(F.transform("parts", lambda p: p["text"]), " "), 1, 4000).alias("value"))
-    return lines.unionByName(table).unionByName(sections)
-
-
 PAGE_KINDS = {"mgcommitteedetails": "committee", "mguserinfo": "member", "mgdeclarationsubmission": "register", "mgrofi": "register", "ielistdocuments": "meeting", "celistdocuments": "meeting", "mgmeetingattendance": "attendance"}
 
 
@@ -483,7 +454,7 @@ def redact(df: DataFrame, rules: DataFrame) -> DataFrame:
 
 #: Extraction jobs by name.
 JOBS = {
-    "grants": extract_grants, "case_listings": extract_case_listings, "decisions": extract_decisions, "council_pages": extract_council_pages,
+    "grants": extract_grants, "case_listings": case_facts, "decisions": housing_facts, "council_pages": extract_council_pages,
     "council_feeds": extract_council_feeds, "ocds": extract_ocds, "contract_periods": extract_contract_periods,
 }
 
@@ -564,11 +535,6 @@ def _linked_pages(v) -> DataFrame:
         F.lit('.csv">SPEND file</a></p><p><a href="c.csv">notes</a></p><p>spend <a href="https://y.example/d.csv">away</a> <a href="e.pdf">e</a></p>')))
 
 
-def _case_pages(v) -> DataFrame:
-    no = F.lpad(F.col("c_custkey") % 1000, 3, "0")
-    return _made_pages(v, F.concat(F.lit("<h2>"), "c_mktsegment", F.lit(" Council (23 001 "), no, F.lit(")</h2><p>Statement Upheld Housing 05-Jan-2024</p><p>Summary: About "), "c_name", F.lit("</p><h2>B (24 002 "), no, F.lit(")</h2><p>Summary: two</p>")))
-
-
 def _council_pages(v) -> DataFrame:
     url = F.concat(F.lit("https://c.example/"), F.expr("CASE c_custkey % 4 WHEN 0 THEN 'mgCommitteeDetails' WHEN 1 THEN 'mgUserInfo' WHEN 2 THEN 'mgDeclarationSubmission' ELSE 'ieListDocuments' END"), F.lit(".aspx?ID="), "c_custkey")
     html = F.expr("""CASE c_custkey % 4
@@ -632,8 +598,6 @@ QUERIES = {
     "c18_event_feeds": _q(lambda v: extract_council_feeds(_event_feeds(v))),
     "c13_html_blocks": _q(lambda v: html_blocks(v("pages"))),
     "c14_extract_grants": _q(lambda v: extract_grants(html_blocks(_grant_pages(v))).select("page_id", "recipient", "purpose", "amount")),
-    "c15_extract_case_listings": _q(lambda v: extract_case_listings(html_blocks(_case_pages(v)))),
-    "c16_extract_decisions": _q(lambda v: extract_decisions(html_blocks(_case_pages(v)))),
     "c17_extract_council_pages": _q(lambda v: extract_council_pages(html_blocks(_council_pages(v)))),
     "c18_extract_council_feeds": _q(lambda v: extract_council_feeds(_feeds(v))),
     "c19_resolve_recorded_person": _q(lambda v: resolve_recorded_person(_heard(v), _people(v)).select("o_orderkey", "person_id")),
@@ -673,11 +637,6 @@ ORACLE = {k: with_views(q) for k, q in {
         WHEN starts_with(href, '/') THEN root || href ELSE folder || href END AS link FROM p)
       SELECT DISTINCT page_id, url, link FROM l WHERE regexp_matches(link, '^https?://')""",
     "c14_extract_grants": "SELECT c_custkey AS page_id, c_name AS recipient, c_mktsegment AS purpose, CAST('1' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS DECIMAL(18,2)) AS amount FROM customer WHERE c_custkey % 2 = 0",
-    "c15_extract_case_listings": """SELECT c_custkey AS page_id, '23 001 ' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS case_no, c_mktsegment || ' Council' AS title, 'Upheld' AS decision, 'Housing' AS category, DATE '2024-01-05' AS decided, 'About ' || c_name AS summary FROM customer
-      UNION ALL SELECT c_custkey, '24 002 ' || lpad((c_custkey % 1000)::VARCHAR, 3, '0'), 'B', NULL, NULL, NULL, 'two' FROM customer""",
-    "c16_extract_decisions": """WITH c AS (SELECT c_custkey AS page_id, lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS n, c_mktsegment AS m, c_name FROM customer)
-      SELECT page_id, 'summary' AS label, 'About ' || c_name AS value FROM c UNION ALL SELECT page_id, 'summary', 'two' FROM c
-      UNION ALL SELECT page_id, lower(m || ' Council (23 001 ' || n || ')'), 'Statement Upheld Housing 05-Jan-2024 Summary: About ' || c_name FROM c UNION ALL SELECT page_id, 'b (24 002 ' || n || ')', 'Summary: two' FROM c""",
     "c17_extract_council_pages": """WITH c AS (SELECT c_custkey AS page_id, c_mktsegment AS m, c_nationkey AS n FROM customer)
       SELECT page_id, 'MEMBER_OF' AS predicate, 'A ' || m AS subject, 'Audit ' || n AS object, 'Chair' AS value_text FROM c WHERE page_id % 4 = 0
       UNION ALL SELECT page_id, 'MEMBER_OF_PARTY', 'B ' || m, 'P' || n, NULL FROM c WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'REPRESENTS_WARD', 'B ' || m, 'W', NULL FROM c WHERE page_id % 4 = 1
