@@ -6,7 +6,7 @@ payment_date), contract_suppliers (fact_id, supplier_id, contract_id), contract_
 contract_periods (fact_id, contract_id, predicate, day).  Ids are already canonical
 (``resolve.canonicalise``).  A contract without a buyer has a null scope and meets only
 payments without a payer.  Payments are summed before any join, so a payer or supplier with a
-large share of all rows is combined per task; evidence is collected for flagged groups only.
+large share of all rows is combined per task; evidence is rows of facts (``signals``), never arrays.
 """
 
 from __future__ import annotations
@@ -34,20 +34,19 @@ def contract_scopes(contract_suppliers: DataFrame, contract_buyers: DataFrame) -
     )
 
 
-def supplier_evidence(payments: DataFrame, contract_suppliers: DataFrame) -> DataFrame:
-    """supplier_id and its sorted fact ids from payments and contracts."""
+def supplier_facts(payments: DataFrame, contract_suppliers: DataFrame) -> DataFrame:
+    """(supplier_id, fact_id): the payments and contracts of each supplier, a row each."""
     facts = payments.select("supplier_id", "fact_id").unionByName(contract_suppliers.select("supplier_id", "fact_id"))
-    return facts.filter("supplier_id IS NOT NULL").groupBy("supplier_id").agg(F.array_sort(F.collect_set("fact_id")).alias("evidence"))
+    return facts.filter("supplier_id IS NOT NULL").distinct()
 
 
 def shared_outside_bodies(appointments: DataFrame) -> DataFrame:
-    """Bodies to which two or more people are appointed: (body_id, n, score, people, evidence)."""
+    """Bodies to which two or more people are appointed: (body_id, n, n_facts, score)."""
     rows = appointments.filter("person_id IS NOT NULL AND body_id IS NOT NULL")
-    return rows.groupBy("body_id").agg(
-        F.count_distinct("person_id").alias("n"),
-        F.array_sort(F.collect_set("person_id")).alias("people"),
-        F.array_sort(F.collect_set("fact_id")).alias("evidence"),
-    ).filter("n >= 2").withColumn("score", F.least(F.lit(0.55), F.lit(0.25) + F.lit(0.08) * (F.col("n") - 2)))
+    each = rows.select("body_id", "person_id", "fact_id").distinct().groupBy("body_id", "person_id").agg(F.count("*").alias("k"))
+    people = each.groupBy("body_id").agg(F.count("*").alias("n")).filter("n >= 2")
+    facts = rows.select("body_id", "fact_id").distinct().groupBy("body_id").agg(F.count("*").alias("n_facts"))
+    return people.join(facts, "body_id").withColumn("score", F.least(F.lit(0.55), F.lit(0.25) + F.lit(0.08) * (F.col("n") - 2)))
 
 
 def payment_contract_overlap(payments: DataFrame, contract_suppliers: DataFrame) -> DataFrame:
@@ -157,21 +156,23 @@ def phrase_mentions(texts: DataFrame, phrases: DataFrame, min_length: int = 6, m
     """(fact_id, person_id, entity_id, phrase): phrases that occur in texts as whole words in a row.
 
     ``texts`` has fact_id, person_id and key; ``phrases`` entity_id and key; keys are words with
-    single spaces.  Texts are exploded to single words and pairs of words with the number of the
-    text; these equi-join the beginnings of phrases, and what is found is confirmed in the text.
+    single spaces.  Texts are exploded to words with the number of the text; those that begin a
+    phrase equi-join, alone and with the next word, the beginnings of phrases, and what is found
+    is confirmed in the text.
     """
     wanted = phrases.filter(F.length("key") >= min_length).filter((F.instr("key", " ") > 0) | (F.length("key") >= min_single))
     wanted = wanted.select("entity_id", F.col("key").alias("phrase")).withColumn("w", F.split("phrase", " "))
     wanted = wanted.withColumn("n", F.size("w")).withColumn("start", F.array_join(F.slice("w", 1, 2), " "))
     words = texts.filter(F.col("key") != "").select("fact_id", "person_id", "key")
     words = words.withColumn("text_id", F.xxhash64("fact_id", "person_id", "key"))
-    # only the text's number, the place and one or two words are exploded: the text itself is joined to hits
+    # only the text's number, the place and one or two words are exploded: the text itself is joined to hits.
+    # Words that begin no phrase go before anything is shuffled, if the list of such words is small enough to be sent
     first, pair = F.split("key", " "), lambda w: F.transform(w, lambda x, i: F.struct(
         i.alias("i"), x.alias("one"), F.when(F.get(w, i + 1).isNotNull(), F.concat_ws(" ", x, F.get(w, i + 1))).alias("two")))
     at = words.select("text_id", F.explode(text.let(first, pair)).alias("p")).select("text_id", "p.*")
-    begins = wanted.select("start", "n", "phrase", "entity_id")
-    spans = at.select("text_id", "i", F.col("one").alias("start")).join(begins.filter("n = 1"), "start").unionByName(
-        at.filter("two IS NOT NULL").select("text_id", "i", F.col("two").alias("start")).join(begins.filter("n > 1"), "start"))
+    at = at.join(wanted.select(F.col("w")[0].alias("one")).distinct(), "one", "left_semi")
+    at = at.select("text_id", "i", F.explode(F.array("one", "two")).alias("start")).filter("start IS NOT NULL")
+    spans = at.join(wanted.select("start", "phrase", "entity_id"), "start")
     maybe = spans.groupBy("text_id", "phrase", "entity_id").agg(F.min("i"))
     # the phrase is made of the words of ``key`` and single spaces, so words in a row are a part of the text
     inside = F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
@@ -180,19 +181,15 @@ def phrase_mentions(texts: DataFrame, phrases: DataFrame, min_length: int = 6, m
 
 
 def interest_mentions(declarations: DataFrame, aliases: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Declarations that name a supplier: ``suppliers`` (entity_id) from contracts or from payments."""
+    """Declarations that name one of ``suppliers`` (supplier_id): those of contracts, or those of payments.
+
+    ``aliases`` has entity_id and name; ``declarations`` fact_id, person_id and value_text.
+    """
     rows = declarations.filter(F.col("value_text").isNotNull() & (F.col("value_text") != REDACTED))
     rows = rows.select("fact_id", "person_id", text.normalize_org_name("value_text").alias("key"))
-    return phrase_mentions(rows, aliases.join(suppliers.select("entity_id").distinct(), "entity_id", "left_semi"))
-
-
-def declared_interest_overlap(mentions: DataFrame, payments: DataFrame, contract_suppliers: DataFrame) -> DataFrame:
-    """Mentions of suppliers with payments or contracts, with all their evidence."""
-    facts = supplier_evidence(payments, contract_suppliers).withColumnRenamed("supplier_id", "entity_id")
-    pairs = mentions.groupBy("person_id", "entity_id").agg(F.collect_set("fact_id").alias("own"))
-    return pairs.join(facts, "entity_id").select(
-        "person_id", "entity_id", F.array_sort(F.array_union("own", "evidence")).alias("evidence"), F.lit(0.68).alias("score")
-    )
+    known = suppliers.filter("supplier_id IS NOT NULL").select(F.col("supplier_id").alias("entity_id")).distinct()
+    named = aliases.join(known, "entity_id", "left_semi").select("entity_id", text.normalize_org_name("name").alias("key")).distinct()
+    return phrase_mentions(rows, named)
 
 
 def _person_keys(df: DataFrame, name: str) -> DataFrame:
@@ -200,29 +197,28 @@ def _person_keys(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("key", key).filter((F.size(F.split("key", " ")) >= 2) & (F.length("key") >= 6))
 
 
-def control_person_officeholder(control: DataFrame, supplier_facts: DataFrame, office: DataFrame) -> DataFrame:
-    """Controllers of suppliers whose name is an office-holder's.
+def supplier_controllers(control: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Controllers (psc_id, psc_name, company_id, key) of companies that are ``suppliers`` (supplier_id)."""
+    return _person_keys(control, "psc_name").join(suppliers.select(F.col("supplier_id").alias("company_id")).distinct(), "company_id", "left_semi")
+
+
+def office_facts(office: DataFrame) -> DataFrame:
+    """(key, fact_id): the facts of office-holders by their normalised name; ``office`` (fact_id, person_id, name, predicate)."""
+    return _person_keys(office.filter(F.col("predicate").isin(*OFFICE_PREDICATES)), "name").select("key", "fact_id").distinct()
 
-    ``control`` (psc_id, psc_name, company_id), ``supplier_facts`` as ``supplier_evidence``,
-    ``office`` (fact_id, person_id, name, predicate).
-    """
-    held = _person_keys(office.filter(F.col("predicate").isin(*OFFICE_PREDICATES)), "name").groupBy("key").agg(F.collect_set("fact_id").alias("office_facts"))
-    linked = _person_keys(control, "psc_name").join(supplier_facts.withColumnRenamed("supplier_id", "company_id"), "company_id")
-    return linked.join(held, "key").select(
-        "psc_id", "company_id", F.array_sort(F.array_union("evidence", "office_facts")).alias("evidence"), F.lit(0.76).alias("score")
-    )
 
+def control_person_officeholder(controllers: DataFrame, held: DataFrame) -> DataFrame:
+    """(psc_id, company_id, key): controllers of suppliers whose name is an office-holder's (``office_facts``)."""
+    return controllers.join(held.select("key").distinct(), "key", "left_semi").select("psc_id", "company_id", "key").distinct()
 
-def control_person_declared_interest(control: DataFrame, supplier_facts: DataFrame, declarations: DataFrame) -> DataFrame:
+
+def control_person_declared_interest(controllers: DataFrame, declarations: DataFrame) -> DataFrame:
     """Controllers of suppliers whose full name occurs in a declaration, with the kin words there."""
-    linked = _person_keys(control, "psc_name").join(supplier_facts.withColumnRenamed("supplier_id", "company_id"), "company_id")
     rows = declarations.filter(F.col("value_text").isNotNull() & (F.col("value_text") != REDACTED))
     keyed = rows.select("fact_id", "person_id", text.normalize_name("value_text").alias("key"))
-    hits = phrase_mentions(keyed, linked.select(F.col("psc_id").alias("entity_id"), "key")).withColumnRenamed("entity_id", "psc_id")
-    return hits.join(linked.select("psc_id", "company_id", "evidence"), "psc_id").join(rows.select("fact_id", "value_text"), "fact_id").select(
-        "psc_id", "company_id", "fact_id", "person_id", text.kin_terms("value_text").alias("kin"), F.lit(0.84).alias("score"),
-        F.array_sort(F.array_union("evidence", F.array("fact_id"))).alias("evidence"),
-    )
+    hits = phrase_mentions(keyed, controllers.select(F.col("psc_id").alias("entity_id"), "key").distinct()).withColumnRenamed("entity_id", "psc_id")
+    return hits.join(controllers.select("psc_id", "company_id").distinct(), "psc_id").join(rows.select("fact_id", "value_text"), "fact_id").select(
+        "psc_id", "company_id", "fact_id", "person_id", text.kin_terms("value_text").alias("kin"))
 
 
 # Queries over the driver's tables -----------------------------------------------------------
@@ -232,60 +228,27 @@ def _q(f):
     return lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
 
 
-def _joined(df: DataFrame, *columns: str) -> DataFrame:
-    """Arrays as text, so that results compare as plain values."""
-    return df.withColumns({c: F.array_join(c, ",") for c in columns})
-
-
 def _texts(v) -> DataFrame:
     return v("texts").select("fact_id", "person_id", text.normalize_org_name("value_text").alias("key"))
 
 
-def _phrases(v) -> DataFrame:
-    return v("phrases").select("entity_id", text.normalize_org_name("name").alias("key"))
-
-
-def _control(v) -> DataFrame:
-    """Suppliers and the people who control them, from customers."""
-    return v("customer").select(
-        F.concat(F.lit("Q"), "c_custkey").alias("psc_id"),
-        F.regexp_replace("c_name", "#", " ").alias("psc_name"),
-        F.concat(F.lit("S"), F.col("c_custkey") % 100).alias("company_id"),
-    )
-
-
-def _office(v) -> DataFrame:
-    return v("customer").select(
-        F.concat(F.lit("h"), "c_custkey").alias("fact_id"), F.concat(F.lit("P"), "c_custkey").alias("person_id"),
-        F.upper(F.regexp_replace("c_name", "#", "  ")).alias("name"), F.lit("MEMBER_OF").alias("predicate"),
-    )
-
-
-def _declared(v) -> DataFrame:
-    return v("customer").select(
-        F.concat(F.lit("d"), "c_custkey").alias("fact_id"), F.concat(F.lit("P"), "c_custkey").alias("person_id"),
-        F.concat(F.lit("My wife and "), F.regexp_replace("c_name", "#", " "), F.lit(" hold shares")).alias("value_text"),
-    )
+def _suppliers(v) -> DataFrame:
+    return supplier_facts(v("payments"), v("contract_suppliers"))
 
 
 QUERIES = {
-    "g1_shared_outside_bodies": _q(lambda v: _joined(shared_outside_bodies(v("outside_bodies")), "people", "evidence")),
+    "g1_shared_outside_bodies": _q(lambda v: shared_outside_bodies(v("outside_bodies"))),
     "g5_payment_contract_overlap": _q(lambda v: payment_contract_overlap(v("payments"), v("contract_suppliers")).withColumn("contract_ids", F.size("contract_ids"))),
     "g6_payments_exceed_contract_value": _q(lambda v: payments_exceed_contract_value(v("payments"), v("contract_suppliers"), v("contract_buyers"), v("contract_values"))),
     "g7_payments_outside_periods": _q(lambda v: payments_outside_periods(v("payments"), v("contract_suppliers"), v("contract_buyers"), v("contract_periods"))),
     "g8_unmatched_payment_streams": _q(lambda v: unmatched_payment_streams(v("payments"), v("contract_suppliers"), v("contract_buyers"), v("names"), v("organisations"))),
     "g9_public_authority_aliases": _q(lambda v: public_authority_aliases(v("organisations"))),
-    "g2_interest_mentions_contract_supplier": _q(lambda v: phrase_mentions(_texts(v), _phrases(v))),
-    "g4_declared_interest_overlap_whole": _q(lambda v: declared_interest_overlap(
-        v("outside_bodies").select("fact_id", "person_id", F.concat(F.lit("S"), F.substring("body_id", 2, 9)).alias("entity_id")),
-        v("payments"), v("contract_suppliers")).select("person_id", "entity_id", F.size("evidence").cast("long").alias("n_evidence"), "score")),
-    "g3_interest_mentions_payment_supplier_whole": _q(lambda v: interest_mentions(v("texts"), _phrases(v), v("phrases"))),
-    "g10_control_person_officeholder_whole": _q(lambda v: control_person_officeholder(
-        _control(v), supplier_evidence(v("payments"), v("contract_suppliers")), _office(v)).select("psc_id", "company_id", F.size("evidence").cast("long").alias("n_evidence"), "score")),
-    "g11_control_person_declared_interest_whole": _q(lambda v: _joined(control_person_declared_interest(
-        _control(v), supplier_evidence(v("payments"), v("contract_suppliers")), _declared(v)), "kin").select(
-            "psc_id", "company_id", "fact_id", "person_id", "kin", F.size("evidence").cast("long").alias("n_evidence"), "score")),
-    "g12_supplier_evidence": _q(lambda v: supplier_evidence(v("payments"), v("contract_suppliers")).select("supplier_id", F.size("evidence").cast("long").alias("n_facts"), F.element_at("evidence", 1).alias("first_fact"))),
+    "g2_interest_mentions_contract_supplier": _q(lambda v: interest_mentions(v("texts"), v("aliases"), v("contract_suppliers"))),
+    "g3_interest_mentions_payment_supplier": _q(lambda v: interest_mentions(v("texts"), v("aliases"), v("payments"))),
+    "g_phrase_mentions": _q(lambda v: phrase_mentions(_texts(v), v("phrases").select("entity_id", text.normalize_org_name("name").alias("key")))),
+    "g10_control_person_officeholder": _q(lambda v: control_person_officeholder(supplier_controllers(v("control"), _suppliers(v)), office_facts(v("office")))),
+    "g11_control_person_declared_interest": _q(lambda v: control_person_declared_interest(supplier_controllers(v("control"), _suppliers(v)), v("declared")).withColumn("kin", F.array_join("kin", ","))),
+    "g12_supplier_evidence": _q(lambda v: _suppliers(v).groupBy("supplier_id").agg(F.count("*").alias("n_facts"), F.min("fact_id").alias("first_fact"))),
 }
 
 _SCOPES = "SELECT DISTINCT b.buyer_id, s.supplier_id, s.contract_id FROM {contract_suppliers} s LEFT JOIN {contract_buyers} b USING (contract_id)"
@@ -302,15 +265,19 @@ UNMATCHED = f"""SELECT p.payer_id, p.supplier_id, coalesce(name, p.supplier_id)
       WHERE net_total >= {DISCOVERY_THRESHOLD} AND p.payer_id <> p.supplier_id
       AND NOT EXISTS (SELECT 1 FROM ({_SCOPES}) c WHERE c.buyer_id IS NOT DISTINCT FROM p.payer_id AND c.supplier_id = p.supplier_id)
       AND {text.sql_payee_class("coalesce(name, p.supplier_id)")} IS NULL AND {text.sql_basic_key("coalesce(name, p.supplier_id)")} NOT IN (SELECT alias FROM ({_ALIASES}))"""
-_MENTIONS = f"""SELECT DISTINCT t.fact_id, t.person_id, p.entity_id, p.key AS phrase
+def mentions_sql(phrases: str) -> str:
+    return f"""SELECT DISTINCT t.fact_id, t.person_id, p.entity_id, p.key AS phrase
   FROM (SELECT fact_id, person_id, ' ' || {text.sql_normalize_org('value_text')} || ' ' AS k FROM {{texts}}) t
-  JOIN (SELECT entity_id, {text.sql_normalize_org('name')} AS key FROM {{phrases}}) p ON contains(t.k, ' ' || p.key || ' ')
+  JOIN (SELECT entity_id, {text.sql_normalize_org('name')} AS key FROM {phrases}) p ON contains(t.k, ' ' || p.key || ' ')
   WHERE length(p.key) >= 6 AND (contains(p.key, ' ') OR length(p.key) >= 9)"""
-_ALL_EVIDENCE = "SELECT supplier_id, fact_id FROM {payments} UNION SELECT supplier_id, fact_id FROM {contract_suppliers}"
+
+
+OF_SUPPLIERS = "(SELECT * FROM {{aliases}} WHERE entity_id IN (SELECT supplier_id FROM {{{0}}}))"
+CONTROLLERS = "(SELECT * FROM {control} WHERE company_id IN (SELECT supplier_id FROM {payments} UNION ALL SELECT supplier_id FROM {contract_suppliers}))"
+_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 ORACLE = {k: with_views(q) for k, q in {
-    "g1_shared_outside_bodies": """SELECT body_id, count(DISTINCT person_id) AS n, array_to_string(list_sort(list(DISTINCT person_id)), ',') AS people,
-      array_to_string(list_sort(list(DISTINCT fact_id)), ',') AS evidence, least(0.55, 0.25 + 0.08 * (count(DISTINCT person_id) - 2))::DOUBLE AS score
+    "g1_shared_outside_bodies": """SELECT body_id, count(DISTINCT person_id) AS n, count(DISTINCT fact_id) AS n_facts, least(0.55, 0.25 + 0.08 * (count(DISTINCT person_id) - 2))::DOUBLE AS score
       FROM {outside_bodies} GROUP BY body_id HAVING count(DISTINCT person_id) >= 2""",
     "g5_payment_contract_overlap": """SELECT * FROM (SELECT supplier_id, count(*) AS payment_count, sum(amount)::DECIMAL(28,2) AS payment_total FROM {payments} GROUP BY 1)
       JOIN (SELECT supplier_id, count(*) AS contract_facts, count(DISTINCT contract_id)::INTEGER AS contract_ids FROM {contract_suppliers} GROUP BY 1) USING (supplier_id)""",
@@ -328,19 +295,13 @@ ORACLE = {k: with_views(q) for k, q in {
       GROUP BY 1, 2""",
     "g8_unmatched_payment_streams": UNMATCHED,
     "g9_public_authority_aliases": _ALIASES,
-    "g2_interest_mentions_contract_supplier": _MENTIONS,
-    "g4_declared_interest_overlap_whole": f"""WITH e AS ({_ALL_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
-      SELECT person_id, supplier_id AS entity_id, any_value(k) + count(DISTINCT fact_id) AS n_evidence, 0.68::DOUBLE AS score
-      FROM {{outside_bodies}} o JOIN n ON supplier_id = 'S' || substring(body_id, 2, 9) GROUP BY 1, 2""",
-    "g3_interest_mentions_payment_supplier_whole": _MENTIONS,
-    "g10_control_person_officeholder_whole": f"""WITH e AS ({_ALL_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
-      SELECT 'Q' || c_custkey AS psc_id, supplier_id AS company_id, k + 1 AS n_evidence, 0.76::DOUBLE AS score
-      FROM customer JOIN n ON supplier_id = 'S' || (c_custkey % 100)""",
-    "g11_control_person_declared_interest_whole": f"""WITH e AS ({_ALL_EVIDENCE}), n AS (SELECT supplier_id, count(*) AS k FROM e GROUP BY 1)
-      SELECT 'Q' || c_custkey AS psc_id, supplier_id AS company_id, 'd' || c_custkey AS fact_id, 'P' || c_custkey AS person_id, 'wife' AS kin, k + 1 AS n_evidence, 0.84::DOUBLE AS score
-      FROM customer JOIN n ON supplier_id = 'S' || (c_custkey % 100)""",
+    "g2_interest_mentions_contract_supplier": mentions_sql(OF_SUPPLIERS.format("contract_suppliers")),
+    "g3_interest_mentions_payment_supplier": mentions_sql(OF_SUPPLIERS.format("payments")),
+    "g_phrase_mentions": mentions_sql("{phrases}"),
+    "g10_control_person_officeholder": f"""SELECT DISTINCT psc_id, company_id, {_KEY.format('psc_name')} AS key FROM {CONTROLLERS}
+      WHERE {_KEY.format('psc_name')} IN (SELECT {_KEY.format('name')} FROM {{office}} WHERE predicate IN {OFFICE_PREDICATES})""",
+    "g11_control_person_declared_interest": f"""SELECT DISTINCT psc_id, company_id, fact_id, person_id, 'wife' AS kin FROM {CONTROLLERS} c
+      JOIN {{declared}} d ON contains(' ' || {_KEY.format('value_text')} || ' ', ' ' || {_KEY.format('psc_name')} || ' ')""",
     "g12_supplier_evidence": """SELECT supplier_id, count(DISTINCT fact_id) AS n_facts, min(fact_id) AS first_fact FROM
       (SELECT supplier_id, fact_id FROM {payments} UNION ALL SELECT supplier_id, fact_id FROM {contract_suppliers}) GROUP BY 1""",
 }.items()}
-for _name in ("g3_interest_mentions_payment_supplier", "g4_declared_interest_overlap", "g10_control_person_officeholder", "g11_control_person_declared_interest"):
-    QUERIES[_name], ORACLE[_name] = QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"]

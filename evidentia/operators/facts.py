@@ -256,7 +256,7 @@ QUERIES = {
     "b5_latest_facts": _q(lambda v: latest_facts(_stored(v), _documents(v)).select(*_SHOWN)),
     "b6_current_facts": _q(lambda v: current_facts(_stored(v), _windows(v)).select(*_SHOWN)),
     "b7_facts_at": _q(lambda v: facts_at(_stored(v), _windows(v), "2024-01-15 00:00:00").select(*_SHOWN)),
-    "b7_facts_asof_whole": _q(lambda v: facts_asof(_stored(v), _windows(v), snapshot_observations(v("observations")).select(
+    "b7_facts_asof": _q(lambda v: facts_asof(_stored(v), _windows(v), snapshot_observations(v("observations")).select(
         F.col("observation_id").alias("probe_id"), "document_id", (F.col("retrieved_at") + F.expr("INTERVAL 1 HOUR")).alias("at"))).select("probe_id", *_SHOWN)),
     "b8_supersede_row_slots": _q(lambda v: supersede_row_slots(_slots(v), "l_shipdate").select("fact_id", "document_id", "locator", "predicate")),
     "b9_repair_payer": _q(lambda v: repair_payer(_payer_facts(v), _payer_docs(v), _payer_rules(v), "R0").select("fact_id", "subject_id", "predicate", "locator")),
@@ -300,7 +300,7 @@ ORACLE = {k: with_views(q) for k, q in {
     "b5_latest_facts": _F + f", l AS (SELECT document_id, arg_max(snapshot_id, (retrieved_at, observation_id)) AS snapshot_id FROM sn GROUP BY 1) SELECT {_S} FROM f JOIN l USING (document_id, snapshot_id)".replace("f.document_id", "document_id").replace("f.snapshot_id", "snapshot_id"),
     "b6_current_facts": _F + f"SELECT {_S} FROM f JOIN w ON w.document_id = f.document_id AND w.snapshot_id = f.snapshot_id WHERE valid_to IS NULL",
     "b7_facts_at": _F + f"SELECT {_S} FROM f JOIN w ON w.document_id = f.document_id AND w.snapshot_id = f.snapshot_id WHERE valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15')",
-    "b7_facts_asof_whole": _F + f""", p AS (SELECT observation_id AS probe_id, document_id, retrieved_at + INTERVAL 1 HOUR AS t FROM sn)
+    "b7_facts_asof": _F + f""", p AS (SELECT observation_id AS probe_id, document_id, retrieved_at + INTERVAL 1 HOUR AS t FROM sn)
       SELECT probe_id, {_S} FROM p JOIN w ON w.document_id = p.document_id AND valid_from <= t AND (valid_to IS NULL OR t < valid_to) JOIN f ON f.document_id = w.document_id AND f.snapshot_id = w.snapshot_id""",
     "b8_supersede_row_slots": """WITH s AS (SELECT 'D' || l_suppkey AS document_id, CAST(l_orderkey % 500 AS VARCHAR) AS locator, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS fact_id, l_shipdate FROM lineitem)
       SELECT fact_id, document_id, locator, CASE WHEN row_number() OVER (PARTITION BY document_id, locator ORDER BY l_shipdate DESC, fact_id DESC) > 1 THEN 'SUPERSEDED_' ELSE '' END || 'PAYMENT_TO_SUPPLIER' AS predicate FROM s""",
@@ -319,4 +319,3 @@ ORACLE = {k: with_views(q) for k, q in {
       UNION ALL SELECT 'payments', count(*) FROM {payments}""",
     "b12_recent": "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 100",
 }.items()}
-QUERIES["b7_facts_asof"], ORACLE["b7_facts_asof"] = QUERIES["b7_facts_asof_whole"], ORACLE["b7_facts_asof_whole"]

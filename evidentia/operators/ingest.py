@@ -185,7 +185,7 @@ QUERIES = {
         v("region").filter("r_regionkey < 2").select(F.col("r_regionkey").cast("string").alias("source_id"), F.split("r_name", "").alias("organisation_ids")))),
     "a7_evidence_class_rejects": _q(lambda v: check_evidence_class(v("observations"))[1].select("observation_id", "evidence_class")),
     "a8_coverage_audit": _q(lambda v: coverage_audit(_sources(v), v("runs"))),
-    "a9_source_run_status_whole": _q(lambda v: source_run_status(_daily_fetches(v))),
+    "a9_source_run_status": _q(lambda v: source_run_status(_daily_fetches(v))),
     "a10_latest_source_health": _q(lambda v: latest_source_health(v("runs"))),
 }
 
@@ -211,11 +211,10 @@ ORACLE = {k: with_views(q) for k, q in {
     "a8_coverage_audit": """SELECT source_id, sum(record_count)::BIGINT AS records, sum(fact_count)::BIGINT AS facts, greatest(1, CAST(substring(source_id, 4) AS INTEGER) * 17) AS minimum
       FROM {runs} WHERE CAST(substring(source_id, 4) AS INTEGER) % 2 = 0 GROUP BY 1
       HAVING sum(record_count) <= 0 OR sum(fact_count) < greatest(1, CAST(substring(source_id, 4) AS INTEGER) * 17)""",
-    "a9_source_run_status_whole": """WITH f AS (SELECT 's' || user_id || '/' || CAST(ts AS DATE) AS source_id, CASE WHEN event_id % 11 = 0 THEN 'blocked' WHEN event_id % 11 = 1 THEN 'missing' WHEN event_id % 11 = 2 THEN 'http_error'
+    "a9_source_run_status": """WITH f AS (SELECT 's' || user_id || '/' || CAST(ts AS DATE) AS source_id, CASE WHEN event_id % 11 = 0 THEN 'blocked' WHEN event_id % 11 = 1 THEN 'missing' WHEN event_id % 11 = 2 THEN 'http_error'
         WHEN event_id % 17 = 0 THEN 'network_error' END AS class, event_id % 29 = 0 AS raised, event_id % 7 = 0 AS ex, event_id % 19 = 0 AS au, user_id % 23 <> 0 AS known FROM events)
       SELECT source_id, CASE WHEN bool_or(NOT known) THEN 'configuration_error' WHEN bool_or(raised) THEN min(coalesce(class, 'error')) FILTER (raised)
         WHEN bool_or(coalesce(class, '') = 'blocked') THEN 'partial_blocked' WHEN bool_or(class IS NOT NULL) THEN 'partial' WHEN bool_or(au) THEN 'partial_extraction'
         WHEN bool_or(ex) THEN 'partial' ELSE 'success' END AS status FROM f GROUP BY 1""",
     "a10_latest_source_health": "SELECT * FROM {runs} QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) = 1",
 }.items()}
-QUERIES["a9_source_run_status"], ORACLE["a9_source_run_status"] = QUERIES["a9_source_run_status_whole"], ORACLE["a9_source_run_status_whole"]

@@ -95,6 +95,20 @@ SELECT 'v' || signal_id AS review_id, 'SIGNAL_REVIEW' AS item_type, CASE WHEN st
 SELECT 'f' || l_orderkey || '-' || l_linenumber AS fact_id, 'D' || l_suppkey AS document_id, 'N' || l_suppkey || '-' || (l_partkey % 3) AS snapshot_id, 'PAYMENT' AS fact_type, 'PAYMENT_TO_SUPPLIER' AS predicate,
   'C' || (l_orderkey % 25) AS subject_id, 'S' || l_suppkey AS object_id, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS value_text, 'row ' || l_linenumber AS locator, 'OFFICIAL_RECORD' AS evidence_class, l_shipdate AS retrieved_at FROM {lineitem}""",
     "phrases": "SELECT 'B' || item_id AS entity_id, text AS name FROM {benchmark}",
+    "aliases": "SELECT CASE WHEN item_id % 5 = 4 THEN 'Z' ELSE 'S' END || (item_id * 3 + 1) AS entity_id, text AS name FROM {benchmark}",
+    "control": """
+SELECT 'Q' || c_custkey AS psc_id, replace(c_name, '#', ' ') AS psc_name, 'S' || (c_custkey % 100) AS company_id FROM {customer}
+UNION ALL SELECT 'Q' || c_custkey, replace(c_name, '#', ' '), 'S' || (c_custkey % 7) FROM {customer} WHERE c_custkey % 9 = 0""",
+    "office": """
+SELECT 'h' || c_custkey AS fact_id, 'P' || c_custkey AS person_id, upper(replace(c_name, '#', '  ')) AS name, CASE WHEN c_custkey % 3 = 0 THEN 'OWNER_OF' ELSE 'MEMBER_OF' END AS predicate FROM {customer}
+UNION ALL SELECT 'w' || c_custkey, 'P' || c_custkey, replace(c_name, '#', ' '), 'REPRESENTS_WARD' FROM {customer} WHERE c_custkey % 2 = 0""",
+    "declared": """
+SELECT 'd' || c_custkey AS fact_id, 'P' || (c_custkey % 50) AS person_id,
+  CASE WHEN c_custkey % 10 = 3 THEN '[REDACTED_FROM_STRUCTURED_DATA]' ELSE 'My wife and ' || replace(c_name, '#', ' ') || ' hold shares' END AS value_text FROM {customer}""",
+    "connected_facts": """
+SELECT fact_id, document_id, predicate FROM {evidence_facts} UNION ALL SELECT fact_id, 'registers/' || person_id, 'REGISTER_ENTRY' FROM {texts}
+UNION ALL SELECT fact_id, 'offices/' || person_id, predicate FROM {office} UNION ALL SELECT fact_id, 'interests/' || person_id, 'DECLARED_INTEREST' FROM {declared}
+UNION ALL SELECT fact_id, 'bodies/' || body_id, 'APPOINTED_TO_OUTSIDE_BODY' FROM {outside_bodies}""",
     "texts": "SELECT 'D' || doc_id AS fact_id, 'P' || (doc_id % 100) AS person_id, text AS value_text FROM {documents}",
 }
 

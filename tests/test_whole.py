@@ -14,31 +14,10 @@ def run(spark, name):
 
 def test_every_event_is_in_the_fetch_log(spark):
     days = view(spark, SF, "events").select("user_id", F.to_date("ts")).distinct().count()
-    got = run(spark, "a9_source_run_status_whole")
+    got = run(spark, "a9_source_run_status")
     assert got.count() == days and got.select("status").distinct().count() >= 5
 
 
 def test_every_observation_probes(spark):
-    probes = run(spark, "b7_facts_asof_whole").select("probe_id").distinct()
+    probes = run(spark, "b7_facts_asof").select("probe_id").distinct()
     assert {r[0] for r in probes.collect()} == {r[0] for r in view(spark, SF, "events").select("event_id").collect()}
-
-
-def test_every_supplier_and_payment_is_evidence(spark):
-    facts = {r.supplier_id: r.n_facts for r in run(spark, "g12_supplier_evidence").collect()}
-    held = {(f"Q{r.c_custkey}", f"S{r.c_custkey % 100}") for r in view(spark, SF, "customer").collect()}
-    want = sorted((q, s, facts[s] + 1) for q, s in held if s in facts)
-    for name in ("g10_control_person_officeholder_whole", "g11_control_person_declared_interest_whole"):
-        assert sorted((r.psc_id, r.company_id, r.n_evidence) for r in run(spark, name).collect()) == want
-    own = {}
-    for r in view(spark, SF, "outside_bodies").collect():
-        own.setdefault((r.person_id, "S" + r.body_id[1:]), set()).add(r.fact_id)
-    want = sorted((p, s, facts[s] + len(o)) for (p, s), o in own.items() if s in facts)
-    assert sorted((r.person_id, r.entity_id, r.n_evidence) for r in run(spark, "g4_declared_interest_overlap_whole").collect()) == want
-    odd = run(spark, "g3_interest_mentions_payment_supplier").filter("cast(substring(entity_id, 2) as int) % 2 = 1")
-    assert odd.count() > 0
-
-
-def test_the_short_names_are_whole_too():
-    every, sql = registry.queries(), registry.oracle_sql()
-    for name in [n for n in every if n.endswith("_whole")]:
-        assert every[name] is every[name.removesuffix("_whole")] and sql[name] == sql[name.removesuffix("_whole")]
