@@ -11,7 +11,7 @@ large share of all rows is combined per task; evidence is rows of facts (``signa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
@@ -105,19 +105,35 @@ def complete_periods(contract_suppliers: DataFrame, contract_buyers: DataFrame,
     return scopes.join(days, "contract_id")
 
 
+def days_outside_periods(
+    payments: DataFrame, contract_suppliers: DataFrame, contract_buyers: DataFrame, contract_periods: DataFrame
+) -> DataFrame:
+    """(payer_id, supplier_id, payment_date, n, amount, period_count): days with positive payments in none of a stream's complete periods.
+
+    Payments and periods are first summed by day, so a stream has a row for each day at most.  A
+    sweep in the order of days tells a day within some period: the latest end of the periods that
+    have begun is not before it.
+    """
+    periods = complete_periods(contract_suppliers, contract_buyers, contract_periods)
+    stream = ["payer_id", "supplier_id"]
+    begun = periods.select(F.col("buyer_id").alias("payer_id"), "supplier_id", F.col("first_day").alias("day"), "last_day")
+    begun = begun.groupBy(*stream, "day").agg(F.max("last_day").alias("last_day"), F.count("*").alias("k"))
+    p = payments.filter("amount > 0 AND payment_date IS NOT NULL AND supplier_id IS NOT NULL")
+    paid = p.groupBy(*stream, F.col("payment_date").alias("day")).agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
+    both = begun.withColumns({"n": F.lit(None).cast("long"), "amount": F.lit(None).cast("decimal(28,2)")}).unionByName(
+        paid.withColumns({"last_day": F.lit(None).cast("date"), "k": F.lit(0).cast("long")}))
+    whole = Window.partitionBy(*stream)
+    swept = both.withColumns({
+        "reached": F.max("last_day").over(whole.orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)), "period_count": F.sum("k").over(whole)})
+    return swept.filter("n IS NOT NULL AND period_count > 0 AND coalesce(reached < day, true)").select(*stream, F.col("day").alias("payment_date"), "n", "amount", "period_count")
+
+
 def payments_outside_periods(
     payments: DataFrame, contract_suppliers: DataFrame, contract_buyers: DataFrame, contract_periods: DataFrame
 ) -> DataFrame:
     """Positive dated payments in none of the complete periods of their buyer and supplier, by stream."""
-    periods = complete_periods(contract_suppliers, contract_buyers, contract_periods)
-    scope = periods.groupBy("buyer_id", "supplier_id").agg(F.count("*").alias("period_count")).alias("s")
-    p = payments.filter("amount > 0 AND payment_date IS NOT NULL AND supplier_id IS NOT NULL").alias("p")
-    same = lambda a: F.col("p.payer_id").eqNullSafe(F.col(f"{a}.buyer_id")) & (F.col("p.supplier_id") == F.col(f"{a}.supplier_id"))
-    inside = same("d") & F.col("p.payment_date").between(F.col("d.first_day"), F.col("d.last_day"))
-    outside = p.join(periods.alias("d"), inside, "left_anti")
-    return outside.join(scope, same("s")).groupBy("p.payer_id", "p.supplier_id").agg(
-        F.count("*").alias("outside_count"), F.max("period_count").alias("period_count"),
-        F.sum("amount").cast("decimal(28,2)").alias("outside_total"),
+    return days_outside_periods(payments, contract_suppliers, contract_buyers, contract_periods).groupBy("payer_id", "supplier_id").agg(
+        F.sum("n").alias("outside_count"), F.max("period_count").alias("period_count"), F.sum("amount").cast("decimal(28,2)").alias("outside_total"),
     )
 
 

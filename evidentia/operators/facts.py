@@ -14,6 +14,7 @@ from evidentia.functions.ids import hashed, sql_hashed
 from evidentia.sources.staging import view, with_views
 
 from .ingest import _SNAP, snapshot_observations
+from .ordered import Scan, asof, scanned
 
 #: Fact types whose locator wording does not tell facts apart.
 #: Types whose facts may move between pages of their source, and the start of their names and others'.
@@ -56,10 +57,11 @@ def snapshot_windows(snapped: DataFrame, mode: str = "islands") -> DataFrame:
     back opens a new one.  ``compat`` keeps a snapshot's first window only, so a document whose
     content came back has none that is open.
     """
-    order = Window.partitionBy("document_id").orderBy("retrieved_at", "observation_id")
+    order = [F.col("retrieved_at"), F.col("observation_id")]
     rows = snapped.select("document_id", "snapshot_id", "retrieved_at", "observation_id")
-    rows = rows.withColumn("_new", (~F.lag("snapshot_id").over(order).eqNullSafe(F.col("snapshot_id"))).cast("int"))
-    starts = rows.filter("_new = 1").withColumn("valid_to", F.lead("retrieved_at").over(order))
+    rows = scanned(rows, ["document_id"], order, [Scan("before", "_before", "snapshot_id"), Scan("place", "_place")])
+    starts = rows.filter((F.col("_place") == 1) | ~F.col("_before").eqNullSafe(F.col("snapshot_id")))
+    starts = scanned(starts, ["document_id"], order, [Scan("after", "valid_to", "retrieved_at")])
     out = starts.select("document_id", "snapshot_id", F.col("retrieved_at").alias("valid_from"), "valid_to", "observation_id")
     if mode == "compat":
         first = Window.partitionBy("document_id", "snapshot_id").orderBy("valid_from", "observation_id")
@@ -87,21 +89,18 @@ def facts_at(facts: DataFrame, windows: DataFrame, when) -> DataFrame:
 
 
 def facts_asof(facts: DataFrame, windows: DataFrame, probes: DataFrame) -> DataFrame:
-    """Facts that held at each probe (probe_id, document_id, at): an equi-join with a range residual."""
-    w, p = windows.alias("w"), probes.alias("p")
-    held = (F.col("w.document_id") == F.col("p.document_id")) & (F.col("w.valid_from") <= F.col("p.at")) & (
-        F.col("w.valid_to").isNull() | (F.col("p.at") < F.col("w.valid_to"))
-    )
-    found = p.join(w, held).select("p.probe_id", "w.document_id", "w.snapshot_id")
-    return found.join(facts, ["document_id", "snapshot_id"])
+    """Facts that held at each probe (probe_id, document_id, at): windows of a document do not overlap."""
+    p = probes.select("probe_id", "document_id", "at")
+    found = asof(p, windows, "document_id", "at", "valid_from", "valid_to", ["snapshot_id"])
+    return found.select("probe_id", "document_id", "snapshot_id").join(facts, ["document_id", "snapshot_id"])
 
 
 def supersede_row_slots(facts: DataFrame, order: str = "ingested_at") -> DataFrame:
     """Of the payment facts of one (document, snapshot, locator) only the newest keeps its predicate."""
     pay = F.col("fact_type") == "PAYMENT"
-    slot = Window.partitionBy("document_id", "snapshot_id", "locator", pay).orderBy(F.desc(order), F.desc("fact_id"))
-    older = pay & (F.row_number().over(slot) > 1) & ~F.col("predicate").startswith("SUPERSEDED_")
-    return facts.withColumn("predicate", F.when(older, F.concat(F.lit("SUPERSEDED_"), "predicate")).otherwise(F.col("predicate")))
+    rows = scanned(facts.withColumn("_pay", pay), ["document_id", "snapshot_id", "locator", "_pay"], [F.desc(order), F.desc("fact_id")], [Scan("place", "_place")])
+    older = F.col("_pay") & (F.col("_place") > 1) & ~F.col("predicate").startswith("SUPERSEDED_")
+    return rows.withColumn("predicate", F.when(older, F.concat(F.lit("SUPERSEDED_"), "predicate")).otherwise(F.col("predicate"))).select(facts.columns)
 
 
 def first_rule(docs: DataFrame, rules: DataFrame, text_col: str) -> DataFrame:

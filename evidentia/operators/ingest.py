@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from evidentia.functions.ids import hashed, sql_hashed
 from evidentia.sources.staging import view, with_views
 
+from .ordered import Scan, scanned
+
 #: The domain of evidence classes.
 EVIDENCE_CLASSES = (
     "OFFICIAL_RECORD", "REGULATORY_FINDING", "COURT_RECORD", "MEDIA_REPORT", "PUBLIC_ALLEGATION", "INFERENCE",
@@ -67,8 +69,8 @@ def latest_documents(obs: DataFrame) -> DataFrame:
 
 def content_changes(snapped: DataFrame) -> DataFrame:
     """A row where a document's hash differs from the one before; repeats of old and new collapse to the first."""
-    order = Window.partitionBy("document_id").orderBy("retrieved_at", "observation_id")
-    rows = snapped.select("document_id", "sha256", "retrieved_at", "observation_id", F.lag("sha256").over(order).alias("old_sha256"))
+    rows = snapped.select("document_id", "sha256", "retrieved_at", "observation_id")
+    rows = scanned(rows, ["document_id"], [F.col("retrieved_at"), F.col("observation_id")], [Scan("before", "old_sha256", "sha256")])
     changed = rows.filter(F.col("old_sha256") != F.col("sha256"))
     changed = changed.withColumn("change_id", hashed("document_id", "old_sha256", "sha256", F.lit("CONTENT_CHANGED")))
     return changed.groupBy("change_id", "document_id", "old_sha256", F.col("sha256").alias("new_sha256")).agg(

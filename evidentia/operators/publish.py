@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.sources.staging import view, with_views
 
+from .ordered import Scan, scanned
+
 #: Neutral observations that may be published without a human decision.
 AUTO_PUBLIC = {
     "SUPPLIER_PAYMENT_CONTRACT_OVERLAP": "documented_cross_source_link_not_a_finding",
@@ -121,9 +123,8 @@ def entity_index(facts: DataFrame) -> DataFrame:
 
 def entity_timelines(facts: DataFrame, n: int | None = None) -> DataFrame:
     """Facts of each entity by time, newest first, with the other party and their place."""
-    order = Window.partitionBy("entity_id").orderBy(F.desc("at"), "fact_id", "other_id")
     at = F.coalesce(*(F.col(c) for c in ("published_at", "retrieved_at") if c in facts.columns))
-    rows = _mentions(facts).withColumn("at", at).withColumn("place", F.row_number().over(order)).select("entity_id", "place", "at", "fact_id", "predicate", "other_id")
+    rows = scanned(_mentions(facts).withColumn("at", at), ["entity_id"], [F.desc("at"), F.asc("fact_id"), F.asc("other_id")], [Scan("place", "place")]).select("entity_id", "place", "at", "fact_id", "predicate", "other_id")
     return rows if n is None else rows.filter(F.col("place") <= n)
 
 
