@@ -15,6 +15,7 @@ from evidentia.sources.staging import view, with_views
 
 from .ingest import _SNAP, snapshot_observations
 from .ordered import Scan, asof, scanned
+from .terms import term_hits
 
 #: Fact types whose locator wording does not tell facts apart.
 #: Types whose facts may move between pages of their source, and the start of their names and others'.
@@ -106,12 +107,10 @@ def supersede_row_slots(facts: DataFrame, order: str = "ingested_at") -> DataFra
 def first_rule(docs: DataFrame, rules: DataFrame, text_col: str) -> DataFrame:
     """document_id and organisation_id of the first rule (rule_no, organisation_id, term) whose term is in the text.
 
-    ``rules`` is a configuration table and small; its size is checked before it is broadcast.
+    Terms are found by an index of their grams (``terms.term_hits``), at any number of rules.
     """
-    if rules.limit(10_001).count() <= 10_000:
-        rules = F.broadcast(rules)
-    hit = docs.join(rules, F.contains(F.lower(text_col), F.lower("term")) & (F.col("term") != ""))
-    return hit.groupBy("document_id").agg(F.min_by("organisation_id", "rule_no").alias("organisation_id"))
+    hit = term_hits(docs, rules, text_col).join(rules.select("rule_no", F.lower("term").alias("term"), "organisation_id"), ["rule_no", "term"])
+    return hit.groupBy("document_id").agg(F.min_by("organisation_id", F.struct("rule_no", "organisation_id")).alias("organisation_id"))
 
 
 def repair_payer(facts: DataFrame, documents: DataFrame, rules: DataFrame, default_org: str) -> DataFrame:

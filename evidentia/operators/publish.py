@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.ids import hashed, sql_hashed
+from evidentia.plans.storage import through_files
 from evidentia.sources.staging import view, with_views
 
 from .ordered import Scan, scanned
@@ -102,12 +106,54 @@ def chain_of_links(links: DataFrame, facts: DataFrame, documents: DataFrame, sna
     return got.join(documents.select("document_id", "url"), "document_id").join(snapshots.select("snapshot_id", "sha256"), "snapshot_id")
 
 
-def evidence_manifests(signals: DataFrame, chain: DataFrame) -> DataFrame:
-    """(signal_id, manifest, manifest_sha256, evidence_count): one JSON text for each approved signal."""
-    listed = chain.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("fact_id", "predicate", "value_text", "locator", "url", "sha256"))).alias("evidence"))
-    rows = signals.filter("status = 'approved'").join(listed.withColumnRenamed("item_id", "signal_id"), "signal_id", "left")
-    body = F.to_json(F.struct("signal_id", "signal_type", F.coalesce("evidence", F.array().cast(listed.schema["evidence"].dataType)).alias("evidence")))
-    return rows.select("signal_id", body.alias("manifest"), F.sha2(body, 256).alias("manifest_sha256"), F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("evidence_count"))
+#: Rows of a block of evidence, and nodes under one node of the tree above the blocks.
+BLOCK = 1000
+SHOWN = ("fact_id", "predicate", "value_text", "locator", "url", "sha256")
+
+
+class Manifests(NamedTuple):
+    """roots: signal_id, manifest, manifest_sha256, evidence_count, root_sha256; blocks: signal_id, block_no, body, block_sha256."""
+
+    roots: DataFrame
+    blocks: DataFrame
+
+
+def evidence_manifests(signals: DataFrame, chain: DataFrame, block: int = BLOCK, limit: int | None = None) -> Manifests:
+    """A manifest for each approved signal, and its evidence (``chain``, item_id) in blocks.
+
+    Evidence is put in order and cut into blocks of ``block`` rows, each a JSON text of its own
+    with the digest of its rows' digests.  A tree over these, ``block`` nodes to a node, gives the
+    root digest that the manifest carries, so a signal with a million facts is many tasks' work
+    and a block can be checked without the others.  A node with a single child is that child;
+    without evidence the root is the digest of nothing.
+    """
+    approved = signals.filter("status = 'approved'").select("signal_id", "signal_type")
+    rows = chain.select(F.col("item_id").alias("signal_id"), *SHOWN).join(approved.select("signal_id"), "signal_id", "left_semi")
+    rows = scanned(rows, ["signal_id"], [F.asc(c) for c in SHOWN], [Scan("place", "place")], limit)
+    rows = rows.withColumns({"block_no": F.floor((F.col("place") - 1) / block), "digest": hashed(*SHOWN)})
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", *c))), lambda x: F.struct(*[x[k].alias(k) for k in c]))
+    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), ",")
+    blocks = rows.groupBy("signal_id", "block_no").agg(F.to_json(listed(SHOWN)).alias("body"), F.count("*").alias("n"), F.sha2(digests, 256).alias("block_sha256"))
+    blocks = through_files(blocks)
+    nodes = blocks.select("signal_id", F.col("block_no").alias("no"), "n", F.lit(1).cast("long").alias("blocks"), F.col("block_sha256").alias("node"))
+    most = blocks.agg(F.coalesce(F.max("block_no"), F.lit(0)) + 1).first()[0]
+    while most > 1:
+        under = F.transform(F.array_sort(F.collect_list(F.struct("no", "node"))), lambda x: x["node"])
+        nodes = nodes.groupBy("signal_id", F.floor(F.col("no") / block).alias("no")).agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), under.alias("under"))
+        nodes = nodes.withColumn("node", F.when(F.size("under") == 1, F.col("under")[0]).otherwise(F.sha2(F.array_join("under", ","), 256))).drop("under")
+        most = -(-most // block)
+    roots = approved.join(nodes, "signal_id", "left").withColumns({
+        "evidence_count": F.coalesce("n", F.lit(0).cast("long")), "block_count": F.coalesce("blocks", F.lit(0).cast("long")), "root_sha256": F.coalesce("node", F.sha2(F.lit(""), 256))})
+    manifest = F.to_json(F.struct("signal_id", "signal_type", "evidence_count", "block_count", "root_sha256"))
+    roots = roots.select("signal_id", manifest.alias("manifest"), F.sha2(manifest, 256).alias("manifest_sha256"), "evidence_count", "root_sha256")
+    return Manifests(roots, blocks.select("signal_id", "block_no", "body", "block_sha256"))
+
+
+def write_manifests(manifests: Manifests, folder: str) -> None:
+    """Roots and blocks as JSON lines, in folders by the first two letters of the digest of the signal's id."""
+    shelf = F.substring(F.sha2("signal_id", 256), 1, 2)
+    manifests.roots.withColumn("shelf", shelf).write.mode("overwrite").partitionBy("shelf").json(f"{folder}/roots")
+    manifests.blocks.withColumn("shelf", shelf).write.mode("overwrite").partitionBy("shelf").json(f"{folder}/blocks")
 
 
 def _mentions(facts: DataFrame) -> DataFrame:
@@ -252,10 +298,16 @@ def _registry(v) -> dict[str, DataFrame]:
 
 
 def _chain(v) -> DataFrame:
-    items = v("published_facts").groupBy("object_id").agg(F.array_sort(F.collect_set("fact_id")).alias("evidence")).select(F.col("object_id").alias("item_id"), "evidence")
+    items = v("published_facts").select(F.col("object_id").alias("item_id"), "fact_id")
     docs = v("supplier").select(F.concat(F.lit("D"), "s_suppkey").alias("document_id"), F.col("s_name").alias("url"))
     snaps = v("published_facts").select("snapshot_id").distinct().withColumn("sha256", F.sha2("snapshot_id", 256))
-    return evidence_chain(items, v("published_facts"), docs, snaps)
+    return chain_of_links(items, v("published_facts"), docs, snaps)
+
+
+def _manifests(v) -> Manifests:
+    """Manifests of approved signals by the facts of their suppliers, in blocks of 10."""
+    of = v("signals").filter("status = 'approved'").select(F.col("subject_id").alias("item_id"), "signal_id")
+    return evidence_manifests(v("signals"), _chain(v).join(of, "item_id").drop("item_id").withColumnRenamed("signal_id", "item_id"), 10)
 
 
 def _expected(v) -> DataFrame:
@@ -281,7 +333,8 @@ QUERIES = {
     "i3_public_findings": _q(lambda v: public_findings(_gate(v)[0]["signals"])),
     "i3_finding_counts": _q(lambda v: finding_counts(public_findings(_gate(v)[0]["signals"]))),
     "i4_evidence_chain": _q(lambda v: _chain(v).select("item_id", "fact_id", "url", "sha256", "value_text")),
-    "i5_evidence_manifests": _q(lambda v: evidence_manifests(v("signals"), _chain(v).join(v("signals").select(F.col("subject_id").alias("item_id"), "signal_id"), "item_id").drop("item_id").withColumnRenamed("signal_id", "item_id")).select("signal_id", "evidence_count")),
+    "i5_evidence_manifests": _q(lambda v: _manifests(v).roots.select("signal_id", "evidence_count", "root_sha256")),
+    "i5_evidence_blocks": _q(lambda v: _manifests(v).blocks.select("signal_id", "block_no", "block_sha256")),
     "i6_entity_index": _q(lambda v: entity_index(v("published_facts"))),
     "i7_entity_timelines": _q(lambda v: entity_timelines(v("published_facts"))),
     "i8_publication_status": _q(lambda v: publication_status(_expected(v), _health(v), _seen(v), AS_OF)),
@@ -305,6 +358,15 @@ _LAB = "CASE category " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in LABELS.i
 _FIND = _AP + f", fi AS (SELECT signal_id AS id, {_CAT} AS category, coalesce(payment_total, tracked_total)::DECIMAL(28,2) AS amount, score::DOUBLE AS score FROM pub), fl AS (SELECT *, {_LAB} AS label FROM fi)"
 _CH = """WITH it AS (SELECT object_id AS item_id, unnest(list(DISTINCT fact_id)) AS fact_id FROM {published_facts} GROUP BY 1),
  ch AS (SELECT item_id, fact_id, s_name AS url, sha256(snapshot_id) AS sha256, value_text FROM it JOIN (SELECT DISTINCT * FROM {published_facts}) USING (fact_id) JOIN supplier ON document_id = 'D' || s_suppkey)"""
+_ROW = sql_hashed(*SHOWN)
+_LEVEL = "SELECT signal_id, no // 10 AS no, CASE WHEN count(*) = 1 THEN min(node) ELSE sha256(string_agg(node, ',' ORDER BY no)) END AS node FROM {0} GROUP BY 1, 2"
+_TREE = f"""WITH it AS (SELECT DISTINCT object_id AS item_id, fact_id FROM {{published_facts}}),
+ r AS (SELECT signal_id, {_ROW} AS digest, row_number() OVER (PARTITION BY signal_id ORDER BY fact_id, predicate, value_text, locator, url, sha256) - 1 AS place FROM
+   (SELECT item_id, fact_id, predicate, value_text, locator, s_name AS url, sha256(snapshot_id) AS sha256 FROM it JOIN (SELECT DISTINCT * FROM {{published_facts}}) USING (fact_id) JOIN supplier ON document_id = 'D' || s_suppkey)
+   JOIN (SELECT signal_id, subject_id AS item_id FROM {{signals}} WHERE status = 'approved') USING (item_id)),
+ t0 AS (SELECT signal_id, place // 10 AS no, sha256(string_agg(digest, ',' ORDER BY place)) AS node FROM r GROUP BY 1, 2),
+ t1 AS ({_LEVEL.format("t0")}), t2 AS ({_LEVEL.format("t1")}), t3 AS ({_LEVEL.format("t2")}), t4 AS ({_LEVEL.format("t3")})
+"""
 _MEN = "(SELECT subject_id AS entity_id, object_id AS other_id, * FROM {published_facts} UNION ALL SELECT object_id, subject_id, * FROM {published_facts} WHERE subject_id IS DISTINCT FROM object_id)"
 _NM = lambda t: f"SELECT {t} LEFT JOIN {{names}} a ON a.entity_id = subject_id LEFT JOIN {{names}} b ON b.entity_id = object_id"
 ORACLE = {k: with_views(q) for k, q in {
@@ -314,7 +376,9 @@ ORACLE = {k: with_views(q) for k, q in {
     "i3_public_findings": _FIND + "SELECT * FROM fl",
     "i3_finding_counts": _FIND + "SELECT category, label, count(*) AS n, sum(amount)::DECIMAL(28,2) AS amount FROM fl GROUP BY 1, 2",
     "i4_evidence_chain": _CH + "SELECT * FROM ch",
-    "i5_evidence_manifests": _CH + "SELECT signal_id, (SELECT count(*) FROM ch WHERE item_id = subject_id) AS evidence_count FROM {signals} WHERE status = 'approved'",
+    "i5_evidence_manifests": _TREE + """SELECT signal_id, coalesce(n, 0)::BIGINT AS evidence_count, coalesce(node, sha256('')) AS root_sha256
+      FROM {signals} LEFT JOIN (SELECT signal_id, node FROM t4) USING (signal_id) LEFT JOIN (SELECT signal_id, count(*) AS n FROM r GROUP BY 1) USING (signal_id) WHERE status = 'approved'""",
+    "i5_evidence_blocks": _TREE + "SELECT signal_id, no AS block_no, node AS block_sha256 FROM t0",
     "i6_entity_index": f"SELECT entity_id, count(DISTINCT fact_id) AS n_facts FROM {_MEN} GROUP BY 1",
     "i7_entity_timelines": f"SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY retrieved_at DESC, fact_id, other_id) AS place, retrieved_at AS at, fact_id, predicate, other_id FROM {_MEN}",
     "i8_publication_status": f"""WITH x AS (SELECT DISTINCT source_id FROM {{runs}} UNION ALL SELECT r_name FROM region),
