@@ -120,15 +120,33 @@ def ratcliff_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
-def match_name_similarity(aliases: DataFrame, least: float = 0.88) -> DataFrame:
-    """Similar aliases (8 or more characters) of one block, for review; the left one has the lesser id."""
-    rows = blocked(aliases.filter(F.length("normalized_alias") >= 8), "normalized_alias")
+def letter_bag(key: str) -> Column:
+    """The letters of a text, each with its number among its like: bags meet in as many as the texts have in common."""
+    return text.let(F.array_sort(F.split(key, "")), lambda c: F.transform(c, lambda x, i: F.concat(x, (i + 1 - F.array_position(c, x)).cast("string"))))
+
+
+def similar_candidates(aliases: DataFrame, least: float = 0.88) -> DataFrame:
+    """Pairs of aliases (left_id, right_id, left_name, right_name, bound) of one block whose ratio can reach ``least``.
+
+    The matching blocks of two texts hold no more letters than they have in common, so twice
+    that number by the sum of lengths bounds the ratio.  Both tests are JVM expressions.
+    """
+    rows = blocked(aliases.filter(F.length("normalized_alias") >= 8), "normalized_alias").withColumn("bag", letter_bag("normalized_alias"))
     a, b = rows.alias("a"), rows.alias("b")
     x, y = F.length("a.normalized_alias"), F.length("b.normalized_alias")
+    bound = 2 * F.size(F.array_intersect("a.bag", "b.bag")) / (x + y)
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.entity_id") < F.col("b.entity_id"))
                    & (F.col("a.normalized_alias") != F.col("b.normalized_alias")) & (2 * F.least(x, y) / (x + y) >= least))
-    rated = pairs.select(F.col("a.entity_id").alias("left_id"), F.col("b.entity_id").alias("right_id"),
-                         ratcliff_ratio("a.normalized_alias", "b.normalized_alias").alias("ratio"))
+    return pairs.select(
+        F.col("a.entity_id").alias("left_id"), F.col("b.entity_id").alias("right_id"),
+        F.col("a.normalized_alias").alias("left_name"), F.col("b.normalized_alias").alias("right_name"), bound.alias("bound"),
+    ).filter(F.col("bound") >= least)
+
+
+def match_name_similarity(aliases: DataFrame, least: float = 0.88) -> DataFrame:
+    """Similar aliases (8 or more characters) of one block, for review; the left one has the lesser id."""
+    pairs = similar_candidates(aliases, least)
+    rated = pairs.select("left_id", "right_id", ratcliff_ratio("left_name", "right_name").alias("ratio"))
     best = rated.groupBy("left_id", "right_id").agg(F.max("ratio").alias("ratio")).filter(F.col("ratio") >= least)
     out = best.withColumns({"match_id": pair_id(F.col("left_id"), F.col("right_id"), "name_similarity"), "match_method": F.lit("name_similarity")})
     return _scored(out, F.round("ratio", 4), "review").drop("ratio")
@@ -346,6 +364,7 @@ QUERIES = {
     "e1_entity_identifiers": _q(lambda v: entity_identifiers(_named(v))),
     "e2_match_identifier_exact": _q(lambda v: match_identifier_exact(entity_identifiers(_named(v))).select(*_M)),
     "e3_match_name_exact": _q(lambda v: match_name_exact(canonical_aliases(_named(v))).select(*_M)),
+    "e4_similar_candidates": _q(lambda v: similar_candidates(canonical_aliases(_named(v)))),
     "e4_match_name_similarity": _q(lambda v: match_name_similarity(canonical_aliases(_named(v))).select(*_M)),
     "e5_match_payment_channel": _q(lambda v: match_payment_channel(_named(v)).select(*_M)),
     "e6_match_exact_clean_name": _q(lambda v: match_exact_clean_name(_named(v)).select(*_M)),
@@ -418,6 +437,12 @@ ORACLE = {k: with_views(q) for k, q in {
     "e1_canonical_aliases": _N + "SELECT * FROM al",
     "e1_entity_identifiers": _N + "SELECT * FROM ids",
     **{k: _N + q for k, q in _SURE.items()},
+    "e4_similar_candidates": _N + f""", b AS (SELECT * FROM (SELECT entity_id, normalized_alias AS k, string_split(normalized_alias, ' ')[1] AS block, count(*) OVER (PARTITION BY string_split(normalized_alias, ' ')[1]) AS size
+        FROM al WHERE length(normalized_alias) >= 8) WHERE size <= {BLOCK_CAP}),
+      p AS (SELECT x.entity_id AS left_id, y.entity_id AS right_id, x.k AS left_name, y.k AS right_name, length(x.k) + length(y.k) AS n,
+        list_sum(list_transform(list_distinct(string_split(x.k, '')), lambda c: least(length(x.k) - length(replace(x.k, c, '')), length(y.k) - length(replace(y.k, c, ''))))) AS common
+        FROM b x JOIN b y ON x.block = y.block AND x.entity_id < y.entity_id AND x.k <> y.k AND 2 * least(length(x.k), length(y.k)) / (length(x.k) + length(y.k)) >= 0.88)
+      SELECT left_id, right_id, left_name, right_name, 2 * common / n AS bound FROM p WHERE 2 * common / n >= 0.88""",
     "e3_match_name_exact": _N + _NAME_EXACT,
     "e8_match_near_typo": _N + _sql_pairs(_sql_block("20", "2"), _EDIT, "near_typo", "0.995"),
     "e11_upsert_matches": _N + f""", d AS (SELECT * REPLACE (CASE WHEN match_id < '2' THEN 'rejected' WHEN match_id < '4' THEN 'accepted' ELSE 'review' END AS status, 0.5::DOUBLE AS confidence)
