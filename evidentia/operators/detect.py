@@ -168,31 +168,31 @@ def unmatched_payment_streams(
     )
 
 
-def phrase_mentions(texts: DataFrame, phrases: DataFrame, min_length: int = 6, min_single: int = 9) -> DataFrame:
+def phrase_mentions(texts: DataFrame, phrases: DataFrame, normal, min_length: int = 6, min_single: int = 9) -> DataFrame:
     """(fact_id, person_id, entity_id, phrase): phrases that occur in texts as whole words in a row.
 
-    ``texts`` has fact_id, person_id and key; ``phrases`` entity_id and key; keys are words with
-    single spaces.  Texts are exploded to words with the number of the text; those that begin a
-    phrase equi-join, alone and with the next word, the beginnings of phrases, and what is found
-    is confirmed in the text.
+    ``texts`` has fact_id, person_id and value_text, which ``normal`` (a function of a column)
+    makes words with single spaces; ``phrases`` has entity_id and key, such words.  Texts are
+    exploded to words with the number of the text; those that begin a phrase equi-join, alone and
+    with the next word, the beginnings of phrases, and what is found is confirmed in the text.
     """
     wanted = phrases.filter(F.length("key") >= min_length).filter((F.instr("key", " ") > 0) | (F.length("key") >= min_single))
     wanted = wanted.select("entity_id", F.col("key").alias("phrase")).withColumn("w", F.split("phrase", " "))
     wanted = wanted.withColumn("n", F.size("w")).withColumn("start", F.array_join(F.slice("w", 1, 2), " "))
-    words = texts.filter(F.col("key") != "").select("fact_id", "person_id", "key")
-    words = words.withColumn("text_id", F.xxhash64("fact_id", "person_id", "key"))
+    own = texts.select("fact_id", "person_id", "value_text").withColumn("text_id", F.xxhash64("fact_id", "person_id", "value_text"))
     # only the text's number, the place and one or two words are exploded: the text itself is joined to hits.
     # Words that begin no phrase go before anything is shuffled, if the list of such words is small enough to be sent
-    first, pair = F.split("key", " "), lambda w: F.transform(w, lambda x, i: F.struct(
-        i.alias("i"), x.alias("one"), F.when(F.get(w, i + 1).isNotNull(), F.concat_ws(" ", x, F.get(w, i + 1))).alias("two")))
-    at = words.select("text_id", F.explode(text.let(first, pair)).alias("p")).select("text_id", "p.*")
+    words = own.select("text_id", F.explode(F.array(F.split(normal("value_text"), " "))).alias("a"))
+    words = words.select("text_id", "a", F.slice("a", F.lit(2), F.size("a")).alias("b"))
+    at = words.select("text_id", F.explode_outer(F.arrays_zip("a", "b")).alias("p")).select(
+        "text_id", F.col("p.a").alias("one"), F.when(F.col("p.b").isNotNull(), F.concat_ws(" ", "p.a", "p.b")).alias("two")).filter("one <> ''")
     at = at.join(wanted.select(F.col("w")[0].alias("one")).distinct(), "one", "left_semi")
-    at = at.select("text_id", "i", F.explode(F.array("one", "two")).alias("start")).filter("start IS NOT NULL")
-    spans = at.join(wanted.select("start", "phrase", "entity_id"), "start")
-    maybe = spans.groupBy("text_id", "phrase", "entity_id").agg(F.min("i"))
+    at = at.select("text_id", F.explode(F.array("one", "two")).alias("start")).filter("start IS NOT NULL")
+    maybe = at.distinct().join(wanted.select("start", "phrase", "entity_id"), "start").select("text_id", "phrase", "entity_id").distinct()
     # the phrase is made of the words of ``key`` and single spaces, so words in a row are a part of the text
     inside = F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    hits = maybe.join(words, "text_id").filter(inside)
+    told = own.join(maybe.select("text_id").distinct(), "text_id", "left_semi").select("text_id", "fact_id", "person_id", F.explode(F.array(normal("value_text"))).alias("key"))
+    hits = maybe.join(told, "text_id").filter(inside)
     return hits.select("fact_id", "person_id", "entity_id", "phrase").distinct()
 
 
@@ -202,10 +202,9 @@ def interest_mentions(declarations: DataFrame, aliases: DataFrame, suppliers: Da
     ``aliases`` has entity_id and name; ``declarations`` fact_id, person_id and value_text.
     """
     rows = declarations.filter(F.col("value_text").isNotNull() & (F.col("value_text") != REDACTED))
-    rows = rows.select("fact_id", "person_id", text.normalize_org_name("value_text").alias("key"))
     known = suppliers.filter("supplier_id IS NOT NULL").select(F.col("supplier_id").alias("entity_id")).distinct()
     named = aliases.join(known, "entity_id", "left_semi").select("entity_id", text.normalize_org_name("name").alias("key")).distinct()
-    return phrase_mentions(rows, named)
+    return phrase_mentions(rows, named, text.normalize_org_name)
 
 
 def _person_keys(df: DataFrame, name: str) -> DataFrame:
@@ -231,8 +230,7 @@ def control_person_officeholder(controllers: DataFrame, held: DataFrame) -> Data
 def control_person_declared_interest(controllers: DataFrame, declarations: DataFrame) -> DataFrame:
     """Controllers of suppliers whose full name occurs in a declaration, with the kin words there."""
     rows = declarations.filter(F.col("value_text").isNotNull() & (F.col("value_text") != REDACTED))
-    keyed = rows.select("fact_id", "person_id", text.normalize_name("value_text").alias("key"))
-    hits = phrase_mentions(keyed, controllers.select(F.col("psc_id").alias("entity_id"), "key").distinct()).withColumnRenamed("entity_id", "psc_id")
+    hits = phrase_mentions(rows, controllers.select(F.col("psc_id").alias("entity_id"), "key").distinct(), text.normalize_name).withColumnRenamed("entity_id", "psc_id")
     return hits.join(controllers.select("psc_id", "company_id").distinct(), "psc_id").join(rows.select("fact_id", "value_text"), "fact_id").select(
         "psc_id", "company_id", "fact_id", "person_id", text.kin_terms("value_text").alias("kin"))
 
@@ -244,10 +242,6 @@ def _q(f):
     return lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
 
 
-def _texts(v) -> DataFrame:
-    return v("texts").select("fact_id", "person_id", text.normalize_org_name("value_text").alias("key"))
-
-
 def _suppliers(v) -> DataFrame:
     return supplier_facts(v("payments"), v("contract_suppliers"))
 
@@ -261,7 +255,7 @@ QUERIES = {
     "g9_public_authority_aliases": _q(lambda v: public_authority_aliases(v("organisations"))),
     "g2_interest_mentions_contract_supplier": _q(lambda v: interest_mentions(v("texts"), v("aliases"), v("contract_suppliers"))),
     "g3_interest_mentions_payment_supplier": _q(lambda v: interest_mentions(v("texts"), v("aliases"), v("payments"))),
-    "g_phrase_mentions": _q(lambda v: phrase_mentions(_texts(v), v("phrases").select("entity_id", text.normalize_org_name("name").alias("key")))),
+    "g_phrase_mentions": _q(lambda v: phrase_mentions(v("texts"), v("phrases").select("entity_id", text.normalize_org_name("name").alias("key")), text.normalize_org_name)),
     "g10_control_person_officeholder": _q(lambda v: control_person_officeholder(supplier_controllers(v("control"), _suppliers(v)), office_facts(v("office")))),
     "g11_control_person_declared_interest": _q(lambda v: control_person_declared_interest(supplier_controllers(v("control"), _suppliers(v)), v("declared")).withColumn("kin", F.array_join("kin", ","))),
     "g12_supplier_evidence": _q(lambda v: _suppliers(v).groupBy("supplier_id").agg(F.count("*").alias("n_facts"), F.min("fact_id").alias("first_fact"))),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evidentia.functions import text
 from evidentia.functions.ids import hashed, sql_hashed
@@ -198,7 +199,8 @@ def extract_contract_register(rows: DataFrame, source_id: str, buyer_id: str) ->
 
 def parse_releases(df: DataFrame, column: str = "json") -> DataFrame:
     """Adds r, the release of a JSON text; text that cannot be read gives null."""
-    return df.withColumn("r", F.from_json(column, RELEASE_SCHEMA))
+    # the explode keeps the planner from reading the text once for each field and filter
+    return df.select("*", F.explode(F.array(F.from_json(column, RELEASE_SCHEMA))).alias("r"))
 
 
 def filter_buyers(releases: DataFrame, terms: list[str]) -> DataFrame:
@@ -216,28 +218,32 @@ def extract_ocds(releases: DataFrame) -> DataFrame:
 
     A release without awards has one, named notice.
     """
-    notice = F.array(F.from_json(F.lit('{"id":"notice"}'), RELEASE_SCHEMA.split("awards:array<")[1][:-2]))
+    award = StructType.fromDDL(f"r {RELEASE_SCHEMA}")["r"].dataType["awards"].dataType.elementType
+    notice = F.array(F.struct(*[(F.lit("notice") if f.name == "id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in award]))
     awards = F.when(F.coalesce(F.size("r.awards"), F.lit(0)) > 0, F.col("r.awards")).otherwise(notice)
-    rows = releases.filter("r IS NOT NULL").select("r.ocid", "r.buyer", "r.parties", F.col("r.tender.title").alias("tender_title"), F.explode(awards).alias("a"))
-    by_role = lambda role: F.transform(F.filter(F.coalesce("parties", F.array().cast(f"array<{PARTY}>")), lambda p: F.array_contains(p["roles"], role)), lambda p: p["name"])
-    has_buyer = F.array_compact(F.array_union(by_role("buyer"), F.array("buyer.name")))
-    own = F.transform(F.coalesce("a.suppliers", F.array().cast("array<struct<id:string,name:string>>")), lambda s: s["name"])
-    suppliers = F.when(F.size(own) > 0, own).otherwise(F.when(F.col("a.id") == "notice", F.array().cast("array<string>")).otherwise(by_role("supplier")))
     ids = "array<struct<scheme:string,id:string>>"
     given = lambda name, main, more: F.transform(
         F.filter(F.concat(F.array(main), F.coalesce(more, F.array().cast(ids))), lambda i: F.coalesce(i["id"], F.lit("")) != ""),
         lambda i: F.struct(name.alias("name"), F.concat(F.coalesce(i["scheme"], F.lit("unknown")), F.lit(":"), i["id"]).alias("value")))
-    parties = F.transform(F.coalesce("parties", F.array().cast(f"array<{PARTY}>")), lambda p: given(p["name"], p["identifier"], p["additionalIdentifiers"]))
-    identified = F.array_distinct(F.concat(F.flatten(parties), given(F.col("buyer.name"), F.col("buyer.identifier"), F.array().cast(ids))))
+    parties = F.transform(F.coalesce("r.parties", F.array().cast(f"array<{PARTY}>")), lambda p: given(p["name"], p["identifier"], p["additionalIdentifiers"]))
+    identified = F.array_distinct(F.concat(F.flatten(parties), given(F.col("r.buyer.name"), F.col("r.buyer.identifier"), F.array().cast(ids))))
+    # identifiers are those of the release: worked out before its awards are exploded
+    rows = releases.filter("r IS NOT NULL").select("r", identified.alias("identified"), awards.alias("awards"))
+    rows = rows.select("r.ocid", "r.buyer", "r.parties", F.col("r.tender.title").alias("tender_title"), "identified", F.explode_outer("awards").alias("a"))
+    by_role = lambda role: F.transform(F.filter(F.coalesce("parties", F.array().cast(f"array<{PARTY}>")), lambda p: F.array_contains(p["roles"], role)), lambda p: p["name"])
+    has_buyer = F.array_compact(F.array_union(by_role("buyer"), F.array("buyer.name")))
+    own = F.transform(F.coalesce("a.suppliers", F.array().cast("array<struct<id:string,name:string>>")), lambda s: s["name"])
+    suppliers = F.when(F.size(own) > 0, own).otherwise(F.when(F.col("a.id") == "notice", F.array().cast("array<string>")).otherwise(by_role("supplier")))
     fact = lambda p, party, x, cur=None: F.struct(F.lit(p).alias("predicate"), party.cast("string").alias("party"), x.cast("string").alias("value_text"), (cur if cur is not None else F.lit(None)).cast("string").alias("currency"))
     none = F.lit(None)
     each = F.concat(
         F.array(fact("HAS_TITLE", none, F.coalesce("a.title", "tender_title")), fact("HAS_VALUE", none, F.col("a.value.amount"), F.coalesce("a.value.currency", F.lit("GBP"))), fact("AWARDED_ON", none, F.substring("a.date", 1, 10))),
         F.transform(has_buyer, lambda n: fact("BUYER_OF_CONTRACT", n, n)), F.transform(F.array_distinct(F.array_compact(suppliers)), lambda n: fact("SUPPLIER_TO_CONTRACT", n, n)),
         text.let(F.array_distinct(F.array_compact(F.concat(has_buyer, suppliers))), lambda named: F.transform(
-            F.filter(identified, lambda i: F.array_contains(named, i["name"])), lambda i: fact("HAS_IDENTIFIER", i["name"], i["value"]))),
+            F.filter("identified", lambda i: F.array_contains(named, i["name"])), lambda i: fact("HAS_IDENTIFIER", i["name"], i["value"]))),
     )
-    return rows.select("ocid", F.col("a.id").alias("award_id"), F.explode(each).alias("f")).select("ocid", "award_id", "f.*").filter("value_text IS NOT NULL")
+    # never empty; for explode the planner would work it all out once more in a filter on its size
+    return rows.select("ocid", F.col("a.id").alias("award_id"), F.explode_outer(each).alias("f")).select("ocid", "award_id", "f.*").filter("value_text IS NOT NULL")
 
 
 def extract_contract_periods(releases: DataFrame) -> DataFrame:
