@@ -14,7 +14,7 @@ from evidentia.functions.ids import hashed, sql_hashed
 from evidentia.sources.staging import view, with_views
 
 from .ingest import _SNAP, snapshot_observations
-from .ordered import Scan, asof, scanned
+from .ordered import Scan, asof, key_sizes, scanned
 from .terms import term_hits
 
 #: Fact types whose locator wording does not tell facts apart.
@@ -60,9 +60,10 @@ def snapshot_windows(snapped: DataFrame, mode: str = "islands") -> DataFrame:
     """
     order = [F.col("retrieved_at"), F.col("observation_id")]
     rows = snapped.select("document_id", "snapshot_id", "retrieved_at", "observation_id")
-    rows = scanned(rows, ["document_id"], order, [Scan("before", "_before", "snapshot_id"), Scan("place", "_place")])
+    sizes = key_sizes(rows, ["document_id"])
+    rows = scanned(rows, ["document_id"], order, [Scan("before", "_before", "snapshot_id"), Scan("place", "_place")], sizes=sizes)
     starts = rows.filter((F.col("_place") == 1) | ~F.col("_before").eqNullSafe(F.col("snapshot_id")))
-    starts = scanned(starts, ["document_id"], order, [Scan("after", "valid_to", "retrieved_at")])
+    starts = scanned(starts, ["document_id"], order, [Scan("after", "valid_to", "retrieved_at")], sizes=sizes)
     out = starts.select("document_id", "snapshot_id", F.col("retrieved_at").alias("valid_from"), "valid_to", "observation_id")
     if mode == "compat":
         first = Window.partitionBy("document_id", "snapshot_id").orderBy("valid_from", "observation_id")

@@ -80,10 +80,18 @@ def _both(s: Scan, here: Column, carried: Column) -> Column:
     return F.coalesce(here, carried)
 
 
-def scanned(df: DataFrame, keys: list[str], order: list[Column], scans: list[Scan], limit: int | None = None) -> DataFrame:
-    """``df`` with a column for each scan; ``order`` (of sort expressions) is total within a key but for equal rows."""
+def key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest key, and of all."""
+    return tuple(df.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first())
+
+
+def scanned(df: DataFrame, keys: list[str], order: list[Column], scans: list[Scan], limit: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """``df`` with a column for each scan; ``order`` (of sort expressions) is total within a key but for equal rows.
+
+    ``sizes`` are ``key_sizes`` of ``df`` or of more rows, where they are known already.
+    """
     limit = LIMIT if limit is None else limit
-    most, total = df.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    most, total = sizes or key_sizes(df, keys)
     unboxed = lambda s: F.col(s.name)["v"] if s.kind in ("before", "after") else F.col(s.name)
     if most <= limit:
         over = Window.partitionBy(*keys).orderBy(*order)
