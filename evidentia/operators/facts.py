@@ -247,8 +247,8 @@ _SHOWN = ("fact_id", "document_id", "snapshot_id", "predicate", "value_text")
 QUERIES = {
     "b1_entity_ids": _q(lambda v: entity_ids(v("entities"), "entity_type", "canonical_name", "source_system").select("entity_id", "canonical_name")),
     "b2_upsert_entities": _q(lambda v: upsert_entities(
-        v("customer").filter("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("entity_id"), "c_name", F.col("c_custkey").alias("seen_at")).groupBy("entity_id").agg(F.min("c_name").alias("c_name"), F.min("seen_at").alias("seen_at")),
-        v("customer").filter("c_nationkey < 12").select(F.col("c_nationkey").alias("entity_id"), "c_name", F.col("c_custkey").alias("seen_at")))),
+        v("customer").select(F.col("c_nationkey").alias("entity_id"), "c_name", F.col("c_custkey").alias("seen_at")).groupBy("entity_id").agg(F.min("c_name").alias("c_name"), F.min("seen_at").alias("seen_at")),
+        v("customer").select((F.col("c_nationkey") + 12).alias("entity_id"), "c_name", F.col("c_custkey").alias("seen_at")))),
     "b3_add_facts": _q(lambda v: add_facts(_stored(v).filter("metadata < 'm5'"), _facts(v).filter("metadata >= 'm3'")).select(*_SHOWN, "metadata")),
     "b4_snapshot_windows": _q(_windows),
     "b4_snapshot_windows_compat": _q(lambda v: _windows(v, "compat")),
@@ -289,8 +289,8 @@ _F = f"""WITH sn AS ({_SNAP}), b AS (SELECT sn.*, value FROM sn JOIN events ON e
 _S = "fact_id, f.document_id, f.snapshot_id, predicate, value_text"
 ORACLE = {k: with_views(q) for k, q in {
     "b1_entity_ids": f"SELECT {sql_hashed('entity_type', 'source_system', 'lower(' + text.sql_squeeze('canonical_name') + ')')} AS entity_id, canonical_name FROM {{entities}}",
-    "b2_upsert_entities": """SELECT c_nationkey AS entity_id, arg_max(c_name, c_custkey) AS c_name, max(c_custkey) AS seen_at FROM customer WHERE c_nationkey < 12 GROUP BY 1
-      UNION ALL SELECT c_nationkey, min(c_name), min(c_custkey) FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey >= 12 GROUP BY 1""",
+    "b2_upsert_entities": """SELECT c_nationkey + 12 AS entity_id, arg_max(c_name, c_custkey) AS c_name, max(c_custkey) AS seen_at FROM customer GROUP BY 1
+      UNION ALL SELECT c_nationkey, min(c_name), min(c_custkey) FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey + 12 FROM customer) GROUP BY 1""",
     "b3_add_facts": _F + """, e AS (SELECT * FROM f WHERE metadata < 'm5'), n AS (SELECT fact_id, document_id, snapshot_id, predicate, value_text, max(metadata) AS metadata FROM f1 WHERE metadata >= 'm3' GROUP BY ALL)
       SELECT coalesce(e.fact_id, n.fact_id) AS fact_id, coalesce(e.document_id, n.document_id) AS document_id, coalesce(e.snapshot_id, n.snapshot_id) AS snapshot_id,
       coalesce(e.predicate, n.predicate) AS predicate, coalesce(e.value_text, n.value_text) AS value_text, coalesce(n.metadata, e.metadata) AS metadata FROM e FULL JOIN n ON e.fact_id = n.fact_id""",

@@ -186,6 +186,7 @@ QUERIES = {
         v("nation").select(F.col("n_regionkey").cast("string").alias("source_id"), F.col("n_nationkey").cast("string").alias("organisation_id")),
         v("region").filter("r_regionkey < 2").select(F.col("r_regionkey").cast("string").alias("source_id"), F.split("r_name", "").alias("organisation_ids")))),
     "a7_evidence_class_rejects": _q(lambda v: check_evidence_class(v("observations"))[1].select("observation_id", "evidence_class")),
+    "a7_evidence_class_accepted": _q(lambda v: check_evidence_class(v("observations"))[0].select("observation_id", "evidence_class")),
     "a8_coverage_audit": _q(lambda v: coverage_audit(_sources(v), v("runs"))),
     "a9_source_run_status": _q(lambda v: source_run_status(_daily_fetches(v))),
     "a10_latest_source_health": _q(lambda v: latest_source_health(v("runs"))),
@@ -210,6 +211,7 @@ ORACLE = {k: with_views(q) for k, q in {
     "a6_link_orgs": """SELECT DISTINCT r_regionkey::VARCHAR AS source_id, unnest(string_split(r_name, '')) AS organisation_id FROM region WHERE r_regionkey < 2
       UNION ALL SELECT n_regionkey::VARCHAR, n_nationkey::VARCHAR FROM nation WHERE n_regionkey >= 2""",
     "a7_evidence_class_rejects": f"SELECT observation_id, evidence_class FROM {{observations}} WHERE evidence_class NOT IN {EVIDENCE_CLASSES}",
+    "a7_evidence_class_accepted": f"SELECT observation_id, evidence_class FROM {{observations}} WHERE evidence_class IN {EVIDENCE_CLASSES}",
     "a8_coverage_audit": """SELECT source_id, sum(record_count)::BIGINT AS records, sum(fact_count)::BIGINT AS facts, greatest(1, CAST(substring(source_id, 4) AS INTEGER) * 17) AS minimum
       FROM {runs} WHERE CAST(substring(source_id, 4) AS INTEGER) % 2 = 0 GROUP BY 1
       HAVING sum(record_count) <= 0 OR sum(fact_count) < greatest(1, CAST(substring(source_id, 4) AS INTEGER) * 17)""",

@@ -343,7 +343,7 @@ QUERIES = {
     "i2_gate_claims": _q(lambda v: _claim_gate(v)[0]["claim_evidence"]),
     "i2_withheld_claims": _q(lambda v: _claim_gate(v)[1]),
     "i3_findings_with_claims": _q(lambda v: public_findings(_claim_gate(v)[0]["signals"], _claim_gate(v)[0]["claims"])),
-    "i9_api_entities": _q(lambda v: _api(v, "entities", entities=v("entities"), members=v("entities").filter("entity_id < 'E1'").select("entity_id", F.concat(F.substring("entity_id", 1, 8), F.lit("0")).alias("canonical_id")))),
+    "i9_api_entities": _q(lambda v: _api(v, "entities", entities=v("entities"), members=v("entities").select("entity_id", F.when(F.col("entity_id") < "E1", F.concat(F.substring("entity_id", 1, 8), F.lit("0"))).otherwise(F.col("entity_id")).alias("canonical_id")))),
     "i9_api_matches": _q(lambda v: _api(v, "matches", matches=publication_gate({"matches": _entity_pairs(v)})[0]["matches"])),
     "i9_api_reviews": _q(lambda v: _api(v, "reviews", reviews=v("signal_reviews"))),
     "i9_api_source_health": _q(lambda v: _api(v, "health", health=_health(v))),

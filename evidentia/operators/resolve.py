@@ -68,8 +68,21 @@ def entity_identifiers(named: DataFrame) -> DataFrame:
     return rows.select("entity_id", F.lower("scheme").alias("scheme"), F.upper(F.regexp_replace("identifier", r"\s+", "")).alias("identifier")).distinct()
 
 
-def _pairs(rows: DataFrame, keys: list[str], method: str, keep: Column | None = None) -> DataFrame:
-    """(left_id, right_id, match_id, match_method) of rows with equal keys, and a residual on columns of both."""
+def evidence_of(**parts: Column) -> Column:
+    """JSON of what a match rests on: keys in order, absent values as nulls."""
+    return F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"})
+
+
+def _both(column: str, name: str | None = None) -> dict[str, Column]:
+    return {f"left_{name or column}": F.col(f"a.{column}"), f"right_{name or column}": F.col(f"b.{column}")}
+
+
+def _names() -> dict[str, Column]:
+    return _both("canonical_name", "name")
+
+
+def _pairs(rows: DataFrame, keys: list[str], method: str, shown: dict[str, Column], keep: Column | None = None) -> DataFrame:
+    """(left_id, right_id, match_id, match_method, evidence) of rows with equal keys, and a residual on columns of both."""
     a, b = rows.alias("a"), rows.alias("b")
     on = F.col("a.entity_id") < F.col("b.entity_id")
     for k in keys:
@@ -77,30 +90,36 @@ def _pairs(rows: DataFrame, keys: list[str], method: str, keep: Column | None =
     out = a.join(b, on if keep is None else on & keep)
     return out.select(
         F.col("a.entity_id").alias("left_id"), F.col("b.entity_id").alias("right_id"),
-        pair_id(F.col("a.entity_id"), F.col("b.entity_id"), method).alias("match_id"), F.lit(method).alias("match_method"),
+        pair_id(F.col("a.entity_id"), F.col("b.entity_id"), method).alias("match_id"), F.lit(method).alias("match_method"), evidence_of(**shown).alias("evidence"),
     )
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    """One row a match: a pair with several keys in common keeps the least evidence."""
+    return pairs.groupBy(*[c for c in pairs.columns if c != "evidence"]).agg(F.min("evidence").alias("evidence"))
+
+
 def _scored(pairs: DataFrame, confidence, status: str = "auto_accepted") -> DataFrame:
     return pairs.withColumns({"confidence": confidence if isinstance(confidence, Column) else F.lit(confidence), "status": F.lit(status)})
 
 
 def match_identifier_exact(identifiers: DataFrame) -> DataFrame:
-    return _scored(_pairs(identifiers, ["scheme", "identifier"], "identifier_exact").distinct(), 1.0)
+    shown = {"scheme": F.col("a.scheme"), "identifier": F.col("a.identifier")}
+    return _scored(_once(_pairs(identifiers, ["scheme", "identifier"], "identifier_exact", shown)), 1.0)
 
 
 def match_name_exact(aliases: DataFrame) -> DataFrame:
-    """Equal aliases of 5 or more characters: automatic with two words or 10 characters, else for review."""
+    """Equal aliases of 5 or more characters: automatic with two words or 10 characters, else for review.
+
+    A pair with several such aliases is told by the surest of them.
+    """
     rows = aliases.filter(F.length("normalized_alias") >= 5).select("entity_id", "normalized_alias")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.normalized_alias") == F.col("b.normalized_alias")) & (F.col("a.entity_id") < F.col("b.entity_id")))
-    sure = (F.instr("a.normalized_alias", " ") > 0) | (F.length("a.normalized_alias") >= 10)
-    return pairs.select(
-        F.col("a.entity_id").alias("left_id"), F.col("b.entity_id").alias("right_id"),
-        pair_id(F.col("a.entity_id"), F.col("b.entity_id"), "normalized_name_exact").alias("match_id"),
-        F.lit("normalized_name_exact").alias("match_method"), F.when(sure, 0.97).otherwise(0.93).alias("confidence"),
-        F.when(sure, "auto_accepted").otherwise("review").alias("status"),
-    ).distinct()
+    pairs = _pairs(rows, ["normalized_alias"], "normalized_name_exact", {"normalized_name": F.col("a.normalized_alias")})
+    name = F.get_json_object("evidence", "$.normalized_name")
+    pairs = pairs.withColumn("sure", (F.instr(name, " ") > 0) | (F.length(name) >= 10))
+    best = pairs.groupBy("left_id", "right_id", "match_id", "match_method").agg(F.min(F.struct((~F.col("sure")).alias("unsure"), "evidence")).alias("m"))
+    best = best.withColumns({"evidence": F.col("m.evidence"), "unsure": F.col("m.unsure")}).drop("m")
+    return _scored(best, F.when(F.col("unsure"), 0.93).otherwise(0.97)).withColumn("status", F.when(F.col("unsure"), "review").otherwise("auto_accepted")).drop("unsure")
 
 
 def blocked(rows: DataFrame, key: str) -> DataFrame:
@@ -146,34 +165,36 @@ def similar_candidates(aliases: DataFrame, least: float = 0.88) -> DataFrame:
 def match_name_similarity(aliases: DataFrame, least: float = 0.88) -> DataFrame:
     """Similar aliases (8 or more characters) of one block, for review; the left one has the lesser id."""
     pairs = similar_candidates(aliases, least)
-    rated = pairs.select("left_id", "right_id", ratcliff_ratio("left_name", "right_name").alias("ratio"))
-    best = rated.groupBy("left_id", "right_id").agg(F.max("ratio").alias("ratio")).filter(F.col("ratio") >= least)
+    shown = evidence_of(left=F.col("left_name"), right=F.col("right_name"))
+    rated = pairs.select("left_id", "right_id", ratcliff_ratio("left_name", "right_name").alias("ratio"), shown.alias("evidence"))
+    best = rated.groupBy("left_id", "right_id").agg(F.max(F.struct("ratio", "evidence")).alias("m")).select("left_id", "right_id", "m.*").filter(F.col("ratio") >= least)
     out = best.withColumns({"match_id": pair_id(F.col("left_id"), F.col("right_id"), "name_similarity"), "match_method": F.lit("name_similarity")})
     return _scored(out, F.round("ratio", 4), "review").drop("ratio")
 
 
 def match_payment_channel(named: DataFrame) -> DataFrame:
-    rows = organisations(named).filter("analysis_key <> ''").select("entity_id", "analysis_key", "channel")
+    rows = organisations(named).filter("analysis_key <> ''").select("entity_id", "analysis_key", "channel", "canonical_name")
     some = F.col("a.channel").isNotNull() | F.col("b.channel").isNotNull()
-    return _scored(_pairs(rows, ["analysis_key"], "payment_channel", some), RULES["payment_channel"])
+    return _scored(_pairs(rows, ["analysis_key"], "payment_channel", {"normalized_name": F.col("a.analysis_key")} | _names() | _both("channel"), some), RULES["payment_channel"])
 
 
 def match_exact_clean_name(named: DataFrame) -> DataFrame:
     rows = organisations(named).filter("length(basic_key) >= 5 AND channel IS NULL AND NOT replace(basic_key, ' ', '') RLIKE '^[0-9]+$'")
-    return _scored(_pairs(rows.select("entity_id", "basic_key"), ["basic_key"], "exact_clean_name"), RULES["exact_clean_name"])
+    return _scored(_pairs(rows.select("entity_id", "basic_key", "canonical_name"), ["basic_key"], "exact_clean_name", {"clean_name": F.col("a.basic_key")} | _names()), RULES["exact_clean_name"])
 
 
 def match_legal_suffix(named: DataFrame) -> DataFrame:
-    rows = organisations(named).filter("org_key <> ''").select("entity_id", "org_key", "legal_suffix")
+    rows = organisations(named).filter("org_key <> ''").select("entity_id", "org_key", "legal_suffix", "canonical_name")
     some = F.col("a.legal_suffix").isNotNull() | F.col("b.legal_suffix").isNotNull()
-    return _scored(_pairs(rows, ["org_key"], "legal_suffix", some), RULES["legal_suffix"])
+    return _scored(_pairs(rows, ["org_key"], "legal_suffix", {"normalized_name": F.col("a.org_key")} | _names() | _both("legal_suffix"), some), RULES["legal_suffix"])
 
 
 def _one_edit(named: DataFrame, method: str, shortest: int, words: int) -> DataFrame:
     rows = organisations(named).withColumn("n_words", F.size(F.split("analysis_key", " ")))
-    rows = rows.filter((F.length("analysis_key") >= shortest) & (F.col("n_words") >= words)).select("entity_id", "analysis_key", "n_words")
+    rows = rows.filter((F.length("analysis_key") >= shortest) & (F.col("n_words") >= words)).select("entity_id", "analysis_key", "n_words", "canonical_name")
+    shown = _names() | _both("analysis_key", "normalized") | {"maximum_edit_distance": F.lit(1)}
     near = (F.col("a.analysis_key") != F.col("b.analysis_key")) & text.within_one_edit(F.col("a.analysis_key"), F.col("b.analysis_key"))
-    return _scored(_pairs(blocked(rows, "analysis_key"), ["block", "n_words"], method, near), RULES[method])
+    return _scored(_pairs(blocked(rows, "analysis_key"), ["block", "n_words"], method, shown, near), RULES[method])
 
 
 def match_near_typo(named: DataFrame) -> DataFrame:
@@ -186,8 +207,13 @@ def match_conservative_one_edit(named: DataFrame) -> DataFrame:
 
 def match_whitespace_join(named: DataFrame) -> DataFrame:
     rows = organisations(named).filter("plausible AND length(analysis_key) >= 10").withColumn("joined", F.replace("analysis_key", F.lit(" "), F.lit("")))
-    rows = rows.filter("length(joined) >= 15").select("entity_id", "analysis_key", "joined")
-    return _scored(_pairs(rows, ["joined"], "whitespace_join", F.col("a.analysis_key") != F.col("b.analysis_key")), RULES["whitespace_join"])
+    rows = rows.filter("length(joined) >= 15").select("entity_id", "analysis_key", "joined", "canonical_name")
+    shown = _names() | _both("analysis_key", "normalized") | {"compact_normalized": F.col("a.joined")}
+    return _scored(_pairs(rows, ["joined"], "whitespace_join", shown, F.col("a.analysis_key") != F.col("b.analysis_key")), RULES["whitespace_join"])
+
+
+#: Rules whose matches are accepted, some or all of them, without a human.
+AUTOMATIC = ("identifier_exact", "normalized_name_exact", "exact_clean_name", "whitespace_join", "payment_channel", "legal_suffix", "near_typo", "conservative_one_edit")
 
 
 def star_edges(rows: DataFrame, key: str) -> DataFrame:
@@ -196,8 +222,8 @@ def star_edges(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(least, key).filter("left_id <> entity_id").select("left_id", F.col("entity_id").alias("right_id"))
 
 
-def accepted_edges(named: DataFrame) -> DataFrame:
-    """Edges (left_id, right_id, status) with the components of all automatic matches.
+def accepted_edges(named: DataFrame, rules: tuple = AUTOMATIC) -> DataFrame:
+    """Edges (left_id, right_id, status) with the components of all automatic matches of the rules.
 
     Rules of equal keys give a star for each group.  A rule whose pairs need one member with a
     channel or suffix, or two spellings, joins the whole group if there is one, and nothing else;
@@ -210,23 +236,26 @@ def accepted_edges(named: DataFrame) -> DataFrame:
     sure = (F.length("normalized_alias") >= 5) & ((F.instr("normalized_alias", " ") > 0) | (F.length("normalized_alias") >= 10))
     clean = "length(basic_key) >= 5 AND channel IS NULL AND NOT replace(basic_key, ' ', '') RLIKE '^[0-9]+$'"
     stars = (
-        ("i", ids.withColumn("key", F.concat_ws("\0", "scheme", "identifier"))), ("n", aliases.filter(sure).withColumn("key", F.col("normalized_alias"))),
-        ("c", orgs.filter(clean).withColumn("key", F.col("basic_key"))), ("w", spelled.join(twice, "joined", "left_semi").withColumn("key", F.col("joined"))),
-        ("p", some(orgs.filter("analysis_key <> ''"), "analysis_key", "channel").withColumn("key", F.col("analysis_key"))),
-        ("s", some(orgs.filter("org_key <> ''"), "org_key", "legal_suffix").withColumn("key", F.col("org_key"))),
+        ("identifier_exact", ids.withColumn("key", F.concat_ws("\0", "scheme", "identifier"))), ("normalized_name_exact", aliases.filter(sure).withColumn("key", F.col("normalized_alias"))),
+        ("exact_clean_name", orgs.filter(clean).withColumn("key", F.col("basic_key"))), ("whitespace_join", spelled.join(twice, "joined", "left_semi").withColumn("key", F.col("joined"))),
+        ("payment_channel", some(orgs.filter("analysis_key <> ''"), "analysis_key", "channel").withColumn("key", F.col("analysis_key"))),
+        ("legal_suffix", some(orgs.filter("org_key <> ''"), "org_key", "legal_suffix").withColumn("key", F.col("org_key"))),
     )
     rows = None
     for rule, found in stars:
+        if rule not in rules:
+            continue
         one = found.select("entity_id", F.concat(F.lit(rule), F.lit("\0"), "key").alias("key"))
         rows = one if rows is None else rows.unionByName(one)
-    edges = star_edges(rows.distinct(), "key")
-    for pairs in (match_near_typo(named), match_conservative_one_edit(named)):
-        edges = edges.unionByName(pairs.select("left_id", "right_id"))
+    edges = named.sparkSession.createDataFrame([], "left_id string, right_id string") if rows is None else star_edges(rows.distinct(), "key")
+    for rule, match in (("near_typo", match_near_typo), ("conservative_one_edit", match_conservative_one_edit)):
+        if rule in rules:
+            edges = edges.unionByName(match(named).select("left_id", "right_id"))
     return edges.distinct().withColumn("status", F.lit("auto_accepted"))
 
 
 def upsert_matches(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Matches by id: confidence (and evidence, if both tables have it) is refreshed, a human accepted or rejected stays."""
+    """Matches by id: confidence and evidence (if both tables have it) are refreshed, a human accepted or rejected stays."""
     e, n = existing.alias("e"), new.alias("n")
     human = F.col("e.status").isin("accepted", "rejected")
     status = F.when(human, F.col("e.status")).otherwise(F.coalesce("n.status", "e.status"))
@@ -335,16 +364,42 @@ def _named(v) -> DataFrame:
     return through_files(standardise_names(v("entities")))
 
 
-def _sure(v) -> DataFrame:
+SURE = ("identifier_exact", "exact_clean_name", "whitespace_join", "payment_channel", "legal_suffix", "conservative_one_edit")
+
+
+def _members(v, named: DataFrame | None = None) -> DataFrame:
+    return resolve_members(v("entities"), accepted_edges(_named(v) if named is None else named, SURE))
+
+
+def _representatives(v) -> DataFrame:
+    named = _named(v)
+    return quality_representative(named, _members(v, named), entity_identifiers(named))
+
+
+def _cleaned(v) -> tuple[DataFrame, DataFrame, DataFrame]:
+    named = _named(v)
+    aliases = canonical_aliases(named)
+    matches = match_name_exact(aliases)
+    return cleanup_invalid(named, aliases, matches, match_reviews(matches))
+
+
+def _evidence(v) -> DataFrame:
+    """Evidence of the rules that SQL can repeat."""
     n = _named(v)
-    out = match_whitespace_join(n)
-    for m in (match_identifier_exact(entity_identifiers(n)), match_payment_channel(n), match_exact_clean_name(n), match_legal_suffix(n), match_conservative_one_edit(n)):
+    out = match_name_exact(canonical_aliases(n))
+    for m in (match_identifier_exact(entity_identifiers(n)), match_payment_channel(n), match_exact_clean_name(n), match_legal_suffix(n), match_near_typo(n), match_whitespace_join(n), match_conservative_one_edit(n)):
         out = out.unionByName(m)
-    return out
+    return out.select("match_id", "match_method", "evidence")
+
+
+def _refreshed(v) -> DataFrame:
+    old = _decided(v).withColumn("evidence", F.lit('{"by":"an earlier run"}'))
+    return upsert_matches(old, match_legal_suffix(_named(v))).select("match_id", "status", "evidence")
 
 
 def _decided(v) -> DataFrame:
-    m = match_exact_clean_name(_named(v)).unionByName(match_legal_suffix(_named(v)))
+    n = _named(v)
+    m = match_exact_clean_name(n).unionByName(match_legal_suffix(n))
     return m.withColumn("status", F.expr("CASE WHEN match_id < '2' THEN 'rejected' WHEN match_id < '4' THEN 'accepted' ELSE 'review' END")).withColumn("confidence", F.lit(0.5))
 
 
@@ -373,11 +428,15 @@ QUERIES = {
     "e9_match_whitespace_join": _q(lambda v: match_whitespace_join(_named(v)).select(*_M)),
     "e10_match_conservative_one_edit": _q(lambda v: match_conservative_one_edit(_named(v)).select(*_M)),
     "e11_upsert_matches": _q(lambda v: upsert_matches(_decided(v), match_legal_suffix(_named(v))).select(*_M)),
-    "e12_connected_components": _q(lambda v: resolve_members(v("entities"), _sure(v))),
-    "e13_quality_representative": _q(lambda v: quality_representative(_named(v), resolve_members(v("entities"), _sure(v)), entity_identifiers(_named(v)))),
-    "e14_close_resolved_reviews": _q(lambda v: close_resolved_reviews(_reviews(v), resolve_members(v("entities"), _sure(v)).withColumnRenamed("component", "canonical_id"))),
-    "e15_cleanup_invalid": _q(lambda v: cleanup_invalid(_named(v), canonical_aliases(_named(v)), match_name_exact(canonical_aliases(_named(v))), match_reviews(match_name_exact(canonical_aliases(_named(v)))))[1].select(*_M)),
-    "e13_canonicalise": _q(lambda v: canonicalise(v("payments").select("fact_id", "supplier_id"), v("supplier").filter("s_suppkey % 3 > 0").select(
+    "e11_match_evidence": _q(_evidence),
+    "e11_refreshed_evidence": _q(_refreshed),
+    "e12_connected_components": _q(_members),
+    "e13_quality_representative": _q(_representatives),
+    "e14_close_resolved_reviews": _q(lambda v: close_resolved_reviews(_reviews(v), _members(v).withColumnRenamed("component", "canonical_id"))),
+    "e15_cleanup_invalid": _q(lambda v: _cleaned(v)[1].select(*_M)),
+    "e15_cleanup_aliases": _q(lambda v: _cleaned(v)[0]),
+    "e15_cleanup_reviews": _q(lambda v: _cleaned(v)[2]),
+    "e13_canonicalise": _q(lambda v: canonicalise(v("payments").select("fact_id", "supplier_id"), v("supplier").select(
         F.concat(F.lit("S"), "s_suppkey").alias("entity_id"), F.concat(F.lit("S"), F.col("s_suppkey") - F.col("s_suppkey") % 3).alias("canonical_id")), "supplier_id")),
     "d12_dataset_date": _q(lambda v: v("orders").select("o_orderkey", text.dataset_date(F.concat(F.lit("https://x/companies-"), F.expr("CASE WHEN o_orderkey % 4 > 0 THEN cast(cast(o_orderdate as date) as string) ELSE 'latest' END"), F.lit(".csv"))).alias("day"))),
     "d15_plain_decimal": _q(lambda v: v("orders").select("o_orderkey", text.plain_decimal(F.when(F.col("o_orderkey") % 4 > 0, F.format_number("o_totalprice", 2)).otherwise("n/a")).alias("amount"))),
@@ -399,7 +458,7 @@ def _sql_pairs(rows: str, on: str, method: str, confidence: str, status: str = "
 
 
 def _sql_block(where: str, words: str) -> str:
-    return f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY string_split(k, ' ')[1]) AS block_size FROM (SELECT entity_id, analysis_key AS k, len(string_split(analysis_key, ' ')) AS n FROM e)
+    return f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY string_split(k, ' ')[1]) AS block_size FROM (SELECT entity_id, canonical_name, analysis_key AS k, len(string_split(analysis_key, ' ')) AS n FROM e)
       WHERE length(k) >= {where} AND n >= {words}) WHERE block_size <= {BLOCK_CAP}"""
 
 
@@ -415,12 +474,31 @@ _SURE = {
 _NAME_EXACT = _sql_pairs("SELECT * FROM al WHERE length(normalized_alias) >= 5", "a.normalized_alias = b.normalized_alias", "normalized_name_exact",
                          "CASE WHEN contains(a.normalized_alias, ' ') OR length(a.normalized_alias) >= 10 THEN 0.97 ELSE 0.93 END",
                          "CASE WHEN contains(a.normalized_alias, ' ') OR length(a.normalized_alias) >= 10 THEN 'auto_accepted' ELSE 'review' END")
+_TYPO = _sql_pairs(_sql_block("20", "2"), _EDIT, "near_typo", "0.995")
+
+
+def _sql_shown(query: str, **shown: str) -> str:
+    """A rule's query with its evidence."""
+    both = ", ".join(f"{k} := {shown[k]}" for k in sorted(shown))
+    return query.replace(" AS status FROM", f" AS status, to_json(struct_pack({both}))::VARCHAR AS evidence FROM", 1)
+
+
+_SIDES = {"left_name": "a.canonical_name", "right_name": "b.canonical_name"}
+_EDITED = _SIDES | {"left_normalized": "a.k", "right_normalized": "b.k", "maximum_edit_distance": "1"}
+_SHOWN = [
+    _sql_shown(_NAME_EXACT, normalized_name="a.normalized_alias"), _sql_shown(_SURE["e2_match_identifier_exact"], scheme="a.scheme", identifier="a.identifier"),
+    _sql_shown(_SURE["e5_match_payment_channel"], normalized_name="a.analysis_key", left_channel="a.channel", right_channel="b.channel", **_SIDES),
+    _sql_shown(_SURE["e6_match_exact_clean_name"], clean_name="a.basic_key", **_SIDES),
+    _sql_shown(_SURE["e7_match_legal_suffix"], normalized_name="a.org_key", left_legal_suffix="a.legal_suffix", right_legal_suffix="b.legal_suffix", **_SIDES),
+    _sql_shown(_TYPO, **_EDITED), _sql_shown(_SURE["e10_match_conservative_one_edit"], **_EDITED),
+    _sql_shown(_SURE["e9_match_whitespace_join"], left_normalized="a.analysis_key", right_normalized="b.analysis_key", compact_normalized="a.j", **_SIDES),
+]
 _COMPONENTS = " UNION ALL ".join(f"SELECT left_id, right_id FROM ({q})" for q in _SURE.values())
 _REACH = f""", ed AS MATERIALIZED (SELECT DISTINCT left_id AS u, right_id AS v FROM ({_COMPONENTS} {{more}})), both_ AS MATERIALIZED (SELECT u, v FROM ed UNION SELECT v, u FROM ed),
  reach AS (SELECT entity_id AS id, entity_id AS r FROM e UNION SELECT reach.id, both_.v FROM reach JOIN both_ ON both_.u = reach.r),
  comp AS (SELECT id AS entity_id, min(r) AS component FROM reach GROUP BY 1)"""
 _MORE = " UNION ALL ".join(f"SELECT left_id, right_id FROM ({q}) WHERE status = 'auto_accepted'" for q in (
-    _NAME_EXACT, _sql_pairs(_sql_block("20", "2"), _EDIT, "near_typo", "0.995")))
+    _NAME_EXACT, _TYPO))
 _REACH, _REACH_ALL = _REACH.replace("{more}", ""), _REACH.replace("{more}", "UNION ALL " + _MORE)
 _RANK = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in text.TYPE_RANK.items()) + " ELSE 0 END"
 _BEST = f""", s AS (SELECT e.entity_id, component, ((entity_type = 'COUNCIL')::INT, count(*) OVER (PARTITION BY component, org_key), (e.entity_id IN (SELECT entity_id FROM ids))::INT,
@@ -444,7 +522,11 @@ ORACLE = {k: with_views(q) for k, q in {
         FROM b x JOIN b y ON x.block = y.block AND x.entity_id < y.entity_id AND x.k <> y.k AND 2 * least(length(x.k), length(y.k)) / (length(x.k) + length(y.k)) >= 0.88)
       SELECT left_id, right_id, left_name, right_name, 2 * common / n AS bound FROM p WHERE 2 * common / n >= 0.88""",
     "e3_match_name_exact": _N + _NAME_EXACT,
-    "e8_match_near_typo": _N + _sql_pairs(_sql_block("20", "2"), _EDIT, "near_typo", "0.995"),
+    "e8_match_near_typo": _N + _TYPO,
+    "e11_match_evidence": _N + " UNION ALL ".join(f"SELECT match_id, match_method, evidence FROM ({q})" for q in _SHOWN),
+    "e11_refreshed_evidence": _N + f""", n AS ({_SHOWN[4]}), d AS (SELECT match_id FROM ({_SURE['e6_match_exact_clean_name']}) UNION ALL SELECT match_id FROM n)
+      SELECT match_id, CASE WHEN match_id < '2' THEN 'rejected' WHEN match_id < '4' THEN 'accepted' ELSE coalesce(n.status, 'review') END AS status,
+      coalesce(n.evidence, '{{"by":"an earlier run"}}') AS evidence FROM d LEFT JOIN n USING (match_id)""",
     "e11_upsert_matches": _N + f""", d AS (SELECT * REPLACE (CASE WHEN match_id < '2' THEN 'rejected' WHEN match_id < '4' THEN 'accepted' ELSE 'review' END AS status, 0.5::DOUBLE AS confidence)
       FROM ({_SURE['e6_match_exact_clean_name']} UNION ALL {_SURE['e7_match_legal_suffix']})), n AS ({_SURE['e7_match_legal_suffix']})
       SELECT d.match_id, d.left_id, d.right_id, d.match_method, coalesce(n.confidence, d.confidence) AS confidence,
@@ -456,6 +538,10 @@ ORACLE = {k: with_views(q) for k, q in {
         CASE WHEN right(entity_id, 1) < '5' THEN 'open' ELSE 'approved' END AS status, entity_id AS subject_id, substring(entity_id, 1, 8) || '0' AS object_id FROM e)
       SELECT review_id, item_type, CASE WHEN item_type = 'ENTITY_MATCH' AND status = 'open' AND a.component = b.component THEN 'resolved' ELSE status END AS status, subject_id, object_id
       FROM v LEFT JOIN comp a ON a.entity_id = subject_id LEFT JOIN comp b ON b.entity_id = object_id""",
+    "e15_cleanup_aliases": _N + "SELECT * FROM al WHERE entity_id NOT IN (SELECT entity_id FROM e WHERE NOT plausible)",
+    "e15_cleanup_reviews": _N + f", m AS ({_NAME_EXACT}), bad AS (SELECT entity_id FROM e WHERE NOT plausible) " + """SELECT sha256('ENTITY_MATCH' || chr(0) || left_id || chr(0) || right_id || chr(0) || match_id) AS review_id,
+      'ENTITY_MATCH' AS item_type, CASE WHEN left_id IN (SELECT entity_id FROM bad) OR right_id IN (SELECT entity_id FROM bad) THEN 'resolved' ELSE 'open' END AS status,
+      left_id AS subject_id, right_id AS object_id, confidence AS score FROM m WHERE status = 'review'""",
     "e15_cleanup_invalid": _N + f", m AS ({_NAME_EXACT}), bad AS (SELECT entity_id FROM e WHERE NOT plausible) " + """SELECT * REPLACE (CASE WHEN status = 'review' AND
       (left_id IN (SELECT entity_id FROM bad) OR right_id IN (SELECT entity_id FROM bad)) THEN 'rejected' ELSE status END AS status) FROM m""",
 }.items()}
