@@ -15,7 +15,6 @@ from evidentia.functions.ids import hashed, sql_hashed
 from evidentia.sources.pages import html_blocks
 from evidentia.sources.staging import view, with_views
 
-from .cases import case_facts, housing_facts
 from .facts import first_rule
 
 # Header aliases and terms that select files, columns and suppliers.
@@ -458,13 +457,6 @@ def redact(df: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("value_text", F.when(F.col("reason").isNotNull(), REDACTION).otherwise(F.col("value_text")))
 
 
-#: Extraction jobs by name.
-JOBS = {
-    "grants": extract_grants, "case_listings": case_facts, "decisions": housing_facts, "council_pages": extract_council_pages,
-    "council_feeds": extract_council_feeds, "ocds": extract_ocds, "contract_periods": extract_contract_periods,
-}
-
-
 # Queries over the driver's tables -----------------------------------------------------------
 
 
@@ -502,6 +494,12 @@ def _register(v) -> DataFrame:
         F.expr("CASE WHEN o_orderkey % 2 = 0 THEN cast(o_totalprice as decimal(18,2)) END").cast("string").alias("Contract Value (ex VAT)"), F.expr("cast(cast(o_totalprice as decimal(18,2)) + 1 as string)").alias("Contract Value (incl VAT)"))
 
 
+def _supplier_aliases(v) -> DataFrame:
+    """Names that some firms go by: those of every second customer, in capitals, with or without their legal form."""
+    rows = v("customer").select(F.expr("concat('FIRM ', c_custkey, CASE WHEN c_custkey % 4 = 0 THEN ' LTD' ELSE '' END)").alias("alias"), F.col("c_name").alias("canonical"), "c_custkey")
+    return rows.withColumn("alias", F.when(F.col("c_custkey") % 2 == 0, F.col("alias")).otherwise(F.concat(F.lit("none "), F.col("alias")))).drop("c_custkey")
+
+
 def _releases(v) -> DataFrame:
     """Releases of orders: every fifth without awards, periods on the award or on the tender."""
     s = F.struct
@@ -592,6 +590,7 @@ QUERIES = {
     "c4_assign_payer": _q(lambda v: assign_payer(_docs(v), _rules(v), None).select("document_id", "payer_org")),
     "c5_extract_payments": _q(lambda v: extract_payments(map_headers(_payment_csv(v), PAYMENT_HEADERS, ("row_number",)).withColumn("payer_org", F.lit("o1")), "s1").select("locator", "supplier_name", "amount", "payment_date", "channel")),
     "c6_split_suppliers": _q(lambda v: split_suppliers(map_headers(_register(v), CONTRACT_HEADERS, ("row_id",))).select("row_id", "supplier_name", "supplier_key")),
+    "c6_split_suppliers_aliased": _q(lambda v: split_suppliers(map_headers(_register(v), CONTRACT_HEADERS, ("row_id",)), _supplier_aliases(v)).select("row_id", "supplier_name", "supplier_key")),
     "c7_extract_contract_register": _q(lambda v: extract_contract_register(map_headers(_register(v), CONTRACT_HEADERS, ("row_id",)), "s1", "b1").select("row_id", "predicate", "value_text")),
     "c8_extract_ocds": _q(lambda v: extract_ocds(_releases(v))),
     "c9_extract_contract_periods": _q(lambda v: extract_contract_periods(_releases(v))),
@@ -620,6 +619,9 @@ ORACLE = {k: with_views(q) for k, q in {
     "c5_extract_payments": f"""SELECT 'CSV row ' || {_L} AS locator, p_name AS supplier_name, CAST(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount,
       strftime(l_shipdate, '%Y-%m-%d') AS payment_date, CASE WHEN l_linenumber = 1 THEN 'CHAPS' END AS channel FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "c6_split_suppliers": f"SELECT row_id, supplier_name, lower(supplier_name) AS supplier_key FROM ({_ONE})",
+    "c6_split_suppliers_aliased": f"""WITH s AS (SELECT row_id, supplier_name, CAST(substring(split_part(supplier_name, ' Ltd', 1), 6) AS BIGINT) AS c FROM ({_ONE}))
+      SELECT row_id, coalesce(c_name, supplier_name) AS supplier_name, lower(replace(coalesce(c_name, supplier_name), '#', ' ')) AS supplier_key FROM s
+      LEFT JOIN customer ON c_custkey = c AND c % 2 = 0 AND supplier_name = CASE WHEN c % 4 = 0 THEN 'Firm ' || c || ' Ltd' ELSE 'Firm ' || c END""",
     "c7_extract_contract_register": f"""SELECT o_orderkey AS row_id, 'HAS_TITLE' AS predicate, 'Job ' || o_orderkey AS value_text FROM orders
       UNION ALL SELECT o_orderkey, 'HAS_VALUE', CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS VARCHAR) FROM orders
       UNION ALL SELECT o_orderkey, 'STARTS_ON', strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT o_orderkey, 'BUYER_OF_CONTRACT', NULL FROM orders

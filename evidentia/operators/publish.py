@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.ids import hashed, sql_hashed
+from evidentia.functions.metadata import json_object, number_at, text_at
 from evidentia.plans.storage import through_files
 from evidentia.sources.staging import view, with_views
 
@@ -36,6 +37,8 @@ LABELS = {
     "other": "Other reviewed findings",
 }
 AMOUNTS = ("payment_total", "net_payment_total", "gross_positive_payments", "tracked_total")
+#: Names of those amounts in metadata.
+AMOUNT_NAMES = ("payment_total_gbp", "net_payment_total_gbp", "gross_positive_payments_gbp", "tracked_contract_value_gbp")
 ACCEPTED = ("auto_accepted", "accepted")
 
 
@@ -43,6 +46,16 @@ def _map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
+def with_metadata(rows: DataFrame, column: str = "metadata") -> DataFrame:
+    """Adds what signals and reviews keep in a JSON text: interpretation, linked_signal_id and the amounts.
+
+    Columns of these names are replaced.  Broken texts and texts that are no object give nulls.
+    """
+    read = rows.withColumn("_m", json_object(column))
+    found = {"interpretation": text_at(F.col("_m"), "interpretation"), "linked_signal_id": text_at(F.col("_m"), "signal_id")}
+    return read.withColumns(found | {a: number_at(F.col("_m"), n) for a, n in zip(AMOUNTS, AMOUNT_NAMES)}).drop("_m")
+
+
 def auto_publish(signals: DataFrame) -> DataFrame:
     """Signals in review whose type and exact interpretation are on the list become approved."""
     listed = _map(AUTO_PUBLIC)[F.col("signal_type")] == F.col("interpretation")
@@ -192,8 +205,12 @@ def api_tables(gated: dict[str, DataFrame], names: DataFrame) -> dict[str, DataF
     """Enriched projections of the gate's output, each with fixed columns and a fixed order of rows.
 
     Takes any of entities and members, facts (with documents, snapshots and windows, if given), matches, reviews, signals,
-    health, registry_records and registry_relationships.
+    signal_evidence and review_evidence (signal_id or review_id, fact_id; given with facts), health, registry_records and
+    registry_relationships.  Where documents have last_seen, facts of the documents seen last come first; where matches,
+    reviews or signals have updated_at, it is shown and the newest come first.  ``examples`` are the first three signals.
     """
+    stamp = lambda df, c="updated_at": [c] if c in df.columns else []
+    newest = lambda df, c="updated_at": [F.desc(x) for x in stamp(df, c)]
     named = lambda c: names.select(F.col("entity_id").alias(c), F.col("name").alias(c.replace("_id", "_name")))
     both = lambda df: df.join(named("subject_id"), "subject_id", "left").join(named("object_id"), "object_id", "left")
     out = {}
@@ -206,23 +223,31 @@ def api_tables(gated: dict[str, DataFrame], names: DataFrame) -> dict[str, DataF
             "entity_id", "entity_type", "canonical_name", F.coalesce(resolved, "entity_id").alias("resolved_entity_id"),
         ).orderBy("entity_type", "canonical_name", "entity_id")
     if "signals" in gated:
-        out["signals"] = both(gated["signals"]).select(
-            "signal_id", "signal_type", "score", "subject_id", "subject_name", "object_id", "object_name").orderBy(F.desc("score"), "signal_id")
+        rows = gated["signals"]
+        out["signals"] = both(rows).select(
+            "signal_id", "signal_type", "score", "subject_id", "subject_name", "object_id", "object_name", *stamp(rows)).orderBy(*(newest(rows) or [F.desc("score")]), "signal_id")
+        out["examples"] = out["signals"].limit(3)
     if "facts" in gated:
         rows = both(gated["facts"])
         more = []
         for name, key, columns in (("documents", ["document_id"], ["url"]), ("snapshots", ["snapshot_id"], ["sha256"]), ("windows", ["document_id", "snapshot_id"], ["valid_from", "valid_to"])):
             if name in gated:
+                columns = columns + stamp(gated[name], "last_seen")
                 rows, more = rows.join(gated[name].select(*key, *columns), key, "left"), more + columns
-        out["facts"] = rows.select(
-            "fact_id", "fact_type", "predicate", "subject_name", "object_name", "value_text", "locator", "document_id", *more).orderBy("document_id", "fact_type", "fact_id")
+        rows = rows.select("fact_id", "fact_type", "predicate", "subject_name", "object_name", "value_text", "locator", "document_id", *more)
+        out["facts"] = rows.orderBy(*(newest(rows, "last_seen") or ["document_id"]), "fact_type", "fact_id")
+        for name, key in (("signals", "signal_id"), ("reviews", "review_id")):
+            links = name[:-1] + "_evidence"
+            if name in gated and links in gated:
+                of = gated[links].select(key, "fact_id").distinct().join(gated[name].select(key), key, "left_semi")
+                out[links] = of.join(rows, "fact_id").orderBy(key, "fact_type", "fact_id")
     if "matches" in gated:
         side = lambda c, n: names.select(F.col("entity_id").alias(c), F.col("name").alias(n))
         out["matches"] = gated["matches"].join(side("left_id", "left_name"), "left_id", "left").join(side("right_id", "right_name"), "right_id", "left").select(
-            "match_id", "left_id", "left_name", "right_id", "right_name", "match_method", "confidence", "status").orderBy(F.desc("confidence"), "match_id")
+            "match_id", "left_id", "left_name", "right_id", "right_name", "match_method", "confidence", "status", *stamp(gated["matches"])).orderBy(F.desc("confidence"), *newest(gated["matches"]), "match_id")
     if "reviews" in gated:
         out["reviews"] = both(gated["reviews"]).select(
-            "review_id", "item_type", "status", "subject_id", "subject_name", "object_id", "object_name").orderBy("status", "review_id")
+            "review_id", "item_type", "status", "subject_id", "subject_name", "object_id", "object_name", *stamp(gated["reviews"])).orderBy("status", *newest(gated["reviews"]), "review_id")
     if "health" in gated:
         out["health"] = gated["health"].select("source_id", "status", "record_count", "fact_count", "http_status", "started_at").orderBy(
             F.desc(F.col("status") != "success"), "source_id")
@@ -310,6 +335,17 @@ def _manifests(v) -> Manifests:
     return evidence_manifests(v("signals"), _chain(v).join(of, "item_id").drop("item_id").withColumnRenamed("signal_id", "item_id"), 10)
 
 
+def _told(v) -> DataFrame:
+    """Signals whose interpretation and amounts stand in their metadata only."""
+    return with_metadata(v("signal_metadata"))
+
+
+def _evidence(v) -> DataFrame:
+    gated = publication_gate({"signals": v("signals")})[0]["signals"]
+    links = v("signals").select("signal_id", F.concat(F.lit("f"), F.substring("fact_id", 2, 64)).alias("fact_id"))
+    return _api(v, "signal_evidence", signals=gated, signal_evidence=links, facts=v("published_facts"))
+
+
 def _expected(v) -> DataFrame:
     return v("runs").select("source_id").distinct().unionByName(v("region").select(F.col("r_name").alias("source_id"))).withColumns(
         {"cadence_days": F.expr("CASE WHEN source_id LIKE 'src1%' THEN 1 ELSE 30 END"), "grace_days": F.lit(5)})
@@ -339,6 +375,9 @@ QUERIES = {
     "i7_entity_timelines": _q(lambda v: entity_timelines(v("published_facts"))),
     "i8_publication_status": _q(lambda v: publication_status(_expected(v), _health(v), _seen(v), AS_OF)),
     "i9_api_signals": _q(lambda v: api_tables({"signals": _gate(v)[0]["signals"]}, v("names"))["signals"]),
+    "i9_api_signal_evidence": _q(_evidence),
+    "d14_metadata_lookups": _q(lambda v: _told(v).select("signal_id", "interpretation", "linked_signal_id", "payment_total", "tracked_total")),
+    "d14_public_findings": _q(lambda v: public_findings(publication_gate({"signals": _told(v)})[0]["signals"]).drop("label")),
     "i9_api_facts": _q(lambda v: api_tables({"facts": v("published_facts")}, v("names"))["facts"]),
     "i2_gate_claims": _q(lambda v: _claim_gate(v)[0]["claim_evidence"]),
     "i2_withheld_claims": _q(lambda v: _claim_gate(v)[1]),
@@ -356,6 +395,11 @@ _AP = f"WITH ap AS (SELECT * REPLACE (CASE WHEN status = 'review' AND ({_LISTED}
 _CAT = "CASE signal_type " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in CATEGORIES.items()) + " ELSE 'other' END"
 _LAB = "CASE category " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in LABELS.items()) + " END"
 _FIND = _AP + f", fi AS (SELECT signal_id AS id, {_CAT} AS category, coalesce(payment_total, tracked_total)::DECIMAL(28,2) AS amount, score::DOUBLE AS score FROM pub), fl AS (SELECT *, {_LAB} AS label FROM fi)"
+_NUMBER = "CASE WHEN json_type(j, '$.{0}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract_string(j, '$.{0}') AS DECIMAL(28,2)) END AS {1}"
+_META = f"""WITH m AS (SELECT * EXCLUDE (metadata), CASE WHEN json_valid(metadata) THEN metadata END AS j FROM {{signal_metadata}}), o AS (SELECT * REPLACE (CASE WHEN json_type(j) = 'OBJECT' THEN j END AS j) FROM m),
+ told AS (SELECT *, json_extract_string(j, '$.interpretation') AS interpretation, json_extract_string(j, '$.signal_id') AS linked_signal_id,
+   {_NUMBER.format("payment_total_gbp", "payment_total")}, {_NUMBER.format("tracked_contract_value_gbp", "tracked_total")} FROM o)
+"""
 _CH = """WITH it AS (SELECT object_id AS item_id, unnest(list(DISTINCT fact_id)) AS fact_id FROM {published_facts} GROUP BY 1),
  ch AS (SELECT item_id, fact_id, s_name AS url, sha256(snapshot_id) AS sha256, value_text FROM it JOIN (SELECT DISTINCT * FROM {published_facts}) USING (fact_id) JOIN supplier ON document_id = 'D' || s_suppkey)"""
 _ROW = sql_hashed(*SHOWN)
@@ -389,6 +433,10 @@ ORACLE = {k: with_views(q) for k, q in {
         WHEN date_diff('day', CAST(last_snapshot AS DATE), DATE '2024-03-01') > (CASE WHEN source_id LIKE 'src1%' THEN 1 ELSE 30 END) + 5 THEN 'stale' ELSE 'present' END AS status
       FROM x LEFT JOIN h USING (source_id) LEFT JOIN o USING (source_id)""",
     "i9_api_signals": _AP + _NM("signal_id, signal_type, score, subject_id, a.name AS subject_name, object_id, b.name AS object_name FROM pub"),
+    "i9_api_signal_evidence": _AP + _NM("signal_id, f.fact_id, fact_type, predicate, a.name AS subject_name, b.name AS object_name, value_text, locator, document_id FROM (SELECT signal_id, 'f' || substring(fact_id, 2) AS fact_id FROM pub) JOIN {published_facts} f USING (fact_id)"),
+    "d14_metadata_lookups": _META + "SELECT signal_id, interpretation, linked_signal_id, payment_total, tracked_total FROM told",
+    "d14_public_findings": _META + f"""SELECT signal_id AS id, {_CAT} AS category, coalesce(payment_total, tracked_total)::DECIMAL(28,2) AS amount, score::DOUBLE AS score
+      FROM told WHERE status = 'approved' OR (status = 'review' AND ({_LISTED}))""",
     "i9_api_facts": _NM("fact_id, fact_type, predicate, a.name AS subject_name, b.name AS object_name, value_text, locator, document_id FROM {published_facts}"),
     "i2_gate_claims": "SELECT 'c' || l_partkey AS claim_id, 'f' || l_orderkey || '-' || l_linenumber AS fact_id FROM lineitem WHERE l_partkey % 3 = 0",
     "i2_withheld_claims": _AP + """SELECT 'signals' AS "table", (SELECT count(*) FROM ap) - (SELECT count(*) FROM pub) AS withheld UNION ALL SELECT 'claims', count(*) FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'claim_evidence', count(*) FROM lineitem WHERE l_partkey % 3 <> 0""",

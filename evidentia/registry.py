@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def _modules():
-    from evidentia.operators import cases, detect, enrich, extract, facts, ingest, lifecycle, people, publish, resolve, signals
+    from evidentia.operators import cases, detect, enrich, extract, facts, ingest, jobs, lifecycle, people, publish, resolve, signals
     from evidentia.streaming import streams
 
-    return (ingest, facts, extract, cases, people, resolve, enrich, detect, signals, lifecycle, publish, streams)
+    return (ingest, facts, extract, cases, jobs, people, resolve, enrich, detect, signals, lifecycle, publish, streams)
 
 
 def queries() -> dict:

@@ -89,6 +89,10 @@ SELECT supplier_id || '/' || payer_id AS signal_id, CASE count(*) % 5 WHEN 0 THE
   CASE count(*) % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'approved' WHEN 2 THEN 'stale' ELSE 'withheld' END AS status, 0.25 AS score, supplier_id AS subject_id,
   CASE WHEN count(*) % 7 = 0 THEN NULL ELSE 'P' || (count(*) % 3) END AS object_id, CASE count(*) % 5 WHEN 0 THEN 'documented_cross_source_link_not_a_finding' WHEN 1 THEN 'source_discovery_review_not_a_finding' ELSE 'review_required_not_a_finding' END AS interpretation,
   CASE WHEN count(*) % 6 = 0 THEN NULL ELSE sum(amount) END AS payment_total, CASE WHEN count(*) % 2 = 0 THEN max(amount) END AS tracked_total, min(fact_id) AS fact_id FROM {payments} GROUP BY supplier_id, payer_id""",
+    "signal_metadata": """
+SELECT signal_id, signal_type, status, score, CASE WHEN signal_id LIKE '%3' THEN '["interpretation"]' WHEN signal_id LIKE '%4' THEN NULL WHEN signal_id LIKE '%5' THEN 'none' ELSE
+  chr(123) || '"interpretation":"' || interpretation || '","payment_total_gbp":' || coalesce(CAST(payment_total AS STRING), 'null') || ',"tracked_contract_value_gbp":' || coalesce(CAST(tracked_total AS STRING), '"7"')
+  || ',"signal_id":"' || signal_id || '"' || CASE WHEN signal_id LIKE '%6' THEN '' ELSE chr(125) END END AS metadata FROM {signals}""",
     "signal_reviews": """
 SELECT 'v' || signal_id AS review_id, 'SIGNAL_REVIEW' AS item_type, CASE WHEN status = 'stale' THEN 'stale' ELSE 'open' END AS status, subject_id, object_id, signal_id, score FROM {signals}""",
     "published_facts": """
