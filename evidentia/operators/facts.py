@@ -14,7 +14,7 @@ from evidentia.functions.ids import hashed, sql_hashed
 from evidentia.sources.staging import view, with_views
 
 from .ingest import _SNAP, snapshot_observations
-from .ordered import Scan, asof, key_sizes, scanned
+from .ordered import LIMIT, Scan, asof, key_sizes, scanned
 from .terms import term_hits
 
 #: Fact types whose locator wording does not tell facts apart.
@@ -129,15 +129,18 @@ def structured_diff(facts: DataFrame, windows: DataFrame) -> DataFrame:
     """FACT_REMOVED and FACT_ADDED between each window's snapshot and the one before it in its document.
 
     Facts are the same if type, predicate, subject, object, value and locator are; types of
-    LOOSE_LOCATOR_TYPES compare without their locator.
+    LOOSE_LOCATOR_TYPES compare without their locator.  Facts that come in partitions of their
+    document are not shuffled again.
     """
     order = Window.partitionBy("document_id").orderBy("valid_from", "snapshot_id")
     steps = windows.withColumn("old_snapshot_id", F.lag("snapshot_id").over(order)).filter("old_snapshot_id IS NOT NULL")
     steps = steps.select("document_id", "old_snapshot_id", F.col("snapshot_id").alias("new_snapshot_id")).distinct()
+    sides = F.array(*[F.struct(F.col(c).alias("snapshot_id"), F.lit(n).alias("is_new")) for n, c in enumerate(("old_snapshot_id", "new_snapshot_id"))])
+    sides = steps.select("document_id", "old_snapshot_id", "new_snapshot_id", F.inline(sides))
     loose = F.coalesce(F.col("fact_type").isin(*LOOSE_LOCATOR_TYPES), F.lit(False))
     keyed = facts.withColumn("compared_locator", F.when(~loose, F.col("locator")))
-    side = lambda c: steps.join(keyed.withColumnRenamed("snapshot_id", c), ["document_id", c])
-    rows = side("old_snapshot_id").withColumn("is_new", F.lit(0)).unionByName(side("new_snapshot_id").withColumn("is_new", F.lit(1)))
+    # one join and no union: rows that lie in partitions of their document stay there up to the groups
+    rows = keyed.join(sides, ["document_id", "snapshot_id"])
     one = rows.groupBy("document_id", "old_snapshot_id", "new_snapshot_id", *SIGNATURE).agg(
         F.min("is_new").alias("lo"), F.max("is_new").alias("hi"),
         F.min("fact_id").alias("fact_id"), F.min("locator").alias("locator"),
@@ -154,15 +157,15 @@ def change_report(changes: DataFrame, documents: DataFrame, names: DataFrame, li
     out; of other types they are changes, such as a payment that stands in another row.
     """
     same = ("document_id", "old_snapshot_id", "new_snapshot_id", "fact_type", "predicate", "subject_id", "object_id", "value_text")
-    a, b = changes.alias("a"), changes.select(*same, "change_type").alias("b")
-    match = (F.col("a.change_type") != F.col("b.change_type")) & F.col("a.fact_type").rlike(f"(?s)^{MOVING_FAMILY}.")
-    for c in same:
-        match = match & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    real = a.join(b, match, "left_anti")
+    # a window in place of a join of the changes with themselves; names, which leave out no row, are joined to the newest only
+    over = Window.partitionBy(*same)
+    moved = (F.min("change_type").over(over) != F.max("change_type").over(over)) & F.col("fact_type").rlike(f"(?s)^{MOVING_FAMILY}.")
+    real = changes.withColumn("_moved", F.coalesce(moved, F.lit(False))).filter("NOT _moved").drop("_moved")
     name = lambda c: names.select(F.col("entity_id").alias(c), F.col("name").alias(c.replace("_id", "_name")))
-    full = real.join(documents.select("document_id", "url", "title"), "document_id")
+    newest = lambda df: df.orderBy(F.desc("detected_at"), "change_id").limit(limit)
+    full = newest(real.join(documents.select("document_id", "url", "title"), "document_id"))
     full = full.join(name("subject_id"), "subject_id", "left").join(name("object_id"), "object_id", "left")
-    return full.orderBy(F.desc("detected_at"), "change_id").limit(limit)
+    return newest(full)
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -187,8 +190,13 @@ def _q(f):
 
 
 def _facts(v) -> DataFrame:
-    """Three facts an observation: its value, its properties and its title."""
-    snapped = snapshot_observations(v("observations")).join(v("events").select(F.col("event_id").alias("observation_id"), "value"), "observation_id")
+    """Three facts an observation: its value, its properties and its title.
+
+    Observations go to partitions of their document before they become facts, unless one has more rows than a task may take.
+    """
+    snapped = snapshot_observations(v("observations").join(v("events").select(F.col("event_id").alias("observation_id"), "value"), "observation_id"))
+    if key_sizes(snapshot_observations(v("observations")), ["document_id"])[0] <= LIMIT:
+        snapped = snapped.select("document_id", "snapshot_id", "observation_id", "retrieved_at", "value", "body", "title").repartition("document_id")
     locator = F.when(F.col("observation_id") % 2 == 0, F.concat(F.lit("row "), "observation_id"))
     base = snapped.select(
         "document_id", "snapshot_id", "observation_id", "retrieved_at",
