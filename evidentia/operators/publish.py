@@ -12,7 +12,7 @@ from evidentia.functions.metadata import json_object, number_at, text_at
 from evidentia.plans.storage import through_files
 from evidentia.sources.staging import view, with_views
 
-from .ordered import Scan, scanned
+from .ordered import Scan, key_sizes, scanned
 
 #: Neutral observations that may be published without a human decision.
 AUTO_PUBLIC = {
@@ -131,7 +131,9 @@ class Manifests(NamedTuple):
     blocks: DataFrame
 
 
-def evidence_manifests(signals: DataFrame, chain: DataFrame, block: int = BLOCK, limit: int | None = None) -> Manifests:
+def evidence_manifests(
+    signals: DataFrame, chain: DataFrame, block: int = BLOCK, limit: int | None = None, of: DataFrame | None = None, sizes: tuple[int, int] | None = None,
+) -> Manifests:
     """A manifest for each approved signal, and its evidence (``chain``, item_id) in blocks.
 
     Evidence is put in order and cut into blocks of ``block`` rows, each a JSON text of its own
@@ -139,27 +141,36 @@ def evidence_manifests(signals: DataFrame, chain: DataFrame, block: int = BLOCK,
     root digest that the manifest carries, so a signal with a million facts is many tasks' work
     and a block can be checked without the others.  A node with a single child is that child;
     without evidence the root is the digest of nothing.
+
+    ``of`` (signal_id, item_id), one item a signal, is for signals that share evidence: blocks and
+    trees are made once an item, whatever the number of its signals.  Without it items are the
+    signals.  ``sizes`` are ``ordered.key_sizes`` of the chain's items, or of more rows.
     """
     approved = signals.filter("status = 'approved'").select("signal_id", "signal_type")
-    rows = chain.select(F.col("item_id").alias("signal_id"), *SHOWN).join(approved.select("signal_id"), "signal_id", "left_semi")
-    rows = scanned(rows, ["signal_id"], [F.asc(c) for c in SHOWN], [Scan("place", "place")], limit)
+    approved = through_files(approved.withColumn("item_id", F.col("signal_id")) if of is None else approved.join(of.select("signal_id", "item_id"), "signal_id", "left"))
+    rows = chain.select("item_id", *SHOWN).join(approved.select("item_id").distinct(), "item_id", "left_semi")
+    rows = scanned(rows, ["item_id"], [F.asc(c) for c in SHOWN], [Scan("place", "place")], limit, sizes)
     rows = rows.withColumns({"block_no": F.floor((F.col("place") - 1) / block), "digest": hashed(*SHOWN)})
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", *c))), lambda x: F.struct(*[x[k].alias(k) for k in c]))
-    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), ",")
-    blocks = rows.groupBy("signal_id", "block_no").agg(F.to_json(listed(SHOWN)).alias("body"), F.count("*").alias("n"), F.sha2(digests, 256).alias("block_sha256"))
+    # an item's rows lie together, so a block needs no shuffle; the text of a row is made before rows are gathered
+    row = F.struct("place", F.to_json(F.struct(*SHOWN)).alias("row"), "digest")
+    parts = rows.groupBy("item_id", "block_no").agg(F.array_sort(F.collect_list(row)).alias("parts"))
+    joined = lambda c: F.array_join(F.transform("parts", lambda x: x[c]), ",")
+    blocks = parts.select(
+        "item_id", "block_no", F.concat(F.lit("["), joined("row"), F.lit("]")).alias("body"), F.size("parts").cast("long").alias("n"), F.sha2(joined("digest"), 256).alias("block_sha256"))
     blocks = through_files(blocks)
-    nodes = blocks.select("signal_id", F.col("block_no").alias("no"), "n", F.lit(1).cast("long").alias("blocks"), F.col("block_sha256").alias("node"))
+    nodes = blocks.select("item_id", F.col("block_no").alias("no"), "n", F.lit(1).cast("long").alias("blocks"), F.col("block_sha256").alias("node"))
     most = blocks.agg(F.coalesce(F.max("block_no"), F.lit(0)) + 1).first()[0]
     while most > 1:
         under = F.transform(F.array_sort(F.collect_list(F.struct("no", "node"))), lambda x: x["node"])
-        nodes = nodes.groupBy("signal_id", F.floor(F.col("no") / block).alias("no")).agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), under.alias("under"))
+        nodes = nodes.groupBy("item_id", F.floor(F.col("no") / block).alias("no")).agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), under.alias("under"))
         nodes = nodes.withColumn("node", F.when(F.size("under") == 1, F.col("under")[0]).otherwise(F.sha2(F.array_join("under", ","), 256))).drop("under")
         most = -(-most // block)
-    roots = approved.join(nodes, "signal_id", "left").withColumns({
+    roots = approved.join(nodes, "item_id", "left").withColumns({
         "evidence_count": F.coalesce("n", F.lit(0).cast("long")), "block_count": F.coalesce("blocks", F.lit(0).cast("long")), "root_sha256": F.coalesce("node", F.sha2(F.lit(""), 256))})
     manifest = F.to_json(F.struct("signal_id", "signal_type", "evidence_count", "block_count", "root_sha256"))
     roots = roots.select("signal_id", manifest.alias("manifest"), F.sha2(manifest, 256).alias("manifest_sha256"), "evidence_count", "root_sha256")
-    return Manifests(roots, blocks.select("signal_id", "block_no", "body", "block_sha256"))
+    own = blocks.withColumnRenamed("item_id", "signal_id") if of is None else blocks.join(approved.select("item_id", "signal_id"), "item_id")
+    return Manifests(roots, own.select("signal_id", "block_no", "body", "block_sha256"))
 
 
 def write_manifests(manifests: Manifests, folder: str) -> None:
@@ -330,9 +341,9 @@ def _chain(v) -> DataFrame:
 
 
 def _manifests(v) -> Manifests:
-    """Manifests of approved signals by the facts of their suppliers, in blocks of 10."""
-    of = v("signals").filter("status = 'approved'").select(F.col("subject_id").alias("item_id"), "signal_id")
-    return evidence_manifests(v("signals"), _chain(v).join(of, "item_id").drop("item_id").withColumnRenamed("signal_id", "item_id"), 10)
+    """Manifests of approved signals by the facts of their suppliers, which all signals of one share, in blocks of 10."""
+    signals = through_files(v("signals").select("signal_id", "signal_type", "status", "subject_id"))
+    return evidence_manifests(signals, _chain(v), 10, of=signals.select("signal_id", F.col("subject_id").alias("item_id")), sizes=key_sizes(v("published_facts"), ["object_id"]))
 
 
 def _told(v) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from evidentia import registry
+from evidentia.operators import publish
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +19,15 @@ def test_diffs_stay_in_partitions_of_their_document(spark):
     for name in ("b10_structured_diff", "b11_change_report"):
         keys = exchanges(registry.queries()[name](spark, SF))
         assert any("document_id" in k for k in keys) and not any("snapshot_id" in k for k in keys), name
+
+
+def test_signals_of_one_item_share_its_blocks(spark):
+    signals = spark.createDataFrame([(f"s{i}", "T", "review" if i == 9 else "approved") for i in range(10)], "signal_id string, signal_type string, status string")
+    of = signals.select("signal_id", F.when(F.col("signal_id") < "s7", "hot").otherwise(F.lit("none")).alias("item_id"))
+    chain = spark.range(25).select(F.lit("hot").alias("item_id"), F.concat(F.lit("f"), "id").alias("fact_id"), *[F.lit("x").alias(c) for c in publish.SHOWN[1:]])
+    shared = publish.evidence_manifests(signals, chain, 10, of=of)
+    alone = publish.evidence_manifests(signals, chain.join(of, "item_id").select(F.col("signal_id").alias("item_id"), *publish.SHOWN), 10)
+    for a, b in zip(shared, alone):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    written = spark.read.parquet(shared.blocks.inputFiles()[0].rsplit("/", 1)[0])
+    assert max(spark.read.parquet(f.rsplit("/", 1)[0]).count() for f in shared.blocks.inputFiles()) <= 10 and written.count() > 0
