@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia import registry
 from evidentia.operators import publish
+from evidentia.sources.staging import stored_views, view
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,9 @@ def test_signals_of_one_item_share_its_blocks(spark):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     written = spark.read.parquet(shared.blocks.inputFiles()[0].rsplit("/", 1)[0])
     assert max(spark.read.parquet(f.rsplit("/", 1)[0]).count() for f in shared.blocks.inputFiles()) <= 10 and written.count() > 0
+
+
+def test_stored_views_are_derived_once(spark):
+    v = stored_views(spark, SF, "payments", "contracts")
+    assert v("payments").inputFiles() == v("payments").inputFiles() and not any("lineitem" in f for f in v("evidence_facts").inputFiles())
+    assert v("contract_values").count() == view(spark, SF, "contract_values").count()
