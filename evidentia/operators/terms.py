@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.plans.storage import through_files
+
 #: Characters of a gram.
 GRAM = 6
 
@@ -38,10 +40,12 @@ def term_hits(docs: DataFrame, rules: DataFrame, text_col: str) -> DataFrame:
 
     Null texts and empty terms hit nothing.  Of the rows of one document_id each text counts.
     """
-    index = indexed_terms(rules)
+    # written, so its size is known: an index that is small is sent to the texts, whose grams are then not shuffled
+    index = through_files(indexed_terms(rules))
     # at most GRAM numbers
     sizes = sorted(r[0] for r in index.select("size").distinct().collect())
-    texts = docs.select("document_id", F.lower(text_col).alias("_t")).filter("_t IS NOT NULL")
+    # few files would be few tasks, and cutting is the work here
+    texts = docs.select("document_id", F.lower(text_col).alias("_t")).filter("_t IS NOT NULL").repartition("document_id")
     cut = [_grams(F.col("_chars"), F.lit(n)) for n in sizes]
     grams = F.concat(*cut) if cut else F.array().cast("array<string>")
     parts = texts.select("document_id", F.split("_t", "").alias("_chars")).select("document_id", F.explode(F.array_distinct(grams)).alias("gram"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia import registry
 from evidentia.operators import detect, publish
+from evidentia.sources.pages import html_blocks, html_lines
 from evidentia.sources.staging import stored_views, view
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,10 @@ def test_evidence_of_a_connection_counts_a_shared_fact_once(spark):
     assert {r.fact_id: r.n_evidence for r in detect.declared_evidence(said, suppliers).collect()} == {"f1": 2, "f9": 3}
     bodies = spark.createDataFrame([("a", "P1", "B"), ("b", "P2", "B"), ("c", "P2", "C")], "fact_id string, person_id string, body_id string")
     assert {(r.person_id, r.fact_id, r.n) for r in detect.shared_body_evidence(bodies).collect()} == {("P1", "a", 2), ("P2", "b", 2)}
+
+
+def test_pages_and_texts_of_one_file_are_many_tasks(spark):
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>x</p>").alias("html")).coalesce(1)
+    for parse in (html_blocks, html_lines):
+        assert any(k.startswith("page_id") for k in exchanges(parse(pages)))
+    assert any("document_id" in k for k in exchanges(registry.queries()["c4_assign_payer"](spark, SF)))
