@@ -287,14 +287,21 @@ def accepted_edges(named: DataFrame, rules: tuple = AUTOMATIC) -> DataFrame:
     return edges.distinct().withColumn("status", F.lit("auto_accepted"))
 
 
-def upsert_matches(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Matches by id: confidence and evidence (if both tables have it) are refreshed, a human accepted or rejected stays."""
+def upsert_matches(existing: DataFrame, new: DataFrame, ran: tuple | None = None) -> DataFrame:
+    """Matches by id: confidence and evidence (if both tables have it) are refreshed, a human accepted or rejected stays.
+
+    ``ran`` are the rules that ``new`` comes from, if these are known: as a match's id is that of
+    its pair and rule, matches of all other rules stay as they are and are not joined.
+    """
     e, n = existing.alias("e"), new.alias("n")
     human = F.col("e.status").isin("accepted", "rejected")
     status = F.when(human, F.col("e.status")).otherwise(F.coalesce("n.status", "e.status"))
     pick = lambda c: F.coalesce(f"n.{c}", f"e.{c}").alias(c)
     columns = ["match_id", "left_id", "right_id", "match_method", "confidence"]
     columns += [c for c in ("evidence",) if c in existing.columns and c in new.columns]
+    if ran is not None:
+        touched = F.coalesce(F.col("match_method").isin(*ran), F.lit(False))
+        return upsert_matches(existing.filter(touched), new).unionByName(existing.filter(~touched).select(*columns, "status"))
     return e.join(n, F.col("e.match_id") == F.col("n.match_id"), "full").select(*map(pick, columns), status.alias("status"))
 
 
@@ -444,12 +451,17 @@ def _evidence(v) -> DataFrame:
 
 
 def _refreshed(v) -> DataFrame:
-    old = _decided(v).withColumn("evidence", F.lit('{"by":"an earlier run"}'))
-    return upsert_matches(old, match_legal_suffix(_named(v))).select("match_id", "status", "evidence")
+    n = _named(v)
+    old = _decided(n).withColumn("evidence", F.lit('{"by":"an earlier run"}'))
+    return upsert_matches(old, match_legal_suffix(n), ("legal_suffix",)).select("match_id", "status", "evidence")
 
 
-def _decided(v) -> DataFrame:
+def _upserted(v) -> DataFrame:
     n = _named(v)
+    return upsert_matches(_decided(n), match_legal_suffix(n), ("legal_suffix",)).select(*_M)
+
+
+def _decided(n: DataFrame) -> DataFrame:
     m = match_exact_clean_name(n).unionByName(match_legal_suffix(n))
     return m.withColumn("status", F.expr("CASE WHEN match_id < '2' THEN 'rejected' WHEN match_id < '4' THEN 'accepted' ELSE 'review' END")).withColumn("confidence", F.lit(0.5))
 
@@ -478,7 +490,7 @@ QUERIES = {
     "e8_match_near_typo": _q(lambda v: match_near_typo(_named(v)).select(*_M)),
     "e9_match_whitespace_join": _q(lambda v: match_whitespace_join(_named(v)).select(*_M)),
     "e10_match_conservative_one_edit": _q(lambda v: match_conservative_one_edit(_named(v)).select(*_M)),
-    "e11_upsert_matches": _q(lambda v: upsert_matches(_decided(v), match_legal_suffix(_named(v))).select(*_M)),
+    "e11_upsert_matches": _q(_upserted),
     "e11_match_evidence": _q(_evidence),
     "e11_refreshed_evidence": _q(_refreshed),
     "e12_connected_components": _q(_members),

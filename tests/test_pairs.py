@@ -58,3 +58,18 @@ def test_cleanup_by_flags_is_cleanup_by_joins(spark):
     b = resolve.cleanup_invalid(named, aliases, flagged, resolve.match_reviews(flagged))
     assert [x.columns for x in a] == [x.columns for x in b] and [rows(x) for x in a] == [rows(x) for x in b]
     assert {r.status for r in b[1].collect()} == {"rejected"} and {r.status for r in b[2].collect()} == {"resolved"}
+
+
+@pytest.mark.parametrize("name", ["e11_upsert_matches", "e11_refreshed_evidence"])
+def test_matches_of_rules_that_did_not_run_are_not_joined(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and plan.children().size() == 2
+    joined, kept = (plan.children().apply(i).toString() for i in (0, 1))
+    assert "FullOuter" in joined and "exact_clean_name" not in joined and "FullOuter" not in kept and "exact_clean_name" in kept
+
+
+def test_upsert_by_rule_is_upsert_of_all(spark):
+    schema = "match_id string, left_id string, right_id string, match_method string, confidence double, status string, evidence string"
+    old = spark.createDataFrame([("1", "a", "b", "m", 0.5, "rejected", "x"), ("2", "a", "c", "m", 0.5, "review", "x"), ("3", "a", "b", "k", 0.4, "review", "x"), ("4", "a", "d", None, 0.3, "accepted", "x")], schema)
+    new = spark.createDataFrame([("1", "a", "b", "m", 0.9, "auto_accepted", "y"), ("2", "a", "c", "m", 0.9, "auto_accepted", "y"), ("5", "b", "c", "m", 1.0, "review", "y")], schema)
+    assert rows(resolve.upsert_matches(old, new, ("m",))) == rows(resolve.upsert_matches(old, new))
