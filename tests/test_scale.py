@@ -57,3 +57,9 @@ def test_pages_and_texts_of_one_file_are_many_tasks(spark):
     for parse in (html_blocks, html_lines):
         assert any(k.startswith("page_id") for k in exchanges(parse(pages)))
     assert any("document_id" in k for k in exchanges(registry.queries()["c4_assign_payer"](spark, SF)))
+
+
+def test_signals_are_derived_once_for_both_sides(spark):
+    for name in ("h1_upsert_signals", "h3_run_cycle"):
+        files = registry.queries()[name](spark, SF).inputFiles()
+        assert files and not any("lineitem" in f for f in files), name
