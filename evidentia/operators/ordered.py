@@ -85,6 +85,21 @@ def key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return tuple(df.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first())
 
 
+def _placed(df: DataFrame, keys: list[str], order: list[Column], n: int, names: list[str]) -> DataFrame:
+    """Places by ranges with one shuffle: rows are numbered as they lie in their sorted block, and a block's numbers are moved to where its key stands."""
+    blocks = through_files(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id()))
+    blocks = blocks.withColumn("_p", F.shiftright("_id", 33))  # the number of the task, as that function documents
+    ends = blocks.groupBy("_p", *keys).agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(*_BEFORE)), F.lit(0))
+    # written, so that its size is known and rows are not shuffled again for a table of a row a block and key
+    ends = through_files(ends.select("_p", *keys, (before - F.col("_first") + 1).alias("_shift")))
+    same = F.col("r._p") == F.col("c._p")
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}"))
+    got = blocks.alias("r").join(ends.alias("c"), same).select("r.*", "c._shift")
+    return got.select(*df.columns, *[(F.col("_id") + F.col("_shift")).cast("int").alias(n) for n in names])
+
+
 def scanned(df: DataFrame, keys: list[str], order: list[Column], scans: list[Scan], limit: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``df`` with a column for each scan; ``order`` (of sort expressions) is total within a key but for equal rows.
 
@@ -97,6 +112,8 @@ def scanned(df: DataFrame, keys: list[str], order: list[Column], scans: list[Sca
         over = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({s.name: _inside(s, over) for s in scans}).withColumns({s.name: unboxed(s) for s in scans})
     n = max(3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / max(1, limit)))
+    if all(s.kind == "place" for s in scans):
+        return _placed(df, keys, order, n, [s.name for s in scans])
     blocks = through_files(df.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()))
     over = Window.partitionBy("_p", *keys).orderBy(*order)
     rows = blocks.withColumns({"_n": F.row_number().over(over)} | {s.name: _inside(s, over) for s in scans})

@@ -194,7 +194,9 @@ def entity_index(facts: DataFrame) -> DataFrame:
 def entity_timelines(facts: DataFrame, n: int | None = None) -> DataFrame:
     """Facts of each entity by time, newest first, with the other party and their place."""
     at = F.coalesce(*(F.col(c) for c in ("published_at", "retrieved_at") if c in facts.columns))
-    rows = scanned(_mentions(facts).withColumn("at", at), ["entity_id"], [F.desc("at"), F.asc("fact_id"), F.asc("other_id")], [Scan("place", "place")]).select("entity_id", "place", "at", "fact_id", "predicate", "other_id")
+    # only what is shown goes along: large entities are written on the way, with all columns they have
+    shown = _mentions(facts).withColumn("at", at).select("entity_id", "at", "fact_id", "predicate", "other_id")
+    rows = scanned(shown, ["entity_id"], [F.desc("at"), F.asc("fact_id"), F.asc("other_id")], [Scan("place", "place")]).select("entity_id", "place", "at", "fact_id", "predicate", "other_id")
     return rows if n is None else rows.filter(F.col("place") <= n)
 
 

@@ -109,3 +109,11 @@ def test_one_stream_of_many_payments_and_periods(spark):
     assert got == {("C1", "S1"): (len(outside), 10_000, sum(outside)), (None, "S1"): (1, 1, 5.0)}
     text = plan(detect.payments_outside_periods(p, s, b, ends))
     assert "NestedLoop" not in text and not [x for x in text.split("\n") if "Join" in x and "payment_date" in x]
+
+
+def test_places_by_ranges_are_places_by_windows_without_a_shuffle_of_rows(spark, rows):
+    order, scans = [F.desc("t"), F.col("i")], [Scan("place", "n")]
+    cut = ordered.scanned(rows, ["key"], order, scans, limit=100)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, ordered.scanned(rows, ["key"], order, scans).collect()))
+    assert "Exchange hashpartitioning" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert cut.schema["n"].dataType.simpleString() == "int"

@@ -63,3 +63,12 @@ def test_signals_are_derived_once_for_both_sides(spark):
     for name in ("h1_upsert_signals", "h3_run_cycle"):
         files = registry.queries()[name](spark, SF).inputFiles()
         assert files and not any("lineitem" in f for f in files), name
+
+
+def test_timelines_of_large_entities_write_what_they_show(spark, monkeypatch):
+    from evidentia.operators import ordered
+
+    monkeypatch.setattr(ordered, "LIMIT", 100)
+    got = publish.entity_timelines(view(spark, SF, "published_facts"))
+    written = {c for f in got.inputFiles() for c in spark.read.parquet(f).columns}
+    assert {"entity_id", "at", "fact_id"} <= written and not written & {"document_id", "value_text", "locator"}
