@@ -42,13 +42,17 @@ def with_fact_id(facts: DataFrame) -> DataFrame:
 
 
 def add_facts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Union by fact_id; a fact that is there already takes the incoming metadata only."""
+    """Union by fact_id; a fact that is there already takes the incoming metadata only.
+
+    One full join, so that each side is shuffled once.
+    """
     fresh = with_fact_id(incoming)
     rest = [c for c in existing.columns if c != "fact_id"]
     fresh = fresh.groupBy("fact_id").agg(F.max(F.struct("metadata", *(c for c in rest if c != "metadata"))).alias("r")).select("fact_id", "r.*")
-    new = fresh.select("fact_id", F.col("metadata").alias("_m"))
-    kept = existing.join(new, "fact_id", "left").withColumn("metadata", F.coalesce("_m", "metadata")).drop("_m")
-    return kept.unionByName(fresh.join(existing.select("fact_id"), "fact_id", "left_anti").select(existing.columns))
+    e, n = existing.withColumn("_held", F.lit(True)).alias("e"), fresh.alias("n")
+    both = e.join(n, F.col("e.fact_id") == F.col("n.fact_id"), "full")
+    held = lambda c: F.coalesce(f"n.{c}", f"e.{c}") if c == "metadata" else F.col(f"e.{c}")
+    return both.select(*[F.when(F.col("e._held"), held(c)).otherwise(F.col(f"n.{c}")).alias(c) for c in existing.columns])
 
 
 def snapshot_windows(snapped: DataFrame, mode: str = "islands") -> DataFrame:

@@ -72,3 +72,16 @@ def test_timelines_of_large_entities_write_what_they_show(spark, monkeypatch):
     got = publish.entity_timelines(view(spark, SF, "published_facts"))
     written = {c for f in got.inputFiles() for c in spark.read.parquet(f).columns}
     assert {"entity_id", "at", "fact_id"} <= written and not written & {"document_id", "value_text", "locator"}
+
+
+def test_stored_and_incoming_facts_are_joined_once(spark):
+    from evidentia.operators import facts
+
+    columns = "document_id string, snapshot_id string, fact_type string, subject_id string, predicate string, object_id string, value_text string, locator string, metadata string"
+    fact = lambda n, m: (f"d{n}", "s", "T", None, "p", None, str(n), None, m)
+    old = facts.with_fact_id(spark.createDataFrame([fact(1, "a"), fact(2, "a"), fact(2, "b"), fact(3, "a"), fact(6, None)], columns))
+    lost = old.limit(1).withColumns({"fact_id": F.lit(None).cast("string"), "value_text": F.lit("lost")})
+    new = spark.createDataFrame([fact(2, "c"), fact(2, "d"), fact(3, None), fact(4, "e"), fact(4, None), fact(5, None)], columns)
+    got = facts.add_facts(old.unionByName(lost), new)
+    assert sorted((r.value_text, str(r.metadata)) for r in got.collect()) == [("1", "a"), ("2", "d"), ("2", "d"), ("3", "a"), ("4", "e"), ("5", "None"), ("6", "None"), ("lost", "a")]
+    assert got.columns == old.columns and sum("fact_id" in k for k in exchanges(facts.add_facts(old, new))) == 2
