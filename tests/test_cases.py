@@ -73,3 +73,16 @@ def test_housing_labels_without_a_table_and_sections_elsewhere(spark):
     long = dict(facts(spark, housing_facts, HOUSING, f"<h2>Our decision</h2><p>{'x' * 5000}</p>"))
     assert len(long["HOUSING_OMBUDSMAN_DETERMINATION"]) == 4000
     assert facts(spark, housing_facts, "https://www.housing-ombudsman.org.uk/decisions/", html) == []
+
+
+def test_housing_pages_are_parsed_once_and_not_joined(spark):
+    pages = spark.createDataFrame([(1, HOUSING, "<p>Determination</p><p>x</p>")], "page_id long, url string, html string")
+    plan = housing_facts(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan and "BroadcastExchange" not in plan
+
+
+def test_housing_sections_of_nested_headings(spark):
+    html = """<div><h2>Our <i>decision</i></h2>bare<div><h3>Part</h3><p>a</p><table><tr><td>Date</td></tr><tr><td> Date </td><td>1 <b>May</b></td><td>no</td></tr>
+    <tr><td>date</td><td>later</td></tr></table></div><h1>Stop</h1><p>not this</p></div><h2>Determination</h2><p>second</p>"""
+    assert dict(facts(spark, housing_facts, HOUSING, html)) == {
+        "HOUSING_OMBUDSMAN_CASE": "202427524", "HOUSING_OMBUDSMAN_DECISION_DATE": "1 May", "HOUSING_OMBUDSMAN_DETERMINATION": "Part a Date Date 1 May no date later"}
