@@ -81,7 +81,7 @@ def case_listings(rows: DataFrame, source: Source) -> DataFrame:
 
 
 def decisions(rows: DataFrame, source: Source) -> DataFrame:
-    return _fact(housing_facts(rows), source, "case_id", None, "value_text", _at("page", "page_id"))
+    return _fact(housing_facts(rows, length=None), source, "case_id", None, "value_text", _at("page", "page_id"))
 
 
 def council_pages(rows: DataFrame, source: Source) -> DataFrame:

@@ -86,3 +86,13 @@ def test_housing_sections_of_nested_headings(spark):
     <tr><td>date</td><td>later</td></tr></table></div><h1>Stop</h1><p>not this</p></div><h2>Determination</h2><p>second</p>"""
     assert dict(facts(spark, housing_facts, HOUSING, html)) == {
         "HOUSING_OMBUDSMAN_CASE": "202427524", "HOUSING_OMBUDSMAN_DECISION_DATE": "1 May", "HOUSING_OMBUDSMAN_DETERMINATION": "Part a Date Date 1 May no date later"}
+
+
+def test_queries_and_jobs_give_whole_determinations(spark, monkeypatch):
+    from evidentia.operators import cases, jobs
+
+    told = "<p>" + "word " * 2000 + "end</p>"
+    pages = spark.createDataFrame([(1, HOUSING, f"<h2>Our decision</h2>{told}"), (2, HOUSING, f"<p>Determination</p>{told}")], "page_id long, url string, html string")
+    monkeypatch.setattr(cases, "_housing_pages", lambda v: pages)
+    got = cases.QUERIES["c16_extract_decisions"](spark, "").filter("predicate = 'HAS_DETERMINATION'").collect()
+    assert len(got) == 2 and all(len(r.value_text) == 10003 and r.value_text.endswith("word end") for r in got)
