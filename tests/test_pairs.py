@@ -1,6 +1,7 @@
 """Pairs of match rules: made in slices of large keys, judged where they are made and never shuffled."""
 
 import itertools
+import random
 import re
 
 import pytest
@@ -73,3 +74,32 @@ def test_upsert_by_rule_is_upsert_of_all(spark):
     old = spark.createDataFrame([("1", "a", "b", "m", 0.5, "rejected", "x"), ("2", "a", "c", "m", 0.5, "review", "x"), ("3", "a", "b", "k", 0.4, "review", "x"), ("4", "a", "d", None, 0.3, "accepted", "x")], schema)
     new = spark.createDataFrame([("1", "a", "b", "m", 0.9, "auto_accepted", "y"), ("2", "a", "c", "m", 0.9, "auto_accepted", "y"), ("5", "b", "c", "m", 1.0, "review", "y")], schema)
     assert rows(resolve.upsert_matches(old, new, ("m",))) == rows(resolve.upsert_matches(old, new))
+
+
+def test_evidence_has_the_typos_of_first_words_that_many_rows_share(spark, monkeypatch):
+    run = lambda: rows(registry.queries()["e11_match_evidence"](spark, SF).filter("match_method IN ('near_typo', 'conservative_one_edit')"))
+    whole = run()
+    monkeypatch.setattr(resolve, "BLOCK_CAP", 2)
+    assert run() == whole and {r[1] for r in whole} == {"near_typo", "conservative_one_edit"}
+    assert "block_size" not in registry.oracle_sql()["e11_match_evidence"] and "block_size" in registry.oracle_sql()["e8_match_near_typo"]
+
+
+def test_one_edit_in_large_blocks_is_all_pairs(spark):
+    rng, names = random.Random(4), []
+    for i in range(70):
+        one = f"acme {''.join(rng.choice('aab ') for _ in range(12))} trading".replace("  ", " ")
+        at = rng.randint(5, len(one) - 1)
+        names += [one, one[:at] + rng.choice("abx ") + one[at + 1:], one[:at] + rng.choice("aé") + one[at:], one[:at] + one[at + 1:], one[:at] + one[at + 1:at] + one[at + 1:]]
+    names += ["acme aaaa aaaa trading"] * 5 + ["acme aaaa aaab trading", "acmf aaaa aaaa trading", "acme aaaaa aaaa trading", "acme aaaa aaaa tradin g", None]
+    named = spark.createDataFrame([(f"E{i:03}", "SUPPLIER", n, n) for i, n in enumerate(names)], "entity_id string, entity_type string, canonical_name string, analysis_key string")
+    held = [(f"E{i:03}", n) for i, n in enumerate(names) if n and len(n) >= 15 and len(n.split(" ")) >= 3]
+    assert len(held) > 4 * resolve.BLOCK_CAP
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1 or len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    want = {(x, y) for (x, m), (y, n) in itertools.combinations(held, 2) if m.split(" ")[0] == n.split(" ")[0] and len(m.split(" ")) == len(n.split(" ")) and near(m, n)}
+    got = [(r.left_id, r.right_id) for r in resolve.match_conservative_one_edit(named, capped=False).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 150
+    assert resolve.match_conservative_one_edit(named).count() == 0
