@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from evidentia import registry
-from evidentia.operators import detect, publish
+from evidentia.operators import detect, publish, signals
+from evidentia.sources import staging
 from evidentia.sources.pages import html_blocks, html_lines
 from evidentia.sources.staging import stored_views, view
 
@@ -85,3 +86,20 @@ def test_stored_and_incoming_facts_are_joined_once(spark):
     got = facts.add_facts(old.unionByName(lost), new)
     assert sorted((r.value_text, str(r.metadata)) for r in got.collect()) == [("1", "a"), ("2", "d"), ("2", "d"), ("3", "a"), ("4", "e"), ("5", "None"), ("6", "None"), ("lost", "a")]
     assert got.columns == old.columns and sum("fact_id" in k for k in exchanges(facts.add_facts(old, new))) == 2
+
+
+def recorded(monkeypatch, *modules) -> list[list[str]]:
+    """Columns of the tables that the modules write from now on."""
+    written = []
+    for m in modules:
+        monkeypatch.setattr(m, "through_files", lambda df, path=None, real=m.through_files: written.append(df.columns) or real(df, path))
+    return written
+
+
+def test_candidates_need_no_facts_of_suppliers(spark, monkeypatch):
+    searched = []
+    monkeypatch.setattr(detect, "phrase_mentions", lambda *a, real=detect.phrase_mentions, **b: searched.append(a) or real(*a, **b))
+    written = recorded(monkeypatch, signals, staging)
+    assert registry.queries()["g_candidate_reviews"](spark, SF).count() >= 0
+    # texts are searched once, and neither payments nor sets are written for it
+    assert len(searched) == 1 and written and not {c for w in written for c in w} & {"fact_id", "amount", "set_id"}, written
