@@ -129,6 +129,16 @@ def repair_payer(facts: DataFrame, documents: DataFrame, rules: DataFrame, defau
     return old.select(facts.columns).unionByName(new.select(facts.columns))
 
 
+def diff_sides(windows: DataFrame, *more: str) -> DataFrame:
+    """(document_id, snapshot_id, old_snapshot_id, new_snapshot_id, change_type): each window's snapshot, in which a fact
+    is added, and the one before it in its document, from which it is removed; ``more`` are columns that tell of the new one."""
+    order = Window.partitionBy("document_id").orderBy("valid_from", "snapshot_id")
+    steps = windows.withColumn("old_snapshot_id", F.lag("snapshot_id").over(order)).filter("old_snapshot_id IS NOT NULL")
+    steps = steps.select("document_id", "old_snapshot_id", F.col("snapshot_id").alias("new_snapshot_id"), *more).distinct()
+    sides = F.array(*[F.struct(F.col(c).alias("snapshot_id"), F.lit(t).alias("change_type")) for c, t in (("old_snapshot_id", "FACT_REMOVED"), ("new_snapshot_id", "FACT_ADDED"))])
+    return steps.select("document_id", "old_snapshot_id", "new_snapshot_id", *more, F.inline(sides))
+
+
 def structured_diff(facts: DataFrame, windows: DataFrame) -> DataFrame:
     """FACT_REMOVED and FACT_ADDED between each window's snapshot and the one before it in its document.
 
@@ -136,22 +146,30 @@ def structured_diff(facts: DataFrame, windows: DataFrame) -> DataFrame:
     LOOSE_LOCATOR_TYPES compare without their locator.  Facts that come in partitions of their
     document are not shuffled again.
     """
-    order = Window.partitionBy("document_id").orderBy("valid_from", "snapshot_id")
-    steps = windows.withColumn("old_snapshot_id", F.lag("snapshot_id").over(order)).filter("old_snapshot_id IS NOT NULL")
-    steps = steps.select("document_id", "old_snapshot_id", F.col("snapshot_id").alias("new_snapshot_id")).distinct()
-    sides = F.array(*[F.struct(F.col(c).alias("snapshot_id"), F.lit(n).alias("is_new")) for n, c in enumerate(("old_snapshot_id", "new_snapshot_id"))])
-    sides = steps.select("document_id", "old_snapshot_id", "new_snapshot_id", F.inline(sides))
+    return diff_of(facts.join(diff_sides(windows), ["document_id", "snapshot_id"]))
+
+
+def diff_of(rows: DataFrame, *more: str, moved: bool = True) -> DataFrame:
+    """``structured_diff`` of facts that have their ``diff_sides``; a fact may be there more than once.
+
+    Without ``moved`` ones, see ``change_report``.  Rows that lie in partitions of their document stay
+    there, and are sorted once, for groups and windows: what groups have in common leads their keys.
+    """
     loose = F.coalesce(F.col("fact_type").isin(*LOOSE_LOCATOR_TYPES), F.lit(False))
-    keyed = facts.withColumn("compared_locator", F.when(~loose, F.col("locator")))
-    # one join and no union: rows that lie in partitions of their document stay there up to the groups
-    rows = keyed.join(sides, ["document_id", "snapshot_id"])
-    one = rows.groupBy("document_id", "old_snapshot_id", "new_snapshot_id", *SIGNATURE).agg(
-        F.min("is_new").alias("lo"), F.max("is_new").alias("hi"),
-        F.min("fact_id").alias("fact_id"), F.min("locator").alias("locator"),
-    ).filter("lo = hi")
-    kind = F.when(F.col("hi") == 1, "FACT_ADDED").otherwise("FACT_REMOVED")
-    out = one.withColumn("change_type", kind)
-    return out.withColumn("change_id", hashed("document_id", "old_snapshot_id", "new_snapshot_id", "change_type", *SIGNATURE)).drop("lo", "hi", "compared_locator")
+    step = ["document_id", "old_snapshot_id", "new_snapshot_id"]
+    rows = rows.withColumns({"compared_locator": F.when(~loose, F.col("locator")), "_same": F.struct(*SIGNATURE[:-1])})
+    out = rows.groupBy(*step, "_same", "compared_locator").agg(
+        F.min("change_type").alias("change_type"), F.max("change_type").alias("_other"),
+        F.min("fact_id").alias("fact_id"), F.min("locator").alias("locator"), *[F.min(c).alias(c) for c in more],
+    ).filter("change_type = _other")
+    if not moved:
+        out = out.withColumn("_moved", _moved(Window.partitionBy(*step, "_same"), F.col("_same.fact_type"))).filter("NOT _moved")
+    out = out.select(*step, "_same.*", "compared_locator", "fact_id", "locator", "change_type", *more)
+    return out.withColumn("change_id", hashed(*step, "change_type", *SIGNATURE)).drop("compared_locator")
+
+
+def _moved(over, fact_type: Column) -> Column:
+    return F.coalesce((F.min("change_type").over(over) != F.max("change_type").over(over)) & fact_type.rlike(f"(?s)^{MOVING_FAMILY}."), F.lit(False))
 
 
 def change_report(changes: DataFrame, documents: DataFrame, names: DataFrame, limit: int = 500) -> DataFrame:
@@ -160,11 +178,13 @@ def change_report(changes: DataFrame, documents: DataFrame, names: DataFrame, li
     Of MOVING_FAMILY types, pairs of removal and addition that differ in the locator only are left
     out; of other types they are changes, such as a payment that stands in another row.
     """
-    same = ("document_id", "old_snapshot_id", "new_snapshot_id", "fact_type", "predicate", "subject_id", "object_id", "value_text")
-    # a window in place of a join of the changes with themselves; names, which leave out no row, are joined to the newest only
-    over = Window.partitionBy(*same)
-    moved = (F.min("change_type").over(over) != F.max("change_type").over(over)) & F.col("fact_type").rlike(f"(?s)^{MOVING_FAMILY}.")
-    real = changes.withColumn("_moved", F.coalesce(moved, F.lit(False))).filter("NOT _moved").drop("_moved")
+    # a window in place of a join of the changes with themselves
+    over = Window.partitionBy("document_id", "old_snapshot_id", "new_snapshot_id", *SIGNATURE[:-1])
+    return newest_changes(changes.withColumn("_moved", _moved(over, F.col("fact_type"))).filter("NOT _moved").drop("_moved"), documents, names, limit)
+
+
+def newest_changes(real: DataFrame, documents: DataFrame, names: DataFrame, limit: int = 500) -> DataFrame:
+    """``change_report`` of changes without the moved ones; names, which leave out no row, are joined to the newest only."""
     name = lambda c: names.select(F.col("entity_id").alias(c), F.col("name").alias(c.replace("_id", "_name")))
     newest = lambda df: df.orderBy(F.desc("detected_at"), "change_id").limit(limit)
     full = newest(real.join(documents.select("document_id", "url", "title"), "document_id"))
@@ -193,17 +213,26 @@ def _q(f):
     return lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
 
 
-def _facts(v) -> DataFrame:
-    """Three facts an observation: its value, its properties and its title.
+def _observed(v) -> DataFrame:
+    """Observations with their value.
 
-    Observations go to partitions of their document before they become facts, unless one has more rows than a task may take.
+    They go to partitions of their document before they become facts, unless one has more rows than a task may take.
     """
     snapped = snapshot_observations(v("observations").join(v("events").select(F.col("event_id").alias("observation_id"), "value"), "observation_id"))
     if key_sizes(snapshot_observations(v("observations")), ["document_id"])[0] <= LIMIT:
         snapped = snapped.select("document_id", "snapshot_id", "observation_id", "retrieved_at", "value", "body", "title").repartition("document_id")
+    return snapped
+
+
+def _facts(v) -> DataFrame:
+    return _facts_of(_observed(v))
+
+
+def _facts_of(snapped: DataFrame, *more: str) -> DataFrame:
+    """Three facts an observation: its value, its properties and its title."""
     locator = F.when(F.col("observation_id") % 2 == 0, F.concat(F.lit("row "), "observation_id"))
     base = snapped.select(
-        "document_id", "snapshot_id", "observation_id", "retrieved_at",
+        "document_id", "snapshot_id", "observation_id", *more,
         F.explode(F.array(
             F.struct(F.lit("PAYMENT").alias("fact_type"), F.lit("HAS_VALUE").alias("predicate"), F.col("value").cast("decimal(18,2)").cast("string").alias("value_text")),
             F.struct(F.lit("OMBUDSMAN_SUMMARY").alias("fact_type"), F.lit("HAS_PROPS").alias("predicate"), F.col("body").alias("value_text")),
@@ -213,7 +242,7 @@ def _facts(v) -> DataFrame:
     return base.select(
         "document_id", "snapshot_id", "f.fact_type", F.lit(None).cast("string").alias("subject_id"), "f.predicate",
         F.lit(None).cast("string").alias("object_id"), "f.value_text", "locator",
-        F.concat(F.lit("m"), "observation_id").alias("metadata"),
+        F.concat(F.lit("m"), "observation_id").alias("metadata"), *more,
     )
 
 
@@ -227,6 +256,17 @@ def _windows(v, mode: str = "islands") -> DataFrame:
     return snapshot_windows(snapshot_observations(v("observations")), mode)
 
 
+def _changes(v, windows: DataFrame, *more: str, moved: bool = True) -> DataFrame:
+    """Changes of the facts of observations, which meet the sides of their steps before they become facts: fewer and narrower rows are sorted."""
+    sided = _observed(v).join(diff_sides(windows, *more), ["document_id", "snapshot_id"])
+    return diff_of(with_fact_id(_facts_of(sided, "old_snapshot_id", "new_snapshot_id", "change_type", *more)), *more, moved=moved)
+
+
+def _report(v) -> DataFrame:
+    windows = _windows(v).withColumn("detected_at", F.max("valid_from").over(Window.partitionBy("document_id", "snapshot_id")))
+    return newest_changes(_changes(v, windows, "detected_at", moved=False), _documents(v), v("names"))
+
+
 def _documents(v) -> DataFrame:
     at = F.struct("retrieved_at", "observation_id")
     return snapshot_observations(v("observations")).groupBy("document_id").agg(
@@ -271,10 +311,8 @@ QUERIES = {
         F.col("observation_id").alias("probe_id"), "document_id", (F.col("retrieved_at") + F.expr("INTERVAL 1 HOUR")).alias("at"))).select("probe_id", *_SHOWN)),
     "b8_supersede_row_slots": _q(lambda v: supersede_row_slots(_slots(v), "l_shipdate").select("fact_id", "document_id", "locator", "predicate")),
     "b9_repair_payer": _q(lambda v: repair_payer(_payer_facts(v), _payer_docs(v), _payer_rules(v), "R0").select("fact_id", "subject_id", "predicate", "locator")),
-    "b10_structured_diff": _q(lambda v: structured_diff(_stored(v), _windows(v)).select("change_id", "change_type", "fact_id", "document_id", "new_snapshot_id")),
-    "b11_change_report": _q(lambda v: change_report(
-        structured_diff(_stored(v), _windows(v)).join(_windows(v).groupBy("document_id", F.col("snapshot_id").alias("new_snapshot_id")).agg(F.max("valid_from").alias("detected_at")), ["document_id", "new_snapshot_id"]),
-        _documents(v), v("names")).select("change_id", "change_type", "fact_type", "url", "title", "detected_at")),
+    "b10_structured_diff": _q(lambda v: _changes(v, _windows(v)).select("change_id", "change_type", "fact_id", "document_id", "new_snapshot_id")),
+    "b11_change_report": _q(lambda v: _report(v).select("change_id", "change_type", "fact_type", "url", "title", "detected_at")),
     "b12_table_counts": _q(lambda v: table_counts({n: v(n) for n in ("orders", "customer", "events", "payments")})),
     "b12_recent": _q(lambda v: recent(v("events").select("event_id", "ts"), "ts", 100, "event_id")),
 }

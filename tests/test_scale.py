@@ -103,3 +103,12 @@ def test_candidates_need_no_facts_of_suppliers(spark, monkeypatch):
     assert registry.queries()["g_candidate_reviews"](spark, SF).count() >= 0
     # texts are searched once, and neither payments nor sets are written for it
     assert len(searched) == 1 and written and not {c for w in written for c in w} & {"fact_id", "amount", "set_id"}, written
+
+
+def test_changes_are_sorted_once(spark):
+    for name in ("b10_structured_diff", "b11_change_report"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        sorts = [x for x in plan.splitlines() if re.search(r"\bSort \[", x) and re.search("old_snapshot_id|fact_id|value_text", x)]
+        assert len(sorts) == 1, (name, sorts)
+        # a fact that is there twice needs no groups of its own before
+        assert len(re.findall(r"Aggregate\([^)]*fact_type", plan)) == 0 and plan.count("SortAggregate(key=[document_id") <= 4, name
