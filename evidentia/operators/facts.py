@@ -139,6 +139,28 @@ def diff_sides(windows: DataFrame, *more: str) -> DataFrame:
     return steps.select("document_id", "old_snapshot_id", "new_snapshot_id", *more, F.inline(sides))
 
 
+def with_sides(snapped: DataFrame) -> DataFrame:
+    """Observations, once for each of the ``diff_sides`` of their snapshot, with detected_at: when the new snapshot's last window began.
+
+    Only windows within the document: as a join with the steps is on the snapshot too, it would take
+    rows out of the partitions of their document, and what they become would be shuffled once more.
+    """
+    box = F.struct("snapshot_id")
+    before = F.lag(box).over(Window.partitionBy("document_id").orderBy("retrieved_at", "observation_id"))
+    rows = snapped.withColumn("_opens", ~before.eqNullSafe(box))
+    own = Window.partitionBy("document_id", "snapshot_id")
+    rows = rows.withColumn("detected_at", F.max(F.when(F.col("_opens"), F.col("retrieved_at"))).over(own))
+    order, at = Window.partitionBy("document_id", "_opens").orderBy("retrieved_at", "snapshot_id"), F.struct("snapshot_id", "detected_at")
+    rows = rows.withColumns({"_old": F.lag("snapshot_id").over(order), "_new": F.lead(at).over(order)})
+    side = lambda old, new, detected, kind, there: F.collect_set(F.when(F.col("_opens") & there.isNotNull(), F.struct(
+        old.alias("old_snapshot_id"), new.alias("new_snapshot_id"), detected.alias("detected_at"), F.lit(kind).alias("change_type")))).over(own)
+    c = F.col
+    rows = rows.withColumns({
+        "_added": side(c("_old"), c("snapshot_id"), c("detected_at"), "FACT_ADDED", c("_old")),
+        "_removed": side(c("snapshot_id"), c("_new.snapshot_id"), c("_new.detected_at"), "FACT_REMOVED", c("_new"))})
+    return rows.select(*snapped.columns, F.inline(F.concat("_added", "_removed")))
+
+
 def structured_diff(facts: DataFrame, windows: DataFrame) -> DataFrame:
     """FACT_REMOVED and FACT_ADDED between each window's snapshot and the one before it in its document.
 
@@ -213,13 +235,18 @@ def _q(f):
     return lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
 
 
-def _observed(v) -> DataFrame:
+def _in_partitions(v) -> bool:
+    """No document has more observations than a task may take."""
+    return key_sizes(snapshot_observations(v("observations")), ["document_id"])[0] <= LIMIT
+
+
+def _observed(v, small: bool | None = None) -> DataFrame:
     """Observations with their value.
 
     They go to partitions of their document before they become facts, unless one has more rows than a task may take.
     """
     snapped = snapshot_observations(v("observations").join(v("events").select(F.col("event_id").alias("observation_id"), "value"), "observation_id"))
-    if key_sizes(snapshot_observations(v("observations")), ["document_id"])[0] <= LIMIT:
+    if _in_partitions(v) if small is None else small:
         snapped = snapped.select("document_id", "snapshot_id", "observation_id", "retrieved_at", "value", "body", "title").repartition("document_id")
     return snapped
 
@@ -256,15 +283,14 @@ def _windows(v, mode: str = "islands") -> DataFrame:
     return snapshot_windows(snapshot_observations(v("observations")), mode)
 
 
-def _changes(v, windows: DataFrame, *more: str, moved: bool = True) -> DataFrame:
+def _changes(v, moved: bool = True) -> DataFrame:
     """Changes of the facts of observations, which meet the sides of their steps before they become facts: fewer and narrower rows are sorted."""
-    sided = _observed(v).join(diff_sides(windows, *more), ["document_id", "snapshot_id"])
-    return diff_of(with_fact_id(_facts_of(sided, "old_snapshot_id", "new_snapshot_id", "change_type", *more)), *more, moved=moved)
-
-
-def _report(v) -> DataFrame:
-    windows = _windows(v).withColumn("detected_at", F.max("valid_from").over(Window.partitionBy("document_id", "snapshot_id")))
-    return newest_changes(_changes(v, windows, "detected_at", moved=False), _documents(v), v("names"))
+    if small := _in_partitions(v):
+        sided = with_sides(_observed(v, small))
+    else:
+        windows = _windows(v).withColumn("detected_at", F.max("valid_from").over(Window.partitionBy("document_id", "snapshot_id")))
+        sided = _observed(v, small).join(diff_sides(windows, "detected_at"), ["document_id", "snapshot_id"])
+    return diff_of(with_fact_id(_facts_of(sided, "old_snapshot_id", "new_snapshot_id", "change_type", "detected_at")), "detected_at", moved=moved)
 
 
 def _documents(v) -> DataFrame:
@@ -311,8 +337,8 @@ QUERIES = {
         F.col("observation_id").alias("probe_id"), "document_id", (F.col("retrieved_at") + F.expr("INTERVAL 1 HOUR")).alias("at"))).select("probe_id", *_SHOWN)),
     "b8_supersede_row_slots": _q(lambda v: supersede_row_slots(_slots(v), "l_shipdate").select("fact_id", "document_id", "locator", "predicate")),
     "b9_repair_payer": _q(lambda v: repair_payer(_payer_facts(v), _payer_docs(v), _payer_rules(v), "R0").select("fact_id", "subject_id", "predicate", "locator")),
-    "b10_structured_diff": _q(lambda v: _changes(v, _windows(v)).select("change_id", "change_type", "fact_id", "document_id", "new_snapshot_id")),
-    "b11_change_report": _q(lambda v: _report(v).select("change_id", "change_type", "fact_type", "url", "title", "detected_at")),
+    "b10_structured_diff": _q(lambda v: _changes(v).select("change_id", "change_type", "fact_id", "document_id", "new_snapshot_id")),
+    "b11_change_report": _q(lambda v: newest_changes(_changes(v, moved=False), _documents(v), v("names")).select("change_id", "change_type", "fact_type", "url", "title", "detected_at")),
     "b12_table_counts": _q(lambda v: table_counts({n: v(n) for n in ("orders", "customer", "events", "payments")})),
     "b12_recent": _q(lambda v: recent(v("events").select("event_id", "ts"), "ts", 100, "event_id")),
 }

@@ -112,3 +112,32 @@ def test_changes_are_sorted_once(spark):
         assert len(sorts) == 1, (name, sorts)
         # a fact that is there twice needs no groups of its own before
         assert len(re.findall(r"Aggregate\([^)]*fact_type", plan)) == 0 and plan.count("SortAggregate(key=[document_id") <= 4, name
+
+
+def test_changes_are_not_shuffled_when_nothing_is_sent(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("b10_structured_diff", "b11_change_report"):
+            keys = exchanges(registry.queries()[name](spark, SF))
+            assert keys and not any(re.search("snapshot_id|_same|fact_type|value_text", k) for k in keys), keys
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sides_by_windows_are_sides_by_a_join(spark):
+    import random
+
+    from evidentia.operators import facts
+
+    rng = random.Random(3)
+    seen = [(f"d{rng.randint(0, 5)}", f"s{rng.randint(0, 3)}", i, rng.randint(0, 40)) for i in range(150)] + [("alone", "s", 200, 1)]
+    obs = spark.createDataFrame(seen, "document_id string, snapshot_id string, observation_id long, t int").select(
+        "document_id", "snapshot_id", "observation_id", F.timestamp_seconds("t").alias("retrieved_at"))
+    windows = facts.snapshot_windows(obs)
+    at = windows.groupBy("document_id", F.col("snapshot_id").alias("new_snapshot_id")).agg(F.max("valid_from").alias("detected_at"))
+    want = obs.join(facts.diff_sides(windows), ["document_id", "snapshot_id"]).join(at, ["document_id", "new_snapshot_id"])
+    got = facts.with_sides(obs)
+    columns = sorted(got.columns)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    assert rows(got) == rows(want) and got.count() > 300
