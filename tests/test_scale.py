@@ -141,3 +141,23 @@ def test_sides_by_windows_are_sides_by_a_join(spark):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
     assert rows(got) == rows(want) and got.count() > 300
+
+
+def test_signals_of_streams_write_no_links(spark, monkeypatch):
+    written = recorded(monkeypatch, signals)
+    found, links = signals._found(stored_views(spark, SF, "payments", "contracts"))
+    assert found.count() > 0 and not any("fact_id" in w for w in written), written
+    # links may be of other streams too, and evidence is of the signals only, once each
+    evidence = signals.evidence_of(found, links.unionByName(links))
+    n = found.agg(F.sum("n_evidence")).first()[0]
+    assert evidence.count() == n and evidence.join(found, "signal_id", "left_anti").count() == 0
+
+
+def test_connections_keep_facts_of_named_suppliers_only(spark, monkeypatch):
+    kept = []
+    real = detect.supplier_facts
+    monkeypatch.setattr(detect, "supplier_facts", lambda *a: kept.append(real(*a)) or kept[0])
+    v = stored_views(spark, SF, "payments", "contracts")
+    control = v("control").filter("company_id = 'S3'")
+    signals.connections(v("payments"), v("contract_suppliers"), v("outside_bodies"), v("texts"), v("aliases").limit(0), control, v("office"), v("declared"))
+    assert {r.supplier_id for r in kept[0].select("supplier_id").distinct().collect()} == {"S3"}
